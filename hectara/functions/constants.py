@@ -264,3 +264,43 @@ DISTRICT_ALIASES = {
     "kamienny potok": ("Sopot", None, "spokojna część"),
     "brodwino": ("Sopot", None, "zachodnia część"),
 }
+
+# ---- fixed values: graph identifiers ----
+OWNER_GROUP_IDS = {
+    "Osoby fizyczne": "osoby_fizyczne",
+    "Gminy (własność)": "gminy_wlasnosc",
+    "Gminy (w zarządzie)": "gminy_zarzad",
+    "Skarb Państwa": "skarb_panstwa",
+    "Skarb Państwa (w zarządzie)": "skarb_panstwa_zarzad",
+    "Inne podmioty publiczne": "inne_publiczne",
+    "Województwa (własność)": "wojewodztwa_wlasnosc",
+    "Województwa (w zarządzie)": "wojewodztwa_zarzad",
+    "Powiaty (własność)": "powiaty_wlasnosc",
+    "Powiaty (w zarządzie)": "powiaty_zarzad",
+    "Spółdzielnie": "spoldzielnie",
+    "Spółki Skarbu Państwa": "spolki_sp",
+    "Spółki komunalne": "spolki_komunalne",
+    "Kościoły i związki wyznaniowe": "koscioly",
+    "Inne": "inne",
+}
+FUNCTION_IDS = {
+    "mieszkalne": "mieszkalne",
+    "gospodarcze": "gospodarcze",
+    "handlowo-usługowe": "handlowo-uslugowe",
+    "biurowe": "biurowe",
+    "przemysłowe": "przemyslowe",
+    "magazynowe": "magazynowe",
+    "transport": "transport",
+    "edukacja/kultura": "edukacja_kultura",
+    "zdrowie": "zdrowie",
+    "inne": "inne",
+}
+# alias id -> (name, district it stands for, city, districts to search)
+LOCATION_ALIASES = {
+    "matemblewo": ("Matemblewo", "Matarnia", "Gdańsk", ["Matarnia", "Osowa"]),
+    "vii_dwor": ("VII Dwór", None, "Gdańsk", ["Oliwa", "Wrzeszcz"]),
+    "vii_dwór": ("VII Dwór", None, "Gdańsk", ["Oliwa", "Wrzeszcz"]),
+    "chwarzno": ("Chwarzno", "Chwarzno-Wiczlino", "Gdynia", ["Chwarzno-Wiczlino"]),
+    "mateblewo": ("Matemblewo", "Matarnia", "Gdańsk", ["Matarnia"]),
+    "trojmiasto": ("Trójmiasto", None, None, []),
+}
