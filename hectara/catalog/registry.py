@@ -28,6 +28,7 @@ def query(name: str, sql: str | None = None):
     def register(fn: Callable[[Tables], DataFrame]):
         QUERIES[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
         if sql is not None:
+            testbed.ORACLE_TEXT[name] = sql
             ORACLES[name] = testbed.oracle(sql)
         return fn
 

@@ -153,4 +153,4 @@ def engagement_level(score: Column) -> Column:
 
 
 def price_text(p: Column) -> Column:
-    return F.when(p >= 1_000_000, F.format_string("%.2f mln zł", p / 1_000_000)).otherwise(F.format_string("%dk zł", F.floor(p / 1000).cast("bigint")))
+    return F.when(p >= 1_000_000, F.concat(F.call_function("format_number", p / 1_000_000, F.lit("0.00")), F.lit(" mln zł"))).otherwise(F.format_string("%dk zł", F.floor(p / 1000).cast("bigint")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from hectara.functions import constants as C
 from hectara.functions.labels import lookup
 from hectara.functions.texts import fold_city, slug
+from hectara.session import cut_lineage
 
 
 def category_edges(parcels: DataFrame) -> DataFrame:
@@ -120,7 +121,7 @@ def same_district_paths(pairs: DataFrame, districts: DataFrame) -> DataFrame:
     In a graph without parallel edges no edge repeats within three hops unless a step turns
     straight back. Paths with the same ends are counted together before every shuffle.
     """
-    step = mirrored(pairs).select("id", "neighbor")
+    step = cut_lineage(mirrored(pairs).select("id", "neighbor"))
     walk = step.select(F.col("id").alias("start"), F.col("id").alias("prev"), F.col("neighbor").alias("cur"), F.lit(1).cast("bigint").alias("n"))
     found = walk.select("start", "cur", F.lit(1).alias("hops"), "n")
     for hop in (2, 3):

@@ -306,6 +306,9 @@ def oracle(body: str) -> str:
     return f"WITH {ctes} {body}"
 
 
+# Checking SQL before the derived tables are put in front; lets one query build on another.
+ORACLE_TEXT: dict[str, str] = {}
+
 RAW = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
