@@ -304,3 +304,33 @@ LOCATION_ALIASES = {
     "mateblewo": ("Matemblewo", "Matarnia", "Gdańsk", ["Matarnia"]),
     "trojmiasto": ("Trójmiasto", None, None, []),
 }
+
+# ---- fixed values: names users give to categories: id, kind, canonical name, variants, values ----
+CATEGORY_NAMES = [
+    ("cicha", "quietness", "Cicha okolica", ["cicha", "cicho", "spokojna", "spokojnie", "spokój", "cisza", "quiet", "peaceful"], ["bardzo_cicha", "cicha"]),
+    ("bardzo_cicha", "quietness", "Bardzo cicha okolica", ["bardzo cicha", "super cicha", "idealna cisza", "kompletna cisza", "totalny spokój"], ["bardzo_cicha"]),
+    ("umiarkowana_cisza", "quietness", "Umiarkowana cisza", ["umiarkowanie cicha", "średnio cicha", "niezbyt głośna", "w miarę spokojna"], ["umiarkowana"]),
+    ("glosna", "quietness", "Głośna okolica", ["głośna", "głośno", "hałaśliwa", "hałas", "ruchliwa", "tętniąca życiem", "noisy"], ["glosna"]),
+    ("zielona", "nature", "Zielona okolica", ["zielona", "zielono", "blisko natury", "naturalna", "przyroda", "green", "nature"], ["bardzo_zielona", "zielona"]),
+    ("blisko_lasu", "nature", "Blisko lasu", ["blisko lasu", "przy lesie", "obok lasu", "las", "leśna", "forest", "lasy"], ["bardzo_zielona", "zielona"]),
+    ("zurbanizowana", "nature", "Zurbanizowana", ["zurbanizowana", "miejska", "miasto", "urban", "bez natury", "beton"], ["zurbanizowana"]),
+    ("dobry_dojazd", "accessibility", "Dobry dojazd", ["dobry dojazd", "łatwy dojazd", "blisko komunikacji", "dobrze skomunikowana", "transport"], ["doskonala", "dobra"]),
+    ("blisko_szkoly", "accessibility", "Blisko szkoły", ["blisko szkoły", "przy szkole", "dla dzieci", "szkoła w pobliżu", "edukacja"], ["doskonala", "dobra"]),
+    ("blisko_sklepu", "accessibility", "Blisko sklepu", ["blisko sklepu", "sklep w pobliżu", "przy sklepie", "zakupy", "market"], ["doskonala", "dobra"]),
+    ("odlegla", "accessibility", "Odległa", ["odległa", "daleko od wszystkiego", "na uboczu", "zaciszna", "remote"], ["ograniczona"]),
+    ("rzadka_zabudowa", "density", "Rzadka zabudowa", ["rzadka zabudowa", "mało domów", "przestronnie", "duże działki", "niezbyt zabudowane"], ["rzadka", "bardzo_rzadka"]),
+    ("gesta_zabudowa", "density", "Gęsta zabudowa", ["gęsta zabudowa", "dużo domów", "osiedle", "zabudowana", "dense"], ["gesta"]),
+    ("morze", "water", "Morze Bałtyckie", ["morze", "Bałtyk", "ocean", "plaża", "beach", "nad morzem", "przy morzu", "blisko morza", "morski", "sea"], ["morze"]),
+    ("jezioro", "water", "Jezioro", ["jezioro", "jezior", "lake", "nad jeziorem", "przy jeziorze", "blisko jeziora"], ["jezioro"]),
+    ("rzeka", "water", "Rzeka", ["rzeka", "rzeki", "river", "nad rzeką", "przy rzece", "blisko rzeki"], ["rzeka"]),
+    ("zatoka", "water", "Zatoka", ["zatoka", "bay", "zatoka gdańska", "blisko zatoki"], ["zatoka"]),
+    ("kanal", "water", "Kanał", ["kanał", "kanal", "canal", "przy kanale"], ["kanal"]),
+    ("staw", "water", "Staw/Oczko wodne", ["staw", "oczko", "oczko wodne", "pond", "przy stawie"], ["staw"]),
+    ("woda_ogolnie", "water", "Blisko wody", ["woda", "blisko wody", "przy wodzie", "nad wodą", "water", "waterfront"], ["jezioro"]),
+    ("edukacja", "poi", "Placówka edukacyjna", ["szkoła", "przedszkole", "żłobek", "edukacja", "school", "dla dzieci", "szkoła podstawowa", "gimnazjum", "liceum"], ["school", "kindergarten"]),
+    ("sklepy", "poi", "Sklepy", ["sklep", "market", "supermarket", "zakupy", "shop", "biedronka", "lidl", "żabka", "spożywczy", "shopping"], ["shop", "supermarket"]),
+    ("komunikacja", "poi", "Komunikacja publiczna", ["przystanek", "autobus", "tramwaj", "SKM", "komunikacja", "transport", "bus_stop", "public_transport", "metro"], ["bus_stop"]),
+    ("zdrowie", "poi", "Placówki medyczne", ["szpital", "przychodnia", "lekarz", "zdrowie", "hospital", "apteka", "clinic", "medical"], ["hospital", "doctors", "pharmacy"]),
+    ("przemysl", "poi", "Tereny przemysłowe", ["przemysł", "fabryka", "zakład", "industrial", "hałas przemysłowy", "strefa przemysłowa"], ["industrial"]),
+]
+RESOLVE_THRESHOLDS = {"quietness": 0.6, "nature": 0.6, "accessibility": 0.6, "density": 0.6, "water": 0.5, "poi": 0.5}

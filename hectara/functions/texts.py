@@ -1,6 +1,8 @@
 """Text helpers as Column expressions."""
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,7 +30,7 @@ def clean_location(text: Column) -> Column:
     """Lower-case, trimmed, with the listed prefixes taken off one after the other."""
     out = F.trim(F.lower(text))
     for prefix in C.LOCATION_PREFIXES:
-        out = F.trim(F.when(out.startswith(prefix), F.substring(out, len(prefix) + 1, 10_000)).otherwise(out))
+        out = F.trim(F.regexp_replace(out, "^" + re.escape(prefix), ""))
     return out
 
 
