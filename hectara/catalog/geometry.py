@@ -14,7 +14,7 @@ RINGS = F.col("rings")
     "SELECT shape_id, CAST(round_even((x1-x0)*(y1-y0), 0) AS INT) AS area_m2, round((x1-x0)*(y1-y0), 4) AS true_area FROM shapes",
 )
 def area(t):
-    return t("shapes").select("shape_id", F.bround(G.area(RINGS), 0).cast("int").alias("area_m2"), F.round(G.area(RINGS), 4).alias("true_area"))
+    return t("shapes").select("shape_id", F.rint(G.area(RINGS)).cast("int").alias("area_m2"), F.round(G.area(RINGS), 4).alias("true_area"))
 
 
 @query("geo_02_centroid", "SELECT shape_id, round((x0+x1)/2, 4) AS cx, round((y0+y1)/2, 4) AS cy FROM shapes")
@@ -29,7 +29,7 @@ def centroid(t):
        round(least(greatest(4*pi()*round_even((x1-x0)*(y1-y0),0) / pow(2*((x1-x0)+(y1-y0)),2), 0), 1), 6) AS shape_index FROM shapes""",
 )
 def shape_index(t):
-    return t("shapes").select("shape_id", F.bround(G.area(RINGS), 0).alias("a"), G.perimeter(RINGS).alias("perimeter")).select(
+    return t("shapes").select("shape_id", F.rint(G.area(RINGS)).alias("a"), G.perimeter(RINGS).alias("perimeter")).select(
         "shape_id", "perimeter", F.round(G.compactness(F.col("a"), F.col("perimeter")), 6).alias("shape_index")
     )
 

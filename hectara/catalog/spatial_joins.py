@@ -110,7 +110,7 @@ def nearest_water_types(t):
     wide = near.groupBy("id_dzialki").pivot("cat", C.WATER_ORDER).agg(F.min("distance"))
     cols = {w: C.WATER_DISTANCE_COLUMNS[w] for w in C.WATER_ORDER}
     wide = spots(t).select("id_dzialki").join(wide, "id_dzialki", "left").select(
-        "id_dzialki", *[F.bround(F.least(F.col(w), F.when(F.col(w).isNotNull(), F.lit(50000.0))), 0).cast("int").alias(c) for w, c in cols.items()]
+        "id_dzialki", *[F.rint(F.least(F.col(w), F.when(F.col(w).isNotNull(), F.lit(50000.0)))).cast("int").alias(c) for w, c in cols.items()]
     )
     d, kind = L.nearest_water({w: F.col(c) for w, c in cols.items()})
     return wide.select("*", d.alias("dist_to_water"), kind.alias("nearest_water_type"))

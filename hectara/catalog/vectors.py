@@ -8,7 +8,6 @@ from hectara.catalog.texts import RAWLOC, _chain_sql, raw_locations
 from hectara.functions import constants as C
 from hectara.functions import scores as X
 from hectara.functions import texts as T
-from hectara.operators import search as S
 from hectara.operators import similarity as V
 from hectara.operators.relations import location_dictionary
 
@@ -67,7 +66,6 @@ def by_graph_embedding(t):
 def vector_with_constraints(t):
     e = t.raw("embeddings")
     near = V.most_similar(e, "vec_id", "embedding", V.vector_of(e, "vec_id", 3, "embedding"), 300, 300).select(F.col("vec_id").alias("pk"), "similarity")
-    c = S.Criteria(ownership_type="prywatna", build_status="niezabudowana", include_infrastructure=True).columns()
     ok = (F.col("typ_wlasnosci") == "prywatna") & ~F.col("is_built") & F.col("dzielnica").isNotNull() & F.col("size_category").isin("pod_dom", "duza")
     found = t("parcels").filter(ok).select("pk", "id_dzialki", "gmina").join(near, "pk")
     schools = t("edges").filter(F.col("rel") == "NEAR_SCHOOL").groupBy(F.col("src").alias("id_dzialki")).agg(F.countDistinct("dst").alias("schools_nearby"), F.min("distance_m").alias("nearest_school_m"))
@@ -135,7 +133,6 @@ def resolve_location(t):
     return r.select("mention", "best", F.round("similarity", 6).alias("similarity"), F.array_join("alternatives", "|").alias("alternatives"), confidence_band(F.col("similarity")).alias("confidence"))
 
 
-PHRASE = "trim(lower(regexp_extract(text, '[^.?!]*$')))"
 CATS = "(SELECT * FROM (VALUES " + ", ".join(f"('{i}', '{k}', '{n}', '{'|'.join(m)}')" for i, k, n, _, m in C.CATEGORY_NAMES) + ") v(id, kind, name, maps_to))"
 
 

@@ -5,6 +5,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def half_even(c: Column, places: int = 0) -> Column:
+    """Round half to even the way the table stages do: scaled, rounded and scaled back."""
+    return F.rint(c) if places == 0 else F.rint(c * 10**places) / 10**places
+
+
 def capped(distance: Column, cap: float, missing: float | None = None) -> Column:
     return F.least(F.greatest(F.coalesce(distance, F.lit(cap if missing is None else missing)).cast("double"), F.lit(0.0)), F.lit(float(cap)))
 
@@ -14,16 +19,16 @@ def closeness(distance: Column, cap: float) -> Column:
 
 
 def quietness(industrial: Column, main_road: Column) -> Column:
-    return F.bround(capped(industrial, 5000) / 5000 * 50 + capped(main_road, 3000) / 3000 * 50, 0).cast("int")
+    return half_even(capped(industrial, 5000) / 5000 * 50 + capped(main_road, 3000) / 3000 * 50).cast("int")
 
 
 def nature(forest: Column, water: Column, pct_forest: Column) -> Column:
-    return F.bround(closeness(forest, 5000) * 40 + closeness(water, 5000) * 30 + capped(pct_forest, 50, 0) / 50 * 30, 0).cast("int")
+    return half_even(closeness(forest, 5000) * 40 + closeness(water, 5000) * 30 + capped(pct_forest, 50, 0) / 50 * 30).cast("int")
 
 
 def accessibility(bus: Column, school: Column, shop: Column, pharmacy: Column) -> Column:
-    return F.bround(
-        closeness(bus, 3000) * 30 + closeness(school, 3000) * 25 + closeness(shop, 2000) * 25 + closeness(pharmacy, 3000) * 20, 0
+    return half_even(
+        closeness(bus, 3000) * 30 + closeness(school, 3000) * 25 + closeness(shop, 2000) * 25 + closeness(pharmacy, 3000) * 20
     ).cast("int")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from hectara.functions import constants as C
 from hectara.functions.labels import lookup
-from hectara.functions.scores import decay, shape_term
+from hectara.functions.scores import decay, half_even, shape_term
 
 
 def in_district(column: Column, name: str) -> Column:
@@ -187,7 +187,7 @@ def weights(c: dict[str, Column]) -> dict[str, Column]:
         "accessibility": F.when(has["access"], 0.15).otherwise(0.05),
     }
     total = sum(inferred.values(), F.lit(0.0))
-    return {d: F.when(explicit, c[f"w_{d}"]).otherwise(F.bround(inferred[d] / total, 3)) for d in DIMENSIONS}
+    return {d: F.when(explicit, c[f"w_{d}"]).otherwise(half_even(inferred[d] / total, 3)) for d in DIMENSIONS}
 
 
 def hard_filter(c: dict[str, Column]) -> Column:

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hectara.functions.scores import half_even
 from hectara.session import cut_lineage
 
 LEAF_POINTS = 64
@@ -483,7 +484,7 @@ def adjacent_pairs(plots: DataFrame, plot_id: str, cell: float, min_border: floa
     shape = box.select(F.col(plot_id).alias("pid"), signed_edges(F.col("rings")).alias("edges"), F.col("aminy").alias("miny"))
     both = shared.join(shape, "pid").join(shape.select(F.col("pid").alias("pid2"), F.col("edges").alias("edges2"), F.col("miny").alias("miny2")), "pid2")
     apart = overlap_area(F.col("edges"), F.col("edges2"), F.least("miny", "miny2")) <= 1e-6
-    return both.filter(apart).select(F.col("pid").alias("id1"), F.col("pid2").alias("id2"), F.bround("border", 2).alias("shared_border_m"))
+    return both.filter(apart).select(F.col("pid").alias("id1"), F.col("pid2").alias("id2"), half_even(F.col("border"), 2).alias("shared_border_m"))
 
 
 def unmatched_secondary(primary: DataFrame, secondary: DataFrame, sid: str, radius: float) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hectara.functions.scores import half_even
 from hectara.operators.search import in_district
 from hectara.session import cut_lineage, sized_broadcast
 
@@ -108,7 +109,7 @@ def area_statistics(parcels: DataFrame, gmina: str | None, dzielnica: str | None
         df = df.filter(in_district(F.col("dzielnica"), dzielnica))
     tests = {"with_pog": F.col("has_pog"), "residential": F.col("is_residential_zone"), "road_access": F.col("dist_to_main_road") < 50, "built": F.col("is_built")}
     counts = df.agg(count().alias("total"), *[F.count_if(test).alias(k) for k, test in tests.items()])
-    return counts.select("*", *[F.when(F.col("total") > 0, F.bround(F.col(k) * 100 / F.col("total"), 1)).alias(f"pct_{k}") for k in tests])
+    return counts.select("*", *[F.when(F.col("total") > 0, half_even(F.col(k) * 100 / F.col("total"), 1)).alias(f"pct_{k}") for k in tests])
 
 
 WATER_COUNTS = [

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hectara.functions.scores import half_even
 from hectara.functions import constants as C
 from hectara.functions.geometry import centroid, distance_to_polygon, intersects_box
 from hectara.operators.spatial import largest_overlap, nearest, points_in_polygons, unmatched_secondary, within_radius
@@ -61,7 +62,7 @@ def near_edges(places: DataFrame, pid: str, poi: DataFrame) -> DataFrame:
         strict=True,
     )
     relation = F.create_map([F.lit(v) for c in kinds for v in (c, C.NEAR_RELATIONS[c][0])])
-    return near.select(F.col(pid).alias("src"), F.col("fid").alias("dst"), relation[F.col("cat")].alias("rel"), F.bround("distance", 1).alias("distance_m"))
+    return near.select(F.col(pid).alias("src"), F.col("fid").alias("dst"), relation[F.col("cat")].alias("rel"), half_even(F.col("distance"), 1).alias("distance_m"))
 
 
 def merge_sources(poi: DataFrame, radius: float) -> DataFrame:

@@ -16,7 +16,7 @@ def service_distances(parcels: DataFrame, poi: DataFrame, names: dict[str, str])
     places = parcels.select("id_dzialki", F.col("centroid_x").alias("x"), F.col("centroid_y").alias("y"))
     found = nearest(places, "id_dzialki", poi, "poi_id", list(names), "type")
     wide = found.groupBy("id_dzialki").pivot("cat", list(names)).agg(F.min("distance"))
-    return wide.select("id_dzialki", *[F.bround(F.col(t), 0).cast("int").alias(c) for t, c in names.items()])
+    return wide.select("id_dzialki", *[scores.half_even(F.col(t)).cast("int").alias(c) for t, c in names.items()])
 
 
 def quiet_and_connected(spark: SparkSession, sf_dir: str) -> DataFrame:
