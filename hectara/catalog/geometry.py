@@ -6,20 +6,19 @@ from hectara.functions import geometry as G
 from hectara.operators.spatial import within_radius
 from hectara.operators.terrain import surface_statistics
 
-RINGS = F.col("rings")
-
+RINGS = "rings"
 
 @query(
     "geo_01_area",
     "SELECT shape_id, CAST(round_even((x1-x0)*(y1-y0), 0) AS INT) AS area_m2, round((x1-x0)*(y1-y0), 4) AS true_area FROM shapes",
 )
 def area(t):
-    return t("shapes").select("shape_id", F.rint(G.area(RINGS)).cast("int").alias("area_m2"), F.round(G.area(RINGS), 4).alias("true_area"))
+    return t("shapes").select("shape_id", F.rint(G.area(F.col(RINGS))).cast("int").alias("area_m2"), F.round(G.area(F.col(RINGS)), 4).alias("true_area"))
 
 
 @query("geo_02_centroid", "SELECT shape_id, round((x0+x1)/2, 4) AS cx, round((y0+y1)/2, 4) AS cy FROM shapes")
 def centroid(t):
-    c = G.centroid(RINGS)
+    c = G.centroid(F.col(RINGS))
     return t("shapes").withColumn("c", c).select("shape_id", F.round("c.x", 4).alias("cx"), F.round("c.y", 4).alias("cy"))
 
 
@@ -29,14 +28,14 @@ def centroid(t):
        round(least(greatest(4*pi()*round_even((x1-x0)*(y1-y0),0) / pow(2*((x1-x0)+(y1-y0)),2), 0), 1), 6) AS shape_index FROM shapes""",
 )
 def shape_index(t):
-    return t("shapes").select("shape_id", F.rint(G.area(RINGS)).alias("a"), G.perimeter(RINGS).alias("perimeter")).select(
+    return t("shapes").select("shape_id", F.rint(G.area(F.col(RINGS))).alias("a"), G.perimeter(F.col(RINGS)).alias("perimeter")).select(
         "shape_id", "perimeter", F.round(G.compactness(F.col("a"), F.col("perimeter")), 6).alias("shape_index")
     )
 
 
 @query("geo_04_envelope", "SELECT shape_id, x1-x0 AS bbox_width, y1-y0 AS bbox_height FROM shapes")
 def envelope(t):
-    box = G.envelope(RINGS)
+    box = G.envelope(F.col(RINGS))
     return t("shapes").select("shape_id", (box["maxx"] - box["minx"]).alias("bbox_width"), (box["maxy"] - box["miny"]).alias("bbox_height"))
 
 
@@ -79,7 +78,7 @@ def linear_projection(t):
 )
 def as_point(t):
     kind = F.element_at(F.array(F.lit("Polygon"), F.lit("LineString"), F.lit("Point")), (F.col("shape_id") % 3 + 1).cast("int"))
-    p = t("shapes").withColumn("p", G.as_point(kind, RINGS))
+    p = t("shapes").withColumn("p", G.as_point(kind, F.col(RINGS)))
     return p.select("shape_id", F.round("p.x", 6).alias("px"), F.round("p.y", 6).alias("py"))
 
 
@@ -93,7 +92,7 @@ def as_point(t):
          round(CASE WHEN d <= w THEN y0 WHEN d <= w+h THEN y0+(d-w) WHEN d <= 2*w+h THEN y0+h ELSE y0+h-(d-2*w-h) END, 4) FROM d""",
 )
 def sample_points(t):
-    p = t("shapes").select("shape_id", F.explode(G.sample_points(F.lit("Polygon"), RINGS, 50)).alias("p"))
+    p = G.sample_points(t("shapes").select("shape_id", "rings", F.lit("Polygon").alias("gtype")), "gtype", "rings", 50)
     return p.select("shape_id", F.round("p.x", 4).alias("px"), F.round("p.y", 4).alias("py"))
 
 
@@ -111,7 +110,7 @@ def validity(t):
     """Derived faults: crossed outline, open ring, flat ring."""
     v = {k: G.vertex(F.col("x" + k[0]), F.col("y" + k[1])) for k in ("00", "10", "11", "01")}
     faulty = (
-        F.when(F.col("shape_id") % 4 == 0, RINGS)
+        F.when(F.col("shape_id") % 4 == 0, F.col(RINGS))
         .when(F.col("shape_id") % 4 == 1, F.array(F.array(v["00"], v["11"], v["10"], v["01"], v["00"])))
         .when(F.col("shape_id") % 4 == 2, F.array(F.array(v["00"], v["10"], v["11"], v["01"])))
         .otherwise(F.array(F.array(v["00"], v["10"], v["10"], v["00"])))

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -79,7 +79,7 @@ def centroid(rings: Column) -> Column:
     def net(name):
         return F.element_at(parts, 1)[name] * 2 - _total(parts, lambda m: m[name])
 
-    return vertex(net("mx") / net("a"), net("my") / net("a"))
+    return vertex(F.try_divide(net("mx"), net("a")), F.try_divide(net("my"), net("a")))
 
 
 def perimeter(rings: Column) -> Column:
@@ -97,7 +97,7 @@ def envelope(rings: Column) -> dict[str, Column]:
 
 def compactness(area_m2: Column, length: Column) -> Column:
     """4*pi*A/P^2 held within 0..1."""
-    return F.least(F.greatest(F.lit(4 * math.pi) * area_m2 / (length * length), F.lit(0.0)), F.lit(1.0))
+    return F.least(F.greatest(F.try_divide(F.lit(4 * math.pi) * area_m2, length * length), F.lit(0.0)), F.lit(1.0))
 
 
 def aspect_ratio(width: Column, height: Column) -> Column:
@@ -129,17 +129,20 @@ def contains_point(rings: Column, x: Column, y: Column) -> Column:
 
 
 def distance_to_boundary(rings: Column, x: Column, y: Column) -> Column:
-    """Smallest distance from a point to any segment."""
-
-    def to_segment(e):
-        dx, dy = e["bx"] - e["ax"], e["by"] - e["ay"]
-        squared = dx * dx + dy * dy
-        t = F.when(squared > 0, ((x - e["ax"]) * dx + (y - e["ay"]) * dy) / squared).otherwise(0.0)
-        t = F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))
-        px, py = e["ax"] + t * dx - x, e["ay"] + t * dy - y
-        return F.sqrt(px * px + py * py)
-
-    return F.array_min(F.transform(F.flatten(F.transform(rings, segments)), to_segment))
+    """Smallest distance from a point to any segment. Each step binds its values once per segment."""
+    placed = F.transform(
+        F.flatten(F.transform(rings, segments)),
+        lambda e: F.struct((e["ax"] - x).alias("ax"), (e["ay"] - y).alias("ay"), (e["bx"] - e["ax"]).alias("dx"), (e["by"] - e["ay"]).alias("dy")),
+    )
+    along = F.transform(
+        placed,
+        lambda e: F.struct(
+            e["ax"].alias("ax"), e["ay"].alias("ay"), e["dx"].alias("dx"), e["dy"].alias("dy"),
+            F.least(F.greatest(F.coalesce(F.try_divide(-(e["ax"] * e["dx"] + e["ay"] * e["dy"]), e["dx"] * e["dx"] + e["dy"] * e["dy"]), F.lit(0.0)), F.lit(0.0)), F.lit(1.0)).alias("t"),
+        ),
+    )
+    off = F.transform(along, lambda e: F.hypot(e["ax"] + e["t"] * e["dx"], e["ay"] + e["t"] * e["dy"]))
+    return F.array_min(off)
 
 
 def distance_to_polygon(rings: Column, x: Column, y: Column) -> Column:
@@ -218,30 +221,46 @@ def overlap_area(edges_a: Column, edges_b: Column, base: Column) -> Column:
     return F.aggregate(edges_a, F.lit(0.0), lambda acc, e: F.aggregate(edges_b, acc, lambda inner, f: inner + strip(e, f)))
 
 
-def circle_overlap_area(rings: Column, cx: Column, cy: Column, radius: float) -> Column:
-    """Area of polygon and disc: per directed edge, triangles inside the disc and sectors outside it."""
-    r2 = radius * radius
-
-    def piece(e):
-        ax, ay, bx, by = e["ax"] - cx, e["ay"] - cy, e["bx"] - cx, e["by"] - cy
-        dx, dy = bx - ax, by - ay
-        a = dx * dx + dy * dy
-        b = ax * dx + ay * dy
-        c = ax * ax + ay * ay - r2
-        disc = b * b - a * c
-        root = F.sqrt(F.greatest(disc, F.lit(0.0)))
-        t0 = F.least(F.greatest((-b - root) / a, F.lit(0.0)), F.lit(1.0))
-        t1 = F.least(F.greatest((-b + root) / a, F.lit(0.0)), F.lit(1.0))
+def oriented_edges(rings: Column) -> Column:
+    """Edges with weight +1 or -1 that makes outlines count positive and holes negative, whatever their direction."""
+    return F.flatten(
+        F.transform(
+            F.transform(rings, lambda r, i: F.struct(segments(r).alias("edges"), (F.when(i == 0, 1.0).otherwise(-1.0) * F.signum(ring_signed_area(r))).alias("w"))),
+            lambda r: F.transform(r["edges"], lambda e: F.struct(e["ax"].alias("ax"), e["ay"].alias("ay"), e["bx"].alias("bx"), e["by"].alias("by"), r["w"].alias("w"))),
+        )
+    )
 
-        def sector(px, py, qx, qy):
-            return F.lit(r2 / 2) * F.atan2(px * qy - qx * py, px * qx + py * qy)
 
-        px, py, qx, qy = ax + dx * t0, ay + dy * t0, ax + dx * t1, ay + dy * t1
-        cut = sector(ax, ay, px, py) + (px * qy - qx * py) / 2 + sector(qx, qy, bx, by)
-        return F.when(a == 0, 0.0).when((disc <= 0) | (t0 >= t1), sector(ax, ay, bx, by)).otherwise(cut)
+def disc_pieces(df: DataFrame, cx: str, cy: str, edges: str, radius: float, name: str = "piece") -> DataFrame:
+    """One row per edge with its signed share of the common area of polygon and disc.
 
-    parts = F.transform(rings, lambda r: F.abs(_total(segments(r), piece)))
-    return F.element_at(parts, 1) * 2 - _total(parts, lambda v: v)
+    Per directed edge: the triangle over its part inside the disc and the sectors over the parts
+    outside. Plain columns on exploded edges, so the arithmetic is compiled.
+    """
+    r2 = radius * radius
+    keep = [c for c in df.columns if c not in (edges,)]
+    rows = df.select(*keep, F.inline(edges))
+    rows = rows.select(*keep, "w", *[(F.col(v) - F.col(c)).alias(v) for v, c in (("ax", cx), ("ay", cy), ("bx", cx), ("by", cy))])
+    rows = rows.withColumn("dx", F.col("bx") - F.col("ax")).withColumn("dy", F.col("by") - F.col("ay"))
+    a = F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")
+    b = F.col("ax") * F.col("dx") + F.col("ay") * F.col("dy")
+    c = F.col("ax") * F.col("ax") + F.col("ay") * F.col("ay") - r2
+    rows = rows.withColumn("qa", a).withColumn("qb", b).withColumn("disc", b * b - a * c).filter(F.col("qa") > 0)
+    root = F.sqrt(F.greatest("disc", F.lit(0.0)))
+    held = lambda t: F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))
+    rows = rows.withColumn("t0", held((-F.col("qb") - root) / F.col("qa"))).withColumn("t1", held((-F.col("qb") + root) / F.col("qa")))
+    rows = rows.withColumns({
+        "px": F.col("ax") + F.col("dx") * F.col("t0"), "py": F.col("ay") + F.col("dy") * F.col("t0"),
+        "qx": F.col("ax") + F.col("dx") * F.col("t1"), "qy": F.col("ay") + F.col("dy") * F.col("t1"),
+    })
+
+    def sector(p: str, q: str) -> Column:
+        px, py, qx, qy = F.col(p + "x"), F.col(p + "y"), F.col(q + "x"), F.col(q + "y")
+        return F.lit(r2 / 2) * F.atan2(px * qy - qx * py, px * qx + py * qy)
+
+    through = (F.col("disc") > 0) & (F.col("t0") < F.col("t1"))
+    cut = sector("a", "p") + (F.col("px") * F.col("qy") - F.col("qx") * F.col("py")) / 2 + sector("q", "b")
+    return rows.select(*keep, (F.col("w") * F.when(through, cut).otherwise(sector("a", "b"))).alias(name))
 
 
 def is_valid(rings: Column) -> Column:
@@ -360,44 +379,28 @@ def tiles_of_box(minx: Column, miny: Column, maxx: Column, maxy: Column) -> Colu
     return F.flatten(F.transform(F.sequence(gx0, gx1), lambda gx: F.transform(F.sequence(gy0, gy1), lambda gy: tile_id(gx, gy))))
 
 
-def sample_points(gtype: Column, rings: Column, step: float, normalised: bool = True) -> Column:
-    """Representative points: centroid and outline samples of polygons, samples along lines, points as they are.
+def sample_points(df: DataFrame, gtype: str, rings: str, step: float, normalised: bool = True, name: str = "p") -> DataFrame:
+    """Representative points, one row each: centroid and outline samples of polygons, samples along lines, points as they are.
 
     normalised=True spreads max(least, int(length/step)) samples evenly; False walks at the exact step from 0.
+    Built step by step so that every value is computed once per shape.
     """
-    outline = segments(F.element_at(rings, 1))
-
-    def length(e):
-        return F.sqrt((e["bx"] - e["ax"]) * (e["bx"] - e["ax"]) + (e["by"] - e["ay"]) * (e["by"] - e["ay"]))
-
-    total = _total(outline, length)
-    least = F.when(gtype == "Polygon", 1).otherwise(2)
-    n = F.greatest(least, F.floor(total / step).cast("int"))
-    if normalised:
-        offsets = F.transform(F.sequence(F.lit(0), n - 1), lambda i: i * total / n)
-    else:
-        offsets = F.transform(F.sequence(F.lit(0), F.ceil(total / step).cast("int") - 1), lambda i: i * F.lit(float(step)))
-    # Each segment with the running length before it.
-    start = F.struct(F.lit(0.0).alias("run"), F.expr("cast(array() as array<struct<e:struct<ax:double,ay:double,bx:double,by:double>,s:double,l:double>>)").alias("out"))
-    runs = F.aggregate(
-        outline,
-        start,
-        lambda acc, e: F.struct(
-            (acc["run"] + length(e)).alias("run"),
-            F.concat(acc["out"], F.array(F.struct(e.alias("e"), acc["run"].alias("s"), length(e).alias("l")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-
-    def at(d):
-        # The last segment that starts at or before the offset.
-        hit = F.element_at(F.filter(runs, lambda r: (r["s"] <= d) & (r["l"] > 0)), -1)
-        t = (d - hit["s"]) / hit["l"]
-        return vertex(hit["e"]["ax"] + (hit["e"]["bx"] - hit["e"]["ax"]) * t, hit["e"]["ay"] + (hit["e"]["by"] - hit["e"]["ay"]) * t)
-
-    along = F.when(total > 0, F.transform(offsets, at)).otherwise(F.expr("cast(array() as array<struct<x:double,y:double>>)"))
-    return (
-        F.when(gtype == "Polygon", F.concat(F.array(centroid(rings)), along))
-        .when(gtype == "LineString", along)
-        .otherwise(F.flatten(rings))
-    )
+    kind = F.col(gtype)
+    work = df.withColumn("_seg", segments(F.element_at(rings, 1)))
+    work = work.withColumn("_len", F.transform("_seg", lambda e: F.hypot(e["bx"] - e["ax"], e["by"] - e["ay"])))
+    work = work.withColumn("_total", F.aggregate("_len", F.lit(0.0), lambda s, v: s + v))
+    least = F.when(kind == "Polygon", 1).otherwise(2)
+    work = work.withColumn("_n", F.greatest(least, F.floor(F.col("_total") / step).cast("int")) if normalised else F.greatest(F.ceil(F.col("_total") / step).cast("int"), F.lit(1)))
+    start = F.array(F.lit(0.0))
+    work = work.withColumn("_from", F.aggregate("_len", start, lambda acc, v: F.concat(acc, F.array(F.element_at(acc, -1) + v))))
+    shaped = kind.isin("Polygon", "LineString") & (F.col("_total") > 0)
+    whole = F.array_compact(F.array(F.when(kind == "Polygon", centroid(F.col(rings)))))
+    points = work.select(*df.columns, F.explode(F.when(kind.isin("Polygon", "LineString"), whole).otherwise(F.flatten(rings))).alias(name))
+    walk = work.filter(shaped).select("*", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_i"))
+    offset = F.col("_i") * F.col("_total") / F.col("_n") if normalised else F.col("_i") * F.lit(float(step))
+    walk = walk.withColumn("_d", offset).withColumn("_k", F.greatest(F.lit(1), F.size(F.filter("_from", lambda v: v <= F.col("_d")))))
+    walk = walk.withColumn("_k", F.least("_k", F.size("_seg"))).withColumn("_e", F.element_at("_seg", F.col("_k")))
+    t = (F.col("_d") - F.element_at("_from", F.col("_k"))) / F.element_at("_len", F.col("_k"))
+    walk = walk.withColumn("_t", t)
+    along = vertex(F.col("_e.ax") + (F.col("_e.bx") - F.col("_e.ax")) * F.col("_t"), F.col("_e.ay") + (F.col("_e.by") - F.col("_e.ay")) * F.col("_t"))
+    return points.unionByName(walk.select(*df.columns, along.alias(name)))

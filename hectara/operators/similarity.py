@@ -15,7 +15,7 @@ def cosine(vector: Column, query: list[float]) -> Column:
     norm_q = sum(v * v for v in query) ** 0.5
     dot = F.aggregate(F.zip_with(vector, q, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, v: s + v)
     norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")))
-    return dot / (norm * norm_q)
+    return F.try_divide(dot, norm * norm_q)
 
 
 def vector_of(df: DataFrame, key: str, value, column: str) -> list[float]:

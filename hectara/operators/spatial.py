@@ -1,7 +1,7 @@
 """Distributed nearest-neighbour, within-radius and point-in-polygon joins on grid cells.
 
 Points are bucketed into square cells. The finest ("leaf") cell of a category is the first
-halving of its extent at which no cell holds more than LEAF_POINTS distinct points, so a dense
+halving of its extent at which no cell holds more than a few distinct points, so a dense
 spot gets small cells instead of one overfull bucket. Cell counts of all coarser levels form a
 pyramid: searches walk it from coarse to fine and carry only the cells that can still matter,
 so neither a hot cell nor a far-away query makes all pairs of a group. Results are exact.
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from hectara.functions.scores import half_even
 from hectara.session import cut_lineage
 
-LEAF_POINTS = 64
+LEAF_POINTS = 16
 EXTRA_LEVELS = 8  # halvings allowed below what evenly spread points would need
 START_CELLS_LEVEL = 3  # unbounded searches start from at most 64 cells per category
 BROADCAST_CELLS = 200_000
@@ -52,7 +52,7 @@ class Pyramid:
         return F.broadcast(cells) if self.sizes.get(level, 0) <= BROADCAST_CELLS else cells
 
 
-def build_pyramid(features: DataFrame, x: str, y: str, payload: dict[str, Column], by: str | None = None) -> Pyramid | None:
+def build_pyramid(features: DataFrame, x: str, y: str, payload: dict[str, Column], by: str | None = None, leaf_points: int = LEAF_POINTS) -> Pyramid | None:
     """payload columns are aggregates (count, min, ...) that also combine across cells by the same min/sum."""
     cat = F.col(by) if by else F.lit("all")
     # Copies of one location become a single row before anything is joined.
@@ -66,7 +66,7 @@ def build_pyramid(features: DataFrame, x: str, y: str, payload: dict[str, Column
     if not extent["n"]:
         return None
     span = max(extent["x1"] - extent["x0"], extent["y1"] - extent["y0"], 1e-6) * (1 + 1e-9)
-    deepest = min(24, max(0, math.ceil(math.log(max(extent["n"] / LEAF_POINTS, 1), 4)) + EXTRA_LEVELS))
+    deepest = min(24, max(0, math.ceil(math.log(max(extent["n"] / leaf_points, 1), 4)) + EXTRA_LEVELS))
     fine = span / 2**deepest
     indexed = places.withColumn("ix", F.floor((F.col("fx") - extent["x0"]) / fine)).withColumn("iy", F.floor((F.col("fy") - extent["y0"]) / fine))
     combine = [F.min(k).alias(k) for k in payload]
@@ -89,7 +89,7 @@ def build_pyramid(features: DataFrame, x: str, y: str, payload: dict[str, Column
     sizes: dict[int, int] = {}
     for row in stats:
         sizes[row["level"]] = sizes.get(row["level"], 0) + row["cells"]
-        if row["most"] <= LEAF_POINTS or row["level"] == deepest:
+        if row["most"] <= leaf_points or row["level"] == deepest:
             leaf[row["cat"]] = min(leaf.get(row["cat"], deepest), row["level"])
     pyramid = Pyramid(indexed, cells.drop("spots"), extent["x0"], extent["y0"], span, leaf, sizes)
     shift = F.lit(deepest) - pyramid.leaf_column(F.col("cat"))
@@ -134,11 +134,10 @@ def _dist() -> Column:
 
 def _search_start(p: Pyramid, queries: DataFrame, radius: float | None) -> tuple[int, DataFrame]:
     """Candidate cells to start from: the cells around the query when bounded, else the few coarsest ones."""
-    if radius is None:
-        level = min(START_CELLS_LEVEL, max(p.leaf.values()))
-        level = min(level, min(p.leaf.values()))
+    level = min(START_CELLS_LEVEL if radius is None else p.level_for(radius), min(p.leaf.values()))
+    if radius is None or p.side(level) < radius:
+        level = min(level, START_CELLS_LEVEL)
         return level, queries.join(p.at_level(level), "cat")
-    level = min(p.level_for(radius), min(p.leaf.values()))
     cx, cy = _cell(p, level)
     around = _neighbourhood(p.at_level(level))
     if p.sizes.get(level, 0) * 9 <= BROADCAST_CELLS:
@@ -174,7 +173,7 @@ def nearest(
     ks = k if isinstance(k, dict) else {c: k for c in categories}
     caps = max_distance if isinstance(max_distance, dict) else {c: max_distance for c in categories}
     wanted = features.filter(F.col(by).isin(categories))
-    p = build_pyramid(wanted, "x", "y", {"first_id": F.min(fid)}, by)
+    p = build_pyramid(wanted, "x", "y", {"first_id": F.min(fid)}, by, leaf_points=8 + 4 * max(ks.values()))
     if p is None:
         empty = queries.select(F.col(qid), F.lit("").alias("cat"), F.lit(0).alias("rank"), F.lit(None).cast(features.schema[fid].dataType).alias("fid"), F.lit(0.0).alias("distance"))
         return empty.filter(F.lit(False))
@@ -186,6 +185,8 @@ def nearest(
         F.col(qid).alias("qid"), F.col("x").cast("double").alias("qx"), F.col("y").cast("double").alias("qy"),
         F.explode(F.array(*[F.lit(c) for c in present])).alias("cat"),
     )
+    if extent_small(p):
+        seeds = spread(seeds, "qid")
     need_ids = any(v > 1 for v in ks.values())
     # Spots keep every id they hold when more than one neighbour is asked for.
     if need_ids:
@@ -237,9 +238,15 @@ def nearest(
     return result.select(F.col("qid").alias(qid), "cat", "rank", F.col("first_id").alias("fid"), F.col("d").alias("distance"))
 
 
+def spread(queries: DataFrame, key: str) -> DataFrame:
+    """Hash the narrow query rows by id before a broadcast search. The search then runs on all cores
+    and the aggregation by id that follows needs no second exchange."""
+    return queries.repartition(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def extent_small(p: Pyramid) -> bool:
     """The deepest level has a cell per spot at most, so its size bounds the repeated points."""
-    return max(p.sizes.values()) * 9 * LEAF_POINTS <= 50 * BROADCAST_CELLS
+    return max(p.sizes.values()) * 9 <= 5 * BROADCAST_CELLS
 
 
 def _descend(p: Pyramid, queries: DataFrame, points: DataFrame, bound: float | None, kcol: Column, capcol: Column) -> DataFrame:
@@ -267,7 +274,7 @@ def _descend(p: Pyramid, queries: DataFrame, points: DataFrame, bound: float | N
     last = finished[0]
     for more in finished[1:]:
         last = last.unionByName(more)
-    return last.join(points, ["cat", "cx", "cy"])
+    return last.join(F.broadcast(points) if extent_small(p) else points, ["cat", "cx", "cy"])
 
 
 def within_radius(
@@ -292,6 +299,9 @@ def within_radius(
     )
     extra = list(payload)
     leaf = p.leaf["all"]
+    points = p.points
+    if extent_small(p):
+        seeds, points = spread(seeds, "qid"), F.broadcast(points)
     level, cands = _search_start(p, seeds, radius)
     sums = []
     while level < leaf:
@@ -305,7 +315,7 @@ def within_radius(
             cands = cut_lineage(cands)
     near, far = _box_distances(p, level)
     rim = cands.filter(near <= radius).select("qid", "cat", "qx", "qy", "cx", "cy")
-    pairs = rim.join(p.points, ["cat", "cx", "cy"]).withColumn("d", _dist())
+    pairs = rim.join(points, ["cat", "cx", "cy"]).withColumn("d", _dist())
     pairs = pairs.filter(F.col("d") <= radius if inclusive else F.col("d") < radius)
     sums.append(pairs.select("qid", "n", *extra))
     out = sums[0]
@@ -369,19 +379,29 @@ def _size_level(env: tuple[str, str, str, str]) -> Column:
 ENV_A, ENV_B = ("aminx", "aminy", "amaxx", "amaxy"), ("bminx", "bminy", "bmaxx", "bmaxy")
 
 
-def envelope_pairs(a: DataFrame, b: DataFrame, on: list[str] | None = None) -> DataFrame:
+BROADCAST_SHAPES = 20_000
+
+
+def envelope_pairs(a: DataFrame, b: DataFrame, on: list[str] | None = None, key: str | None = None) -> DataFrame:
     """Pairs whose envelopes meet, once each. a carries aminx.. and b carries bminx.. columns.
 
+    When b is counted to be small it is broadcast, and a is hashed by `key` first, so that the
+    refinement runs on all cores and a later aggregation by key needs no exchange.
+
     Both sides meet at the coarser of their two size levels, where each covers at most four
     cells; the pair counts only in the cell holding the lower left corner of the common box.
     """
+    b = cut_lineage(b.withColumn("blevel", _size_level(ENV_B)))
+    small = b.limit(BROADCAST_SHAPES + 1).count() <= BROADCAST_SHAPES
+    if small and key:
+        a = spread(a, key)
     a = a.withColumn("alevel", _size_level(ENV_A))
-    b = b.withColumn("blevel", _size_level(ENV_B))
-    spread = a.agg(F.min("alevel").alias("lo"), F.max("alevel").alias("hi")).unionAll(b.agg(F.min("blevel"), F.max("blevel"))).collect()
-    spread = [r for r in spread if r["lo"] is not None]
-    top = max((r["hi"] for r in spread), default=0)
+    sizes = a.agg(F.min("alevel").alias("lo"), F.max("alevel").alias("hi")).unionAll(b.agg(F.min("blevel"), F.max("blevel"))).collect()
+    top = max((r["hi"] for r in sizes if r["hi"] is not None), default=0)
     left = _covered(a.withColumn("level", F.explode(F.sequence(F.col("alevel"), F.lit(top)))), ENV_A, "level")
     right = _covered(b.withColumn("level", F.explode(F.sequence(F.col("blevel"), F.lit(top)))), ENV_B, "level")
+    if small:
+        right = F.broadcast(right)
     pairs = left.join(right, ["level", "cx", "cy", *(on or [])]).filter(F.col("level") == F.greatest("alevel", "blevel"))
     side = F.pow(F.lit(2.0), F.col("level"))
     owner = (F.floor(F.greatest("aminx", "bminx") / side) == F.col("cx")) & (F.floor(F.greatest("aminy", "bminy") / side) == F.col("cy"))
@@ -410,7 +430,7 @@ def largest_overlap(items: DataFrame, item_id: str, areas: DataFrame, area_id: s
 
     a = with_envelope(items.select(item_id, *on, "rings"), "rings", ENV_A).withColumn("aedges", signed_edges(F.col("rings"))).drop("rings")
     b = with_envelope(areas.select(F.col(area_id).alias("area_id"), *on, "rings"), "rings", ENV_B).withColumn("bedges", signed_edges(F.col("rings"))).drop("rings")
-    common = envelope_pairs(a, b, on).select(
+    common = envelope_pairs(a, b, on, key=item_id).select(
         item_id, "area_id", overlap_area(F.col("aedges"), F.col("bedges"), F.least("aminy", "bminy")).alias("overlap")
     )
     best = F.max(F.struct(F.col("overlap"), (-F.col("area_id")).alias("neg")))
@@ -422,12 +442,16 @@ def coverage_percent(points: DataFrame, pid: str, polygons: DataFrame, radius: f
 
     For union coverage pass polygons that do not overlap.
     """
-    from hectara.functions.geometry import circle_overlap_area
+    from hectara.functions.geometry import disc_pieces, oriented_edges
 
     discs = disc_envelope(points.select(pid, "x", "y"), "x", "y", radius)
-    shapes = with_envelope(polygons.select("rings"), "rings", ENV_B)
-    covered = envelope_pairs(discs, shapes).select(pid, circle_overlap_area(F.col("rings"), F.col("x"), F.col("y"), radius).alias("covered"))
-    sums = covered.groupBy(pid).agg((F.sum("covered") / (math.pi * radius * radius) * 100).alias("pct"))
+    shapes = with_envelope(polygons.select("rings"), "rings", ENV_B).withColumn("edges", oriented_edges(F.col("rings"))).drop("rings")
+    dx = F.greatest(F.col("bminx") - F.col("x"), F.col("x") - F.col("bmaxx"), F.lit(0.0))
+    dy = F.greatest(F.col("bminy") - F.col("y"), F.col("y") - F.col("bmaxy"), F.lit(0.0))
+    pairs = envelope_pairs(discs, shapes, key=pid).filter(dx * dx + dy * dy < radius * radius).select(pid, "x", "y", "edges")
+    # Signed shares of all edges of all polygons simply add up to the covered area.
+    pieces = disc_pieces(pairs, "x", "y", "edges", radius)
+    sums = pieces.groupBy(pid).agg((F.sum("piece") / (math.pi * radius * radius) * 100).alias("pct"))
     return points.select(pid).join(sums, pid, "left").select(pid, F.coalesce("pct", F.lit(0.0)).alias("pct"))
 
 
@@ -437,7 +461,9 @@ def count_touching(points: DataFrame, pid: str, polygons: DataFrame, radius: flo
 
     discs = disc_envelope(points.select(pid, "x", "y"), "x", "y", radius)
     shapes = with_envelope(polygons.select("rings"), "rings", ENV_B)
-    hits = envelope_pairs(discs, shapes).filter(distance_to_polygon(F.col("rings"), F.col("x"), F.col("y")) <= radius)
+    dx = F.greatest(F.col("bminx") - F.col("x"), F.col("x") - F.col("bmaxx"), F.lit(0.0))
+    dy = F.greatest(F.col("bminy") - F.col("y"), F.col("y") - F.col("bmaxy"), F.lit(0.0))
+    hits = envelope_pairs(discs, shapes, key=pid).filter(dx * dx + dy * dy <= radius * radius).filter(distance_to_polygon(F.col("rings"), F.col("x"), F.col("y")) <= radius)
     return points.select(pid).join(hits.groupBy(pid).agg(F.count(F.lit(1)).alias("n")), pid, "left").select(pid, F.coalesce("n", F.lit(0)).alias("n"))
 
 

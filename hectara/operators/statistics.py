@@ -95,7 +95,7 @@ def building_aggregates(hits: DataFrame, plots: DataFrame) -> DataFrame:
         F.count_if(F.col("kategoria") == "w budowie").alias("under_construction"),
     )
     full = plots.join(main, "plot_id", "left").join(dominant(b, ["plot_id"], "fn", "building_main_function"), "plot_id", "left").join(dominant(b, ["plot_id"], "typ", "building_type"), "plot_id", "left")
-    pct = F.least(F.greatest(F.col("building_area_m2") / F.col("area_m2") * 100, F.lit(0.0)), F.lit(100.0))
+    pct = F.least(F.greatest(F.try_divide("building_area_m2", "area_m2") * 100, F.lit(0.0)), F.lit(100.0))
     zero = {"building_count": 0, "building_area_m2": 0.0, "has_residential": False, "has_industrial": False, "under_construction": 0}
     return full.na.fill(zero).withColumn("building_coverage_pct", F.round(F.coalesce(pct, F.lit(0.0)), 4)).withColumn("is_built", F.col("building_count") > 0)
 
@@ -174,7 +174,7 @@ def exact_median(df: DataFrame, keys: list[str], column: str, name: str = "media
         lead = cut_lineage(vals.join(size, keys).withColumn("skip", F.lit(0).cast("bigint")))
     while most > rows:
         span = lead.groupBy(*keys).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-        b = lead.join(span, keys).withColumn("bucket", F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * MEDIAN_BUCKETS), F.lit(MEDIAN_BUCKETS - 1)))
+        b = lead.join(span, keys).withColumn("bucket", F.least(F.floor(F.coalesce(F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0)) * MEDIAN_BUCKETS), F.lit(MEDIAN_BUCKETS - 1)))
         per = b.groupBy(*keys, "bucket").agg(F.sum("n").alias("bn"), F.first("total").alias("t"), F.first("skip").alias("s"))
         before = F.col("s") + F.sum("bn").over(w.orderBy("bucket")) - F.col("bn")
         low, high = F.floor((F.col("t") - 1) / 2), F.ceil((F.col("t") - 1) / 2)

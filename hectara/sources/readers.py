@@ -50,7 +50,7 @@ def parcel_files(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
 _RING = "struct<LinearRing:struct<posList:string>>"
 _POLYGON = f"struct<exterior:{_RING},interior:array<{_RING}>>"
 _LINK = "struct<_href:string,_title:string>"
-ZONE_SCHEMA = T.StructType.fromDDL(
+ZONE_SCHEMA = (
     "idIIP struct<Identyfikator:struct<lokalnyId:string>>, oznaczenie string, symbol string, "
     f"nazwa {_LINK}, profilPodstawowy array<{_LINK}>, profilDodatkowy array<{_LINK}>, "
     "maksNadziemnaIntensywnoscZabudowy string, maksUdzialPowierzchniZabudowy string, maksWysokoscZabudowy string, "
