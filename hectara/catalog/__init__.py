@@ -20,7 +20,6 @@ SECTIONS = [
 
 
 def load():
-    import os
     for section in SECTIONS:
-        if os.path.exists(os.path.join(os.path.dirname(__file__), section + ".py")): import_module(f"hectara.catalog.{section}")
+        import_module(f"hectara.catalog.{section}")
     return import_module("hectara.catalog.registry")

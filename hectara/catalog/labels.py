@@ -6,6 +6,7 @@ from hectara.catalog.registry import query
 from hectara.catalog.scoring import NEAREST, PER_USER, nearest_edges, per_user
 from hectara.functions import constants as C
 from hectara.functions import labels as L
+from hectara.operators.ranking import top_ranked
 
 
 @query(
@@ -186,8 +187,9 @@ def confidence(t):
           CASE WHEN n > 65 THEN 'Priorytet: cisza' END, CASE WHEN n > 70 THEN 'Priorytet: bliskość natury' END, CASE WHEN len(f) > 0 THEN 'Polubione działki: ' || array_to_string(f, ', ') END, CASE WHEN n % 5 = 0 THEN 'Kontakt zostawiony' END], lambda x: x IS NOT NULL), '|') AS moments FROM x""",
 )
 def key_moments(t):
-    fav = F.when(F.col("action") == "favorite", F.col("parcel_id"))
     n = F.col("n")
-    u = t("feedback").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set(fav)).alias("favs"))
+    liked = t("feedback").filter(F.col("action") == "favorite").select("user_id", "parcel_id").distinct()
+    three = top_ranked(liked, [F.col("parcel_id")], 3, ["user_id"]).groupBy("user_id").agg(F.array_sort(F.collect_list("parcel_id")).alias("favs"))
+    u = t("feedback").groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).join(three, "user_id", "left")
     moments = L.key_moments(n * 7500, F.when(n % 2 == 0, "Oliwa"), n % 3 == 0, F.when(n > 65, 0.8).otherwise(0.5), F.when(n > 70, 0.8).otherwise(0.5), F.col("favs"), n % 5 == 0)
     return u.select("user_id", F.array_join(moments, "|").alias("moments"))

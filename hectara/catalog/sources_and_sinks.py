@@ -20,7 +20,7 @@ def layer_clip(t):
     t("shapes").select("shape_id", "name", F.col("x0").alias("minx"), F.col("y0").alias("miny"), F.col("x1").alias("maxx"), F.col("y1").alias("maxy")).write.parquet(path)
     df = t.spark.read.parquet(path)
     names = df.filter(F.col("name").startswith("red")).select("name").distinct()
-    return R.layer(df, (3000.0, 2000.0, 5000.0, 6000.0), R.CLIP_MARGIN).join(F.broadcast(names), "name", "left_semi").select("shape_id", "name")
+    return R.layer(df, (3000.0, 2000.0, 5000.0, 6000.0), R.CLIP_MARGIN).join(names, "name", "left_semi").select("shape_id", "name")
 
 
 @query(

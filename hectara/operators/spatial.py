@@ -21,6 +21,7 @@ LEAF_POINTS = 16
 EXTRA_LEVELS = 8  # halvings allowed below what evenly spread points would need
 START_CELLS_LEVEL = 3  # unbounded searches start from at most 64 cells per category
 BROADCAST_CELLS = 200_000
+BROADCAST_POINTS = 1_000_000
 
 
 @dataclass
@@ -34,6 +35,7 @@ class Pyramid:
     span: float
     leaf: dict[str, int]  # leaf level per category
     sizes: dict[int, int]  # number of cells per level
+    spots: int  # number of distinct locations over all categories
 
     def side(self, level: int) -> float:
         return self.span / 2**level
@@ -91,7 +93,7 @@ def build_pyramid(features: DataFrame, x: str, y: str, payload: dict[str, Column
         sizes[row["level"]] = sizes.get(row["level"], 0) + row["cells"]
         if row["most"] <= leaf_points or row["level"] == deepest:
             leaf[row["cat"]] = min(leaf.get(row["cat"], deepest), row["level"])
-    pyramid = Pyramid(indexed, cells.drop("spots"), extent["x0"], extent["y0"], span, leaf, sizes)
+    pyramid = Pyramid(indexed, cells.drop("spots"), extent["x0"], extent["y0"], span, leaf, sizes, extent["n"])
     shift = F.lit(deepest) - pyramid.leaf_column(F.col("cat"))
     pyramid.points = (
         indexed.withColumn("shift", shift)
@@ -245,8 +247,8 @@ def spread(queries: DataFrame, key: str) -> DataFrame:
 
 
 def extent_small(p: Pyramid) -> bool:
-    """The deepest level has a cell per spot at most, so its size bounds the repeated points."""
-    return max(p.sizes.values()) * 9 <= 5 * BROADCAST_CELLS
+    """The counted distinct locations bound the points even when each is repeated under nine cells."""
+    return p.spots * 9 <= BROADCAST_POINTS
 
 
 def _descend(p: Pyramid, queries: DataFrame, points: DataFrame, bound: float | None, kcol: Column, capcol: Column) -> DataFrame:
