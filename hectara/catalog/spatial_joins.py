@@ -169,10 +169,9 @@ def coverage(t):
 )
 def counts_within_radius(t):
     s = spots(t)
-    at_most = S.within_radius(s, "id_dzialki", t("buildings"), 500.0).withColumnRenamed("n", "at_most")
-    below = S.within_radius(s, "id_dzialki", t("buildings"), 500.0, inclusive=False).withColumnRenamed("n", "below")
+    counts = S.within_radius(s, "id_dzialki", t("buildings"), 500.0, with_strict=True).withColumnsRenamed({"n": "at_most", "n_strict": "below"})
     touching = S.count_touching(s, "id_dzialki", t("zones"), 500.0).withColumnRenamed("n", "touching")
-    return touching.join(at_most, "id_dzialki", "left").join(below, "id_dzialki", "left").na.fill(0)
+    return touching.join(counts, "id_dzialki", "left").na.fill(0)
 
 
 PAIR2 = "(a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)"

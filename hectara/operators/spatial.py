@@ -286,16 +286,22 @@ def within_radius(
     radius: float,
     first: Column | None = None,
     inclusive: bool = True,
+    with_strict: bool = False,
 ) -> DataFrame:
     """Per query the number of features within radius and, when given, the smallest `first` among them.
 
+    with_strict adds n_strict, the number strictly inside, from the same pass.
+
     Cells wholly inside the circle contribute their totals; only cells on its rim go down to points.
     Queries without a hit have no row.
     """
     payload = {"pickup": F.min(first)} if first is not None else {}
     p = build_pyramid(features, "x", "y", payload)
     if p is None:
-        return queries.select(F.col(qid), F.lit(0).cast("bigint").alias("n")).filter(F.lit(False))
+        none = [F.lit(0).cast("bigint").alias(c) for c in (["n", "n_strict"] if with_strict else ["n"])]
+        if first is not None:
+            none.append(F.lit(None).cast(features.select(first.alias("v")).schema["v"].dataType).alias("first"))
+        return queries.select(qid, *none).filter(F.lit(False))
     seeds = queries.filter(F.col("x").isNotNull() & F.col("y").isNotNull()).select(
         F.col(qid).alias("qid"), F.col("x").cast("double").alias("qx"), F.col("y").cast("double").alias("qy"), F.lit("all").alias("cat")
     )
@@ -310,7 +316,7 @@ def within_radius(
         near, far = _box_distances(p, level)
         cands = cands.withColumn("near", near).withColumn("far", far).filter(F.col("near") <= radius)
         inside = F.col("far") < radius
-        sums.append(cands.filter(inside).select("qid", F.col("cnt").alias("n"), *extra))
+        sums.append(cands.filter(inside).select("qid", F.col("cnt").alias("n"), F.col("cnt").alias("strict"), *extra))
         cands = _children(p, cands.filter(~inside), level, ["near", "far", "cnt", *extra])
         level += 1
         if level % 4 == 0:
@@ -319,11 +325,13 @@ def within_radius(
     rim = cands.filter(near <= radius).select("qid", "cat", "qx", "qy", "cx", "cy")
     pairs = rim.join(points, ["cat", "cx", "cy"]).withColumn("d", _dist())
     pairs = pairs.filter(F.col("d") <= radius if inclusive else F.col("d") < radius)
-    sums.append(pairs.select("qid", "n", *extra))
+    sums.append(pairs.select("qid", "n", F.when(F.col("d") < radius, F.col("n")).otherwise(0).alias("strict"), *extra))
     out = sums[0]
     for more in sums[1:]:
         out = out.unionByName(more)
-    return out.groupBy(F.col("qid").alias(qid)).agg(F.sum("n").alias("n"), *[F.min(k).alias("first") for k in extra])
+    return out.groupBy(F.col("qid").alias(qid)).agg(
+        F.sum("n").alias("n"), *([F.sum("strict").alias("n_strict")] if with_strict else []), *[F.min(k).alias("first") for k in extra]
+    )
 
 
 def polygon_cells(polygons: DataFrame, minx: str, miny: str, maxx: str, maxy: str) -> tuple[DataFrame, list[int]]:

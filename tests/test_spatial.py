@@ -53,6 +53,13 @@ def test_within_radius_is_exact_under_skew(data):
         assert all(got[i][1] == int(np.where(inside[i])[0].min()) for i in got)
 
 
+def test_no_features_at_all(data):
+    queries, feats, _, _ = data
+    empty = feats.filter("fid < 0")
+    assert S.within_radius(queries, "qid", empty, 9.0, first=F.col("fid"), with_strict=True).columns == ["qid", "n", "n_strict", "first"]
+    assert S.nearest(queries, "qid", empty, "fid", ["a"], "kind").count() == 0
+
+
 def test_neighbour_at_the_threshold_is_left_out(spark):
     q = spark.createDataFrame([(1, 0.0, 0.0)], "qid bigint, x double, y double")
     f = spark.createDataFrame([(1, 200.0, 0.0, "a"), (2, 199.0, 0.0, "a")], "fid bigint, x double, y double, kind string")
