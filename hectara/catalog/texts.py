@@ -39,12 +39,6 @@ PLACES = ["Okolice ", "dzielnica ", "w ", "blisko centrum ", "", "M. "]
 ENDS = ["", "a", "i", "u", "ej"]
 
 
-def _clean_sql(e):
-    for p in C.LOCATION_PREFIXES:
-        e = f"trim(CASE WHEN starts_with({e}, '{p}') THEN substr({e}, {len(p) + 1}) ELSE {e} END)"
-    return e
-
-
 def _chain_sql():
     """One subquery per prefix, so the text does not double at every step."""
     src = "SELECT id_dzialki, trim(lower(raw)) AS c FROM r"
@@ -137,10 +131,6 @@ def card_summary(t):
     return t("parcels").select("id_dzialki", F.array_join(T.card_summary(), "|").alias("summary"))
 
 
-def _first(patterns, test="true"):
-    return "coalesce(" + ", ".join(f"(SELECT v FROM (SELECT TRY_CAST(nullif(regexp_extract(c, '{p}', 1), '') AS BIGINT) AS v) WHERE {test})" for p in patterns) + ")"
-
-
 BUDGET_SQL = "TRY_CAST(coalesce(" + ", ".join(f"nullif(regexp_extract(c, '{p}', 1), '')" for p in C.BUDGET_PATTERNS) + ") AS BIGINT)"
 SIZE_SQL = "coalesce(" + ", ".join(f"CASE WHEN TRY_CAST(nullif(regexp_extract(c, '{p}', 1), '') AS BIGINT) BETWEEN 100 AND 10000 THEN TRY_CAST(regexp_extract(c, '{p}', 1) AS BIGINT) END" for p in C.SIZE_PATTERNS) + ")"
 
