@@ -1,7 +1,11 @@
 """Helpers shared by the corpus operators."""
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,11 +32,25 @@ def hash_key(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(joined), 1, 15), 16, 10).cast("long")
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per Spark context, so that their Python workers can import it."""
+    context = spark.sparkContext
+    root = Path(__file__).resolve().parent.parent
+    if any(os.path.basename(f) == "hectara_package.zip" for f in context.listFiles):
+        return
+    packed = os.path.join(tempfile.mkdtemp(prefix="spark-"), "hectara_package.zip")
+    with zipfile.ZipFile(packed, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    context.addPyFile(packed)
+
+
 def map_chunks(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: StructType, rows: int = 512) -> DataFrame:
     """Rows through a Python function in chunks of a bounded number of rows, so that lists of long texts stay small.
 
     fn gets and returns columns as lists. Columns of `schema` that fn leaves out are passed through from the input.
     """
+    ship_package(df.sparkSession)
     names, kinds = df.columns, to_arrow_schema(schema)
 
     def run(batches):

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hectara.llm import decontamination, mixing, quality_rules, sharding, url_rules
+from hectara.llm import decontamination, mixing, near_duplicates, quality_rules, sharding, url_rules
 from hectara.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,6 +103,27 @@ def op7(spark, sf_dir):
     return sharding.assign_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), SHARD_BYTES).drop("text")
 
 
+NEAR_SQL = r"""
+with recursive d as materialized (
+  select row_number() over () r, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) w from documents),
+s as materialized (
+  select distinct r, array_to_string(w[i:i + 3], ' ') g from (select r, w, unnest(generate_series(1, greatest(1, len(w) - 3))) i from d where len(w) > 0)),
+n as materialized (select r, count(*) n from s group by r),
+links as materialized (
+  select p.a, p.b from (select x.r a, y.r b, count(*) c from s x join s y on x.g = y.g and x.r < y.r group by 1, 2) p
+  join n na on na.r = p.a join n nb on nb.r = p.b where 100 * c >= 80 * (na.n + nb.n - c)),
+both_ways as materialized (select a, b from links union all select b, a from links),
+reach(a, b) as (select r, r from d union select reach.a, e.b from reach join both_ways e on reach.b = e.a),
+least_id as (select reach.a r, min(d.doc_id) c from reach join d on d.r = reach.b group by 1)
+select doc_id, coalesce(n, 0)::bigint n_shingles, c component_id, c = doc_id kept from d left join n using (r) join least_id using (r)
+"""
+
+
+@query("op8_near_duplicates", NEAR_SQL)
+def op8(spark, sf_dir):
+    return near_duplicates.duplicate_groups(table(spark, sf_dir, "documents").select("doc_id", "text"), k=4, percent=80)
+
+
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 URL_SQL = r"""
 with p as (
