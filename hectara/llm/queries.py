@@ -1,13 +1,15 @@
 """One query for each operator over its whole table, and the SQL that checks it where SQL can."""
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from hectara.llm import decontamination, mixing, near_duplicates, quality_rules, sharding, url_rules
+from hectara.llm import decontamination, mixing, near_duplicates, quality_rules, records, sharding, token_counts, url_rules
 from hectara.llm.common import table
+from hectara.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -61,6 +63,20 @@ def op2(spark, sf_dir):
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+@query("op3_token_counts")
+def op3(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return token_counts.with_token_counts(docs, public_tokenizers.path("word_bpe_49k.json"), limit=2048, keep=["doc_id"])
+
+
+@query("op4_binary_records")
+def op4(spark, sf_dir):
+    path = f"{shared_dir(spark).rstrip('/')}/records-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    records.write_records(docs, path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return records.digest_records(spark, path)
+
+
 LEAK_SQL = r"""
 with d as (
   select row_number() over () r, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) w from documents),
