@@ -30,7 +30,7 @@ from pyspark.sql.types import IntegerType, LongType, StringType, StructField, St
 from hectara.llm.common import ship_package
 
 UNITS_KEPT = 700_000
-HEAD = struct.Struct("<Bq")
+HEAD, HEAD_BYTES = "<Bq", 9
 BLOCK = 256  # two-byte steps of a checksum block
 #: Fixed values of the record format: reflected polynomial of CRC-32C and the added mask.
 POLYNOMIAL = 0x82F63B78
@@ -232,7 +232,7 @@ def write_records(docs: DataFrame, path: str, tokenizer_path: str, end_id: int |
             for at in range(0, batch.num_rows, 256):
                 piece = batch.slice(at, 256)
                 ids, encoded = piece.column(0).to_pylist(), code.encode(piece.column(1).to_pylist())
-                payloads = [HEAD.pack((i is not None) | wide, i or 0) + e + tail for i, e in zip(ids, encoded)]
+                payloads = [struct.pack(HEAD, (i is not None) | wide, i or 0) + e + tail for i, e in zip(ids, encoded)]
                 records = framed(payloads)
                 if out is None:
                     store.create_dir(root, recursive=True)
@@ -241,7 +241,7 @@ def write_records(docs: DataFrame, path: str, tokenizer_path: str, end_id: int |
                 sizes = [len(r) for r in records]
                 offsets = (np.cumsum([offset, *sizes[:-1]])).tolist()
                 offset += sum(sizes)
-                n_ids = [(len(p) - HEAD.size) // code.kind.itemsize for p in payloads]
+                n_ids = [(len(p) - HEAD_BYTES) // code.kind.itemsize for p in payloads]
                 columns = [[part] * len(ids), [name] * len(ids), ids, offsets, sizes, n_ids]
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t.type) for c, t in zip(columns, kinds)], schema=kinds)
         if out is not None:
@@ -272,8 +272,8 @@ def unframe(data: memoryview, name: str, offset: int) -> list[memoryview]:
 
 
 def ids_of(payload: memoryview) -> tuple[int | None, np.ndarray]:
-    flags, doc_id = HEAD.unpack_from(payload)
-    return doc_id if flags & 1 else None, np.frombuffer(payload, "<u4" if flags & 2 else "<u2", offset=HEAD.size)
+    flags, doc_id = struct.unpack_from(HEAD, payload)
+    return doc_id if flags & 1 else None, np.frombuffer(payload, "<u4" if flags & 2 else "<u2", offset=HEAD_BYTES)
 
 
 def digest_records(spark: SparkSession, path: str) -> DataFrame:
