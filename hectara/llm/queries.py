@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hectara.llm import decontamination, mixing, near_duplicates, quality_rules, records, sharding, token_counts, url_rules
+from hectara.llm import classifier, decontamination, mixing, near_duplicates, pseudonyms, quality_rules, records, sharding, token_counts, url_rules
 from hectara.llm.common import table
 from hectara.session import shared_dir
 
@@ -103,6 +103,11 @@ def op5(spark, sf_dir):
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+@query("op6_pseudonyms")
+def op6(spark, sf_dir):
+    return pseudonyms.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key="corpus-release-1")
+
+
 SHARD_BYTES = 64 << 20
 SHARD_SQL = f"""
 with d as (
@@ -140,6 +145,11 @@ def op8(spark, sf_dir):
     return near_duplicates.duplicate_groups(table(spark, sf_dir, "documents").select("doc_id", "text"), k=4, percent=80)
 
 
+@query("op9_quality_classifier")
+def op9(spark, sf_dir):
+    return classifier.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+
+
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 URL_SQL = r"""
 with p as (
