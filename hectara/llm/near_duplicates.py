@@ -86,7 +86,7 @@ def band_keys(sketch: np.ndarray) -> np.ndarray:
 
 
 SKETCH = StructType([
-    StructField("doc_id", LongType()), StructField("n_shingles", LongType()), StructField("cls", LongType()),
+    StructField("doc_id", LongType()), StructField("text_key", LongType()), StructField("n_shingles", LongType()), StructField("cls", LongType()),
     StructField("sketch", BinaryType()), StructField("bands", ArrayType(LongType())),
 ])
 
@@ -110,7 +110,7 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
             "bands": [None if r is None else band_keys(r).tolist() for r in drawn],
         }
 
-    return map_chunks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, SKETCH)
+    return map_chunks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key")), run, SKETCH)
 
 
 def likely_similarity(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
@@ -249,7 +249,7 @@ def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def duplicate_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable) and kept of each row of docs (doc_id, text)."""
+    """doc_id, n_shingles, component_id (smallest doc_id reachable), kept and text_key (a hash) of each row of docs (doc_id, text)."""
     rows = cut_lineage(sketches(docs, k))
     classes = cut_lineage(
         rows.filter("cls is not null and doc_id is not null").groupBy("cls")
@@ -261,10 +261,15 @@ def duplicate_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     named = placed.join(smallest, "comp").select("cls", "component_id")
     found = rows.drop("sketch", "bands").join(named, "cls", "left")
     own = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id")).cast("long")
-    return found.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
+    return found.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"), "text_key")
 
 
 def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The columns of docs; of each group the rows of its smallest doc_id stay, one row of those that repeat it with one text."""
-    gone = sized_broadcast(duplicate_groups(docs, k, percent).filter("not kept").select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti")
+    """The columns of docs without the documents of a group that have not its smallest doc_id.
+
+    Rows that repeat both doc_id and text are one document and stay or go together.
+    """
+    found = duplicate_groups(docs, k, percent)
+    gone = sized_broadcast(found.filter("not kept").select("doc_id", "text_key").distinct())
+    keyed = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_key": F.xxhash64("text")})
+    return keyed.join(gone, (F.col("_id") == gone["doc_id"]) & (F.col("_key") == gone["text_key"]), "left_anti").drop("_id", "_key")

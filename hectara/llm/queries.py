@@ -142,7 +142,7 @@ select doc_id, coalesce(n, 0)::bigint n_shingles, c component_id, c = doc_id kep
 
 @query("op8_near_duplicates", NEAR_SQL)
 def op8(spark, sf_dir):
-    return near_duplicates.duplicate_groups(table(spark, sf_dir, "documents").select("doc_id", "text"), k=4, percent=80)
+    return near_duplicates.duplicate_groups(table(spark, sf_dir, "documents").select("doc_id", "text"), k=4, percent=80).drop("text_key")
 
 
 @query("op9_quality_classifier")
