@@ -32,6 +32,16 @@ def hash_key(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(joined), 1, 15), 16, 10).cast("long")
 
 
+def packed(docs: DataFrame, *beside: Column | str) -> DataFrame:
+    """All columns of docs as the struct _row, out of the way of other names, and the columns `beside` it."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *beside)
+
+
+def unpacked(docs: DataFrame, **changed: Column) -> list[Column]:
+    """The columns of docs out of _row; those in `changed` by their new values."""
+    return [changed.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns]
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors once per Spark context, so that their Python workers can import it."""
     context = spark.sparkContext

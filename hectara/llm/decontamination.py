@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 
-from hectara.llm.common import map_chunks, with_fields
+from hectara.llm.common import map_chunks, packed, unpacked, with_fields
 
 #: Every byte that is not of a word becomes a space, A-Z become a-z.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -151,14 +151,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, remove: st
     """
     if remove not in ("documents", "spans"):
         raise ValueError("remove is documents or spans")
-    names = docs.columns
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), "text")
+    row = packed(docs, "text")
     if remove == "documents":
         clean = find_items(row, benchmark, n, keep_text=False).filter("not contaminated")
-        return clean.select(*[F.col(f"_row.`{c}`").alias(c) for c in names])
+        return clean.select(*unpacked(docs))
     found = find_items(row, benchmark, n)
-    cleaned = map_chunks(found.select("_row", "text", "hit_places"), lambda c: {"text": [without_words(t, p) for t, p in zip(c["text"], c["hit_places"])]}, found.select("_row", "text", "hit_places").schema)
-    fields = {c: F.col(f"_row.`{c}`") for c in names} | {"text": F.col("text")}
-    if "n_chars" in fields:
-        fields["n_chars"] = F.when(F.size("hit_places") > 0, F.char_length("text")).otherwise(fields["n_chars"]).cast(docs.schema["n_chars"].dataType)
-    return cleaned.select(*[v.alias(c) for c, v in fields.items()])
+    found = found.select("_row", "text", "hit_places")
+    cleaned = map_chunks(found, lambda c: {"text": [without_words(t, p) for t, p in zip(c["text"], c["hit_places"])]}, found.schema)
+    changed = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.size("hit_places") > 0, F.char_length("text")).otherwise(F.col("_row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return cleaned.select(*unpacked(docs, **changed))

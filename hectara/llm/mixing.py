@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hectara.llm.common import hash_key, word_count
+from hectara.llm.common import hash_key, packed, unpacked, word_count
 from hectara.session import cut_lineage, sized_broadcast
 
 KEY_BITS = 60
@@ -122,17 +122,14 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[in
     n_chars, where docs have it, follows the text. Texts stay where they are: only sizes and keys are shuffled.
     """
     plan = sized_broadcast(cuts(cut_lineage(sized(docs)), share, cap, weights))
-    names = docs.columns
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row")).select(
-        "_row", F.col("_row.doc_id").alias("doc_id"), source_key(F.col("_row.source")).alias("_source"),
-        word_count(F.col("_row.text")).alias("size"), hash_key(F.col("_row.doc_id"), F.col("_row.text")).alias("_key"),
-    )
+    text = F.col("text")
+    row = packed(docs, "doc_id", source_key(F.col("source")).alias("_source"), word_count(text).alias("size"), hash_key(F.col("doc_id"), text).alias("_key"))
     taken = row.join(plan, "_source").withColumn("_taken", taken_words())
     copies = F.ceil(F.col("_taken") / F.col("size")).cast("int")
     each = taken.filter("_taken > 0").select("_row", "size", "_taken", F.explode(F.sequence(F.lit(1), copies)).alias("_copy"))
     left = F.least(F.col("size"), F.col("_taken") - (F.col("_copy") - 1) * F.col("size"))
     text = F.when(left < F.col("size"), first_words(F.col("_row.text"), left)).otherwise(F.col("_row.text"))
-    fields = {c: F.col(f"_row.`{c}`") for c in names} | {"text": text}
-    if "n_chars" in fields:
-        fields["n_chars"] = F.when(left < F.col("size"), F.char_length(text)).otherwise(fields["n_chars"]).cast(docs.schema["n_chars"].dataType)
-    return each.select(*[v.alias(c) for c, v in fields.items()])
+    changed = {"text": text}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(left < F.col("size"), F.char_length(text)).otherwise(F.col("_row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return each.select(*unpacked(docs, **changed))

@@ -8,7 +8,7 @@ maximum likelihood from the registers that are larger, smaller and equal and fro
 is confirmed on the full sets.
 
 Documents of one set are one class, so copies never meet in pairs. In a bucket all classes are first compared with one
-leader. What is linked then is one component; only pairs between different components are compared further, those in
+leader, that with the most neighbours. What is linked then is one component; only pairs between different components are compared further, those in
 the largest component of a bucket never with each other. Buckets that still hold many components are split by a
 second band. No cap is set on candidates.
 
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StructField, StructType
 
-from hectara.llm.common import map_chunks
+from hectara.llm.common import map_chunks, packed, unpacked
 from hectara.llm.components import components
 from hectara.session import cut_lineage, sized_broadcast
 
@@ -87,7 +87,7 @@ def band_keys(sketch: np.ndarray) -> np.ndarray:
 
 SKETCH = StructType([
     StructField("doc_id", LongType()), StructField("text_key", LongType()), StructField("n_shingles", LongType()), StructField("cls", LongType()),
-    StructField("sketch", BinaryType()), StructField("bands", ArrayType(LongType())),
+    StructField("sketch", BinaryType()),
 ])
 
 
@@ -99,7 +99,7 @@ def class_of(hashes: np.ndarray) -> int | None:
 
 
 def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, cls (the set), sketch and bands of each document."""
+    """doc_id, text_key, n_shingles, cls (the set) and sketch of each document."""
 
     def run(chunk):
         sets = [shingle_set(t, k) for t in chunk["text"]]
@@ -107,7 +107,6 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
         return {
             "n_shingles": [len(s) for s in sets], "cls": [class_of(s) for s in sets],
             "sketch": [None if r is None else r.tobytes() for r in drawn],
-            "bands": [None if r is None else band_keys(r).tolist() for r in drawn],
         }
 
     return map_chunks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key")), run, SKETCH)
@@ -184,12 +183,32 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, per
     return map_chunks(sides, compare, out, 128).filter(100 * F.col("common") >= percent * F.col("united")).select("a", "b")
 
 
+def band_entries(classes: DataFrame) -> DataFrame:
+    """cls, n and key of every band of every class."""
+    out = StructType([StructField("cls", LongType()), StructField("n", LongType()), StructField("keys", ArrayType(LongType()))])
+
+    def run(chunk):
+        return {"keys": [band_keys(np.frombuffer(s, np.uint16)).tolist() for s in chunk["sketch"]]}
+
+    return map_chunks(classes.select("cls", "n", "sketch"), run, out).select("cls", "n", F.explode("keys").alias("key"))
+
+
 def buckets_of(entries: DataFrame) -> DataFrame:
-    """key, cls, n of the entries whose key holds more than one class, and the key's leader (its smallest class)."""
-    shared = entries.groupBy("key").agg(F.count("*").alias("many"), F.min("cls").alias("leader")).filter("many > 1")
+    """key, cls, n and the key's number of classes, for keys that hold more than one class."""
+    shared = entries.groupBy("key").agg(F.count("*").alias("many")).filter("many > 1")
     return entries.join(shared, "key")
 
 
+def with_leaders(members: DataFrame) -> DataFrame:
+    """Adds weight, the sizes of all buckets of a class, and of each key its leader: the heaviest class and its weight.
+
+    The text that a group of near copies was made from shares the most bands with the others, so it leads and most link to it.
+    """
+    weighed = members.join(members.groupBy("cls").agg(F.sum("many").alias("weight")), "cls")
+    leaders = weighed.groupBy("key").agg(F.max(F.struct("weight", "cls")).alias("lead"))
+    return weighed.join(leaders, "key")
+
+
 def with_component(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """Adds comp: the component of cls so far, itself where it has no link yet."""
     return rows.join(labels.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
@@ -210,35 +229,36 @@ def cross_pairs(members: DataFrame, percent: int) -> DataFrame:
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def split_buckets(members: DataFrame, classes: DataFrame) -> DataFrame:
+def split_buckets(members: DataFrame, entries: DataFrame) -> DataFrame:
     """The same members under keys made of two bands, so that classes meet only if they share two."""
-    other = classes.select("cls", F.explode("bands").alias("second"))
-    keyed = members.join(other, "cls").filter("second != key")
+    keyed = members.join(entries.select("cls", F.col("key").alias("second")), "cls").filter("second != key")
     pair = F.xxhash64(F.least("key", "second"), F.greatest("key", "second"))
     rows = keyed.select(pair.alias("key"), "cls", "n", "comp").distinct()
-    shared = rows.groupBy("key").agg(F.count("*").alias("many")).filter("many > 1").select("key")
-    return rows.join(shared, "key")
+    mixed = rows.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least < most").select("key")
+    return rows.join(mixed, "key")
 
 
 def link_classes(classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Components of classes as (node, component), for nodes with a link."""
-    entries = classes.select("cls", "n", F.explode("bands").alias("key"))
-    members = cut_lineage(buckets_of(entries))
-    followers = members.filter("cls != leader")
+    entries = band_entries(classes)
+    members = cut_lineage(with_leaders(cut_lineage(buckets_of(entries))))
+    followers = members.filter("cls != lead.cls").select("cls", "lead")
     # One leader for each class first: this joins most of a group of near copies with one comparison a class.
-    first = followers.groupBy("cls").agg(F.min("leader").alias("a")).select("a", F.col("cls").alias("b"))
-    links = confirmed(first, classes, docs, k, percent)
-    labels = components(cut_lineage(links))
-    met = with_component(followers.select("leader", "cls", "n"), labels)
+    first = followers.groupBy("cls").agg(F.max("lead").alias("lead")).select(F.col("lead.cls").alias("a"), F.col("cls").alias("b"))
+    labels = components(cut_lineage(confirmed(first, classes, docs, k, percent)))
+    met = with_component(followers.select(F.col("lead.cls").alias("leader"), "cls").distinct(), labels)
     led = met.join(labels.select(F.col("node").alias("leader"), F.col("component").alias("led")), "leader", "left")
-    second = led.filter(F.coalesce("led", "leader") != F.col("comp")).select(F.col("leader").alias("a"), F.col("cls").alias("b")).distinct()
+    second = led.filter(F.coalesce("led", "leader") != F.col("comp")).select(F.col("leader").alias("a"), F.col("cls").alias("b"))
     labels = joined(labels, confirmed(second, classes, docs, k, percent))
     placed = cut_lineage(with_component(members.select("key", "cls", "n"), labels))
-    counts = placed.groupBy("key").agg(F.count("*").alias("many"), F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least < most")
-    mixed = placed.join(counts.select("key", "many"), "key")
-    small = mixed.filter(F.col("many") <= SPLIT_OVER).drop("many")
-    large = split_buckets(mixed.filter(F.col("many") > SPLIT_OVER).drop("many"), classes)
-    third = cross_pairs(small, percent).unionByName(cross_pairs(cut_lineage(large), percent)).distinct()
+    parts = placed.groupBy("key", "comp").agg(F.count("*").alias("many"))
+    outside = parts.groupBy("key").agg((F.sum("many") - F.max("many")).alias("outside")).filter("outside > 0")
+    mixed = cut_lineage(placed.join(outside, "key"))
+    small = mixed.filter(F.col("outside") <= SPLIT_OVER).drop("outside")
+    large = mixed.filter(F.col("outside") > SPLIT_OVER).drop("outside")
+    third = cross_pairs(small, percent)
+    if not large.isEmpty():
+        third = third.unionByName(cross_pairs(cut_lineage(split_buckets(large, entries)), percent)).distinct()
     return joined(labels, confirmed(third, classes, docs, k, percent))
 
 
@@ -253,7 +273,7 @@ def duplicate_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     rows = cut_lineage(sketches(docs, k))
     classes = cut_lineage(
         rows.filter("cls is not null and doc_id is not null").groupBy("cls")
-        .agg(F.min("doc_id").alias("first_doc"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
+        .agg(F.min("doc_id").alias("first_doc"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     )
     labels = link_classes(classes, docs.filter("doc_id is not null"), k, percent)
     placed = cut_lineage(with_component(classes.select("cls", "first_doc"), labels))
@@ -271,5 +291,5 @@ def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """
     found = duplicate_groups(docs, k, percent)
     gone = sized_broadcast(found.filter("not kept").select("doc_id", "text_key").distinct())
-    keyed = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_key": F.xxhash64("text")})
-    return keyed.join(gone, (F.col("_id") == gone["doc_id"]) & (F.col("_key") == gone["text_key"]), "left_anti").drop("_id", "_key")
+    keyed = packed(docs, F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"))
+    return keyed.join(gone, ["doc_id", "text_key"], "left_anti").select(*unpacked(docs))

@@ -17,6 +17,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hectara.llm.common import packed, unpacked
+
 ROUNDS = 8
 WALKS = 24
 FIRST_DAY, DAYS, DAYS_LEFT, DAYS_RIGHT = "1900-01-01", 73049, 17, 4297  # 17 * 4297 days are exactly two centuries
@@ -241,13 +243,11 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     found = F.regexp_extract_all(text, F.lit(FOUND), F.lit(0))
     between = F.split(text, FOUND, -1)
     woven = F.array_join(F.flatten(F.zip_with(between, F.concat(F.col("_names"), F.array(F.lit(""))), lambda b, n: F.array(b, n))), "")
-    some = text.rlike(r"[0-9@]")
-    kept = [f"`{c}`" for c in docs.columns if c != "n_pseudonyms"]
-    worked = docs.select(*kept).withColumns({
-        "_found": F.when(some, found).otherwise(F.array().cast("array<string>")),
-    }).withColumn("_names", F.transform("_found", lambda v: pseudonym(v, key)))
+    held = F.when(text.rlike(r"[0-9@]"), found).otherwise(F.array().cast("array<string>"))
+    worked = packed(docs, "text", held.alias("_found")).withColumn("_names", F.transform("_found", lambda v: pseudonym(v, key)))
     changed = F.size(F.filter(F.arrays_zip("_found", "_names"), lambda p: p["_found"] != p["_names"]))
-    return (
-        worked.withColumn("n_pseudonyms", F.greatest(changed, F.lit(0)).cast("long"))
-        .withColumn("text", F.when(F.size("_names") > 0, woven).otherwise(text)).drop("_found", "_names")
+    rest = docs.select(*[f"`{c}`" for c in docs.columns if c != "n_pseudonyms"])
+    return worked.select(
+        *unpacked(rest, text=F.when(F.size("_names") > 0, woven).otherwise(text)),
+        F.greatest(changed, F.lit(0)).cast("long").alias("n_pseudonyms"),
     )

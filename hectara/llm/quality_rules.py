@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from hectara.llm.common import map_chunks, with_fields
+from hectara.llm.common import map_chunks, packed, unpacked, with_fields
 from hectara.session import cut_lineage, sized_broadcast
 
 BLANKS = " \t\n\x0b\x0c\r"
@@ -176,6 +176,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, risk: float = 0.02, level: flo
     """The documents that the rules keep, with their own columns; the verdict is taken beside the text, which is never shuffled."""
     measured = cut_lineage(with_measures(docs.select("doc_id", "lang", "text")).drop("text"))
     cutoffs = learn_cutoffs(labelled_measures(measured, labels), risk, level)
-    names = docs.columns
-    row = with_measures(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), "lang", "text")).drop("text")
-    return decide(row, cutoffs).filter("kept").select(*[F.col(f"_row.`{c}`").alias(c) for c in names])
+    row = with_measures(packed(docs, "lang", "text")).drop("text")
+    return decide(row, cutoffs).filter("kept").select(*unpacked(docs))

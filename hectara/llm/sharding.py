@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hectara.llm.common import hash_key
+from hectara.llm.common import hash_key, packed
 from hectara.session import cut_lineage, sized_broadcast
 
 BITS = 60
@@ -67,17 +67,16 @@ def assign_shards(docs: DataFrame, limit_bytes: int = 64 << 20) -> DataFrame:
     rows = cut_lineage(docs.select(key.alias("_hash"), text_bytes(F.col("text")).alias("n_bytes")))
     entries, depth = directory(rows, limit_bytes)
     entries = sized_broadcast(entries)
-    kept = [c for c in docs.columns if c.lower() not in added]
     placed = (
-        docs.withColumns({"_hash": key, "_bytes": text_bytes(F.col("text"))}).select(*[f"`{c}`" for c in kept], "_hash", F.col("_bytes").alias("n_bytes"))
+        packed(docs, key.alias("_hash"), text_bytes(F.col("text")).alias("n_bytes"))
         .withColumn("_prefix", F.shiftright("_hash", BITS - depth)).join(entries, "_prefix")
     )
     overflow = (F.col("shard_bytes") > limit_bytes) & (F.col("shard_rows") > 1)
-    fits = placed.filter(~overflow).withColumn("oversized", F.col("shard_bytes") > limit_bytes)
-    columns = [f"`{c}`" for c in kept] + added
+    shown = [F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c.lower() not in added]
+    fits = placed.filter(~overflow).withColumn("oversized", F.col("shard_bytes") > limit_bytes).select(*shown, *added)
     if entries.filter(overflow).isEmpty():
-        return fits.select(*columns)
-    return fits.select(*columns).unionByName(overflow_pages(placed.filter(overflow), limit_bytes).select(*columns))
+        return fits
+    return fits.unionByName(overflow_pages(placed.filter(overflow), limit_bytes).select(*shown, *added))
 
 
 def overflow_pages(rows: DataFrame, limit_bytes: int) -> DataFrame:
