@@ -9,10 +9,9 @@ is confirmed on the full sets.
 
 Documents of one set are one class, so copies never meet in pairs. In a bucket all classes are first compared with one
 leader, that with the most neighbours. What is linked then is one component; only pairs between different components are compared further, those in
-the largest component of a bucket never with each other. Buckets that still hold many components are split by a
-second band. No cap is set on candidates.
-
-A pair at the threshold shares no band with a chance below 1e-6, no two bands (which split buckets ask for) below 1e-5.
+the largest component of a bucket never with each other. Where a bucket leaves many such pairs, its full sets meet in
+blocks of bounded size that give out only links. No cap is set on candidates. A pair at the threshold shares no band with
+a chance of 5e-9.
 
 Defined results: a null or wordless text has an empty set, is linked with nothing and stays; a row without doc_id is linked
 with nothing and stays; rows that repeat a doc_id belong to the component of their own text each; ties go to the smallest doc_id.
@@ -20,6 +19,7 @@ with nothing and stays; rows that repeat a doc_id belong to the component of the
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,8 +33,9 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 BANDS, BAND_ROWS = 48, 5
 M = BANDS * BAND_ROWS
 B, A, Q = 1.001, 20.0, (1 << 16) - 2
-SPLIT_OVER = 256
-MARGIN = 0.2  # six standard errors of the estimate at the threshold and more: sqrt(0.8 * 0.2 / M) is 0.026
+PAIRED_BELOW = 1 << 11  # possible pairs in a bucket from which its sets meet in blocks
+BLOCK = 256
+MARGIN = 0.16  # six standard errors of the estimate at the threshold: sqrt(0.8 * 0.2 / M) is 0.026
 WORD_CACHE = 1_000_000
 
 _draw = np.random.default_rng(20)
@@ -154,10 +155,8 @@ def estimated(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFra
     return map_chunks(sides, run, out).filter(F.col("estimate") >= threshold - MARGIN).select("a", "b")
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs of classes whose full sets have 100 * intersection >= percent * union."""
-    likely = cut_lineage(estimated(pairs, classes, percent / 100))
-    wanted = likely.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+def full_sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """cls and members, the sorted shingle hashes, of the wanted classes, from the whole text of one document of each."""
     chosen = sized_broadcast(classes.join(wanted, "cls", "left_semi").select(F.col("first_doc").alias("doc_id"), F.col("cls").alias("wanted")))
     full = StructType([StructField("wanted", LongType()), StructField("cls", LongType()), StructField("members", BinaryType())])
 
@@ -166,7 +165,13 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, per
         return {"cls": [class_of(s) for s in found], "members": [s.tobytes() for s in found]}
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id").select("wanted", "text")
-    members = cut_lineage(map_chunks(texts, sets, full, 128).filter("cls = wanted").drop("wanted").dropDuplicates(["cls"]))
+    return cut_lineage(map_chunks(texts, sets, full, 128).filter("cls = wanted").drop("wanted").dropDuplicates(["cls"]))
+
+
+def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs of classes whose full sets have 100 * intersection >= percent * union."""
+    likely = cut_lineage(estimated(pairs, classes, percent / 100))
+    members = full_sets(likely.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), classes, docs, k)
     sides = likely
     for side in ("a", "b"):
         sides = sides.join(members.select(F.col("cls").alias(side), F.col("members").alias(f"m_{side}")), side)
@@ -183,6 +188,56 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, per
     return map_chunks(sides, compare, out, 128).filter(100 * F.col("common") >= percent * F.col("united")).select("a", "b")
 
 
+def common_counts(left: list[bytes], right: list[bytes]) -> np.ndarray:
+    """Sizes of the intersections of each left with each right set: a product of 0/1 matrices, some shingles at a time."""
+    sides = [[np.frombuffer(m, np.uint64) for m in side] for side in (left, right)]
+    shared = np.intersect1d(*[np.unique(np.concatenate(side)) for side in sides], assume_unique=True)
+    total = np.zeros((len(left), len(right)), np.float32)
+    cells = []
+    for side in sides:
+        flat, owner = np.concatenate(side), np.repeat(np.arange(len(side)), [len(m) for m in side])
+        place = np.minimum(np.searchsorted(shared, flat), max(0, len(shared) - 1))
+        held = shared[place] == flat if len(shared) else np.zeros(len(flat), bool)
+        cells.append((owner[held], place[held]))
+    for at in range(0, len(shared), 4096):
+        parts = []
+        for (owner, place), side in zip(cells, sides):
+            here = (place >= at) & (place < at + 4096)
+            part = np.zeros((len(side), min(4096, len(shared) - at)), np.float32)
+            part[owner[here], place[here] - at] = 1
+            parts.append(part)
+        total += parts[0] @ parts[1].T
+    return total.astype(np.int64)
+
+
+def block_links(members: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The links in large mixed buckets: sets meet in blocks of bounded size, and only links leave a block.
+
+    members: key, cls, comp, largest, many and outside. The classes of the largest component are on one side only.
+    """
+    sets = full_sets(members.select("cls").distinct(), classes, docs, k)
+    rows = members.join(sets, "cls").withColumns({
+        "lefts": F.ceil(F.col("outside") / BLOCK).cast("int"), "rights": F.ceil(F.col("many") / BLOCK).cast("int"),
+    })
+    columns = ["key", "left", "right", "cls", "comp", "members"]
+    one = rows.filter("comp != largest").withColumn("left", F.pmod(F.xxhash64("cls"), "lefts").cast("int"))
+    one = one.withColumn("right", F.explode(F.sequence(F.lit(0), F.col("rights") - 1))).select(columns)
+    other = rows.withColumn("right", F.pmod(F.xxhash64("cls"), "rights").cast("int"))
+    other = other.withColumn("left", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1))).select(columns).toDF(*[f"{c}_y" for c in columns])
+
+    def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if x.empty or y.empty:
+            return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
+        common = common_counts(x["members"].tolist(), y["members_y"].tolist())
+        united = x["members"].map(len).to_numpy()[:, None] // 8 + y["members_y"].map(len).to_numpy()[None, :] // 8 - common
+        linked = (100 * common >= percent * united) & (x["comp"].to_numpy()[:, None] != y["comp_y"].to_numpy()[None, :])
+        i, j = np.nonzero(linked)
+        return pd.DataFrame({"a": x["cls"].to_numpy()[i], "b": y["cls_y"].to_numpy()[j]})
+
+    block = ["key", "left", "right"]
+    return one.groupBy(block).cogroup(other.groupBy([f"{c}_y" for c in block])).applyInPandas(meet, "a long, b long")
+
+
 def band_entries(classes: DataFrame) -> DataFrame:
     """cls, n and key of every band of every class."""
     out = StructType([StructField("cls", LongType()), StructField("n", LongType()), StructField("keys", ArrayType(LongType()))])
@@ -217,31 +272,18 @@ def with_component(rows: DataFrame, labels: DataFrame) -> DataFrame:
 def cross_pairs(members: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of classes in one bucket but in different components, whose sizes allow the threshold.
 
-    members: key, cls, n, comp. The classes of a bucket's largest component are not paired with each other.
+    members: key, cls, n, comp and largest. The classes of a bucket's largest component are not paired with each other.
     """
-    sizes = members.groupBy("key", "comp").agg(F.count("*").alias("many"))
-    mixed = sizes.groupBy("key").agg(F.max_by("comp", F.struct("many", "comp")).alias("largest"), F.count("*").alias("parts")).filter("parts > 1")
-    rows = members.join(mixed.select("key", "largest"), "key")
-    left = rows.filter("comp != largest").select("key", F.col("cls").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"))
-    right = rows.select("key", F.col("cls").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"), "largest")
+    left = members.filter("comp != largest").select("key", F.col("cls").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"))
+    right = members.select("key", F.col("cls").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"), "largest")
     fits = (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")) & (F.col("cx") != F.col("cy"))
     met = left.join(right, "key").filter(fits & ((F.col("cy") == F.col("largest")) | (F.col("x") < F.col("y"))))
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def split_buckets(members: DataFrame, entries: DataFrame) -> DataFrame:
-    """The same members under keys made of two bands, so that classes meet only if they share two."""
-    keyed = members.join(entries.select("cls", F.col("key").alias("second")), "cls").filter("second != key")
-    pair = F.xxhash64(F.least("key", "second"), F.greatest("key", "second"))
-    rows = keyed.select(pair.alias("key"), "cls", "n", "comp").distinct()
-    mixed = rows.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least < most").select("key")
-    return rows.join(mixed, "key")
-
-
 def link_classes(classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Components of classes as (node, component), for nodes with a link."""
-    entries = band_entries(classes)
-    members = cut_lineage(with_leaders(cut_lineage(buckets_of(entries))))
+    members = cut_lineage(with_leaders(cut_lineage(buckets_of(band_entries(classes)))))
     followers = members.filter("cls != lead.cls").select("cls", "lead")
     # One leader for each class first: this joins most of a group of near copies with one comparison a class.
     first = followers.groupBy("cls").agg(F.max("lead").alias("lead")).select(F.col("lead.cls").alias("a"), F.col("cls").alias("b"))
@@ -250,16 +292,16 @@ def link_classes(classes: DataFrame, docs: DataFrame, k: int, percent: int) -> D
     led = met.join(labels.select(F.col("node").alias("leader"), F.col("component").alias("led")), "leader", "left")
     second = led.filter(F.coalesce("led", "leader") != F.col("comp")).select(F.col("leader").alias("a"), F.col("cls").alias("b"))
     labels = joined(labels, confirmed(second, classes, docs, k, percent))
-    placed = cut_lineage(with_component(members.select("key", "cls", "n"), labels))
-    parts = placed.groupBy("key", "comp").agg(F.count("*").alias("many"))
-    outside = parts.groupBy("key").agg((F.sum("many") - F.max("many")).alias("outside")).filter("outside > 0")
-    mixed = cut_lineage(placed.join(outside, "key"))
-    small = mixed.filter(F.col("outside") <= SPLIT_OVER).drop("outside")
-    large = mixed.filter(F.col("outside") > SPLIT_OVER).drop("outside")
-    third = cross_pairs(small, percent)
+    placed = cut_lineage(with_component(members.select("key", "cls", "n", "many"), labels))
+    parts = placed.groupBy("key", "comp").agg(F.count("*").alias("size"))
+    mixed = parts.groupBy("key").agg((F.sum("size") - F.max("size")).alias("outside"), F.max_by("comp", F.struct("size", "comp")).alias("largest"))
+    mixed = cut_lineage(placed.join(mixed.filter("outside > 0"), "key"))
+    met_once = F.col("outside") * F.col("many") <= PAIRED_BELOW
+    links = confirmed(cross_pairs(mixed.filter(met_once), percent), classes, docs, k, percent)
+    large = mixed.filter(~met_once)
     if not large.isEmpty():
-        third = third.unionByName(cross_pairs(cut_lineage(split_buckets(large, entries)), percent)).distinct()
-    return joined(labels, confirmed(third, classes, docs, k, percent))
+        links = links.unionByName(block_links(large, classes, docs, k, percent))
+    return joined(labels, links)
 
 
 def joined(labels: DataFrame, links: DataFrame) -> DataFrame:

@@ -30,10 +30,11 @@ def near_copies(seed, groups=12, loose=60):
 EDGES = [(5000, None), (5001, ""), (5002, " \n"), (5003, "A b"), (5004, "a B"), (5005, "a b c"), (5006, "one"), (5007, "One"), (5008, "x " * 50_000), (5009, "x " * 40_000)]
 
 
-@pytest.mark.parametrize("split_over", [256, 2])
-def test_against_sql(make_docs, run_sql, same, monkeypatch, split_over):
-    monkeypatch.setattr(nd, "SPLIT_OVER", split_over)
-    docs = make_docs(near_copies(split_over) + EDGES)
+@pytest.mark.parametrize("paired_below", [1 << 14, 0])
+def test_against_sql(make_docs, run_sql, same, monkeypatch, paired_below):
+    monkeypatch.setattr(nd, "PAIRED_BELOW", paired_below)
+    monkeypatch.setattr(nd, "BLOCK", 4)
+    docs = make_docs(near_copies(paired_below) + EDGES)
     got = nd.duplicate_groups(docs.selectExpr("*", "1 as kept", "2 as cls"), 4, 80).drop("text_key")
     same(got, run_sql(NEAR_SQL, documents=docs))
 
