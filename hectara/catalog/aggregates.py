@@ -174,7 +174,7 @@ _NARROW = "(SELECT search_id, gmina, CASE WHEN search_id % 2 = 0 THEN min_area *
 
 @query(
     "agg_15_diagnosis",
-    f"""WITH s AS {_NARROW}, j AS (SELECT s.search_id, s.min_area, s.max_area, s.quiet_cats, s.nature_cats, s.density_cats, s.access_cats, s.forest_m, s.water_m, s.school_m, s.shop_m, p.* FROM s JOIN parcels p ON s.gmina = p.gmina),
+    f"""WITH s AS {_NARROW}, j AS (SELECT s.search_id, s.min_area, s.max_area, s.quiet_cats, s.nature_cats, s.density_cats, s.access_cats, s.forest_m, s.water_m, s.school_m, s.shop_m, p.* FROM s JOIN parcels p ON s.gmina IS NULL OR s.gmina = p.gmina),
         c AS (SELECT search_id, any_value(min_area) AS min_area, any_value(max_area) AS max_area, {", ".join(f"any_value({c}) AS {c}" for c, _ in _DISTS)}, count(*) AS total,
           {", ".join(f"CASE WHEN any_value({c}) IS NOT NULL THEN count(*) FILTER ({_in(c, k)}) END AS n_{c}" for c, k in _CATS)},
           CASE WHEN any_value(coalesce(min_area,0)) > 0 OR any_value(coalesce(max_area,0)) > 0 THEN count(*) FILTER (area_m2 >= coalesce(min_area,0) AND area_m2 <= coalesce(max_area,999999)) END AS n_area,

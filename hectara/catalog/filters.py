@@ -137,14 +137,14 @@ def simple_wishes(t):
 @query(
     "flt_16_request_guards",
     """WITH r AS (SELECT event_id, 45 + value / 4 AS lat, 10 + value / 3 AS lon, value * 900 AS radius FROM events)
-       SELECT event_id, CASE WHEN NOT lat BETWEEN 49 AND 55 THEN 'lat' WHEN NOT lon BETWEEN 14 AND 24 THEN 'lon' END AS error, round(least(radius, 20000), 4) AS radius_m,
+       SELECT event_id, CASE WHEN NOT lat BETWEEN 49 AND 55 THEN 'lat' WHEN NOT lon BETWEEN 14 AND 24 THEN 'lon' END AS error, round(least(radius, 20000), 4) AS radius_m, radius > 20000 AS radius_held,
          CASE WHEN value / 40 > 0.5 OR value / 30 > 0.7 THEN 'window too large' END AS window_error FROM r JOIN events USING (event_id)""",
 )
 def request_guards(t):
     v = F.col("value")
     lat, lon = v / 4 + 45, v / 3 + 10
-    error, radius = S.request_guard(lat, lon, v * 900)
-    return t.raw("events").select("event_id", error.alias("error"), F.round(radius, 4).alias("radius_m"), S.window_guard(F.lit(0.0), F.lit(0.0), v / 40, v / 30).alias("window_error"))
+    error, radius, held = S.request_guard(lat, lon, v * 900)
+    return t.raw("events").select("event_id", error.alias("error"), F.round(radius, 4).alias("radius_m"), held.alias("radius_held"), S.window_guard(F.lit(0.0), F.lit(0.0), v / 40, v / 30).alias("window_error"))
 
 
 @query(

@@ -69,13 +69,10 @@ def buildable_type(t):
     return t("parcels").select("id_dzialki", L.buildable_type(F.col("pog_symbol")).alias("kind"))
 
 
-OWNER_TYPES = {**{g: "publiczna" for g in C.PUBLIC_GROUPS}, **C.OTHER_GROUP_TYPES}
-
-
 @query(
     "cls_08_ownership",
     f"""WITH g AS (SELECT id_dzialki, CASE WHEN grupa_rej = '' THEN NULL WHEN regexp_matches(trim(grupa_rej), '^[0-9]') THEN string_split(string_split(trim(grupa_rej), ' ')[1], '-')[1] ELSE trim(grupa_rej) END AS code FROM parcels)
-        SELECT id_dzialki, code, {case(C.OWNER_GROUP_NAMES, 'code')} AS name, {case(OWNER_TYPES, 'code')} AS kind FROM g""",
+        SELECT id_dzialki, code, {case(C.OWNER_GROUP_NAMES, 'code')} AS name, {case(C.OWNERSHIP_TYPES, 'code')} AS kind FROM g""",
 )
 def ownership(t):
     g = t("parcels").select("id_dzialki", L.owner_group_code(F.col("grupa_rej")).alias("code"))

@@ -63,7 +63,7 @@ def source_shortcuts(t):
 
 
 _STAGE = """SELECT search_id, {n} AS stage, id_dzialki, total_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY search_id ORDER BY total_score DESC, quietness_score DESC NULLS LAST, id_dzialki) AS rank FROM
-  (SELECT s.search_id, p.id_dzialki, p.quietness_score, {score} AS total_score FROM parcels p JOIN {s} s ON p.gmina = s.gmina WHERE {hard})) WHERE rank <= 12"""
+  (SELECT s.search_id, p.id_dzialki, p.quietness_score, {score} AS total_score FROM parcels p JOIN {s} s ON (s.gmina IS NULL OR p.gmina = s.gmina) WHERE {hard})) WHERE rank <= 12"""
 _SOFT = ["quiet_cats", "nature_cats", "access_cats", "density_cats", "forest_m", "water_m", "water_type", "school_m", "shop_m", "bus_m", "hospital_m", "min_forest_pct", "industrial_m"]
 RELAXED_SQL = "(SELECT * REPLACE (" + ", ".join(f"{c}*2 AS {c}" for c in W.DISTANCE_LIMITS) + ", w_quietness*0.7e0 AS w_quietness, w_school*0.7e0 AS w_school) FROM hard_searches)"
 HARD_ONLY_SQL = "(SELECT * REPLACE (" + ", ".join(f"NULL AS {c}" for c in _SOFT) + ", 0e0 AS w_quietness, 0e0 AS w_school, false AS buildable) FROM hard_searches)"
@@ -262,7 +262,7 @@ def nulls_last(t):
     return S.search_by_criteria(t("parcels"), order_by="accessibility_score", descending=False, limit=100).select("id_dzialki", "accessibility_score")
 
 
-@query("top_02_score_order", f"WITH x AS (SELECT DISTINCT p.id_dzialki, p.quietness_score, {SCORE_SQL} AS total_score FROM parcels p JOIN searches s ON p.gmina = s.gmina WHERE {HARD_SQL}) SELECT * FROM x ORDER BY total_score DESC, quietness_score DESC NULLS LAST, id_dzialki LIMIT 50")
+@query("top_02_score_order", f"WITH x AS (SELECT DISTINCT p.id_dzialki, p.quietness_score, {SCORE_SQL} AS total_score FROM parcels p JOIN searches s ON (s.gmina IS NULL OR p.gmina = s.gmina) WHERE {HARD_SQL}) SELECT * FROM x ORDER BY total_score DESC, quietness_score DESC NULLS LAST, id_dzialki LIMIT 50")
 def score_order(t):
     found = S.scored_search_many(t("parcels"), S.split_lists(t("searches")), 50).select("id_dzialki", "quietness_score", "total_score").distinct()
     return found.orderBy(F.col("total_score").desc(), F.col("quietness_score").desc_nulls_last(), "id_dzialki").limit(50)

@@ -72,7 +72,7 @@ HARD_SQL = (
 @query(
     "scr_01_scored_search",
     f"""SELECT search_id, id_dzialki, total_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY search_id ORDER BY total_score DESC, quietness_score DESC NULLS LAST, id_dzialki) AS rank FROM
-        (SELECT s.search_id, p.id_dzialki, p.quietness_score, {SCORE_SQL} AS total_score FROM parcels p JOIN searches s ON p.gmina = s.gmina WHERE {HARD_SQL})) WHERE rank <= 20""",
+        (SELECT s.search_id, p.id_dzialki, p.quietness_score, {SCORE_SQL} AS total_score FROM parcels p JOIN searches s ON (s.gmina IS NULL OR p.gmina = s.gmina) WHERE {HARD_SQL})) WHERE rank <= 20""",
 )
 def scored_search(t):
     return S.scored_search_many(t("parcels"), S.split_lists(t("searches")), 20).select("search_id", "id_dzialki", "total_score", "rank")

@@ -229,13 +229,24 @@ def table_load(t):
 
 @query(
     "snk_08_upsert",
-    """SELECT coalesce(b.id_dzialki, u.id_dzialki) AS id_dzialki, CASE WHEN u.id_dzialki IS NOT NULL THEN u.area_m2 ELSE b.area_m2 END AS area_m2, b.gmina FROM parcels b FULL JOIN
-       (SELECT CASE WHEN s_suppkey % 3 = 0 THEN concat('NEW', s_suppkey) ELSE concat('D', s_suppkey * 2) END AS id_dzialki, CAST(s_suppkey AS INT) AS area_m2 FROM supplier) u ON b.id_dzialki = u.id_dzialki""",
+    """WITH a AS (SELECT CASE WHEN s_suppkey % 3 = 0 THEN concat('NEW', s_suppkey) ELSE concat('D', s_suppkey * 2) END AS id_dzialki, CAST(s_suppkey AS INT) AS area_m2 FROM supplier),
+       u AS (SELECT id_dzialki, max(area_m2) AS area_m2 FROM (SELECT * FROM a UNION ALL SELECT id_dzialki, area_m2 * 2 FROM a WHERE area_m2 % 2 = 0) GROUP BY 1)
+       SELECT coalesce(b.id_dzialki, u.id_dzialki) AS id_dzialki, CASE WHEN u.id_dzialki IS NOT NULL THEN u.area_m2 ELSE b.area_m2 END AS area_m2, coalesce(b.gmina, 'new') AS gmina
+       FROM parcels b FULL JOIN u ON b.id_dzialki = u.id_dzialki""",
 )
 def upsert(t):
+    """Updates that repeat keys, written into a partitioned table and read back."""
     k = F.col("s_suppkey")
     updates = t.raw("supplier").select(F.when(k % 3 == 0, F.concat(F.lit("NEW"), k.cast("string"))).otherwise(F.concat(F.lit("D"), (k * 2).cast("string"))).alias("id_dzialki"), k.cast("int").alias("area_m2"))
-    return W.upsert(t("parcels").select("id_dzialki", "area_m2", "gmina"), updates, "id_dzialki")
+    updates = updates.unionByName(updates.filter("area_m2 % 2 = 0").withColumn("area_m2", F.col("area_m2") * 2))
+    base = t("parcels").select("id_dzialki", "area_m2", "gmina")
+    path = scratch(t, "upserted")
+    W.load_table(base, path, "gmina")
+    known = updates.join(base.select("id_dzialki"), "id_dzialki", "left_semi")
+    fresh = updates.join(base.select("id_dzialki"), "id_dzialki", "left_anti").withColumn("gmina", F.lit("new"))
+    W.upsert_table(t.spark, path, known, "id_dzialki", "gmina", ["area_m2"])
+    W.upsert_table(t.spark, path, fresh, "id_dzialki", "gmina", ["area_m2"])
+    return t.spark.read.parquet(path).select("id_dzialki", F.col("area_m2").cast(base.schema["area_m2"].dataType).alias("area_m2"), "gmina")
 
 
 @query("snk_09_pattern_log", "SELECT user_id, action AS feature, parcel_id AS value, 2 * count(*) AS n FROM feedback WHERE action IN ('favorite','reject') GROUP BY 1, 2, 3")

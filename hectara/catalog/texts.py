@@ -222,7 +222,7 @@ def state_path(t):
     return t("states").select("order_no", parsed.alias("s")).select("order_no", F.col("s.working.current_phase").alias("phase"), "s.n")
 
 
-@query("vec_05_query_text", """SELECT search_id, coalesce(nullif(concat_ws('. ', concat('Działka w ', coalesce(miejscowosc, gmina)), CASE WHEN quiet_cats IS NOT NULL THEN 'cicha spokojna okolica' END, CASE WHEN nature_cats IS NOT NULL THEN 'blisko natury lasu zieleni' END,
+@query("vec_05_query_text", """SELECT search_id, coalesce(nullif(concat_ws('. ', 'Działka w ' || coalesce(miejscowosc, gmina), CASE WHEN quiet_cats IS NOT NULL THEN 'cicha spokojna okolica' END, CASE WHEN nature_cats IS NOT NULL THEN 'blisko natury lasu zieleni' END,
    CASE WHEN build_status='niezabudowana' THEN 'niezabudowana pod budowę domu' END, CASE WHEN ownership_type='prywatna' THEN 'prywatna do kupienia' END), ''), 'działka budowlana pod dom') AS query_text FROM searches""")
 def query_text(t):
     c = F.col

@@ -16,7 +16,7 @@ DV = "CAST(embedding AS DOUBLE[])"
 
 @query(
     "vec_01_similar_then_filter",
-    f"""WITH q AS (SELECT {DV} AS v FROM embeddings WHERE vec_id = 0), n AS (SELECT vec_id, label, round(list_cosine_similarity({DV}, (SELECT v FROM q)), 9) AS similarity FROM embeddings ORDER BY similarity DESC, vec_id LIMIT 120)
+    f"""WITH q AS (SELECT {DV} AS v FROM embeddings WHERE vec_id = 0), n AS (SELECT vec_id, label, round(list_cosine_similarity({DV}, (SELECT v FROM q)), 9) AS similarity FROM embeddings)
         SELECT vec_id, label, similarity FROM n WHERE vec_id <> 0 AND label IN (1, 3, 5) ORDER BY similarity DESC, vec_id LIMIT 60""",
 )
 def similar_then_filter(t):
@@ -39,7 +39,7 @@ _PV = [w * (1 if i % 2 == 0 else -1) * (1.0 - 0.1 * (i % 4)) for w in _PREF for
 
 @query(
     "vec_02_by_preferences",
-    f"""WITH n AS (SELECT id_dzialki, gmina, area_m2, round(list_cosine_similarity([{", ".join(VECTOR_SQL)}], [{", ".join(f"{v:.17g}::DOUBLE" for v in _PV)}]), 9) AS similarity FROM parcels ORDER BY similarity DESC, id_dzialki LIMIT 100)
+    f"""WITH n AS (SELECT id_dzialki, gmina, area_m2, round(list_cosine_similarity([{", ".join(VECTOR_SQL)}], [{", ".join(f"{v:.17g}::DOUBLE" for v in _PV)}]), 9) AS similarity FROM parcels)
         SELECT id_dzialki, similarity FROM n WHERE area_m2 >= 500 AND area_m2 <= 6000 ORDER BY similarity DESC, id_dzialki LIMIT 50""",
 )
 def by_preferences(t):
@@ -58,14 +58,14 @@ def by_graph_embedding(t):
 
 @query(
     "vec_04_vector_with_constraints",
-    f"""WITH q AS (SELECT {DV} AS v FROM embeddings WHERE vec_id = 3), n AS (SELECT vec_id, round(list_cosine_similarity({DV}, (SELECT v FROM q)), 9) AS similarity FROM embeddings ORDER BY similarity DESC, vec_id LIMIT 300),
+    f"""WITH q AS (SELECT {DV} AS v FROM embeddings WHERE vec_id = 3), n AS (SELECT vec_id, round(list_cosine_similarity({DV}, (SELECT v FROM q)), 9) AS similarity FROM embeddings),
         c AS (SELECT p.id_dzialki, p.gmina, n.similarity FROM n JOIN parcels p ON p.pk = n.vec_id WHERE p.typ_wlasnosci = 'prywatna' AND NOT p.is_built AND p.dzielnica IS NOT NULL AND size_category IN ('pod_dom','duza')),
         s AS (SELECT src, count(DISTINCT dst) AS k, min(distance_m) AS d FROM edges WHERE rel = 'NEAR_SCHOOL' GROUP BY src)
         SELECT c.id_dzialki, c.gmina, c.similarity, coalesce(s.k, 0) AS schools_nearby, s.d AS nearest_school_m FROM c LEFT JOIN s ON s.src = c.id_dzialki ORDER BY similarity DESC, id_dzialki LIMIT 100""",
 )
 def vector_with_constraints(t):
     e = t.raw("embeddings")
-    near = V.most_similar(e, "vec_id", "embedding", V.vector_of(e, "vec_id", 3, "embedding"), 300, 300).select(F.col("vec_id").alias("pk"), "similarity")
+    near = e.select(F.col("vec_id").alias("pk"), F.round(V.cosine(F.col("embedding"), V.vector_of(e, "vec_id", 3, "embedding")), 9).alias("similarity"))
     ok = (F.col("typ_wlasnosci") == "prywatna") & ~F.col("is_built") & F.col("dzielnica").isNotNull() & F.col("size_category").isin("pod_dom", "duza")
     found = t("parcels").filter(ok).select("pk", "id_dzialki", "gmina").join(near, "pk")
     schools = t("edges").filter(F.col("rel") == "NEAR_SCHOOL").groupBy(F.col("src").alias("id_dzialki")).agg(F.countDistinct("dst").alias("schools_nearby"), F.min("distance_m").alias("nearest_school_m"))
@@ -141,7 +141,7 @@ CATS = "(SELECT * FROM (VALUES " + ", ".join(f"('{i}', '{k}', '{n}', '{'|'.join(
     f"""WITH m AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+')) AS mention FROM messages), mm AS (SELECT mention FROM m WHERE mention <> ''), g AS {grams('mm', 'mention', 'mention')}, v AS {CATS},
         h AS {grams("v", "id || '#' || kind", 'name')},
         p AS (SELECT g.k AS mention, split_part(h.k, '#', 1) AS id, split_part(h.k, '#', 2) AS kind, round(sum(g.w*h.w), 9) AS similarity FROM g JOIN h ON g.gram = h.gram GROUP BY 1, 2, 3),
-        a AS (SELECT *, row_number() OVER (PARTITION BY mention, CASE WHEN kind IN ('water','poi') THEN kind ELSE 'cat' END ORDER BY similarity DESC, id) AS rn FROM p),
+        a AS (SELECT *, row_number() OVER (PARTITION BY mention, kind ORDER BY similarity DESC, id) AS rn FROM p),
         f AS (SELECT *, row_number() OVER (PARTITION BY mention, kind ORDER BY rn) AS pos FROM a WHERE rn <= 3 AND ((kind = 'nature' AND similarity >= 0.6e0) OR (kind IN ('water','poi') AND similarity >= 0.5e0)))
         SELECT f.mention, f.kind, f.id, round(similarity, 6) AS similarity, v.maps_to FROM f JOIN v ON f.id = v.id AND f.kind = v.kind WHERE pos = 1""",
 )

@@ -19,8 +19,25 @@ OWNER_GROUP_NAMES = {
     "15": "Inne podmioty publiczne",
     "16": "Inne",
 }
-PUBLIC_GROUPS = ["1", "2", "3", "4", "5", "6", "11", "12", "13", "14", "15"]
-OTHER_GROUP_TYPES = {"7": "prywatna", "8": "spółdzielcza", "9": "kościelna", "10": "wspólnota", "16": "inna"}
+# Type of each registration group.
+OWNERSHIP_TYPES = {
+    "1": "publiczna",
+    "2": "publiczna",
+    "3": "publiczna",
+    "4": "publiczna",
+    "5": "publiczna",
+    "6": "publiczna",
+    "7": "prywatna",
+    "8": "spółdzielcza",
+    "9": "kościelna",
+    "10": "wspólnota",
+    "11": "publiczna",
+    "12": "publiczna",
+    "13": "publiczna",
+    "14": "publiczna",
+    "15": "publiczna",
+    "16": "inna",
+}
 OWNERSHIP_IDS = {
     "prywatna": "prywatna",
     "publiczna": "publiczna",

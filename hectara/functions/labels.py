@@ -44,7 +44,7 @@ def owner_group_code(raw: Column) -> Column:
 
 
 def ownership_type(code: Column) -> Column:
-    return F.when(code.isin(C.PUBLIC_GROUPS), "publiczna").otherwise(lookup(C.OTHER_GROUP_TYPES, code))
+    return lookup(C.OWNERSHIP_TYPES, code)
 
 
 def water_class(name: Column, kind: Column, area: Column) -> Column:

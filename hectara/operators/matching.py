@@ -56,7 +56,7 @@ def place_names(parcels: DataFrame) -> DataFrame:
 MAX_RESULTS = 20
 
 
-def search_places(queries: DataFrame, query: str, names: DataFrame) -> DataFrame:
+def search_places(queries: DataFrame, query: str, names: DataFrame, keep: int = MAX_RESULTS) -> DataFrame:
     """Exact name on any level, else a district containing the text or contained in it, else a similarly
     spelt district, else the nearest names by letter groups. A query moves on only while it has no hit."""
     from hectara.operators.similarity import cosine_pairs, name_grams
@@ -81,7 +81,7 @@ def search_places(queries: DataFrame, query: str, names: DataFrame) -> DataFrame
     vector = with_rows(near.filter(F.round("similarity", 9) >= 0.7).withColumnRenamed("similarity", "score"), 4, names)
     found = exact.unionByName(partial).unionByName(fuzzy).unionByName(vector)
     w = Window.partitionBy("q").orderBy(F.col("score").desc(), F.col("n").desc(), "level", "name", "parent")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= MAX_RESULTS)
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= keep)
 
 
 def resolve_place(queries: DataFrame, raw: str, parcels: DataFrame) -> DataFrame:
@@ -107,8 +107,8 @@ def resolve_place(queries: DataFrame, raw: str, parcels: DataFrame) -> DataFrame
     return q.join(best, raw, "left").select(raw, "m.step", "m.gmina", "m.dzielnica")
 
 
-def validate_places(pairs: DataFrame, parcels: DataFrame) -> DataFrame:
-    """pairs: miejscowosc, dzielnica. Unknown district: up to three suggestions by its first three letters; wrong city: the right one."""
+def validate_places(pairs: DataFrame, parcels: DataFrame, suggestions: int = 3) -> DataFrame:
+    """pairs: miejscowosc, dzielnica. Unknown district: up to `suggestions` names by its first three letters; wrong city: the right one."""
     from hectara.operators.relations import dominant_city
 
     home = cut_lineage(dominant_city(parcels).select(F.lower("district").alias("key"), "district", F.col("city").alias("actual")))
@@ -116,7 +116,7 @@ def validate_places(pairs: DataFrame, parcels: DataFrame) -> DataFrame:
     prefix = F.lower(F.substring("dzielnica", 1, 3))
     unknown = j.filter(F.col("district").isNull()).select(prefix.alias("needle")).distinct()
     w = Window.partitionBy("needle").orderBy("district")
-    near = contains_pairs(unknown, home.select(F.col("key").alias("hay"), "district")).withColumn("r", F.row_number().over(w)).filter("r <= 3")
+    near = contains_pairs(unknown, home.select(F.col("key").alias("hay"), "district")).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= suggestions)
     near = near.groupBy("needle").agg(F.array_join(F.array_sort(F.collect_list("district")), "|").alias("suggestions"))
     verdict = F.when(F.col("district").isNull(), "unknown").when(F.lower("miejscowosc") != F.lower("actual"), "mismatch").otherwise("valid")
     return j.withColumn("verdict", verdict).join(near, (F.col("verdict") == "unknown") & (prefix == F.col("needle")), "left").select("miejscowosc", "dzielnica", "verdict", "actual", F.coalesce("suggestions", F.lit("")).alias("suggestions"))

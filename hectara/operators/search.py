@@ -276,11 +276,25 @@ def scored_search(parcels: DataFrame, criteria: Criteria, limit: int) -> DataFra
     )
 
 
+SLICES = 64
+
+
+def with_searches(parcels: DataFrame, asked: DataFrame) -> DataFrame:
+    """Each search (columns c_...) beside the parcels it may choose, the hard filters aside.
+
+    A search with a city meets that city's parcels by key. One without a city may choose any parcel: it is
+    sent to every slice of the parcels and meets them slice by slice, so no task gathers them all.
+    """
+    there = parcels.join(asked.filter("c_gmina is not null"), F.col("gmina") == F.col("c_gmina"))
+    anywhere = asked.filter("c_gmina is null").withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
+    sliced = parcels.withColumn("_slice", F.pmod(F.xxhash64("id_dzialki"), F.lit(SLICES)).cast("int"))
+    return there.unionByName(sliced.join(anywhere, "_slice").drop("_slice"))
+
+
 def scored_search_many(parcels: DataFrame, searches: DataFrame, per_search: int) -> DataFrame:
-    """Many searches in one job, met on their city. The rank filter lets Spark keep only the best rows
+    """Many searches in one job, with or without a city. The rank filter lets Spark keep only the best rows
     of each partition before the shuffle, so a popular city does not gather in one task."""
-    asked = searches.select(*[F.col(n).alias("c_" + n) for n in searches.columns]).withColumn("gmina", F.col("c_gmina"))
-    joined = parcels.join(asked, "gmina")
+    joined = with_searches(parcels, searches.select(*[F.col(n).alias("c_" + n) for n in searches.columns]))
     c = criteria_columns(joined)
     scored = joined.filter(hard_filter(c)).withColumn("total_score", F.round(total_score(c), 6))
     order = Window.partitionBy("c_search_id").orderBy(F.col("total_score").desc(), F.col("quietness_score").desc_nulls_last(), "id_dzialki")
@@ -293,10 +307,10 @@ def split_lists(searches: DataFrame) -> DataFrame:
     return searches.select(*[F.split(n, "[|]").alias(n) if n.endswith("_cats") else F.col(n) for n in searches.columns])
 
 
-def request_guard(lat: Column, lon: Column, radius: Column) -> tuple[Column, Column]:
-    """Error text of an out-of-area point, and the radius held to 20 km."""
+def request_guard(lat: Column, lon: Column, radius: Column) -> tuple[Column, Column, Column]:
+    """Error text of an out-of-area point, the radius held to 20 km, and whether it was held."""
     error = F.when(~lat.between(49, 55), "lat").when(~lon.between(14, 24), "lon")
-    return error, F.least(radius, F.lit(20000))
+    return error, F.least(radius, F.lit(20000)), F.coalesce(radius > 20000, F.lit(False))
 
 
 def window_guard(min_lat: Column, min_lon: Column, max_lat: Column, max_lon: Column) -> Column:

@@ -24,16 +24,17 @@ def vector_of(df: DataFrame, key: str, value, column: str) -> list[float]:
 
 
 def most_similar(
-    df: DataFrame, key: str, vector: str, query: list[float], cut: int, keep: int, exclude=None, condition: Column | None = None, filter_first: bool = False
+    df: DataFrame, key: str, vector: str, query: list[float], cut: int, keep: int, exclude=None, condition: Column | None = None, filter_first: bool = True
 ) -> DataFrame:
-    """The `cut` nearest rows, then self and the condition are taken out, then `keep` stay.
+    """The `keep` nearest rows that meet the condition, without `exclude`.
 
-    filter_first applies the condition before the cut, so the result is full whenever possible.
+    With filter_first=False the condition is tested only among the `cut` nearest, so fewer may stay.
     """
     scored = df.withColumn("similarity", F.round(cosine(F.col(vector), query), 9))
     best = [F.col("similarity").desc(), F.col(key)]
-    if filter_first and condition is not None:
-        scored = scored.filter(condition)
+    if filter_first:
+        scored = scored if condition is None else scored.filter(condition)
+        cut = max(cut, keep + 1)
     near = scored.orderBy(*best).limit(cut)
     if exclude is not None:
         near = near.filter(F.col(key) != exclude)
@@ -115,8 +116,8 @@ def category_table(spark: SparkSession) -> DataFrame:
     return F.broadcast(spark.createDataFrame(C.CATEGORY_NAMES, "id string, kind string, canonical_name string, variants array<string>, maps_to array<string>"))
 
 
-def resolve_categories(mentions: DataFrame, text: str, spark: SparkSession, kind: str, filter_after_cut: bool = True) -> DataFrame:
-    """Category of a mention. By default the kind is tested after the top-3 cut over category names, as the search does."""
+def resolve_categories(mentions: DataFrame, text: str, spark: SparkSession, kind: str, filter_after_cut: bool = False) -> DataFrame:
+    """Category of a mention among the names of the kind; with filter_after_cut the kind is tested only among the three nearest names."""
     names = category_table(spark)
     group = names.filter(F.col("kind") == kind) if kind in ("water", "poi") or not filter_after_cut else names.filter(~F.col("kind").isin("water", "poi"))
     left = name_grams(mentions.select(text).filter(F.length(F.trim(text)) > 0).distinct(), text)

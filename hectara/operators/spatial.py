@@ -399,20 +399,26 @@ def envelope_pairs(a: DataFrame, b: DataFrame, on: list[str] | None = None, key:
     refinement runs on all cores and a later aggregation by key needs no exchange.
 
     Both sides meet at the coarser of their two size levels, where each covers at most four
-    cells; the pair counts only in the cell holding the lower left corner of the common box.
+    cells: a rises to the levels that b has and meets b at its own, then b rises to the higher
+    levels of a. So one huge shape meets each small one once and small ones meet only neighbours.
+    A pair counts only in the cell that holds the lower left corner of the common box.
     """
     b = cut_lineage(b.withColumn("blevel", _size_level(ENV_B)))
     small = b.limit(BROADCAST_SHAPES + 1).count() <= BROADCAST_SHAPES
     if small and key:
         a = spread(a, key)
     a = a.withColumn("alevel", _size_level(ENV_A))
-    sizes = a.agg(F.min("alevel").alias("lo"), F.max("alevel").alias("hi")).unionAll(b.agg(F.min("blevel"), F.max("blevel"))).collect()
-    top = max((r["hi"] for r in sizes if r["hi"] is not None), default=0)
-    left = _covered(a.withColumn("level", F.explode(F.sequence(F.col("alevel"), F.lit(top)))), ENV_A, "level")
-    right = _covered(b.withColumn("level", F.explode(F.sequence(F.col("blevel"), F.lit(top)))), ENV_B, "level")
-    if small:
-        right = F.broadcast(right)
-    pairs = left.join(right, ["level", "cx", "cy", *(on or [])]).filter(F.col("level") == F.greatest("alevel", "blevel"))
+    levels = {n: sorted(r[0] for r in df.select(n).distinct().collect() if r[0] is not None) for df, n in ((a, "alevel"), (b, "blevel"))}
+    hint = F.broadcast if small else lambda df: df
+
+    def risen(df: DataFrame, own: str, to: list[int], among) -> DataFrame:
+        return df.withColumn("level", F.explode(F.filter(F.array(*[F.lit(v) for v in to]).cast("array<int>"), lambda v: among(v, F.col(own)))))
+
+    keys = ["level", "cx", "cy", *(on or [])]
+    up = _covered(risen(a, "alevel", levels["blevel"], lambda v, own: v >= own), ENV_A, "level")
+    down = _covered(risen(b, "blevel", levels["alevel"], lambda v, own: v > own), ENV_B, "level")
+    pairs = up.join(hint(_covered(b.withColumn("level", F.col("blevel")), ENV_B, "level")), keys)
+    pairs = pairs.unionByName(_covered(a.withColumn("level", F.col("alevel")), ENV_A, "level").join(hint(down), keys))
     side = F.pow(F.lit(2.0), F.col("level"))
     owner = (F.floor(F.greatest("aminx", "bminx") / side) == F.col("cx")) & (F.floor(F.greatest("aminy", "bminy") / side) == F.col("cy"))
     meet = (F.col("aminx") <= F.col("bmaxx")) & (F.col("bminx") <= F.col("amaxx")) & (F.col("aminy") <= F.col("bmaxy")) & (F.col("bminy") <= F.col("amaxy"))

@@ -267,12 +267,14 @@ def funnel_counts(states: DataFrame) -> DataFrame:
 
 
 def diagnose(parcels: DataFrame, searches: DataFrame) -> DataFrame:
-    """Per search: rows in its city, matches of each active filter, the first filter without a match, and a relaxation.
+    """Per search: rows in its city (without one: all rows), matches of each active filter, the first filter without a match, and a relaxation.
 
     Every filter is counted in the same pass; the category distribution is a second grouped count.
     """
+    from hectara.operators.search import with_searches
+
     s = searches.select(*[F.col(c).alias("c_" + c) for c in searches.columns])
-    j = parcels.join(s, F.col("gmina") == F.col("c_gmina"))
+    j = with_searches(parcels, s)
     cats = [("quiet_cats", "kategoria_ciszy"), ("nature_cats", "kategoria_natury"), ("density_cats", "gestosc_zabudowy"), ("access_cats", "kategoria_dostepu")]
     dists = [("forest_m", "dist_to_forest"), ("water_m", "dist_to_water"), ("school_m", "dist_to_school"), ("shop_m", "dist_to_supermarket")]
     area_on = (F.coalesce(F.col("c_min_area"), F.lit(0)) > 0) | (F.coalesce(F.col("c_max_area"), F.lit(0)) > 0)

@@ -225,7 +225,7 @@ MESSAGES = {
 N = "n_nationkey"
 SEARCHES = {
     "search_id": N,
-    "gmina": "n_name",
+    "gmina": unless(f"{N} % 9 = 4", "n_name"),
     "miejscowosc": unless(f"{N} % 8 <> 5", "'MACHINERY'"),
     "min_area": f"CAST(CASE WHEN {N} % 3 = 0 THEN 0 ELSE 300 END AS INT)",
     "max_area": unless(f"{N} % 4 = 3", "CAST(8000 AS INT)"),

@@ -8,6 +8,7 @@ from hectara.functions.scores import half_even
 from hectara.functions.labels import lookup
 from hectara.functions.texts import fold_city
 from hectara.operators.graph import edges as graph_edges
+from hectara.session import cut_lineage
 
 
 def flat(df: DataFrame) -> DataFrame:
@@ -101,8 +102,20 @@ def load_table(df: DataFrame, path: str, by: str | None = None) -> None:
     (writer.partitionBy(by) if by else writer).parquet(path)
 
 
-def upsert(base: DataFrame, updates: DataFrame, key: str) -> DataFrame:
-    """Rows of updates replace the listed columns of base rows with the same key; new keys are added."""
+def latest(updates: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """One row per key: the one that comes last in the given order, ties by all its values. Rows without a key are left out."""
+    rest = [c for c in updates.columns if c not in order and c != key]
+    last = F.max(F.struct(*[F.col(c) for c in [*order, *rest]])).alias("_last")
+    return updates.filter(F.col(key).isNotNull()).groupBy(key).agg(last).select(*[F.col(key) if c == key else F.col(f"_last.`{c}`").alias(c) for c in updates.columns])
+
+
+def upsert(base: DataFrame, updates: DataFrame, key: str, order: list[str] | None = None) -> DataFrame:
+    """Rows of updates replace the listed columns of base rows with the same key; new keys are added.
+
+    Of updates with one key the last in `order` counts; a column that only orders them is not written.
+    """
+    updates = latest(updates, key, order or [])
+    updates = updates.select(*[c for c in updates.columns if c in base.columns])
     changed = [c for c in updates.columns if c != key]
     u = updates.select(key, F.lit(True).alias("_hit"), *[F.col(c).alias("_u_" + c) for c in changed])
     j = base.join(u, key, "full")
@@ -110,6 +123,25 @@ def upsert(base: DataFrame, updates: DataFrame, key: str) -> DataFrame:
     return j.select(*[F.when(hit, F.col("_u_" + c)).otherwise(F.col(c)).alias(c) if c in changed else F.col(c) for c in base.columns])
 
 
+def upsert_table(spark: SparkSession, path: str, updates: DataFrame, key: str, part: str, order: list[str] | None = None) -> None:
+    """Upsert into the Parquet table at path, partitioned by `part`; only partitions that hold a touched row are rewritten.
+
+    A key that is updated keeps its partition if updates do not name `part`; new keys must name it. The names of touched
+    partitions come to the driver: they are folders, not rows.
+    """
+    updates = latest(updates, key, order or [])
+    table = spark.read.parquet(path)
+    held = table.join(updates.select(key), key, "left_semi").select(F.col(part).cast("string").alias(part))
+    if part in updates.columns:
+        held = held.unionByName(updates.select(F.col(part).cast("string").alias(part)))
+    touched = [r[0] for r in held.distinct().collect() if r[0] is not None]
+    rows = cut_lineage(upsert(table.filter(F.col(part).cast("string").isin(touched)), updates, key))
+    emptied = spark.createDataFrame([(t,) for t in touched], f"{part} string").join(rows.select(F.col(part).cast("string").alias(part)).distinct(), part, "left_anti")
+    if not emptied.isEmpty():
+        raise ValueError("an update moves the last row out of a partition; rewrite the table instead")
+    rows.repartition(part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)
+
+
 def append_patterns(patterns: DataFrame, path: str) -> None:
     """One JSON line per session with its preference patterns."""
     rows = patterns.groupBy("user_id").agg(F.collect_list(F.struct("feature", "value", "n")).alias("patterns"))

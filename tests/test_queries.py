@@ -1,6 +1,7 @@
 """Registered queries: contract, plans, and agreement with their SQL twins on the smallest tables."""
 import math
 import os
+import re
 
 import duckdb
 import pytest
@@ -33,7 +34,8 @@ def con():
 def test_contract():
     q, o = entry.queries(), entry.oracle_sql()
     assert len(q) >= 200 and set(o) <= set(q)
-    assert set(q) - set(o) == {"grf_02_node_embedding", "vec_06_hashed_encoding", "stm_03_active_users", "stm_05_stream_sessions"}
+    own = {n for n in set(q) - set(o) if not re.match(r"op\d+_|pipeline$", n)}
+    assert own == {"grf_02_node_embedding", "vec_06_hashed_encoding", "stm_03_active_users", "stm_05_stream_sessions"}
 
 
 def test_entry(spark):
