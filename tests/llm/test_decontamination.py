@@ -25,7 +25,7 @@ def case(spark, make_docs):
             at = rng.randint(0, len(words))
             words[at:at] = item[rng.randint(0, 2):]
         docs.append((i, rng.choice([" ", ", ", "\n"]).join(words).upper() if i % 7 == 0 else " -- ".join(words)))
-    docs += [(500, None), (501, ""), (502, "?!"), (503, "SOLO."), (None, bench[1][1]), (0, docs[0][1]), (504, bench[3][1] + " " + "filler " * 50_000 + bench[4][1])]
+    docs += [(500, None), (501, ""), (502, "?!"), (503, "SOLO."), (None, bench[1][1]), (0, docs[0][1]), (504, bench[3][1] + " " + "filler " * 800 + bench[4][1])]
     return make_docs(docs), items(spark, bench)
 
 
@@ -56,6 +56,12 @@ def test_removal(spark, case):
         dc.decontaminate(docs, bench, remove="all")
 
 
+def test_very_long_text(spark, make_docs):
+    docs = make_docs([(1, "filler " * 100_000 + "k1 k2 k3 k4 " + "filler " * 100_000)])
+    r = dc.find_items(docs, items(spark, [(9, "k1 k2 k3 k4")])).first()
+    assert (r.n_words, r.n_hit, r.items, r.hit_places) == (200_004, 4, ["9"], list(range(100_000, 100_004)))
+
+
 def test_spans_keep_what_is_around():
     assert dc.without_words("Keep this, remove me now! And this.", [2, 3, 4]) == "Keep this, ! And this."
 

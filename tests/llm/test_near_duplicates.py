@@ -27,7 +27,7 @@ def near_copies(seed, groups=12, loose=60):
     return [(order[i], t) for i, (_, t) in enumerate(rows)]
 
 
-EDGES = [(5000, None), (5001, ""), (5002, " \n"), (5003, "A b"), (5004, "a B"), (5005, "a b c"), (5006, "one"), (5007, "One"), (5008, "x " * 50_000), (5009, "x " * 40_000)]
+EDGES = [(5000, None), (5001, ""), (5002, " \n"), (5003, "A b"), (5004, "a B"), (5005, "a b c"), (5006, "one"), (5007, "One"), (5008, "x " * 900), (5009, "x " * 700)]
 
 
 @pytest.mark.parametrize("paired_below", [1 << 14, 0])
@@ -48,6 +48,12 @@ def test_rows_without_id_and_repeated_ids(make_docs):
     assert kept.columns == clash.columns and sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 1, 1]
 
 
+def test_very_long_texts(make_docs):
+    words = [f"w{i}" for i in range(60_000)]
+    docs = make_docs([(1, " ".join(words)), (2, " ".join(words[:50_000])), (3, " ".join(words[:40_000]))])
+    assert sorted(map(tuple, nd.duplicate_groups(docs).select("doc_id", "component_id").collect())) == [(1, 1), (2, 1), (3, 1)]
+
+
 def test_empty(make_docs):
     assert nd.duplicate_groups(make_docs([])).count() == 0
     assert nd.keep_first(make_docs([(1, None), (2, "")])).count() == 2
