@@ -364,11 +364,11 @@ def preference_patterns(t):
 
 @query(
     "agg_32_frequent_locations",
-    """WITH s AS (SELECT o_custkey AS user_id, p.gmina, p.dzielnica FROM orders JOIN parcels p ON o_custkey % 150 = pk),
+    """WITH s AS (SELECT o_custkey AS user_id, p.gmina, p.dzielnica FROM orders JOIN parcels p ON o_custkey = pk),
        l AS (SELECT user_id, unnest([gmina, dzielnica, CASE WHEN user_id % 2 = 0 THEN gmina END]) AS location FROM s) SELECT user_id, location, count(*) AS n FROM l WHERE location IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 2""",
 )
 def frequent_locations(t):
-    s = t.raw("orders").select(F.col("o_custkey").alias("user_id"), (F.col("o_custkey") % 150).alias("pk")).join(t("parcels").select("pk", "gmina", "dzielnica"), "pk")
+    s = t.raw("orders").select(F.col("o_custkey").alias("user_id"), F.col("o_custkey").alias("pk")).join(t("parcels").select("pk", "gmina", "dzielnica"), "pk")
     keys = F.array("gmina", "dzielnica", F.when(F.col("user_id") % 2 == 0, F.col("gmina")))
     long = s.select("user_id", F.explode(keys).alias("location")).filter(F.col("location").isNotNull())
     return long.groupBy("user_id", "location").agg(A.count().alias("n")).filter(F.col("n") >= 2)

@@ -100,11 +100,17 @@ def text_similarity(t):
     return V.best_matches(pairs, ["conv_id", "turn"], "search_id", 0.0, 1).select("conv_id", "turn", "search_id", F.round("similarity", 6).alias("similarity"))
 
 
-@query("vec_06_hashed_encoding")
+@query(
+    "vec_06_hashed_encoding",
+    """WITH c AS (SELECT doc_id, CAST(('0x' || md5(word)[1:8])::BIGINT % 512 AS INT) AS place, count(*) AS n FROM
+          (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')) AS word FROM documents) WHERE word <> '' GROUP BY 1, 2),
+        r AS (SELECT place, ln(((SELECT count(*) FROM documents) + 1) / (count(*) + 1)) AS rarity FROM c GROUP BY 1),
+        w AS (SELECT doc_id, place, n * rarity AS w FROM c JOIN r USING (place))
+        SELECT doc_id, place, round(coalesce(w / nullif(sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 0), 0), 6) AS weight FROM w""",
+)
 def hashed_encoding(t):
-    """Dense 512-number vectors of whole documents by the offline encoder."""
-    e = V.hashed_vectors(t.raw("documents").select("doc_id", "text"), "text")
-    return e.select("doc_id", F.size("embedding").alias("dims"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v * v), 6).alias("norm2"))
+    """Dense 512-number vectors of whole documents by the offline encoder, as rows."""
+    return V.hashed_vectors(t.raw("documents").select("doc_id", "text"), "doc_id", "text").withColumn("weight", F.round("weight", 6))
 
 
 def grams(source, key, text):

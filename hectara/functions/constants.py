@@ -159,16 +159,6 @@ SINGLE_NEAR_THRESHOLDS = {
     "NEAR_MAIN_ROAD": ("dist_to_main_road", 200),
 }
 
-# ---- fixed values: prices per square metre: city, district, min, max, segment, confidence ----
-PRICE_SEGMENTS = {
-    "ULTRA_PREMIUM": ">3000 zł/m²",
-    "PREMIUM": "1500-3000 zł/m²",
-    "HIGH": "800-1500 zł/m²",
-    "MEDIUM": "500-800 zł/m²",
-    "BUDGET": "300-500 zł/m²",
-    "ECONOMY": "<300 zł/m²",
-}
-
 # ---- fixed values: text rules ----
 BUDGET_PATTERNS = [r"(\d+)\s*(?:tys|k|tyś)", r"(\d+)\s*(?:000|złotych|zł)", r"budżet[^\d]*(\d+)", r"do\s*(\d+)\s*(?:tys|k)"]
 SIZE_PATTERNS = [r"(\d+)\s*m[²2]", r"(\d+)\s*metr", r"(\d{3,4})"]

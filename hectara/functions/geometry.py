@@ -300,12 +300,6 @@ def to_grid_linear(lat: Column, lon: Column) -> tuple[Column, Column]:
     return x, y
 
 
-def from_grid_linear(x: Column, y: Column) -> tuple[Column, Column]:
-    lat = (y - LINEAR_FALSE_NORTHING) / METRES_PER_DEGREE + LINEAR_ORIGIN_LAT
-    lon = (x - LINEAR_FALSE_EASTING) / (F.lit(METRES_PER_DEGREE) * F.cos(F.radians(lat))) + LINEAR_ORIGIN_LON
-    return lat, lon
-
-
 # Published transverse Mercator parameters per grid: central meridian, scale, false easting, false northing.
 GRIDS = {2180: (19.0, 0.9993, 500000.0, -5300000.0), 2177: (18.0, 0.999923, 6500000.0, 0.0)}
 _A, _FLAT = 6378137.0, 1 / 298.257222101

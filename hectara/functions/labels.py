@@ -84,10 +84,6 @@ def building_function(name: Column) -> Column:
     return F.coalesce(lookup(C.BUILDING_FUNCTIONS, name), name)
 
 
-# Amenity tag -> (type, subtype).
-EDUCATION_TAGS = {"school": None, "language_school": "language_school", "driving_school": "driving_school", "music_school": "music_school", "dancing_school": "dancing_school"}
-
-
 def education_type(amenity: Column) -> tuple[Column, Column]:
     kind = F.when(amenity == "kindergarten", "kindergarten").otherwise("school")
     subtype = F.when(amenity.isin("school", "kindergarten"), None).otherwise(amenity)

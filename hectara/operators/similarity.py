@@ -1,8 +1,6 @@
 """Vector search and text similarity. Cosine is exact; text meets on shared tokens, never all with all."""
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -66,25 +64,20 @@ def word_vectors(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     return counts.join(norms, keys).select(*keys, "token", (F.col("n") / F.col("norm")).alias("weight"))
 
 
-def encode_with(df: DataFrame, text: str, encoder: Callable, column: str = "embedding") -> DataFrame:
-    """Dense vectors from an injected vectorised encoder: a pandas_udf from text to array<float>."""
-    return df.withColumn(column, encoder(F.trim(F.lower(text))))
-
+def hashed_vectors(df: DataFrame, key: str, text: str, dimension: int = 512) -> DataFrame:
+    """Offline encoder of `dimension` numbers, as (key, place, weight) rows of unit length per text.
 
-def hashed_vectors(df: DataFrame, text: str, dimension: int = 512) -> DataFrame:
-    """Dense offline encoder: hashed word counts weighted by rarity, unit length."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
-    from pyspark.ml.functions import vector_to_array
-
-    stages = [
-        RegexTokenizer(inputCol=text, outputCol="_words", pattern=TOKEN_SPLIT),
-        HashingTF(inputCol="_words", outputCol="_tf", numFeatures=dimension),
-        IDF(inputCol="_tf", outputCol="_idf"),
-        Normalizer(inputCol="_idf", outputCol="_unit"),
-    ]
-    out = Pipeline(stages=stages).fit(df).transform(df)
-    return out.withColumn("embedding", vector_to_array("_unit")).drop("_words", "_tf", "_idf", "_unit")
+    Words are hashed to places by the first 32 bits of their md5; a place weighs its count times its rarity,
+    ln((texts + 1) / (texts with the place + 1)).
+    """
+    words = df.select(key, F.explode(F.split(F.lower(text), TOKEN_SPLIT)).alias("word")).filter("word <> ''")
+    place = (F.conv(F.substring(F.md5("word"), 1, 8), 16, 10).cast("long") % dimension).cast("int")
+    counts = words.groupBy(key, place.alias("place")).agg(F.count(F.lit(1)).alias("n"))
+    held = counts.groupBy("place").agg(F.count(F.lit(1)).alias("texts"))
+    rarity = held.join(F.broadcast(df.agg(F.count(F.lit(1)).alias("all")))).select("place", F.ln((F.col("all") + 1) / (F.col("texts") + 1)).alias("rarity"))
+    weighed = counts.join(F.broadcast(rarity), "place").withColumn("w", F.col("n") * F.col("rarity"))
+    norms = weighed.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return weighed.join(norms, key).select(key, "place", F.coalesce(F.try_divide("w", "norm"), F.lit(0.0)).alias("weight"))
 
 
 def cosine_pairs(left: DataFrame, left_keys: list[str], right: DataFrame, right_keys: list[str], on: str) -> DataFrame:

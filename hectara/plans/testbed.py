@@ -192,7 +192,7 @@ BRICKS = {
 }
 EDGES = {
     "edge_id": "l_orderkey * 10 + l_linenumber",
-    "src": "concat('D', l_orderkey % 1500)",
+    "src": "concat('D', l_partkey)",
     "dst": "l_suppkey",
     "rel": pick("(l_linenumber % 6)", ["NEAR_SCHOOL", "NEAR_BUS_STOP", "NEAR_SHOP", "NEAR_WATER", "NEAR_FOREST", "NEAR_ROAD"]),
     "distance_m": "l_quantity * 40",
