@@ -55,7 +55,7 @@ def targets(sizes: DataFrame, share: float, cap: float, weights: tuple[int, ...]
         .withColumn("_level", (F.col("_total") - F.col("_below")) / F.col("_open"))
         .withColumn("_full", F.col("_limit") <= F.col("_level") * F.col("_weight"))
     )
-    level = F.min(F.when(~F.col("_full"), F.col("_level"))).over(everything)
+    level = F.max(F.when(~F.col("_full"), F.col("_level"))).over(everything)  # the first open source has the highest
     return filled.select(
         "_source", "source_size",
         F.when(F.col("_full"), F.col("_limit")).otherwise(level * F.col("_weight")).alias("target"),

@@ -38,7 +38,7 @@ levels as (
   select *, (total - coalesce(sum(lim) over b, 0)::double) / (sum(w) over () - coalesce(sum(w) over b, 0))::double lev
   from weighed window b as (order by lim / w, i rows between unbounded preceding and 1 preceding)),
 targets as (
-  select s, n, case when lim <= lev * w then lim else min(case when lim > lev * w then lev end) over () * w end target from levels),
+  select s, n, case when lim <= lev * w then lim else max(case when lim > lev * w then lev end) over () * w end target from levels),
 budgets as (
   select *, floor(target)::bigint budget, case when n > 0 then floor(target)::bigint // n else 0 end epochs from targets),
 groups as (

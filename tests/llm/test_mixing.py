@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from hectara.llm import mixing
@@ -30,21 +32,31 @@ def test_budgets(docs):
     assert sorted(map(tuple, rows), key=repr) == sorted(map(tuple, mixing.mix_counts(docs.repartition(7)).collect()), key=repr)
 
 
-def test_levels_reshare_the_excess(spark):
-    sizes = spark.createDataFrame([("=a", 10), ("=b", 100), ("=c", 1000), ("", 5)], "_source string, source_size long")
-    got = {r._source: r.target for r in mixing.targets(sizes, 1.5, 2.0, (3, 1, 2)).collect()}
-    weights, limits, want = {"=a": 3, "=b": 1, "=c": 2, "": 3}, {"=a": 20.0, "=b": 200.0, "=c": 2000.0, "": 10.0}, {}
-    left, open_ = 1115 * 1.5, set(weights)
-    while open_:  # as stated: cut those above, share again
-        share = {s: left * weights[s] / sum(weights[o] for o in open_) for s in open_}
-        over = {s for s in open_ if share[s] > limits[s]}
+def reshared(sizes, share, cap, weights):
+    """As stated: share by weight, cut those above their limit, share the excess again until none is above."""
+    limits, targets = {s: cap * n for s, n in sizes.items()}, {}
+    left, open_ = share * sum(sizes.values()), set(sizes)
+    while open_:
+        parts = {s: left * weights[s] / sum(weights[o] for o in open_) for s in open_}
+        over = {s for s in open_ if parts[s] > limits[s]}
         if not over:
-            want |= share
-            break
-        want |= {s: limits[s] for s in over}
+            return targets | parts
+        targets |= {s: limits[s] for s in over}
         left -= sum(limits[s] for s in over)
         open_ -= over
-    assert got == pytest.approx(want)
+    return targets
+
+
+def test_levels_reshare_the_excess(spark):
+    rng = random.Random(5)
+    for _ in range(6):
+        n = rng.randint(1, 30)
+        sizes = {f"={i:02d}": rng.choice([0, 1, rng.randint(1, 60), rng.randint(1, 5000)]) for i in range(n)} | ({"": 5} if n % 2 else {})
+        df = spark.createDataFrame(list(sizes.items()), "_source string, source_size long")
+        got = {r._source: r.target for r in mixing.targets(df, 1.5, 2.0, (3, 1, 2)).collect()}
+        order = sorted(sizes, key=lambda s: (s == "", s))
+        want = reshared(sizes, 1.5, 2.0, {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)})
+        assert got == pytest.approx(want) and sum(got.values()) == pytest.approx(1.5 * sum(sizes.values()))
 
 
 def test_mixed_rows(docs):
