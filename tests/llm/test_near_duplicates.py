@@ -62,7 +62,7 @@ def test_empty(make_docs):
 def test_sketches_merge_and_estimate():
     rng = np.random.default_rng(3)
     for share in (0.3, 0.6, 0.8, 0.95):
-        n, m = 900, 700
+        n, m = 900, 860
         both = int(share * (n + m) / (1 + share))
         errors = []
         for _ in range(30):
