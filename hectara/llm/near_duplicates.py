@@ -35,6 +35,7 @@ M = BANDS * BAND_ROWS
 B, A, Q = 1.001, 20.0, (1 << 16) - 2
 PAIRED_BELOW = 1 << 9  # possible pairs in a bucket from which its sets meet in blocks
 BLOCK = 512
+SALTS = 32
 MARGIN = 0.17  # six standard errors of the estimate at the threshold: sqrt(0.8 * 0.2 / M) is 0.028
 WORD_CACHE = 1_000_000
 
@@ -213,7 +214,8 @@ def common_counts(left: list[bytes], right: list[bytes]) -> np.ndarray:
 def merged_buckets(members: DataFrame) -> DataFrame:
     """The large buckets around one component as one bucket, where that makes fewer comparisons than each on its own.
 
-    A group of near copies fills a bucket in many bands; merged, each of its sets is sent and compared once.
+    A group of near copies fills a bucket in many bands; merged, each of its sets is sent and compared once. Most rows may
+    lie around one component, so its totals meet them by salt.
     """
     buckets = members.select("key", "largest", "many", "outside").distinct()
     apart = buckets.groupBy("largest").agg(F.sum(F.col("many") * F.col("outside")).alias("apart"))
@@ -221,7 +223,8 @@ def merged_buckets(members: DataFrame) -> DataFrame:
         F.count("*").alias("all_many"), F.count_if(F.col("comp") != F.col("largest")).alias("all_outside")
     )
     fewer = F.col("all_many") * F.col("all_outside") <= F.col("apart")
-    rows = members.join(apart.join(distinct, "largest"), "largest")
+    totals = apart.join(distinct, "largest").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = members.withColumn("salt", F.pmod(F.xxhash64("key", "cls"), F.lit(SALTS)).cast("int")).join(totals, ["largest", "salt"])
     return rows.select(
         F.when(fewer, F.col("largest")).otherwise(F.col("key")).alias("key"), "cls", "comp", "largest",
         F.when(fewer, F.col("all_many")).otherwise(F.col("many")).alias("many"),
