@@ -1,11 +1,12 @@
 """Quality rules with risk-controlled thresholds.
 
-Each rule compares one measure of a text with a cutoff. Labelled documents are the holdout: for every language and
-rule the cutoffs are tried from the mildest to the strictest, and a cutoff passes while the exact binomial test rejects
-that more than `risk / rules` of the good documents would fall (the Clopper-Pearson bound lies below it). The test level
-is `level` divided by the number of languages and rules, so with probability 1 - level no language loses more than
-`risk` of its good documents. Among the cutoffs that passed the one that parts bad from good best is used; a language
-without enough labels gets none and keeps its documents.
+Each rule compares one measure of a text with a cutoff. Labelled documents are the holdout. For every language the steps
+(a rule at a cutoff) are tried one after the other in a sequence that bad documents alone decide, so it is fixed as far as
+good ones go. A step passes while the exact binomial test rejects that more than `risk` of the good documents would fall
+by any step so far (the Clopper-Pearson bound of the union lies below it); the first that does not ends the sequence. Only
+the languages share the test level, so with probability 1 - level no language loses more than `risk` of its good documents.
+Of the cutoffs of a rule that passed (but those that cost good documents and reject no further bad one) the one that parts
+bad from good best is used. A language with fewer than `least_labels` good documents gets no cutoffs and keeps its documents.
 
 Defined results: a null text has no words; null is a language of its own; a document with several label rows
 counts as good only if all say 1; labels of unknown documents and null labels are left out; without labels
@@ -39,6 +40,9 @@ RULES = {
     "word_length": ("word_chars", "n_words", LENGTHS),
 }
 
+#: Number of cutoffs of each rule that ordinary texts of no language reach; stricter ones are tried after all of these.
+MILD = {"symbol_share": 14, "dup_line_share": 10, "repeat_share": 10, "upper_share": 9, "mark_share": 13, "word_length": 8}
+
 
 def repeated_words(words: list[bytes]) -> int:
     """Words that lie in a window of three words which the text holds twice or more."""
@@ -110,42 +114,88 @@ def at_most(k: int, n: int, p: float) -> float:
     return min(1.0, math.exp(top) * math.fsum(math.exp(x - top) for x in logs))
 
 
-def certified(good: list[int], bad: list[int], n_good: int, n_bad: int, cutoffs: list[float], risk: float, level: float) -> float | None:
-    """The best cutoff of those that pass one after the other; good, bad: documents above each cutoff."""
+def least_labels(languages: int, risk: float = 0.02, level: float = 0.05) -> int:
+    """Good documents that a language needs before a cutoff can pass, if none of them falls."""
+    return math.ceil(math.log(level / languages) / math.log1p(-risk))
+
+
+def passes(k: int, n_good: int, risk: float, level: float) -> bool:
+    return k <= risk * n_good and at_most(k, n_good, risk) <= level
+
+
+def best_cutoff(good: list[int], bad: list[int], n_good: int, n_bad: int, cutoffs: list[float]) -> float | None:
+    """The cutoff that parts bad from good best, the mildest of equal ones; good, bad: documents above each cutoff."""
     best, chosen = 0.0, None
     for cutoff, k, b in zip(cutoffs, good, bad):
-        if k > risk * n_good or at_most(k, n_good, risk) > level:
-            break
         gain = b / max(1, n_bad) - k / max(1, n_good)
         if gain > best:
             best, chosen = gain, cutoff
     return chosen
 
 
+def certified(good: list[int], bad: list[int], n_good: int, n_bad: int, cutoffs: list[float], risk: float, level: float) -> float | None:
+    """The best cutoff of those of a single rule that pass one after the other; good, bad: documents above each cutoff."""
+    passed = next((i for i, k in enumerate(good) if not passes(k, n_good, risk, level)), len(cutoffs))
+    return best_cutoff(good, bad, n_good, n_bad, cutoffs[:passed])
+
+
+def sequence(places: np.ndarray, n: np.ndarray) -> list[tuple[int, int]]:
+    """Steps (rule, place of its cutoff) in the order of the tests. places: the first cutoff of each rule (column) that rejects n bad documents.
+
+    Mild cutoffs come before strict ones, rules with more bad documents above their mild cutoffs before others, and steps that reject
+    further bad documents before those that reject only bad documents which have fallen already. Steps that reject none are not tried.
+    """
+    mild, ends = list(MILD.values()), [len(cutoffs) for *_, cutoffs in RULES.values()]
+    by_catch = sorted(range(len(RULES)), key=lambda r: -int(n[places[:, r] < mild[r]].sum()))
+    steps = [(r, int(i)) for strict in (False, True) for r in by_catch for i in np.unique(places[:, r]) if i < ends[r] and (i >= mild[r]) == strict]
+    stands = np.ones(len(n), bool)
+    lead: list[tuple[int, int]] = []
+    for r, i in steps:
+        falls = places[:, r] <= i
+        if (stands & falls).any():
+            lead.append((r, i))
+            stands &= ~falls
+    return lead + [s for s in steps if s not in lead]
+
+
+def certified_union(good: np.ndarray, n_good: np.ndarray, bad: np.ndarray, n_bad: np.ndarray, risk: float, level: float) -> dict[str, float]:
+    """Cutoffs by rule, so that the documents above any of them pass the test; places and numbers as in sequence().
+
+    A step that passed is left out if it costs further good documents and rejects no further bad one.
+    """
+    tried, lost, rejected = np.zeros(len(n_good), bool), np.zeros(len(n_good), bool), np.zeros(len(n_bad), bool)
+    passed: dict[int, int] = {}
+    for r, i in sequence(bad, n_bad):
+        tried |= good[:, r] <= i
+        if not passes(int(n_good[tried].sum()), int(n_good.sum()), risk, level):
+            break
+        if (~rejected & (bad[:, r] <= i)).any() or not (~lost & (good[:, r] <= i)).any():
+            passed[r] = max(i, passed.get(r, 0))
+            lost |= good[:, r] <= i
+            rejected |= bad[:, r] <= i
+    out = {}
+    for r, (rule, (*_, cutoffs)) in enumerate(RULES.items()):
+        above = [[int(n[places[:, r] <= i].sum()) for i in range(passed.get(r, -1) + 1)] for places, n in ((good, n_good), (bad, n_bad))]
+        out[rule] = best_cutoff(*above, int(n_good.sum()), int(n_bad.sum()), cutoffs)
+    return {rule: cutoff for rule, cutoff in out.items() if cutoff is not None}
+
+
 def learn_cutoffs(labelled: DataFrame, risk: float = 0.02, level: float = 0.05) -> DataFrame:
     """Rows (lang, rule, cutoff) of the certified rules. labelled: lang, good (boolean) and the measures of each labelled document."""
-    ranks = [
-        F.struct(F.lit(rule).alias("rule"), sum((ratio(rule) > c).cast("int") for c in cutoffs).alias("above"))
-        for rule, (_, _, cutoffs) in RULES.items()
-    ]  # cutoffs fall, so being above any of them means being above all stricter ones
-    counts = cut_lineage(
-        labelled.select("lang", "good", F.explode(F.array(*ranks)).alias("r")).groupBy("lang", "good", "r.rule", "r.above").agg(F.count("*").alias("n"))
-    )
+    # cutoffs fall, so being above any of them means being above all stricter ones
+    places = F.array(*[F.lit(len(cutoffs)) - sum((ratio(rule) > c).cast("int") for c in cutoffs) for rule, (*_, cutoffs) in RULES.items()])
+    counts = cut_lineage(labelled.select("lang", "good", places.alias("places")).groupBy("lang", "good", "places").agg(F.count("*").alias("n")))
     strata = max(1, counts.select("lang").distinct().count())
-    share, test_level = risk / len(RULES), level / (strata * len(RULES))
 
     def choose(group: pd.DataFrame) -> pd.DataFrame:
-        rule = group["rule"].iloc[0]
-        cutoffs = RULES[rule][2]
-        above = {flag: np.zeros(len(cutoffs) + 1, np.int64) for flag in (True, False)}
-        for flag, rank, n in zip(group["good"], group["above"], group["n"]):
-            above[bool(flag)][int(rank)] += n
-        # rank r: above the r strictest cutoffs, that is those at places len - r and later
-        tops = {flag: [int(v[len(cutoffs) - i:].sum()) for i in range(len(cutoffs))] for flag, v in above.items()}
-        cutoff = certified(tops[True], tops[False], int(above[True].sum()), int(above[False].sum()), cutoffs, share, test_level)
-        return pd.DataFrame({"lang": [group["lang"].iloc[0]], "rule": [rule], "cutoff": [cutoff]}).dropna(subset=["cutoff"])
-
-    return counts.groupBy("lang", "rule").applyInPandas(choose, "lang string, rule string, cutoff double")
+        parts = []
+        for flag in (True, False):
+            rows = group[group["good"] == flag]
+            parts += [np.array(rows["places"].tolist(), np.int64).reshape(-1, len(RULES)), rows["n"].to_numpy(np.int64)]
+        found = certified_union(*parts, risk, level / strata)
+        return pd.DataFrame({"lang": group["lang"].iloc[0], "rule": list(RULES), "cutoff": [found.get(rule) for rule in RULES]}).dropna(subset=["cutoff"])
+
+    return counts.groupBy("lang").applyInPandas(choose, "lang string, rule string, cutoff double")
 
 
 def labelled_measures(measured: DataFrame, labels: DataFrame) -> DataFrame:

@@ -97,3 +97,33 @@ def test_query(spark):
     for r in rows:
         assert tuple(r)[1:6] == slow_measures(texts[r.doc_id])
         assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words) and not (r.kept and r.base_failed)
+
+
+def test_defaults_reject_bad_documents_of_each_language(spark):
+    """Every labelled bad document of sf0.1 has many symbols and no good one has any."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{x}.parquet") for x in ("documents", "labels"))
+    good = labels.filter("quality is not null").groupBy("doc_id").agg({"quality": "min"}).toDF("doc_id", "good")
+    rows = qr.judge_documents(docs, labels).join(good, "doc_id").filter("not base_failed").groupBy("lang", "good", "kept").count().collect()
+    n = {(r.lang, r.good, r.kept): r["count"] for r in rows}
+    assert {lang for lang, *_ in n} == {"de", "en", "es", "fr"}
+    for lang in ("de", "en", "es", "fr"):
+        assert n[lang, 0, False] and (lang, 0, True) not in n
+        assert n.get((lang, 1, False), 0) <= 0.02 * n[lang, 1, True]
+
+
+def counted(rows):
+    """Places and numbers from {rule: place} rows; rules that are not named reject nothing."""
+    places = [[r.get(rule, len(cutoffs)) for rule, (*_, cutoffs) in qr.RULES.items()] for r, _ in rows]
+    return qr.np.array(places, int).reshape(-1, len(qr.RULES)), qr.np.array([n for _, n in rows], int)
+
+
+def test_union_of_rules_keeps_the_risk():
+    assert qr.least_labels(4) == 217 and qr.passes(0, 217, 0.02, 0.0125) and not qr.passes(0, 216, 0.02, 0.0125)
+    bad = counted([({"symbol_share": 10}, 5), ({"mark_share": 9}, 4), ({"word_length": 9}, 1)])
+    assert qr.certified_union(*counted([({}, 217)]), *bad, 0.02, 0.0125) == {"symbol_share": 0.1, "mark_share": 0.15, "word_length": 10.0}
+    assert qr.certified_union(*counted([({}, 216)]), *bad, 0.02, 0.0125) == {}
+    # each rule alone passes with 9 of 1000 lost; both together lose 18 and do not
+    good = counted([({"symbol_share": 10}, 9), ({"mark_share": 9}, 9), ({}, 982)])
+    assert qr.passes(9, 1000, 0.02, 0.0125) and not qr.passes(18, 1000, 0.02, 0.0125)
+    assert qr.certified_union(*good, *bad, 0.02, 0.0125) == {"symbol_share": 0.1}
+    assert qr.certified_union(*counted([]), *bad, 0.02, 0.0125) == qr.certified_union(*counted([({}, 500)]), *counted([]), 0.02, 0.0125) == {}
