@@ -4,7 +4,8 @@ Found values are checked first (Luhn digit, mod 97, number ranges, calendar) and
 within their own format: the two halves of a value take turns, each character of one half is shifted within its alphabet
 by a hash of the key, the round and the other half. A network is a permutation whatever the hash, so equal values
 get equal pseudonyms in all documents, however a number is grouped, and different values stay different. Check digits are computed anew; dates are
-permuted among the days of 1900 to 2099, addresses among all IPv4 addresses. DataFrame functions only, no shuffle.
+permuted among the days of 1900 to 2099, addresses among all IPv4 addresses. A span that fails its check, say a card with further
+digits beside it, is searched for shorter values and other kinds. DataFrame functions only, no shuffle.
 
 Defined results: null stays null, texts without values and values that fail their check stay as they are; a country code,
 the first digit of a card, the domain of a mail address and all separators stay; columns of the input are kept, text is replaced
@@ -34,9 +35,16 @@ POINT_DAY = r"\d{2}\.\d{2}\.\d{4}(?!\.?\d)"
 SLASH_DAY = r"\d{2}/\d{2}/\d{4}(?![\d/])"
 SSN = r"\d{3}-\d{2}-\d{4}(?![\d-])"
 CARD = r"\d(?:[ -]?\d){12,18}(?![\d])"
-PHONE = r"\+\d{1,3}(?:[ .-]?\(?\d{2,4}\)?){2,5}(?!\d)|\(\d{3}\) ?\d{3}-\d{4}(?!\d)|\d{3}-\d{3}-\d{4}(?![\d-])"
+AMERICAN = r"\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|\(\d{3}\) ?\d{3}-\d{4}(?!\d)|\d{3}-\d{3}-\d{4}(?![\d-])"
+#: What ends a phone number, so that it does not take the first digits of its neighbour.
+NEIGHBOUR = rf"(?:{IPV4}|{ISO_DAY}|{POINT_DAY}|{SLASH_DAY}|{SSN}|\d{{4}}[ -]\d{{4}}[ -]\d{{4}}[ -]\d|\d{{13,19}}(?!\d))"
+PHONE = rf"{AMERICAN}|\+\d{{1,3}}(?:(?! {NEIGHBOUR})[ .-]?\(?\d{{2,4}}\)?){{2,5}}(?!\d)"
 FOUND = rf"(?<![A-Za-z0-9._%+@-])(?:{MAIL}|{IPV4}|{IBAN}|{ISO_DAY}|{POINT_DAY}|{SLASH_DAY}|{SSN}|{CARD})|(?<![A-Za-z0-9._%@-])(?:{PHONE})"
 
+#: A found value and what adjoins it: the rest of its word and the words after it that hold digits.
+RUN = rf"(?:{FOUND})(?: ?[^\s]*\d[^\s]*)*+"
+WINDOW, LONGEST, SHORTEST = 400, 48, 7  # characters looked at from the start of a value; lengths of values but mail addresses
+
 
 def digits_of(value: Column) -> Column:
     return F.regexp_replace(value, r"[^0-9]", "")
@@ -237,17 +245,64 @@ def pseudonym(value: Column, key: str) -> Column:
     return out
 
 
+def first_fit(spans: Column, key: str) -> Column:
+    """The first span that a kind fits and its pseudonym; empty texts if there is none."""
+    none = F.struct(F.lit("").alias("old"), F.lit("").alias("new"))
+
+    def tried(v: Column) -> Column:
+        pair = F.array(F.struct(v.alias("old"), pseudonym(v, key).alias("new")))
+        return F.coalesce(F.get(F.filter(pair, lambda p: p["old"] != p["new"]), F.lit(0)), none)
+
+    return F.aggregate(spans, none, lambda a, v: F.when(a["old"] != "", a).otherwise(tried(v)))
+
+
+def replaced(run: Column, key: str) -> Column:
+    """The run with its values replaced, and their number: at each start the found span, or the longest shorter one that fits.
+
+    Shorter spans end where a word ends. Where none fits, the search goes on behind the first word of the span.
+    """
+    start = F.struct(F.lit("").alias("text"), F.lit(0).alias("n"), F.lit(1).alias("at"), F.lit(True).alias("free"))
+
+    def turn(s: Column, _: Column) -> Column:
+        rest = F.substr(run, s["at"], F.lit(WINDOW))
+        before = F.when(s["free"], F.lit(" ")).otherwise(F.substr(run, s["at"] - 1, F.lit(1)))
+        found = F.regexp_extract(F.concat(before, rest), rf"(?s)^.({FOUND})", 1)
+
+        def put(v: Column) -> Column:
+            sizes = F.filter(F.sequence(F.lit(LONGEST), F.lit(SHORTEST), F.lit(-1)), lambda i: i <= F.length(rest))
+            ends = F.filter(sizes, lambda i: F.substr(rest, i, F.lit(2)).rlike("^[A-Za-z0-9)](?![A-Za-z0-9])"))
+            spans = F.concat(F.array(v), F.transform(ends, lambda i: F.substr(rest, F.lit(1), i)))
+            fit = first_fit(F.when(v != "", spans).otherwise(F.array().cast("array<string>")), key)
+            word = F.when(v == "", F.regexp_extract(rest, r"(?s)^(?:[A-Za-z0-9]+|.)", 0)).otherwise(F.regexp_extract(rest, r"^[+(]*[A-Za-z0-9]+[ /-]?", 0))
+
+            def taken(f: Column) -> Column:
+                fell = f["old"] == ""
+                old = F.when(fell, word).otherwise(f["old"])
+                return F.struct(
+                    F.concat(s["text"], F.when(fell, word).otherwise(f["new"])).alias("text"), (s["n"] + F.when(fell, 0).otherwise(1)).alias("n"),
+                    (s["at"] + F.length(old)).alias("at"), (fell & (v != "")).alias("free"),
+                )
+
+            return F.get(F.transform(F.array(fit), taken), F.lit(0))
+
+        return F.when(rest == "", s).otherwise(F.get(F.transform(F.array(found), put), F.lit(0)))
+
+    words = F.size(F.regexp_extract_all(run, F.lit(r"(?s)[A-Za-z0-9]+|."), F.lit(0)))
+    return F.aggregate(F.sequence(F.lit(1), words), start, turn, lambda s: F.struct(s["text"].alias("text"), s["n"].alias("n")))
+
+
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """The columns of docs with all found values of text replaced, and n_pseudonyms, the number of values that changed."""
     text = F.col("text")
-    found = F.regexp_extract_all(text, F.lit(FOUND), F.lit(0))
-    between = F.split(text, FOUND, -1)
-    woven = F.array_join(F.flatten(F.zip_with(between, F.concat(F.col("_names"), F.array(F.lit(""))), lambda b, n: F.array(b, n))), "")
+    found = F.regexp_extract_all(text, F.lit(RUN), F.lit(0))
+    between = F.split(text, RUN, -1)
+    names = F.transform("_runs", lambda r: r["text"])
+    woven = F.array_join(F.flatten(F.zip_with(between, F.concat(names, F.array(F.lit(""))), lambda b, n: F.array(b, n))), "")
     held = F.when(text.rlike(r"[0-9@]"), found).otherwise(F.array().cast("array<string>"))
-    worked = packed(docs, "text", held.alias("_found")).withColumn("_names", F.transform("_found", lambda v: pseudonym(v, key)))
-    changed = F.size(F.filter(F.arrays_zip("_found", "_names"), lambda p: p["_found"] != p["_names"]))
+    worked = packed(docs, "text", held.alias("_found")).withColumn("_runs", F.transform("_found", lambda v: replaced(v, key)))
+    changed = F.aggregate("_runs", F.lit(0), lambda a, r: a + r["n"])
     rest = docs.select(*[f"`{c}`" for c in docs.columns if c != "n_pseudonyms"])
     return worked.select(
-        *unpacked(rest, text=F.when(F.size("_names") > 0, woven).otherwise(text)),
-        F.greatest(changed, F.lit(0)).cast("long").alias("n_pseudonyms"),
+        *unpacked(rest, text=F.when(F.size("_runs") > 0, woven).otherwise(text)),
+        F.coalesce(changed, F.lit(0)).cast("long").alias("n_pseudonyms"),
     )

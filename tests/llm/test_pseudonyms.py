@@ -92,3 +92,28 @@ def test_query(spark):
 def test_layout(spark, value):
     packed = value.replace(" ", "")
     assert spark.range(1).select(ps.laid_out(F.lit(packed), F.lit(value))).first()[0] == value
+
+
+PHONE, ADDRESS, CARD, IBAN, DAY = "+1 (826) 555-4081", "190.137.223.204", "4111 1111 1111 1111", "DE89 3704 0044 0532 0130 00", "2024-05-01"
+
+
+def test_neighbouring_values(spark):
+    """A value beside other digits or values gets the pseudonym that it has alone."""
+    short, austrian = "4222222222222", "AT61 1904 3002 3457 3201"
+    values = [PHONE, ADDRESS, CARD, IBAN, DAY, short, austrian, "+49 30 1234567", "a.b1@x.example.org"]
+    alone = dict(zip(values, change(spark, values)))
+    assert all(v != new for v, new in alone.items())
+    rows = [
+        [PHONE, " ", ADDRESS], [PHONE, " ", DAY], [PHONE, " ", CARD], ["+49 30 1234567", " ", ADDRESS], ["+49 30 1234567", " ", CARD], [CARD, " 12/27"], [CARD, " 123"],
+        ["12 ", CARD], [short, " ", DAY], [CARD, " ", CARD, " ", DAY], [IBAN, " 12"], [austrian, " IBAN"], [austrian, " ", CARD], [ADDRESS, " ", PHONE], [DAY, " ", ADDRESS, " 7"],
+        ["12 ", CARD, " 77 ", "a.b1@x.example.org"], ["no. 5 ", DAY, ", ", CARD, " 123; ", ADDRESS, "."],
+    ]
+    out = ps.pseudonymise(spark.createDataFrame([(i, "".join(r)) for i, r in enumerate(rows)], "doc_id long, text string"), "k").orderBy("doc_id").collect()
+    for r, got in zip(rows, out):
+        assert got.text == "".join(alone.get(x, x) for x in r) and got.n_pseudonyms == sum(x in alone for x in r)
+
+
+def test_long_runs_of_numbers(spark):
+    text = "7 " * 300 + CARD + " 12/27" + " 7" * 300
+    got = change(spark, [text])[0]
+    assert CARD not in got and len(got) == len(text)
