@@ -126,7 +126,7 @@ def upsert(base: DataFrame, updates: DataFrame, key: str, order: list[str] | Non
 def upsert_table(spark: SparkSession, path: str, updates: DataFrame, key: str, part: str, order: list[str] | None = None) -> None:
     """Upsert into the Parquet table at path, partitioned by `part`; only partitions that hold a touched row are rewritten.
 
-    A key that is updated keeps its partition if updates do not name `part`; new keys must name it. The names of touched
+    A key that is updated keeps its partition if updates do not name `part`; new keys that do not name it get null. The names of touched
     partitions come to the driver: they are folders, not rows.
     """
     updates = latest(updates, key, order or [])
@@ -134,9 +134,14 @@ def upsert_table(spark: SparkSession, path: str, updates: DataFrame, key: str, p
     held = table.join(updates.select(key), key, "left_semi").select(F.col(part).cast("string").alias(part))
     if part in updates.columns:
         held = held.unionByName(updates.select(F.col(part).cast("string").alias(part)))
-    touched = [r[0] for r in held.distinct().collect() if r[0] is not None]
-    rows = cut_lineage(upsert(table.filter(F.col(part).cast("string").isin(touched)), updates, key))
-    emptied = spark.createDataFrame([(t,) for t in touched], f"{part} string").join(rows.select(F.col(part).cast("string").alias(part)).distinct(), part, "left_anti")
+    else:  # new keys lie in the null partition
+        held = held.unionByName(updates.join(table.select(key), key, "left_anti").select(F.lit(None).cast("string").alias(part)))
+    touched = [r[0] for r in held.distinct().collect()]
+    name = F.col(part).cast("string")
+    within = F.when(name.isNull(), F.lit(None in touched)).otherwise(name.isin([x for x in touched if x is not None]))
+    rows = cut_lineage(upsert(table.filter(within), updates, key))
+    left = rows.select(name.alias("_left")).distinct()
+    emptied = spark.createDataFrame([(x,) for x in touched], f"{part} string").join(left, F.col(part).eqNullSafe(F.col("_left")), "left_anti")
     if not emptied.isEmpty():
         raise ValueError("an update moves the last row out of a partition; rewrite the table instead")
     rows.repartition(part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)
