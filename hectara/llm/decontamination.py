@@ -1,8 +1,9 @@
 """Benchmark decontamination.
 
 The windows of n words of all benchmark items (a shorter item is one window) form a hash set that is broadcast in blocks
-of bounded bytes; a larger benchmark means more blocks, each a further pass over the rows as they stream by, never a
-larger broadcast. Documents are scanned whole: words become numbers of the block's vocabulary, window hashes are
+of bounded bytes, each a further pass over the rows as they stream by. The bound holds for a block only: all blocks come
+through the driver and are held at once, so the whole benchmark must fit the memory of the driver and of each worker.
+Documents are scanned whole: words become numbers of the block's vocabulary, window hashes are
 computed for all places at once and looked up, and every hit is verified on its full word sequence.
 
 Defined results: a null or wordless text has no hits and an item without words no windows; an item with a null id
