@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hectara.llm import classifier, decontamination, mixing, near_duplicates, pseudonyms, quality_rules, records, sharding, token_counts, url_rules
+from hectara.llm import classifier, decontamination, mixing, near_duplicates, pseudonyms, quality_rules, records, sharding, token_counts, url_rules, vector_codes, whitening
 from hectara.llm.common import table
 from hectara.session import shared_dir
 
@@ -167,3 +167,34 @@ select page_id, host, path, rule, coalesce(verdict, 'allow') verdict from f
 def op10(spark, sf_dir):
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_rules.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
+
+
+CODE_SQL = r"""
+with k as materialized (
+  select row_number() over () r, vec_id, label, embedding from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0),
+wide as (select max(len(embedding)) // 16 w from k),
+x as materialized (
+  select r, p, list_transform(embedding[p * w + 1:p * w + w], lambda c: floor(256 * c::double)::bigint) x from k, wide, (select unnest(range(16)) p)),
+b0 as materialized (select p, e, x b from x join (select r, row_number() over (order by vec_id, embedding) - 1 e from k where vec_id is not null) using (r) where e < 64),
+a0 as materialized (select r, p, x, arg_min(e, (d, e)) e from (select r, x.p, x, e, list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - b[i]) * (x[i] - b[i]))) d from x join b0 on x.p = b0.p) group by r, p, x),
+m0 as (select p, e, list(m order by i) b from (select p, e, i, floor(sum(x[i]) / count(*))::bigint m from a0, wide, (select unnest(range(1, 65)) i) where i <= w group by p, e, i) group by p, e),
+b1 as materialized (select p, e, coalesce(m0.b, b0.b) b from b0 left join m0 using (p, e)),
+a1 as materialized (select r, p, x, arg_min(e, (d, e)) e from (select r, x.p, x, e, list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - b[i]) * (x[i] - b[i]))) d from x join b1 on x.p = b1.p) group by r, p, x),
+m1 as (select p, e, list(m order by i) b from (select p, e, i, floor(sum(x[i]) / count(*))::bigint m from a1, wide, (select unnest(range(1, 65)) i) where i <= w group by p, e, i) group by p, e),
+b2 as materialized (select p, e, coalesce(m1.b, b1.b) b from b1 left join m1 using (p, e)),
+a2 as (select r, p, arg_min(e, (d, e)) e, min(d) d from (select r, x.p, e, list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - b[i]) * (x[i] - b[i]))) d from x join b2 on x.p = b2.p) group by r, p),
+coded as (select r, string_agg(printf('%02x', e), '' order by p) code, sum(d)::bigint error from a2 group by r),
+books as (select sha256(string_agg(array_to_string(b, ','), ',' order by p, e)) codebooks_sha256 from b2)
+select vec_id, code, error, (sum(error) over (partition by label))::bigint label_error, codebooks_sha256 from k join coded using (r), books
+"""
+
+
+@query("op12_vector_codes", CODE_SQL)
+def op12(spark, sf_dir):
+    return vector_codes.encode(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2, scale=256)
+
+
+@query("op13_whitening")
+def op13(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=8, scale=1024, shift=100_000)
