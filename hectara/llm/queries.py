@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hectara.llm import classifier, decontamination, mixing, near_duplicates, pseudonyms, quality_rules, records, sharding, token_counts, url_rules, vector_codes, whitening
+from hectara.llm import classifier, decontamination, mixing, near_duplicates, pseudonyms, quality_rules, records, set_join, sharding, token_counts, url_rules, vector_codes, whitening
 from hectara.llm.common import table
 from hectara.session import shared_dir
 
@@ -169,6 +169,14 @@ def op10(spark, sf_dir):
     return url_rules.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
 
 
+JOIN_SQL = NEAR_SQL.replace("80 *", "85 *").replace(", c = doc_id kept", "")
+
+
+@query("op11_set_join", JOIN_SQL)
+def op11(spark, sf_dir):
+    return set_join.joined_sets(table(spark, sf_dir, "documents").select("doc_id", "text"), k=4, percent=85)
+
+
 CODE_SQL = r"""
 with k as materialized (
   select row_number() over () r, vec_id, label, embedding from embeddings
