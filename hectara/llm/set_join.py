@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, LongType, StructField, StructType
 
-from hectara.llm.common import map_chunks, ship_package
+from hectara.llm.common import ship_package
 from hectara.llm.components import components
-from hectara.llm.near_duplicates import class_of, common_counts, cross_pairs, full_sets, joined, merged_buckets, scramble, shingle_set, with_component, with_leaders
+from hectara.llm.near_duplicates import class_of, common_counts, cross_pairs, joined, merged_buckets, scramble, shingle_set, with_component, with_leaders
 from hectara.session import cut_lineage, sized_broadcast
 
 TABLES, SLOTS = 2, 1 << 20
@@ -40,6 +40,7 @@ PIECE = 1 << 14  # counters in a row of partial sums
 HEAVY = 1 << 14  # estimated frequency from which the rows of a key may be split over tasks
 PAIRED_BELOW = 1 << 9  # possible pairs in a bucket from which its sets meet in blocks
 BLOCK = 512
+SALTS = 64
 ROWS = 256
 SEEN = 1 << 20
 
@@ -144,51 +145,91 @@ def prefix_entries(docs: DataFrame, table: np.ndarray, k: int, percent: int) ->
 
 
 def shared_entries(entries: DataFrame) -> DataFrame:
-    """key, cls and many, the key's number of classes, for keys that hold more than one class."""
-    light = entries.filter("not heavy").select("key", "cls").repartition("key").dropDuplicates(["key", "cls"])
-    light = light.withColumn("many", F.count("*").over(Window.partitionBy("key"))).filter("many > 1")  # below HEAVY rows a key
-    heavy = entries.filter("heavy").select("key", "cls").distinct()
-    totals = heavy.groupBy("key").agg(F.count("*").alias("many")).filter("many > 1")
-    return light.unionByName(heavy.join(totals, "key"))
-
-
-def orders_meet(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose prefixes share a shingle under the rising and under the falling order of hashes; only prefixes travel."""
-    n = F.col("members_size")
-    first = n - F.expr(f"({percent} * members_size + 99) div 100") + 1
-    ends = sets.withColumn("members_size", F.expr("length(members) div 8")).select(
-        "cls", F.substring("members", F.lit(1), (8 * first).cast("int")).alias("head"), F.substring("members", (8 * (n - first) + 1).cast("int"), (8 * first).cast("int")).alias("tail")
-    )
-    sides = pairs
-    for side in ("a", "b"):
-        sides = sides.join(ends.select(F.col("cls").alias(side), F.col("head").alias(f"h_{side}"), F.col("tail").alias(f"t_{side}")), side)
-    out = StructType([StructField("a", LongType()), StructField("b", LongType()), StructField("meet", BooleanType())])
+    """key, cls and many, the number of classes, of each bucket of classes that share a key; keys of the same classes are one bucket.
 
-    def run(chunk):
-        meet = []
-        for h_a, h_b, t_a, t_b in zip(chunk["h_a"], chunk["h_b"], chunk["t_a"], chunk["t_b"]):
-            meet.append(all(len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) > 0 for x, y in ((h_a, h_b), (t_a, t_b))))
-        return {"meet": meet}
+    The rows of a heavy key are dealt out by salt and meet as totals only.
+    """
+    salt = F.when(F.col("heavy"), F.pmod(F.xxhash64("cls"), F.lit(SALTS))).otherwise(0)
+    once = entries.select("key", "cls", "heavy", salt.alias("salt")).repartition("key", "salt").dropDuplicates(["key", "salt", "cls"])
+    held = Window.partitionBy("key", "salt")  # below HEAVY rows, or a share of a heavy key
+    counted = once.withColumns({"many": F.count("*").over(held), "mark": F.bit_xor(F.xxhash64("cls")).over(held)}).filter("many > 1 or heavy")
+    slices = cut_lineage(counted.select("key", "cls", "heavy", "many", "mark", "salt").withColumn("key", F.when(F.col("heavy"), F.col("key")).otherwise(F.xxhash64("mark", "many"))).distinct())
+    totals = slices.filter("heavy").select("key", "salt", "many", "mark").distinct().groupBy("key").agg(F.sum("many").alias("many"), F.bit_xor("mark").alias("mark"))
+    named = totals.filter("many > 1").withColumn("bucket", F.xxhash64("mark", "many"))
+    heavy = slices.filter("heavy").select("key", "cls").join(named, "key").select(F.col("bucket").alias("key"), "cls", "many").distinct()
+    return slices.filter("not heavy").select("key", "cls", "many").unionByName(heavy).distinct()
 
-    return map_chunks(sides, run, out).filter("meet").select("a", "b")
 
+def with_fitting(members: DataFrame, percent: int) -> DataFrame:
+    """members (key, cls, n, many) without the rows that have no other of a fitting size in their bucket; buckets above HEAVY stay as they are."""
+    by_size = Window.partitionBy("key").orderBy("n", "cls")
+    small = members.filter(F.col("many") <= HEAVY).withColumns({"below": F.lag("n").over(by_size), "above": F.lead("n").over(by_size)})
+    fits = (100 * F.col("below") >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.col("above"))
+    return small.filter(fits).select(members.columns).unionByName(members.filter(F.col("many") > HEAVY))
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs of classes with 100 * intersection >= percent * union, after the filters of the other orders."""
-    sides = cut_lineage(orders_meet(pairs, sets, percent))
-    for side in ("a", "b"):
-        sides = sides.join(sets.select(F.col("cls").alias(side), F.col("members").alias(f"m_{side}")), side)
-    out = StructType([StructField("a", LongType()), StructField("b", LongType()), StructField("common", LongType()), StructField("united", LongType())])
 
-    def compare(chunk):
-        common, united = [], []
-        for x, y in zip(chunk["m_a"], chunk["m_b"]):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            common.append(len(np.intersect1d(x, y, assume_unique=True)))
-            united.append(len(x) + len(y) - common[-1])
-        return {"common": common, "united": united}
+def whole_sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """cls and members, the sorted shingle hashes, of the wanted classes, from the whole text of one document of each.
+
+    A document whose row is repeated may give its set once a task.
+    """
+    chosen = sized_broadcast(classes.join(wanted, "cls", "left_semi").select(F.col("first_doc").alias("doc_id"), F.col("cls").alias("wanted")))
+    schema = StructType([StructField("cls", LongType()), StructField("members", BinaryType())])
+    kinds = to_arrow_schema(schema)
+
+    def run(batches):
+        seen: set[int] = set()
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                rows = []
+                for cls, text in zip(part.column("wanted").to_pylist(), part.column("text").to_pylist()):
+                    if cls in seen:
+                        continue
+                    found = shingle_set(text, k)
+                    if class_of(found) == cls:
+                        if len(seen) >= SEEN:
+                            seen.clear()
+                        seen.add(cls)
+                        rows.append({"cls": cls, "members": found.tobytes()})
+                yield pa.RecordBatch.from_pylist(rows, schema=kinds)
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id").select("wanted", "text")
+    return cut_lineage(texts.mapInArrow(run, schema))
+
+
+def meets(x: np.ndarray, y: np.ndarray) -> bool:
+    return len(np.intersect1d(x, y, assume_unique=True)) > 0
+
+
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether 100 * intersection >= percent * union: by sizes, by the prefixes of both orders of hashes, then by the full sets."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    p, q = prefix_size(len(x), percent), prefix_size(len(y), percent)
+    if not (meets(x[:p], y[:q]) and meets(x[-p:], y[-q:])):
+        return False
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes that link. The set of b goes once to its a; an a with many b's is sent to blocks of them."""
+    pairs = cut_lineage(pairs)
+    dealt = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = pairs.join(dealt, "a").withColumn("block", F.pmod(F.xxhash64("b"), "blocks").cast("int"))
+    some = sets.join(sized_broadcast(placed.select("a", "block", F.col("b").alias("cls"))), "cls").select("a", "block", F.col("cls").alias("b"), "members")
+    lead = sets.join(sized_broadcast(dealt.select(F.col("a").alias("cls"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("at"))), "cls")
+    lead = lead.select(F.col("cls").alias("leader"), "at", F.col("members").alias("set"))
+
+    def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if x.empty or y.empty:
+            return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
+        first = np.frombuffer(y["set"].iloc[0], np.uint64)
+        kept = [b for b, m in zip(x["b"], x["members"]) if linked(first, np.frombuffer(m, np.uint64), percent)]
+        return pd.DataFrame({"a": np.full(len(kept), x["a"].iloc[0]), "b": np.array(kept, np.int64)})
 
-    return map_chunks(sides, compare, out, 128).filter(100 * F.col("common") >= percent * F.col("united")).select("a", "b")
+    return some.groupBy("a", "block").cogroup(lead.groupBy("leader", "at")).applyInPandas(compare, "a long, b long")
 
 
 def sized_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -231,13 +272,14 @@ def sized_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
 
 def link_classes(entries: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Components of classes as (node, component), for nodes with a link, from the shared keys of their prefixes."""
-    shared = cut_lineage(entries)
-    members = cut_lineage(with_leaders(shared.join(classes.select("cls", "n"), "cls")))
-    sets = full_sets(members.select("cls").distinct(), classes, docs, k)
+    sized = with_fitting(cut_lineage(entries).join(classes.select("cls", "n"), "cls"), percent)
+    members = cut_lineage(with_leaders(cut_lineage(sized)))
+    sets = whole_sets(members.select("cls").distinct(), classes, docs, k)
 
     def fitting(pairs: DataFrame) -> DataFrame:
-        sizes = classes.select(F.col("cls").alias("a"), F.col("n").alias("n_a")), classes.select(F.col("cls").alias("b"), F.col("n").alias("n_b"))
-        return pairs.join(sizes[0], "a").join(sizes[1], "b").filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b")
+        for side in ("a", "b"):
+            pairs = pairs.join(classes.select(F.col("cls").alias(side), F.col("n").alias(f"n_{side}")), side)
+        return pairs.filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b")
 
     followers = members.filter("cls != lead.cls").select("cls", "lead")
     # One leader for each class first: this joins most of a group of near copies with one comparison a class.

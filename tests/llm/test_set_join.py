@@ -75,8 +75,8 @@ def test_a_common_passage_is_no_key(make_docs):
 
 def test_compared_pairs_of_near_copies_stay_linear(make_docs, monkeypatch):
     seen = []
-    kept = sj.orders_meet
-    monkeypatch.setattr(sj, "orders_meet", lambda pairs, *rest: seen.append(pairs.count()) or kept(pairs, *rest))
+    kept = sj.verified
+    monkeypatch.setattr(sj, "verified", lambda pairs, *rest: seen.append(pairs.count()) or kept(pairs, *rest))
     base = [f"w{i}" for i in range(400)]
     rows = [(i, " ".join(base[:i % 397] + [f"n{i}"] + base[i % 397 + 1:])) for i in range(400)]
     assert sj.joined_sets(make_docs(rows), 5, 85).filter("component_id = 0").count() == 400
