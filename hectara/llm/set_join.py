@@ -3,8 +3,8 @@
 Two sets of n and m shingles with a Jaccard similarity of at least t share a shingle among the first n - ceil(t n) + 1 and
 m - ceil(t m) + 1 of them, whatever global order the shingles are put in. Three orders are used: by estimated frequency, rarest first
 and ties by hash, by rising hash and by falling hash. The rare-first order makes candidates: passages that many documents share come last in it and
-are hardly ever a key. A candidate is compared only if its prefixes meet under the other two orders as well and its sizes fit; then
-both full sets decide.
+are hardly ever a key. A candidate is compared only if its sizes fit, its prefixes meet under the other two orders as well and
+its maps of parities do not differ in more places than the sets may; then both full sets decide.
 
 Frequencies are sums over all documents in TABLES tables of SLOTS counters each, with independent hashes; a shingle's estimate is the
 smaller one. A coarse estimate costs candidates, never a link, so the tables are bounded by parameters and are all that is broadcast of the corpus.
@@ -20,6 +20,7 @@ to the smallest doc_id; an empty table gives no rows. Other columns are not read
 """
 from __future__ import annotations
 
+import uuid
 import zlib
 
 import numpy as np
@@ -30,10 +31,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, LongType, StructField, StructType
 
-from hectara.llm.common import ship_package
+from hectara.llm.common import map_chunks, ship_package
 from hectara.llm.components import components
 from hectara.llm.near_duplicates import class_of, common_counts, cross_pairs, joined, merged_buckets, scramble, shingle_set, with_component, with_leaders
-from hectara.session import cut_lineage, sized_broadcast
+from hectara.session import cut_lineage, shared_dir, sized_broadcast
 
 TABLES, SLOTS = 2, 1 << 20
 PIECE = 1 << 14  # counters in a row of partial sums
@@ -168,13 +169,43 @@ def with_fitting(members: DataFrame, percent: int) -> DataFrame:
     return small.filter(fits).select(members.columns).unionByName(members.filter(F.col("many") > HEAVY))
 
 
-def whole_sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """cls and members, the sorted shingle hashes, of the wanted classes, from the whole text of one document of each.
+def brief(hashes: np.ndarray, percent: int) -> bytes:
+    """A set in about a third of its bytes: its size, the low halves of its first and last shingles by hash (prefixes of the rising and the falling order) and a map of parities."""
+    n = len(hashes)
+    p = prefix_size(n, percent)
+    bits = 64
+    while bits < 8 * n:
+        bits *= 2
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    ends = [part.astype(np.uint32).tobytes() for part in (hashes[:p], hashes[-p:])]
+    return b"".join([np.uint32(n).tobytes(), *ends, np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()])
+
+
+def may_link(x: bytes, y: bytes, percent: int) -> bool:
+    """False only for sets that cannot link: by sizes, by prefixes that share nothing in one of the orders, or by more differing parities than a link has differing shingles."""
+    n, m = (int(np.frombuffer(v, np.uint32, 1)[0]) for v in (x, y))
+    if 100 * min(n, m) < percent * max(n, m):
+        return False
+    p, q = prefix_size(n, percent), prefix_size(m, percent)
+    for a, b in ((1, 1), (1 + p, 1 + q)):
+        if not np.isin(np.frombuffer(x, np.uint32, p, 4 * a), np.frombuffer(y, np.uint32, q, 4 * b)).any():
+            return False
+    maps = sorted((np.frombuffer(v[4 + 8 * k:], np.uint64) for v, k in ((x, p), (y, q))), key=len)
+    while len(maps[1]) > len(maps[0]):  # a place in the shorter map is the longer map's place modulo its length
+        half = len(maps[1]) // 2
+        maps[1] = maps[1][:half] ^ maps[1][half:]
+    differing = int(np.bitwise_count(maps[0] ^ maps[1]).sum())
+    common = -(-percent * (n + m) // (100 + percent))
+    return differing <= n + m - 2 * common
+
+
+def whole_sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """cls, members (the sorted shingle hashes) and brief of the wanted classes, from the whole text of one document of each, as a written table.
 
     A document whose row is repeated may give its set once a task.
     """
     chosen = sized_broadcast(classes.join(wanted, "cls", "left_semi").select(F.col("first_doc").alias("doc_id"), F.col("cls").alias("wanted")))
-    schema = StructType([StructField("cls", LongType()), StructField("members", BinaryType())])
+    schema = StructType([StructField("cls", LongType()), StructField("members", BinaryType()), StructField("brief", BinaryType())])
     kinds = to_arrow_schema(schema)
 
     def run(batches):
@@ -191,45 +222,39 @@ def whole_sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, k: int) -
                         if len(seen) >= SEEN:
                             seen.clear()
                         seen.add(cls)
-                        rows.append({"cls": cls, "members": found.tobytes()})
+                        rows.append({"cls": cls, "members": found.tobytes(), "brief": brief(found, percent)})
                 yield pa.RecordBatch.from_pylist(rows, schema=kinds)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id").select("wanted", "text")
-    return cut_lineage(texts.mapInArrow(run, schema))
+    path = f"{shared_dir(docs.sparkSession).rstrip('/')}/sets-{uuid.uuid4().hex}"
+    texts.mapInArrow(run, schema).write.option("compression", "none").parquet(path)
+    return docs.sparkSession.read.schema(schema).parquet(path)
 
 
-def meets(x: np.ndarray, y: np.ndarray) -> bool:
-    return len(np.intersect1d(x, y, assume_unique=True)) > 0
+def both_sides(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    """a, b and the column of both as x and y; the sets of b are sent once to each a, those of a once."""
+    right = sets.select(F.col("cls").alias("b"), F.col(column).alias("y")).join(sized_broadcast(pairs), "b")
+    left = sets.select(F.col("cls").alias("a"), F.col(column).alias("x")).join(sized_broadcast(pairs.select("a").distinct()), "a")
+    return right.join(left, "a").select("a", "b", "x", "y")
 
 
-def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    """Whether 100 * intersection >= percent * union: by sizes, by the prefixes of both orders of hashes, then by the full sets."""
-    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-        return False
-    p, q = prefix_size(len(x), percent), prefix_size(len(y), percent)
-    if not (meets(x[:p], y[:q]) and meets(x[-p:], y[-q:])):
-        return False
-    common = len(np.intersect1d(x, y, assume_unique=True))
-    return 100 * common >= percent * (len(x) + len(y) - common)
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes that link: those whose brief forms may link, confirmed on the full sets."""
+    out = StructType([StructField("a", LongType()), StructField("b", LongType()), StructField("held", BooleanType())])
 
+    def possible(chunk):
+        return {"held": [may_link(x, y, percent) for x, y in zip(chunk["x"], chunk["y"])]}
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that link. The set of b goes once to its a; an a with many b's is sent to blocks of them."""
-    pairs = cut_lineage(pairs)
-    dealt = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = pairs.join(dealt, "a").withColumn("block", F.pmod(F.xxhash64("b"), "blocks").cast("int"))
-    some = sets.join(sized_broadcast(placed.select("a", "block", F.col("b").alias("cls"))), "cls").select("a", "block", F.col("cls").alias("b"), "members")
-    lead = sets.join(sized_broadcast(dealt.select(F.col("a").alias("cls"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("at"))), "cls")
-    lead = lead.select(F.col("cls").alias("leader"), "at", F.col("members").alias("set"))
-
-    def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if x.empty or y.empty:
-            return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
-        first = np.frombuffer(y["set"].iloc[0], np.uint64)
-        kept = [b for b, m in zip(x["b"], x["members"]) if linked(first, np.frombuffer(m, np.uint64), percent)]
-        return pd.DataFrame({"a": np.full(len(kept), x["a"].iloc[0]), "b": np.array(kept, np.int64)})
+    def confirmed(chunk):
+        held = []
+        for x, y in zip(chunk["x"], chunk["y"]):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            common = len(np.intersect1d(x, y, assume_unique=True))
+            held.append(100 * common >= percent * (len(x) + len(y) - common))
+        return {"held": held}
 
-    return some.groupBy("a", "block").cogroup(lead.groupBy("leader", "at")).applyInPandas(compare, "a long, b long")
+    likely = cut_lineage(map_chunks(both_sides(cut_lineage(pairs), sets, "brief"), possible, out).filter("held").select("a", "b"))
+    return map_chunks(both_sides(likely, sets, "members"), confirmed, out, 128).filter("held").select("a", "b")
 
 
 def sized_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -274,7 +299,7 @@ def link_classes(entries: DataFrame, classes: DataFrame, docs: DataFrame, k: int
     """Components of classes as (node, component), for nodes with a link, from the shared keys of their prefixes."""
     sized = with_fitting(cut_lineage(entries).join(classes.select("cls", "n"), "cls"), percent)
     members = cut_lineage(with_leaders(cut_lineage(sized)))
-    sets = whole_sets(members.select("cls").distinct(), classes, docs, k)
+    sets = whole_sets(members.select("cls").distinct(), classes, docs, k, percent)
 
     def fitting(pairs: DataFrame) -> DataFrame:
         for side in ("a", "b"):

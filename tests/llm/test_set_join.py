@@ -81,3 +81,21 @@ def test_compared_pairs_of_near_copies_stay_linear(make_docs, monkeypatch):
     rows = [(i, " ".join(base[:i % 397] + [f"n{i}"] + base[i % 397 + 1:])) for i in range(400)]
     assert sj.joined_sets(make_docs(rows), 5, 85).filter("component_id = 0").count() == 400
     assert sum(seen) < 12 * 400
+
+
+def test_brief_forms_lose_no_link():
+    rng = np.random.default_rng(8)
+    refused = 0
+    for n in (1, 2, 5, 30, 31, 32, 33, 100, 900, 5000):
+        for m in (n, max(1, n - 1), max(1, int(0.9 * n))):
+            for share in (0.2, 0.7, 0.86, 0.9, 1.0):
+                both = min(n, m, int(share * (n + m) / (1 + share)) + 1)
+                x = np.unique(rng.integers(0, 1 << 63, n + m - both, np.int64).astype(np.uint64))
+                rng.shuffle(x)
+                a, b = np.sort(x[:n]), np.sort(x[len(x) - m:])
+                common = len(np.intersect1d(a, b))
+                links = 100 * common >= 85 * (n + m - common)
+                possible = sj.may_link(sj.brief(a, 85), sj.brief(b, 85), 85)
+                assert possible or not links
+                refused += not possible
+    assert refused > 30
