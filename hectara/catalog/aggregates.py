@@ -1,6 +1,7 @@
 """AGG: aggregations."""
 from pyspark.sql import functions as F
 
+from hectara.catalog.geometry import FAULT_SQL, faulty_shapes
 from hectara.catalog.key_joins import BRICK_PAIRS, brick_pairs, case
 from hectara.catalog.registry import query
 from hectara.catalog.spatial_joins import BOX
@@ -264,15 +265,28 @@ def fill_rates(t):
     return A.fill_rates(t("parcels"), FILLED)
 
 
+REPORTED = ["shape_id", "gmina_no", "name"]
+
+
 @query(
     "agg_23_quality_report",
-    """SELECT count(*) AS rows, count(*) AS valid, 0 AS invalid, min(v) AS min_v, max(v) AS max_v, round(avg(v),4) AS mean_v, round(quantile_cont(v,0.5),4) AS median_v, round(stddev_samp(v),4) AS std_v,
-       count(*) FILTER (name IS NULL) AS null_name, min(x0) AS minx, min(y0) AS miny, max(x1) AS maxx, max(y1) AS maxy, true AS key_is_unique, 1e0 AS valid_ratio, true AS passed
-       FROM (SELECT *, (x1-x0)*(y1-y0) AS v FROM shapes)""",
+    f"""WITH d AS (SELECT *, (x1-x0)*(y1-y0) AS v, CASE WHEN shape_id % 5 = 0 THEN NULL ELSE name END AS nm, {FAULT_SQL} AS fault FROM shapes),
+       e AS (SELECT shape_id, fault, CASE shape_id % 12 WHEN 5 THEN x1+7 WHEN 6 THEN x1+4 WHEN 8 THEN x1+2 ELSE x1 END AS mx, CASE shape_id % 12 WHEN 1 THEN y1+2 WHEN 3 THEN y0 WHEN 5 THEN y1+7 ELSE y1 END AS my FROM d),
+       r AS (SELECT count(*) AS rows, true AS crs_valid, count(*) FILTER (fault IS NULL) AS valid, count(*) FILTER (fault IS NOT NULL) AS invalid, 0 AS empty,
+         min(v) AS min_v, max(v) AS max_v, round(avg(v),4) AS mean_v, round(quantile_cont(v,0.5),4) AS median_v, round(stddev_samp(v),4) AS std_v,
+         count(*) - count(shape_id) AS null_shape_id, count(*) - count(gmina_no) AS null_gmina_no, count(*) - count(nm) AS null_name,
+         round(1 - count(shape_id)/count(*),6) AS null_ratio_shape_id, round(1 - count(gmina_no)/count(*),6) AS null_ratio_gmina_no, round(1 - count(nm)/count(*),6) AS null_ratio_name,
+         min(x0) AS minx, min(y0) AS miny, round(count(*) FILTER (fault IS NULL)/count(*), 6) AS valid_ratio,
+         concat_ws('|', CASE WHEN count(DISTINCT gmina_no) = count(*) THEN 'gmina_no' END, CASE WHEN count(DISTINCT nm) = count(*) THEN 'name' END, CASE WHEN count(DISTINCT shape_id) = count(*) THEN 'shape_id' END) AS candidate_ids FROM d),
+       h AS (SELECT string_agg(k || '=' || n, '|' ORDER BY k || '=' || n) AS types FROM (SELECT CASE WHEN shape_id % 12 IN (4, 5, 8, 9, 10, 11) THEN 'Polygon with holes' ELSE 'Polygon' END AS k, count(*) AS n FROM shapes GROUP BY 1)),
+       b AS (SELECT max(mx) AS maxx, max(my) AS maxy FROM e)
+       SELECT r.*, h.types, b.maxx, b.maxy, valid_ratio >= 0.99 AND contains('|' || candidate_ids || '|', '|shape_id|') AS passed FROM r, h, b""",
 )
 def quality_report(t):
-    df = t("shapes").withColumn("v", (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")))
-    return A.quality_report(df, "shape_id", "v", ["name"])
+    v = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
+    df = faulty_shapes(t).withColumn("v", v).withColumn("name", F.when(F.col("shape_id") % 5 != 0, F.col("name")))
+    kind = F.when(F.size("rings") > 1, "Polygon with holes").otherwise("Polygon")
+    return A.quality_report(df, "shape_id", "v", REPORTED, F.lit("EPSG:2180"), "EPSG:2180", kind)
 
 
 @query("agg_24_source_summary", "SELECT category, count(*) AS total, count(*) FILTER (source='bdot10k') AS from_primary, count(*) FILTER (source='osm') AS from_secondary FROM poi GROUP BY category")

@@ -5,7 +5,7 @@ from hectara.catalog.registry import query
 from hectara.functions import constants as C
 from hectara.functions.texts import slug
 from hectara.operators import relations as R
-from hectara.operators.spatial import adjacent_pairs
+from hectara.operators.edges import adjacent_pairs
 
 
 def case(values: dict, key: str) -> str:

@@ -1,9 +1,13 @@
 """JOIN-01..JOIN-15: spatial joins."""
+import math
+
 from pyspark.sql import functions as F
 
 from hectara.catalog.registry import query
 from hectara.functions import constants as C
+from hectara.functions import geometry as G
 from hectara.functions import labels as L
+from hectara.operators import edges as E
 from hectara.operators import spatial as S
 from hectara.operators import zoning as Z
 from hectara.plans.flagship import service_distances
@@ -161,6 +165,25 @@ def coverage(t):
     return S.coverage_percent(spots(t), "id_dzialki", t("zones"), 500.0).select("id_dzialki", F.round("pct", 4).alias("pct_500m"))
 
 
+@query(
+    "join_09_union_coverage",
+    f"""WITH k AS (SELECT p.id_dzialki, z.x0-p.centroid_x AS a0, z.x1-p.centroid_x AS a1, z.y0-p.centroid_y AS b0, z.y1-p.centroid_y AS b1 FROM parcels p JOIN zones z
+          ON z.x0 <= p.centroid_x+500 AND z.x1 >= p.centroid_x-500 AND z.y0 <= p.centroid_y+500 AND z.y1 >= p.centroid_y-500),
+        e AS (SELECT id_dzialki, a0 AS u0 FROM k UNION SELECT id_dzialki, a1 FROM k),
+        s AS (SELECT * FROM (SELECT id_dzialki, u0, lead(u0) OVER (PARTITION BY id_dzialki ORDER BY u0) AS u1 FROM e) WHERE u1 IS NOT NULL),
+        i AS (SELECT s.id_dzialki, u0, u1, b0, b1, max(b1) OVER (PARTITION BY s.id_dzialki, u0 ORDER BY b0, b1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach
+          FROM s JOIN k ON s.id_dzialki = k.id_dzialki AND a0 <= u0 AND a1 >= u1),
+        g AS (SELECT *, sum(CASE WHEN reach IS NULL OR b0 > reach THEN 1 ELSE 0 END) OVER (PARTITION BY id_dzialki, u0 ORDER BY b0, b1 ROWS UNBOUNDED PRECEDING) AS part FROM i),
+        m AS (SELECT id_dzialki, u0, u1, min(b0) AS v0, max(b1) AS v1 FROM g GROUP BY id_dzialki, u0, u1, part),
+        a AS (SELECT id_dzialki, sum({COVER})/(pi()*250000)*100 AS pct FROM m GROUP BY id_dzialki)
+        SELECT p.id_dzialki, abs(round(coalesce(a.pct, 0), 4)) AS pct_500m FROM parcels p LEFT JOIN a ON p.id_dzialki = a.id_dzialki""",
+)
+def union_coverage(t):
+    """Zones overlap; what several of them cover counts once."""
+    covered = E.union_coverage_percent(spots(t), "id_dzialki", t("zones"), "zone_id", 500.0)
+    return covered.select("id_dzialki", F.abs(F.round("pct", 4)).alias("pct_500m"))
+
+
 @query(
     "join_10_counts_within_radius",
     f"""WITH c AS (SELECT a.id_dzialki, sum(CASE WHEN {D2} <= 250000 THEN 1 ELSE 0 END) AS at_most, sum(CASE WHEN {D2} < 250000 THEN 1 ELSE 0 END) AS below FROM parcels a CROSS JOIN buildings b GROUP BY 1),
@@ -204,7 +227,25 @@ def backfill(t):
        SELECT id1, id2, round_even(greatest(w, h), 2) AS shared_border_m FROM a WHERE (w = 0 OR h = 0) AND greatest(w, h) > 0.1""",
 )
 def adjacency(t):
-    return S.adjacent_pairs(t("bricks"), "plot_id", cell=50.0)
+    return E.adjacent_pairs(t("bricks"), "plot_id", cell=50.0)
+
+
+@query(
+    "join_13_bent_adjacency",
+    """WITH a AS (SELECT p.plot_id AS id1, q.plot_id AS id2, least(p.x1,q.x1)-greatest(p.x0,q.x0) AS w, least(p.y1,q.y1)-greatest(p.y0,q.y0) AS h
+         FROM bricks p JOIN bricks q ON p.plot_id < q.plot_id AND p.x0 <= q.x1 AND q.x0 <= p.x1 AND p.y0 <= q.y1 AND q.y0 <= p.y1)
+       SELECT id1, id2, round_even(greatest(w, h), 2) AS shared_border_m FROM a WHERE (w = 0 OR h = 0) AND greatest(w, h) > 0.1""",
+)
+def bent_adjacency(t):
+    """The brick wall turned by 30 degrees, the left border of every brick bent by a vertex 0.1 mm out of line; borders keep their lengths."""
+    c, s = math.cos(math.pi / 6), math.sin(math.pi / 6)
+
+    def turned(x, y):
+        return G.vertex(500000 + c * x - s * y, 300000 + s * x + c * y)
+
+    x0, y0, x1, y1 = (F.col(v) for v in BOX)
+    bent = F.array(turned(x0, y0), turned(x1, y0), turned(x1, y1), turned(x0, y1), turned(x0 + F.when(F.col("plot_id") % 2 == 0, 1e-4).otherwise(-1e-4), (y0 + y1) / 2), turned(x0, y0))
+    return E.adjacent_pairs(t("bricks").withColumn("rings", F.array(bent)), "plot_id", cell=50.0)
 
 
 @query(

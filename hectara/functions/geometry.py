@@ -263,30 +263,6 @@ def disc_pieces(df: DataFrame, cx: str, cy: str, edges: str, radius: float, name
     return rows.select(*keep, (F.col("w") * F.when(through, cut).otherwise(sector("a", "b"))).alias(name))
 
 
-def is_valid(rings: Column) -> Column:
-    """Closed rings of four or more finite vertices, non-zero area and no two crossing edges in a ring."""
-
-    def turn(ax, ay, bx, by, px, py):
-        return F.signum((bx - ax) * (py - ay) - (by - ay) * (px - ax))
-
-    def crosses(e, f):
-        return (
-            turn(e["ax"], e["ay"], e["bx"], e["by"], f["ax"], f["ay"]) * turn(e["ax"], e["ay"], e["bx"], e["by"], f["bx"], f["by"]) < 0
-        ) & (turn(f["ax"], f["ay"], f["bx"], f["by"], e["ax"], e["ay"]) * turn(f["ax"], f["ay"], f["bx"], f["by"], e["bx"], e["by"]) < 0)
-
-    def bad(ring):
-        edges = segments(ring)
-        return (
-            (F.size(ring) < 4)
-            | (F.element_at(ring, 1) != F.element_at(ring, -1))
-            | F.exists(ring, lambda v: v["x"].isNull() | v["y"].isNull() | F.isnan(v["x"]) | F.isnan(v["y"]))
-            | (ring_signed_area(ring) == 0)
-            | F.exists(edges, lambda e: F.exists(edges, lambda f: crosses(e, f)))
-        )
-
-    return rings.isNotNull() & (F.size(rings) > 0) & ~F.exists(rings, bad)
-
-
 # Grid origin and tile side of the national elevation grid, and the linear approximation.
 GRID_MIN_X, GRID_MIN_Y, TILE_SIDE = 140000, 120000, 1000
 LINEAR_ORIGIN_LON, LINEAR_ORIGIN_LAT, METRES_PER_DEGREE = 19.0, 52.0, 111320

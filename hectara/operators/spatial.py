@@ -14,7 +14,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hectara.functions.scores import half_even
 from hectara.session import cut_lineage
 
 LEAF_POINTS = 16
@@ -456,7 +455,7 @@ def largest_overlap(items: DataFrame, item_id: str, areas: DataFrame, area_id: s
 def coverage_percent(points: DataFrame, pid: str, polygons: DataFrame, radius: float) -> DataFrame:
     """Percent of the disc around each point covered, summed per polygon (overlaps count twice).
 
-    For union coverage pass polygons that do not overlap.
+    edges.union_coverage_percent counts what several polygons cover once.
     """
     from hectara.functions.geometry import disc_pieces, oriented_edges
 
@@ -483,52 +482,6 @@ def count_touching(points: DataFrame, pid: str, polygons: DataFrame, radius: flo
     return points.select(pid).join(hits.groupBy(pid).agg(F.count(F.lit(1)).alias("n")), pid, "left").select(pid, F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def adjacent_pairs(plots: DataFrame, plot_id: str, cell: float, min_border: float = 0.1, tolerance: float = 1e-3) -> DataFrame:
-    """Unordered pairs that share a border line longer than min_border and do not overlap.
-
-    Edges are matched on their supporting line (direction and offset) and on cells along it.
-    The line key is rounded; one side is repeated under the neighbouring keys so that values
-    next to a rounding limit still meet. A pair counts in the cell where its common part starts.
-    """
-    from hectara.functions.geometry import overlap_area, segments, signed_edges
-
-    box = with_envelope(plots.select(plot_id, "rings"), "rings", ENV_A)
-    edges = box.select(F.col(plot_id).alias("pid"), F.explode(F.flatten(F.transform("rings", segments))).alias("e")).select("pid", "e.*")
-    length = F.sqrt((F.col("bx") - F.col("ax")) ** 2 + (F.col("by") - F.col("ay")) ** 2)
-    edges = edges.withColumn("len", length).filter(F.col("len") > 0)
-    ux, uy = (F.col("bx") - F.col("ax")) / F.col("len"), (F.col("by") - F.col("ay")) / F.col("len")
-    flip = F.when((ux < -1e-9) | ((F.abs(ux) <= 1e-9) & (uy < 0)), -1.0).otherwise(1.0)
-    edges = edges.withColumn("ux", ux * flip).withColumn("uy", uy * flip)
-    edges = edges.withColumn("offset", F.col("ax") * F.col("uy") - F.col("ay") * F.col("ux"))
-    t0 = F.col("ax") * F.col("ux") + F.col("ay") * F.col("uy")
-    t1 = F.col("bx") * F.col("ux") + F.col("by") * F.col("uy")
-    edges = edges.withColumn("lo", F.least(t0, t1)).withColumn("hi", F.greatest(t0, t1))
-    edges = edges.select(
-        "pid", "lo", "hi", "ux", "uy", "offset",
-        F.floor(F.atan2("uy", "ux") / 1e-6).cast("bigint").alias("ka"),
-        F.floor(F.col("offset") / tolerance).cast("bigint").alias("kb"),
-        F.explode(F.sequence(F.floor(F.col("lo") / cell).cast("bigint"), F.floor(F.col("hi") / cell).cast("bigint"))).alias("kt"),
-    )
-    steps = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    other = (
-        edges.withColumn("sa", F.explode(steps)).withColumn("sb", F.explode(steps))
-        .select(F.col("pid").alias("pid2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("offset").alias("offset2"),
-                (F.col("ka") + F.col("sa")).alias("ka"), (F.col("kb") + F.col("sb")).alias("kb"), "kt")
-    )
-    start, end = F.greatest("lo", "lo2"), F.least("hi", "hi2")
-    shared = (
-        edges.join(other, ["ka", "kb", "kt"])
-        .filter((F.col("pid") < F.col("pid2")) & (F.abs(F.col("offset") - F.col("offset2")) <= tolerance))
-        .filter((end > start) & (F.floor(start / cell) == F.col("kt")))
-        .groupBy("pid", "pid2").agg(F.sum(end - start).alias("border"))
-        .filter(F.col("border") > min_border)
-    )
-    shape = box.select(F.col(plot_id).alias("pid"), signed_edges(F.col("rings")).alias("edges"), F.col("aminy").alias("miny"))
-    both = shared.join(shape, "pid").join(shape.select(F.col("pid").alias("pid2"), F.col("edges").alias("edges2"), F.col("miny").alias("miny2")), "pid2")
-    apart = overlap_area(F.col("edges"), F.col("edges2"), F.least("miny", "miny2")) <= 1e-6
-    return both.filter(apart).select(F.col("pid").alias("id1"), F.col("pid2").alias("id2"), half_even(F.col("border"), 2).alias("shared_border_m"))
-
-
 def unmatched_secondary(primary: DataFrame, secondary: DataFrame, sid: str, radius: float) -> DataFrame:
     """Secondary points with no primary point within radius."""
     near = within_radius(secondary, sid, primary, radius, inclusive=False)

@@ -235,22 +235,35 @@ def fill_rates(df: DataFrame, columns: list[str], at_least: float = 10.0) -> Dat
     return r.withColumn("pct", F.round(F.col("filled") * 100 / F.col("rows"), 4)).filter(F.col("pct") >= at_least).drop("rows")
 
 
-def quality_report(df: DataFrame, key: str, numeric: str, nullable: list[str]) -> DataFrame:
-    """Row count, geometry validity, area spread, null counts, key test, bounds and pass flag in one row."""
+def quality_report(df: DataFrame, key: str, numeric: str, columns: list[str], crs: Column, expected_crs: str, gtype: Column) -> DataFrame:
+    """One row: rows, CRS match, geometry counts and ratio, type histogram, spread of a number, nulls by column, candidate ids, bounds and pass flag.
+
+    A column without nulls or repeats is a candidate id. The report passes when the CRS is the expected one, at least 99 % of the geometries are
+    valid and the key is a candidate id.
+    """
     from hectara.functions import geometry as G
+    from hectara.operators.edges import with_faults
 
     box = G.envelope(F.col("rings"))
-    base = df.select("*", G.is_valid(F.col("rings")).alias("valid"), *[v.alias("e_" + k) for k, v in box.items()])
+    judged = with_faults(df.select("*", crs.alias("_crs"), gtype.alias("_type")))
+    base = cut_lineage(judged.select(*dict.fromkeys([key, numeric, *columns]), "_crs", "_type", "valid", "fault", *[v.alias("e_" + k) for k, v in box.items()]))
     one = base.agg(
-        count().alias("rows"), F.count_if("valid").alias("valid"), F.count_if(~F.col("valid")).alias("invalid"),
+        count().alias("rows"), F.bool_and(F.coalesce(F.col("_crs") == expected_crs, F.lit(False))).alias("crs_valid"),
+        F.count_if("valid").alias("valid"), F.count_if(~F.col("valid") & (F.col("fault") != "empty")).alias("invalid"), F.count_if(F.col("fault") == "empty").alias("empty"),
         F.min(numeric).alias("min_v"), F.max(numeric).alias("max_v"), F.round(F.avg(numeric), 4).alias("mean_v"), F.round(F.stddev(numeric), 4).alias("std_v"),
-        *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in nullable],
+        *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in columns], *[F.round(F.avg(F.col(c).isNull().cast("int")), 6).alias(f"null_ratio_{c}") for c in columns],
         F.min("e_minx").alias("minx"), F.min("e_miny").alias("miny"), F.max("e_maxx").alias("maxx"), F.max("e_maxy").alias("maxy"),
     )
-    keys = base.groupBy(key).agg(count().alias("n")).agg(F.max("n").alias("most"))
+    types = base.groupBy("_type").agg(count().alias("n")).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", F.coalesce("_type", F.lit("null")), "n"))), "|").alias("types"))
+    # Repeats by column: the largest group of equal values, counted by hash aggregation with partial counts.
+    long = base.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v")) for c in columns])))
+    most = long.groupBy("column", "v").agg(count().alias("n")).groupBy("column").agg(F.max("n").alias("most"), F.max(F.col("v").isNull()).alias("nulls"))
+    ids = most.agg(F.array_join(F.array_sort(F.collect_list(F.when((F.col("most") == 1) & ~F.col("nulls"), F.col("column")))), "|").alias("candidate_ids"))
     middle = exact_median(base.select(F.lit(1).alias("one"), numeric), ["one"], numeric, "median_v").select(F.round("median_v", 4).alias("median_v"))
-    both = one.join(F.broadcast(keys)).join(F.broadcast(middle)).withColumn("key_is_unique", F.col("most") == 1).drop("most")
-    return both.withColumn("valid_ratio", F.round(F.col("valid") / F.col("rows"), 6)).withColumn("passed", (F.col("valid") == F.col("rows")) & F.col("key_is_unique"))
+    both = one.join(F.broadcast(types)).join(F.broadcast(ids)).join(F.broadcast(middle))  # one row each
+    both = both.withColumn("valid_ratio", F.round(F.col("valid") / F.col("rows"), 6))
+    held = F.array_contains(F.split("candidate_ids", r"\|"), key)
+    return both.withColumn("passed", F.col("crs_valid") & (F.col("valid_ratio") >= 0.99) & held)
 
 
 def preference_patterns(favorites: DataFrame, features: list[str]) -> DataFrame:

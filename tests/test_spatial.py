@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hectara.operators import spatial as S
+from hectara.operators.edges import adjacent_pairs
 
 
 def skewed(n, seed, copies=0.34):
@@ -81,7 +82,7 @@ def test_adjacency_rules(spark):
         (6, [[{"x": float(a), "y": float(b)} for a, b in turned]]), (7, [[{"x": float(a), "y": float(b)} for a, b in beside]]),
     ]
     df = spark.createDataFrame(rows, "plot_id int, rings array<array<struct<x:double,y:double>>>")
-    got = {(r.id1, r.id2): r.shared_border_m for r in S.adjacent_pairs(df, "plot_id", cell=4.0).collect()}
+    got = {(r.id1, r.id2): r.shared_border_m for r in adjacent_pairs(df, "plot_id", cell=4.0).collect()}
     assert set(got) == {(1, 2), (2, 3), (3, 5), (6, 7)}
     assert got[(1, 2)] == 10 and got[(6, 7)] == pytest.approx(14.14)
 
