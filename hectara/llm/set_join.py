@@ -6,7 +6,7 @@ and ties by hash, by rising hash and by falling hash. The rare-first order makes
 are hardly ever a key. A candidate is compared only if its sizes fit, its prefixes meet under the other two orders as well and
 its maps of parities do not differ in more places than the sets may; then both full sets decide.
 
-Frequencies are sums over all documents in TABLES tables of SLOTS counters each, with independent hashes; a shingle's estimate is the
+Frequencies are sums over all documents in TABLES tables of SLOTS counters each, with independent hashes, up to MOST; a shingle's estimate is the
 smaller one. A coarse estimate costs candidates, never a link, so the tables are bounded by parameters and are all that is broadcast of the corpus.
 
 Documents of one set are one class. In a bucket of one key all classes are first compared with one leader, that with the most
@@ -36,9 +36,11 @@ from hectara.llm.components import components
 from hectara.llm.near_duplicates import class_of, common_counts, cross_pairs, joined, merged_buckets, scramble, shingle_set, with_component, with_leaders
 from hectara.session import cut_lineage, shared_dir, sized_broadcast
 
-TABLES, SLOTS = 2, 1 << 20
-PIECE = 1 << 14  # counters in a row of partial sums
-HEAVY = 1 << 14  # estimated frequency from which the rows of a key may be split over tasks
+TABLES, SLOTS = 2, 1 << 22
+MOST = 255  # counters end here: shingles above it come last in the order, by hash
+PIECE = 1 << 16  # counters in a row of partial sums
+HEAVY = MOST  # estimated frequency from which the rows of a key are split over tasks
+WIDE = 1 << 14  # classes of a bucket up to which a task looks at their sizes in order
 PAIRED_BELOW = 1 << 9  # possible pairs in a bucket from which its sets meet in blocks
 BLOCK = 512
 SALTS = 64
@@ -47,7 +49,7 @@ SEEN = 1 << 20
 
 
 def slots(hashes: np.ndarray, table: int) -> np.ndarray:
-    return (scramble(hashes + np.uint64(table + 1)) >> np.uint64(44)).astype(np.int64) % SLOTS
+    return (scramble(hashes + np.uint64(table + 1)) >> np.uint64(40)).astype(np.int64) % SLOTS
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -64,14 +66,15 @@ def profiles(docs: DataFrame, k: int) -> DataFrame:
     kinds = to_arrow_schema(schema)
 
     def run(batches):
-        counts = [np.zeros(SLOTS, np.int32) for _ in range(TABLES)]
+        counts = [np.zeros(SLOTS, np.uint8) for _ in range(TABLES)]
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
                 sets = [shingle_set(t, k) for t in part.column("text").to_pylist()]
                 flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
                 for t in range(TABLES):
-                    np.add.at(counts[t], slots(flat, t), 1)
+                    place, many = np.unique(slots(flat, t), return_counts=True)
+                    counts[t][place] = np.minimum(counts[t][place] + many, MOST)
                 none = pa.nulls(part.num_rows)
                 yield pa.RecordBatch.from_arrays([
                     part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64()), none.cast(pa.int32()), none.cast(pa.binary()),
@@ -95,16 +98,15 @@ def frequencies(found: DataFrame) -> np.ndarray:
         sums = {}
         for batch in batches:
             for place, packed in zip(batch.column("place").to_pylist(), batch.column("counts").to_pylist()):
-                piece = np.frombuffer(zlib.decompress(packed), np.int32)
-                sums[place] = sums[place] + piece if place in sums else piece.astype(np.int64)
+                piece = np.frombuffer(zlib.decompress(packed), np.uint8).astype(np.int16)
+                sums[place] = np.minimum(sums.get(place, 0) + piece, MOST).astype(np.uint8)
         for place, total in sums.items():
-            held = np.minimum(total, np.iinfo(np.int32).max).astype(np.int32)
-            yield pa.RecordBatch.from_pylist([{"place": place, "counts": zlib.compress(held.tobytes(), 1)}], schema=kinds)
+            yield pa.RecordBatch.from_pylist([{"place": place, "counts": zlib.compress(total.tobytes(), 1)}], schema=kinds)
 
     pieces = found.filter("place is not null").select("place", "counts").repartition("place").mapInArrow(run, schema)
-    total = np.zeros(TABLES * SLOTS, np.int32)
+    total = np.zeros(TABLES * SLOTS, np.uint8)
     for row in pieces.collect():  # at most TABLES * SLOTS / PIECE rows
-        total[row["place"]:row["place"] + PIECE] = np.frombuffer(zlib.decompress(row["counts"]), np.int32)
+        total[row["place"]:row["place"] + PIECE] = np.frombuffer(zlib.decompress(row["counts"]), np.uint8)
     return total.reshape(TABLES, SLOTS)
 
 
@@ -162,11 +164,11 @@ def shared_entries(entries: DataFrame) -> DataFrame:
 
 
 def with_fitting(members: DataFrame, percent: int) -> DataFrame:
-    """members (key, cls, n, many) without the rows that have no other of a fitting size in their bucket; buckets above HEAVY stay as they are."""
+    """members (key, cls, n, many) without the rows that have no other of a fitting size in their bucket; buckets above WIDE stay as they are."""
     by_size = Window.partitionBy("key").orderBy("n", "cls")
-    small = members.filter(F.col("many") <= HEAVY).withColumns({"below": F.lag("n").over(by_size), "above": F.lead("n").over(by_size)})
+    small = members.filter(F.col("many") <= WIDE).withColumns({"below": F.lag("n").over(by_size), "above": F.lead("n").over(by_size)})
     fits = (100 * F.col("below") >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.col("above"))
-    return small.filter(fits).select(members.columns).unionByName(members.filter(F.col("many") > HEAVY))
+    return small.filter(fits).select(members.columns).unionByName(members.filter(F.col("many") > WIDE))
 
 
 def brief(hashes: np.ndarray, percent: int) -> bytes:
