@@ -1,9 +1,10 @@
-"""Name matching by equi-joins on character grams, so no text is compared with every other."""
+"""Name matching: containment by leading characters, likeness by the joins of text_joins."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hectara.operators.text_joins import cosine_at_least, similar_pairs
 from hectara.session import cut_lineage
 
 
@@ -19,31 +20,6 @@ def contains_pairs(needles: DataFrame, hays: DataFrame) -> DataFrame:
     return keyed.join(spread, "gram").filter(F.col("hay").contains(F.col("needle"))).drop("gram")
 
 
-def similar_pairs(left: DataFrame, lcol: str, right: DataFrame, rcol: str, above: float) -> DataFrame:
-    """Pairs of distinct texts whose edit similarity 1 - levenshtein/longer is above the limit (0.5 or more).
-
-    Such texts share more than half of their characters, counted with repeats, so they meet on
-    numbered characters ("a1", "a2", ...) and only pairs with enough of them are measured.
-    """
-
-    def letters(df: DataFrame, col: str, out: str) -> DataFrame:
-        texts = df.select(F.col(col).alias(out)).filter(F.length(out) > 0).distinct()
-        return texts.select(out, F.explode(F.transform(F.sequence(F.lit(1), F.length(out)), lambda i: _numbered(out, i))).alias("letter"))
-
-    a, b = letters(left, lcol, "_a"), letters(right, rcol, "_b")
-    longer = F.greatest(F.length("_a"), F.length("_b"))
-    shared = a.join(b, "letter").groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("common")).filter(F.col("common") > longer * above)
-    score = 1 - F.levenshtein("_a", "_b") / longer
-    return shared.select(F.col("_a").alias(lcol), F.col("_b").alias(rcol), score.alias("score")).filter(F.col("score") > above)
-
-
-def _numbered(col: str, i):
-    """The i-th character followed by how often it has occurred so far."""
-    char = F.substr(F.col(col), i, F.lit(1))
-    head = F.substr(F.col(col), F.lit(1), i)
-    return F.concat(char, (F.length(head) - F.length(F.replace(head, char, F.lit("")))).cast("string"))
-
-
 def place_names(parcels: DataFrame) -> DataFrame:
     """Every administrative name with its level, parent and number of parcels."""
     levels = F.array(
@@ -59,7 +35,7 @@ MAX_RESULTS = 20
 def search_places(queries: DataFrame, query: str, names: DataFrame, keep: int = MAX_RESULTS) -> DataFrame:
     """Exact name on any level, else a district containing the text or contained in it, else a similarly
     spelt district, else the nearest names by letter groups. A query moves on only while it has no hit."""
-    from hectara.operators.similarity import cosine_pairs, name_grams
+    from hectara.operators.similarity import name_grams
 
     names = cut_lineage(names)
     q = cut_lineage(queries.select(F.lower(F.trim(query)).alias("q")).filter("q <> ''").distinct())
@@ -77,7 +53,7 @@ def search_places(queries: DataFrame, query: str, names: DataFrame, keep: int =
     open_q = cut_lineage(open_q.join(partial.select("q"), "q", "left_anti"))
     fuzzy = with_rows(similar_pairs(open_q, "q", keys, "key", 0.5), 3, districts)
     open_q = cut_lineage(open_q.join(fuzzy.select("q"), "q", "left_anti"))
-    near = cosine_pairs(name_grams(open_q, "q"), ["q"], name_grams(names.select("key").distinct(), "key"), ["key"], "gram")
+    near = cosine_at_least(name_grams(open_q, "q"), ["q"], name_grams(names.select("key").distinct(), "key"), ["key"], "gram", 0.7)
     vector = with_rows(near.filter(F.round("similarity", 9) >= 0.7).withColumnRenamed("similarity", "score"), 4, names)
     found = exact.unionByName(partial).unionByName(fuzzy).unionByName(vector)
     w = Window.partitionBy("q").orderBy(F.col("score").desc(), F.col("n").desc(), "level", "name", "parent")

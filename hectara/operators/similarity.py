@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hectara.functions import constants as C
+from hectara.operators.text_joins import cosine_at_least
 
 
 def cosine(vector: Column, query: list[float]) -> Column:
@@ -97,7 +98,7 @@ def resolve_names(mentions: DataFrame, text: str, dictionary: DataFrame, name: s
     """Best dictionary name per distinct mention with its alternatives."""
     left = name_grams(mentions.select(text).filter(F.length(F.trim(text)) > 0).distinct(), text)
     right = name_grams(dictionary.select(name).filter(F.length(F.trim(name)) > 0).distinct(), name)
-    top = best_matches(cosine_pairs(left, [text], right, [name], "gram"), [text], name, threshold, keep)
+    top = best_matches(cosine_at_least(left, [text], right, [name], "gram", threshold), [text], name, threshold, keep)
     return top.groupBy(text).agg(
         F.max(F.when(F.col("rank") == 1, F.col(name))).alias("best"), F.max("similarity").alias("similarity"),
         F.transform(F.array_sort(F.collect_list(F.when(F.col("rank") > 1, F.struct("rank", name)))), lambda s: s[name]).alias("alternatives"),
