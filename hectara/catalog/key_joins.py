@@ -110,7 +110,7 @@ BRICK_STEPS = f"(SELECT id1 AS id, id2 AS neighbor, border FROM ({BRICK_PAIRS})
 
 
 def brick_pairs(t):
-    return adjacent_pairs(t("bricks"), "plot_id", cell=50.0)
+    return adjacent_pairs(t("bricks"), "plot_id")
 
 
 @query(

@@ -227,7 +227,7 @@ def backfill(t):
        SELECT id1, id2, round_even(greatest(w, h), 2) AS shared_border_m FROM a WHERE (w = 0 OR h = 0) AND greatest(w, h) > 0.1""",
 )
 def adjacency(t):
-    return E.adjacent_pairs(t("bricks"), "plot_id", cell=50.0)
+    return E.adjacent_pairs(t("bricks"), "plot_id")
 
 
 @query(
@@ -245,7 +245,7 @@ def bent_adjacency(t):
 
     x0, y0, x1, y1 = (F.col(v) for v in BOX)
     bent = F.array(turned(x0, y0), turned(x1, y0), turned(x1, y1), turned(x0, y1), turned(x0 + F.when(F.col("plot_id") % 2 == 0, 1e-4).otherwise(-1e-4), (y0 + y1) / 2), turned(x0, y0))
-    return E.adjacent_pairs(t("bricks").withColumn("rings", F.array(bent)), "plot_id", cell=50.0)
+    return E.adjacent_pairs(t("bricks").withColumn("rings", F.array(bent)), "plot_id")
 
 
 @query(

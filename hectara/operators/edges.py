@@ -79,7 +79,8 @@ def shared_spans(edges: DataFrame, key: str, cell: float, tolerance: float) -> D
     around = F.array(*[F.pmod(F.col("way2") + d, F.lit(buckets)) for d in (-1, 0, 1)])
     long = placed.filter("way >= 0").join(other.filter("way2 >= 0").withColumn("way", F.explode(around)), ["cx", "cy", "way"])
     loose = placed.join(other.filter("way2 < 0"), ["cx", "cy"]).unionByName(placed.filter("way < 0").join(other.filter("way2 >= 0"), ["cx", "cy"]))
-    pairs = long.select(loose.columns).unionByName(loose).filter(F.col(key) < F.col(f"{key}2"))
+    near = [F.greatest(f"a{v}", f"b{v}") + tolerance >= F.least(f"a{v}2", f"b{v}2") for v in "xy"] + [F.greatest(f"a{v}2", f"b{v}2") + tolerance >= F.least(f"a{v}", f"b{v}") for v in "xy"]
+    pairs = long.select(loose.columns).unionByName(loose).filter((F.col(key) < F.col(f"{key}2")) & near[0] & near[1] & near[2] & near[3])
     ux, uy = (F.col("bx") - F.col("ax")) / F.col("len"), (F.col("by") - F.col("ay")) / F.col("len")
     pairs = pairs.withColumns({"ux": ux, "uy": uy})
     for end in ("a", "b"):
@@ -107,14 +108,17 @@ def border_lengths(spans: DataFrame, key: str) -> DataFrame:
     return fresh.groupBy(key, f"{key}2").agg(F.sum("fresh").alias("border"))
 
 
-def adjacent_pairs(plots: DataFrame, plot_id: str, cell: float, min_border: float = 0.1, tolerance: float = 1e-3) -> DataFrame:
+def adjacent_pairs(plots: DataFrame, plot_id: str, cell: float | None = None, min_border: float = 0.1, tolerance: float = 1e-3) -> DataFrame:
     """Unordered pairs that share a border line longer than min_border and do not overlap.
 
-    Borders are matched edge by edge within the tolerance, so a border counts whole however each plot cuts it into edges.
+    Borders are matched edge by edge within the tolerance, so a border counts whole however each plot cuts it into edges. Without a
+    cell length the mean length of an edge is taken, so that a cell holds few edges.
     """
     from hectara.functions.geometry import overlap_area, signed_edges
 
     edges = numbered_edges(plots, plot_id, F.flatten(F.transform("rings", segments)))
+    if cell is None:
+        cell = edges.agg(F.avg(edge_length())).first()[0] or 1.0
     shared = border_lengths(shared_spans(edges, plot_id, cell, tolerance), plot_id).filter(F.col("border") > min_border)
     box = with_envelope(plots.select(plot_id, "rings"), "rings", ("x0", "y0", "x1", "y1"))
     shape = box.select(plot_id, signed_edges(F.col("rings")).alias("edges"), F.col("y0").alias("miny"))
