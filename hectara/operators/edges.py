@@ -112,13 +112,13 @@ def adjacent_pairs(plots: DataFrame, plot_id: str, cell: float | None = None, mi
     """Unordered pairs that share a border line longer than min_border and do not overlap.
 
     Borders are matched edge by edge within the tolerance, so a border counts whole however each plot cuts it into edges. Without a
-    cell length the mean length of an edge is taken, so that a cell holds few edges.
+    cell length 1.7 times the mean length of an edge is taken, so that a cell holds few edges.
     """
     from hectara.functions.geometry import overlap_area, signed_edges
 
     edges = numbered_edges(plots, plot_id, F.flatten(F.transform("rings", segments)))
     if cell is None:
-        cell = edges.agg(F.avg(edge_length())).first()[0] or 1.0
+        cell = 1.7 * (edges.agg(F.avg(edge_length())).first()[0] or 1.0)
     shared = border_lengths(shared_spans(edges, plot_id, cell, tolerance), plot_id).filter(F.col("border") > min_border)
     box = with_envelope(plots.select(plot_id, "rings"), "rings", ("x0", "y0", "x1", "y1"))
     shape = box.select(plot_id, signed_edges(F.col("rings")).alias("edges"), F.col("y0").alias("miny"))
