@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hectara.operators.tessellation import LEAF_EDGES, edge_count, in_cell, tessellate
 from hectara.session import cut_lineage
 
 LEAF_POINTS = 16
@@ -333,18 +334,14 @@ def within_radius(
     )
 
 
-def polygon_cells(polygons: DataFrame, minx: str, miny: str, maxx: str, maxy: str) -> tuple[DataFrame, list[int]]:
-    """Key each polygon by the at most four cells of the level whose cells are no smaller than its envelope."""
-    level = F.greatest(F.lit(-10), F.ceil(F.log2(F.greatest(F.col(maxx) - F.col(minx), F.col(maxy) - F.col(miny), F.lit(1e-3))))).cast("int")
-    keyed = polygons.withColumn("level", level)
-    levels = [r["level"] for r in keyed.select("level").distinct().collect()]  # at most a few dozen sizes
+def polygon_cells(polygons: DataFrame, minx: str, miny: str, maxx: str, maxy: str) -> DataFrame:
+    """Each polygon (with its level) in the at most four cells of the level whose cells are no smaller than its envelope."""
     side = F.pow(F.lit(2.0), F.col("level"))
 
     def index(c):
         return F.floor(F.col(c) / side).cast("bigint")
 
-    keyed = keyed.withColumn("cx", F.explode(F.sequence(index(minx), index(maxx)))).withColumn("cy", F.explode(F.sequence(index(miny), index(maxy))))
-    return keyed, levels
+    return polygons.withColumn("cx", F.explode(F.sequence(index(minx), index(maxx)))).withColumn("cy", F.explode(F.sequence(index(miny), index(maxy))))
 
 
 def point_cells(points: DataFrame, x: str, y: str, levels: list[int]) -> DataFrame:
@@ -357,17 +354,31 @@ def point_cells(points: DataFrame, x: str, y: str, levels: list[int]) -> DataFra
     )
 
 
-def points_in_polygons(points: DataFrame, x: str, y: str, polygons: DataFrame, envelope: tuple[str, str, str, str], on: list[str] | None = None) -> DataFrame:
-    """Inner join of points to the polygons (column rings) that contain them."""
+def points_in_polygons(
+    points: DataFrame, x: str, y: str, polygons: DataFrame, envelope: tuple[str, str, str, str], on: list[str] | None = None, leaf_edges: int = LEAF_EDGES
+) -> DataFrame:
+    """Inner join of points to the polygons (column rings, not returned) that contain them.
+
+    Polygons of at most leaf_edges edges meet points whole, on at most four cells. Larger ones are tessellated: a point meets the one
+    cell that holds it, and tests only the edges there. Both give the same rows.
+    """
     from hectara.functions.geometry import contains_point
 
-    keyed, levels = polygon_cells(polygons, *envelope)
     minx, miny, maxx, maxy = (F.col(c) for c in envelope)
-    if not levels:
-        levels = [0]
-    pairs = point_cells(points, x, y, levels).join(keyed, ["level", "cx", "cy", *(on or [])])
+    bounded = F.coalesce((maxx - minx < float("inf")) & (maxy - miny < float("inf")), F.lit(False))
+    sized = polygons.withColumn("level", _size_level(envelope)).withColumn("_large", (edge_count(F.col("rings")) > leaf_edges) & bounded)
+    kinds = [(r["level"], r["_large"]) for r in sized.select("level", "_large").distinct().collect() if r["level"] is not None]  # at most a few dozen sizes
     inside = (F.col(x) >= minx) & (F.col(x) <= maxx) & (F.col(y) >= miny) & (F.col(y) <= maxy)
-    return pairs.filter(inside).filter(contains_point(F.col("rings"), F.col(x), F.col(y))).drop("level", "cx", "cy")
+    keys = ["level", "cx", "cy", *(on or [])]
+    small = polygon_cells(sized.filter(~F.col("_large")).drop("_large"), *envelope)
+    pairs = point_cells(points, x, y, sorted({level for level, large in kinds if not large}) or [0]).join(small, keys)
+    hits = pairs.filter(inside).filter(contains_point(F.col("rings"), F.col(x), F.col(y))).drop("level", "cx", "cy", "rings")
+    if not any(large for _, large in kinds):
+        return hits
+    cells = cut_lineage(tessellate(sized.filter("_large").drop("_large", "level"), _size_level(envelope), envelope, leaf_edges))
+    levels = sorted(r["level"] for r in cells.select("level").distinct().collect())
+    met = point_cells(points, x, y, levels).join(cells, keys).filter(inside & in_cell(F.col(x), F.col(y)))
+    return hits.unionByName(met.select(hits.columns))
 
 
 def _covered(df: DataFrame, env: tuple[str, str, str, str], level: str) -> DataFrame:
