@@ -4,6 +4,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from hectara.catalog.registry import query
+from hectara.functions.geometry import to_grid
 from hectara.session import shared_dir
 from hectara.sources import readers as R
 from hectara.sources import writers as W
@@ -198,6 +199,34 @@ def geojson(t):
     )
 
 
+# Corners around a centroid in degrees: an island, a hole and its outline, as flat rings in no order. Output turns outlines counterclockwise, holes clockwise.
+ISLAND = [(0.003, -0.0005), (0.004, -0.0005), (0.004, 0.0005), (0.003, 0.0005), (0.003, -0.0005)]
+HOLE = [(-0.0004, -0.0004), (0.0004, -0.0004), (0.0004, 0.0004), (-0.0004, 0.0004), (-0.0004, -0.0004)]
+OUTLINE = [(-0.001, -0.001), (-0.001, 0.001), (0.001, 0.001), (0.001, -0.001), (-0.001, -0.001)]
+CORNERS = ", ".join(
+    f"({part}, {ring}, {i}, {lon}, {lat})"
+    for part, ring, corners in ((0, 0, ISLAND), (1, 0, OUTLINE[::-1]), (1, 1, HOLE[::-1]))
+    for i, (lon, lat) in enumerate(corners)
+)
+
+
+@query(
+    "snk_05_polygon_geojson",
+    f"""SELECT id_dzialki, 'MultiPolygon' AS geometry_type, part, ring, place, round(centroid_lon + dlon, 7) AS lon, round(centroid_lat + dlat, 7) AS lat
+        FROM parcels, (VALUES {CORNERS}) AS c(part, ring, place, dlon, dlat) WHERE id_dzialki IN {FAV} AND centroid_lat IS NOT NULL AND centroid_lon IS NOT NULL""",
+)
+def polygon_geojson(t):
+    def corner(lon, lat):
+        return F.struct(*[c.alias(n) for c, n in zip(to_grid(F.col("centroid_lat") + lat, F.col("centroid_lon") + lon), "xy")])
+
+    rings = F.array(*[F.array(*[corner(*c) for c in ring]) for ring in (HOLE, ISLAND, OUTLINE)])
+    f = W.geojson_features(t("parcels").withColumn("outline", rings), favourites(t), rings="outline").filter(F.col("centroid_lat").isNotNull() & F.col("centroid_lon").isNotNull())
+    g = F.from_json("feature", "geometry struct<type:string,coordinates:array<array<array<array<double>>>>>")["geometry"]
+    out = f.select("id_dzialki", g["type"].alias("geometry_type"), F.posexplode(g["coordinates"]).alias("part", "c"))
+    out = out.select("id_dzialki", "geometry_type", "part", F.posexplode("c").alias("ring", "c")).select("id_dzialki", "geometry_type", "part", "ring", F.posexplode("c").alias("place", "c"))
+    return out.select("id_dzialki", "geometry_type", "part", "ring", "place", F.round(F.col("c")[0], 7).alias("lon"), F.round(F.col("c")[1], 7).alias("lat"))
+
+
 @query(
     "snk_05_geojson_header",
     f"""SELECT round(min(centroid_lat),6) AS min_lat, round(max(centroid_lon),6) AS max_lon, round(avg(centroid_lat),6) AS mean_lat, round((min(centroid_lat)+max(centroid_lat))/2,6) AS mid_lat, count(*) AS features FROM parcels WHERE id_dzialki IN {FAV}""",

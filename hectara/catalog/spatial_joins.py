@@ -33,6 +33,24 @@ def zone_of_parcel(t):
     return Z.attach_zone(t("parcels").select("id_dzialki", "centroid_x", "centroid_y"), "id_dzialki", t("zones"), BOX)
 
 
+@query("join_01_fine_outlines", f"SELECT p.id_dzialki, min(z.zone_id) AS zone_id FROM parcels p JOIN zones z ON {IN_ZONE} GROUP BY 1")
+def fine_outlines(t):
+    """The zones again, with 240 vertices on each outline, so that they are tessellated."""
+    steps = F.sequence(F.lit(0), F.lit(59))
+
+    def walk(x, y):
+        return F.transform(steps, lambda i: G.vertex(x(i / 60), y(i / 60)))
+
+    x0, x1, y0, y1 = (F.col(c) for c in ("x0", "x1", "y0", "y1"))
+    start = F.array(G.vertex(x0, y0))
+    sides = [
+        walk(lambda f: x0 + (x1 - x0) * f, lambda f: y0), walk(lambda f: x1, lambda f: y0 + (y1 - y0) * f),
+        walk(lambda f: x1 - (x1 - x0) * f, lambda f: y1), walk(lambda f: x0, lambda f: y1 - (y1 - y0) * f),
+    ]
+    zones = t("zones").withColumn("rings", F.array(F.concat(*sides, start)))
+    return Z.first_zone(t("parcels").select("id_dzialki", "centroid_x", "centroid_y"), "id_dzialki", zones, "zone_id", BOX)
+
+
 @query(
     "join_02_district_or_nearest",
     f"""WITH m AS (SELECT p.id_dzialki, min(z.zone_id) AS zone_id FROM parcels p JOIN zones z ON {IN_ZONE} GROUP BY 1),

@@ -451,7 +451,10 @@ def disc_envelope(df: DataFrame, x: str, y: str, radius: float, names: tuple[str
 
 
 def largest_overlap(items: DataFrame, item_id: str, areas: DataFrame, area_id: str, on: list[str]) -> DataFrame:
-    """Per item the area with the largest common surface above zero; ties to the smaller area id."""
+    """Per item the area with the largest common surface above zero; ties to the smaller area id.
+
+    An area of several parts has a row for each (`parts.one_row_a_part`); their surfaces are added up.
+    """
     from hectara.functions.geometry import overlap_area, signed_edges
 
     a = with_envelope(items.select(item_id, *on, "rings"), "rings", ENV_A).withColumn("aedges", signed_edges(F.col("rings"))).drop("rings")
@@ -459,6 +462,7 @@ def largest_overlap(items: DataFrame, item_id: str, areas: DataFrame, area_id: s
     common = envelope_pairs(a, b, on, key=item_id).select(
         item_id, "area_id", overlap_area(F.col("aedges"), F.col("bedges"), F.least("aminy", "bminy")).alias("overlap")
     )
+    common = common.groupBy(item_id, "area_id").agg(F.sum("overlap").alias("overlap"))
     best = F.max(F.struct(F.col("overlap"), (-F.col("area_id")).alias("neg")))
     return common.filter(F.col("overlap") > 1e-9).groupBy(item_id).agg(best.alias("m")).select(item_id, (-F.col("m.neg")).alias("area_id"), "m.overlap")
 

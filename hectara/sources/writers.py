@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hectara.functions.parts import geojson_geometry, nested_parts
 from hectara.functions.scores import half_even
 from hectara.functions.labels import lookup
 from hectara.functions.texts import fold_city
@@ -65,13 +66,20 @@ def poi_export(df: DataFrame, kind: str, area: Column | None = None) -> DataFram
     return df.select(key.alias("id"), F.coalesce("name", F.lit("")).alias("name"), "x", "y", *extra)
 
 
-def geojson_features(parcels: DataFrame, ids: DataFrame, geometry: bool = True) -> DataFrame:
-    """One Feature per row; a line-per-feature file is valid input for map tools and never gathers in one task."""
+def geojson_features(parcels: DataFrame, ids: DataFrame, geometry: bool = True, rings: str | None = None) -> DataFrame:
+    """One Feature per row; a line-per-feature file is valid input for map tools and never gathers in one task.
+
+    The geometry is the centroid, or with rings (a column of flat rings in grid coordinates) the Polygon or MultiPolygon they form.
+    """
     found = parcels.join(ids, "id_dzialki", "left_semi")
     props = F.struct("id_dzialki", "gmina", "miejscowosc", "area_m2", "quietness_score", "nature_score", "accessibility_score", F.col("has_pog").alias("has_mpzp"), F.col("pog_symbol").alias("mpzp_symbol"))
-    point = F.struct(F.lit("Point").alias("type"), F.array("centroid_lon", "centroid_lat").alias("coordinates"))
-    geom = F.when(F.lit(geometry), point)
-    return found.select("id_dzialki", "centroid_lat", "centroid_lon", F.to_json(F.struct(F.lit("Feature").alias("type"), props.alias("properties"), geom.alias("geometry")), {"ignoreNullFields": "false"}).alias("feature"))
+    if rings:
+        shape = geojson_geometry(nested_parts(F.col(rings)))
+    else:
+        shape = F.to_json(F.struct(F.lit("Point").alias("type"), F.array("centroid_lon", "centroid_lat").alias("coordinates")), {"ignoreNullFields": "false"})
+    shape = F.coalesce(F.when(F.lit(geometry), shape), F.lit("null"))
+    feature = F.concat(F.lit('{"type":"Feature","properties":'), F.to_json(props, {"ignoreNullFields": "false"}), F.lit(',"geometry":'), shape, F.lit("}"))
+    return found.select("id_dzialki", "centroid_lat", "centroid_lon", feature.alias("feature"))
 
 
 def geojson_header(features: DataFrame) -> DataFrame:
