@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from hectara.catalog.key_joins import DOMINANT, EDGE_SQL, PROFILES, ZONE_EDGE
 from hectara.catalog.registry import query
 from hectara.operators import graph as G
+from hectara.operators.similarity import nearest_for_each
 
 ALL_EDGES = f"""{EDGE_SQL} UNION ALL SELECT id_dzialki, dzielnica, 'LOCATED_IN' FROM parcels WHERE dzielnica IS NOT NULL UNION ALL SELECT district, city, 'BELONGS_TO' FROM ({DOMINANT})
   UNION ALL SELECT src, CAST(dst AS VARCHAR), 'HAS_POG' FROM ({ZONE_EDGE}) UNION ALL SELECT CAST(zone_id AS VARCHAR), profile, CASE WHEN secondary THEN 'ALLOWS_SECONDARY' ELSE 'ALLOWS' END FROM ({PROFILES})"""
@@ -23,11 +24,49 @@ def edges(t):
     return G.edges(t("parcels"), t("zones"))
 
 
-@query("grf_02_node_embedding")
+def embedding_sql(dimension=G.DIMENSION, weights=G.ITERATION_WEIGHTS, seed=G.SEED):
+    """Common tables that end in total(id, d, v): the node embedding one number a row."""
+    rels = ", ".join(f"'{r}'" for r in G.EMBEDDING_RELATIONS)
+    out = [f"l AS MATERIALIZED (SELECT src AS item, rel || ':' || dst AS node FROM ({ALL_EDGES}) WHERE rel IN ({rels}))"]
+
+    def unit(name, key, rows):
+        return f"{name} AS MATERIALIZED (SELECT {key}, d, CASE WHEN q > 0 THEN v / q ELSE v END AS v FROM (SELECT {key}, d, v, sqrt(sum(v * v) OVER (PARTITION BY {key})) AS q FROM ({rows})))"
+
+    for name, key in (("i0", "item"), ("n0", "node")):
+        draw = f"CAST('0x' || substr(md5({key} || '|' || (d // 8) || '|{seed}'), (d % 8) * 4 + 1, 4) AS INT) % 6"
+        out.append(unit(name, key, f"SELECT {key}, d, CASE {draw} WHEN 0 THEN sqrt(3.0::DOUBLE) WHEN 1 THEN -sqrt(3.0::DOUBLE) ELSE 0.0::DOUBLE END AS v FROM (SELECT DISTINCT {key} FROM l), (SELECT unnest(range({dimension})) AS d)"))
+    for n in range(len(weights)):
+        out.append(unit(f"i{n + 1}", "item", f"SELECT item, d, avg(v) AS v FROM l JOIN n{n} USING (node) GROUP BY item, d"))
+        out.append(unit(f"n{n + 1}", "node", f"SELECT node, d, avg(v) AS v FROM l JOIN i{n} USING (item) GROUP BY node, d"))
+    parts = " UNION ALL ".join(f"SELECT item, d, v * {w} AS v FROM i{n}" for n, w in enumerate(weights, 1) if w)
+    out.append(f"total AS MATERIALIZED (SELECT item AS id, d, sum(v) AS v FROM ({parts}) GROUP BY item, d)")
+    return ", ".join(out)
+
+
+def embedded(t):
+    return G.node_embedding(G.edges(t("parcels"), t("zones")).filter(F.col("rel").isin(G.EMBEDDING_RELATIONS)))
+
+
+@query(
+    "grf_02_node_embedding",
+    f"""WITH {embedding_sql()} SELECT id, count(*) AS dims, round(sum(v * v), 6) AS norm2, string_agg(CAST(CAST(round(v * 1000000) AS BIGINT) AS VARCHAR), ',' ORDER BY d) AS millionths FROM total GROUP BY id""",
+)
 def node_embedding(t):
-    e = G.edges(t("parcels"), t("zones")).filter(F.col("rel").isin(G.EMBEDDING_RELATIONS))
-    v = G.node_embedding(e)
-    return v.select("id", F.size("embedding").alias("dims"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x), 6).alias("norm2"))
+    numbers = F.transform("embedding", lambda v: F.round(v * 1_000_000).cast("bigint").cast("string"))
+    norm2 = F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x), 6)
+    return embedded(t).select("id", F.size("embedding").cast("bigint").alias("dims"), norm2.alias("norm2"), F.concat_ws(",", numbers).alias("millionths"))
+
+
+@query(
+    "vec_03_by_node_embedding",
+    f"""WITH {embedding_sql()}, e AS MATERIALIZED (SELECT id, list(v ORDER BY d) AS v FROM total GROUP BY id), q AS (SELECT * FROM e WHERE id IN (SELECT parcel_id FROM feedback WHERE action = 'favorite')),
+        s AS (SELECT q.id, e.id AS neighbour, round(list_cosine_similarity(q.v, e.v), 9) AS similarity FROM q JOIN e ON q.id <> e.id),
+        r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, neighbour) AS rank FROM s) SELECT id, rank, neighbour, similarity FROM r WHERE rank <= 10""",
+)
+def by_node_embedding(t):
+    """Ten parcels most like each favourite by the node embedding, all favourites in one job."""
+    favourites = t("feedback").filter(F.col("action") == "favorite").select(F.col("parcel_id").alias("id"))
+    return nearest_for_each(embedded(t), "id", "embedding", favourites, 10)
 
 
 @query(

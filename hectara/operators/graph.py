@@ -62,7 +62,10 @@ def node_embedding(graph: DataFrame, dimension: int = DIMENSION, weights: list[f
     root = 3.0**0.5
 
     def start(df: DataFrame, key: str) -> DataFrame:
-        draw = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.pmod(F.xxhash64(F.col(key), i, F.lit(seed)), F.lit(6)))
+        # Eight draws of 16 bits from each md5, which other engines can repeat.
+        blocks = F.transform(F.sequence(F.lit(0), F.lit((dimension - 1) // 8)), lambda b: F.md5(F.concat_ws("|", F.col(key), b, F.lit(seed))))
+        bits = F.flatten(F.transform(blocks, lambda h: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.substr(h, i * 4 + 1, F.lit(4)))))
+        draw = F.transform(F.slice(bits, 1, dimension), lambda v: F.conv(v, 16, 10).cast("int") % 6)
         return df.select(key, F.transform(draw, lambda d: F.when(d == 0, root).when(d == 1, -root).otherwise(0.0)).alias("vec"))
 
     def unit(df: DataFrame, key: str) -> DataFrame:

@@ -1,11 +1,14 @@
 """Vector search and text similarity. Cosine is exact; text meets on shared tokens, never all with all."""
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hectara.functions import constants as C
 from hectara.operators.text_joins import cosine_at_least
+from hectara.session import cut_lineage
 
 
 def cosine(vector: Column, query: list[float]) -> Column:
@@ -42,6 +45,72 @@ def most_similar(
     return near.orderBy(*best).limit(keep)
 
 
+PIVOTS, RING = 32, 0.05
+SLACK = 1e-4  # radians; covers the rounding of similarities and of angles near zero
+
+
+def _meetings(df: DataFrame, key: str, vector: str, queries: DataFrame, k: int, pivots: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows by class, the keys asked for by class, and the pairs of classes that the bounds leave, with their similarity."""
+    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, v: s + v * v))
+    rows = df.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias(vector)).withColumn("norm", norm).filter("norm > 0 AND norm < double('inf')")
+    rows = rows.select("key", F.transform(vector, lambda v: v / F.col("norm")).alias("unit"))
+    rows = cut_lineage(rows.withColumn("class", F.md5(F.concat_ws(",", F.transform("unit", lambda v: F.round(v * 1e9).cast("bigint").cast("string"))))))
+    classes = cut_lineage(rows.groupBy("class").agg(F.min("key").alias("first"), F.min_by("unit", "key").alias("unit")))
+
+    def dot(a: Column, b: Column) -> Column:
+        return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+
+    chosen = classes.orderBy("class").limit(pivots).agg(F.collect_list("unit").alias("pivots"))
+    angles = F.transform("pivots", lambda p: F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(F.col("unit"), p)))))
+    seen = classes.join(F.broadcast(chosen)).withColumn("angles", angles).drop("pivots")
+    seen = seen.withColumn("r", F.array_min("angles")).withColumn("cell", F.array_position("angles", F.col("r")).cast("int"))
+    seen = cut_lineage(seen.withColumn("ring", F.floor(F.col("r") / RING).cast("int")))
+    cells = seen.groupBy("cell").agg(F.min("r").alias("low"), F.max("r").alias("high"), F.count(F.lit(1)).alias("n"))
+    cells = cells.agg(F.collect_list(F.struct("cell", "low", "high", "n")).alias("cells"))
+
+    asked = rows.join(queries.select(F.col(key).alias("key")).distinct(), "key", "left_semi").select("key", "class")
+    q = seen.join(asked.select("class").distinct(), "class", "left_semi").join(F.broadcast(cells))
+    theta = F.transform("cells", lambda c: F.struct(c["cell"].alias("cell"), c["low"].alias("low"), c["high"].alias("high"), c["n"].alias("n"), F.element_at("angles", c["cell"]).alias("at")))
+    q = q.select(F.col("class").alias("asked"), F.col("unit").alias("q"), F.col("angles").alias("qa"), F.col("cell").alias("own"), F.col("ring").alias("own_ring"), theta.alias("cells"))
+    # Cells by their farthest possible member: the first that complete k + 1 classes bound the k-th neighbour.
+    far = F.array_sort(F.transform("cells", lambda c: F.struct((c["at"] + c["high"]).alias("far"), c["n"].alias("n"))))
+    start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(math.pi).alias("bound"))
+    bound = F.aggregate(far, start, lambda s, c: F.struct((s["n"] + c["n"]).alias("n"), F.when((s["n"] <= k) & (s["n"] + c["n"] > k), c["far"]).otherwise(s["bound"]).alias("bound")))
+    q = cut_lineage(q.withColumn("wide", bound["bound"]))
+    # The k + 1 best of the own ring bound it as well, and mostly closer.
+    place = seen.select("unit", F.col("cell").alias("own"), F.col("ring").alias("own_ring"))
+    near = q.select("asked", "q", "own", "own_ring").join(place, ["own", "own_ring"]).select("asked", dot(F.col("q"), F.col("unit")).alias("s"))
+    near = near.withColumn("place", F.row_number().over(Window.partitionBy("asked").orderBy(F.col("s").desc()))).filter(F.col("place") == k + 1)
+    close = near.select("asked", F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("s")))).alias("close"))
+    q = q.join(close, "asked", "left").withColumn("bound", F.least("wide", "close") + SLACK).select("asked", "q", "qa", "bound", F.inline("cells"))
+    low, high = F.greatest(F.col("at") - F.col("bound"), F.col("low")), F.least(F.col("at") + F.col("bound"), F.col("high"))
+    q = q.filter(low <= high).withColumn("ring", F.explode(F.sequence(F.floor(low / RING).cast("int"), F.floor(high / RING).cast("int"))))
+    met = q.select("asked", "q", "qa", "bound", "cell", "ring").join(seen.select("class", "first", "unit", "angles", "cell", "ring"), ["cell", "ring"])
+    apart = F.array_max(F.zip_with("qa", "angles", lambda a, b: F.abs(a - b)))
+    met = met.filter(apart <= F.col("bound")).select("asked", "class", "first", F.round(dot(F.col("q"), F.col("unit")), 9).alias("similarity"))
+    return rows, asked, met
+
+
+def nearest_for_each(df: DataFrame, key: str, vector: str, queries: DataFrame, k: int, pivots: int = PIVOTS) -> DataFrame:
+    """key, rank, neighbour and similarity: for every row of queries (column key) the k rows of df with the largest cosine but itself, ties to the smaller key.
+
+    All queries run in one job. Rows of one vector (rounded to nine digits, of unit length) are one class, so copies are compared once.
+    Classes stand in cells of their nearest pivot, in rings by their angle to it. The cells' radii and counts, and the best of the query's own
+    ring, bound the angle of the k-th neighbour; by the triangle inequality only rings within that bound of the query's own angle can hold an
+    answer. Only those are met, the angles to the other pivots are tested before vectors are multiplied, and no answer is left out. Keys are unique; rows with a null key, without a vector, or of length zero have no direction: they are
+    neither found nor answered.
+    """
+    rows, asked, met = _meetings(df, key, vector, queries, k, pivots)
+    order = [F.col("similarity").desc(), F.col("first")]
+    best = met.withColumn("place", F.row_number().over(Window.partitionBy("asked").orderBy(*order))).filter(F.col("place") <= k + 1)
+    members = rows.select("key", "class").withColumn("place", F.row_number().over(Window.partitionBy("class").orderBy("key"))).filter(F.col("place") <= k + 1)
+    found = best.drop("place", "first").join(members.select("class", F.col("key").alias("neighbour")), "class")
+    found = found.withColumn("place", F.row_number().over(Window.partitionBy("asked").orderBy(F.col("similarity").desc(), "neighbour"))).filter(F.col("place") <= k + 1)
+    pairs = asked.withColumnRenamed("class", "asked").join(found.select("asked", "neighbour", "similarity"), "asked").filter("neighbour <> key")
+    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.col("similarity").desc(), "neighbour"))).filter(F.col("rank") <= k)
+    return ranked.select(F.col("key").alias(key), "rank", "neighbour", "similarity")
+
+
 def name_grams(df: DataFrame, text: str) -> DataFrame:
     """Rows (…, gram, weight): unit-length character-trigram vector of a short name, built inside the row."""
     padded = F.concat(F.lit(" "), F.trim(F.lower(text)), F.lit(" "))
