@@ -45,6 +45,7 @@ def edges(parcels: DataFrame, zones: DataFrame) -> DataFrame:
 EMBEDDING_RELATIONS = ["LOCATED_IN", "HAS_QUIETNESS", "HAS_NATURE", "HAS_SIZE", "HAS_OWNERSHIP", "HAS_BUILD_STATUS"]
 ITERATION_WEIGHTS = [0.0, 1.0, 1.0, 0.5, 0.25]
 SEED, DIMENSION = 42, 256
+BROADCAST_BYTES = 32 << 20  # of node vectors
 
 
 def node_embedding(graph: DataFrame, dimension: int = DIMENSION, weights: list[float] = ITERATION_WEIGHTS, seed: int = SEED) -> DataFrame:
@@ -53,7 +54,7 @@ def node_embedding(graph: DataFrame, dimension: int = DIMENSION, weights: list[f
     Every node starts from a seeded sparse random vector; each round averages the neighbours' unit
     vectors, and the result is the weighted sum of the rounds. Edges carry src (item), dst (node).
     Averages run as JVM vector summaries with partial sums, so a node linked to a third of all
-    items is not gathered; the shared nodes' vectors are broadcast when counted to be few.
+    items is not gathered; the shared nodes' vectors are broadcast when counted to be at most BROADCAST_BYTES.
     """
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
@@ -81,7 +82,7 @@ def node_embedding(graph: DataFrame, dimension: int = DIMENSION, weights: list[f
     items, nodes = unit(items, "item"), unit(nodes, "node")
     total = None
     for weight in weights:
-        new_items = cut_lineage(unit(average(sized_broadcast(nodes), "node", "item"), "item"))
+        new_items = cut_lineage(unit(average(sized_broadcast(nodes, BROADCAST_BYTES // (8 * dimension)), "node", "item"), "item"))
         new_nodes = unit(average(items, "item", "node"), "node")
         items, nodes = new_items, new_nodes
         if weight:
