@@ -13,9 +13,10 @@ EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type st
 ACTIONS = {"purchase": "favorite", "error": "reject", "signup": "clear", "click": "compare"}
 
 
-def event_stream(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """Feedback events arriving as files."""
-    raw = spark.readStream.schema(EVENT_SCHEMA).option("pathGlobFilter", pattern).parquet(folder)
+def event_stream(spark: SparkSession, folder: str, pattern: str = "*", files: int | None = None) -> DataFrame:
+    """Feedback events arriving as files, at most the given number of them in a batch."""
+    reader = spark.readStream.schema(EVENT_SCHEMA).option("pathGlobFilter", pattern)
+    raw = (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(folder)
     action = F.create_map([F.lit(v) for pair in ACTIONS.items() for v in pair])[F.col("event_type")]
     return raw.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", F.coalesce(action, F.col("event_type")).alias("action"), F.concat(F.lit("D"), F.regexp_extract("props", "([0-9]+)", 1)).alias("parcel_id"))
 
@@ -41,6 +42,42 @@ def collect_stream(stream: DataFrame, mode: str, schema: str) -> DataFrame:
     return spark.read.schema(schema + ", batch bigint").parquet(f"{base}/out")
 
 
+END, END_TS = "end of stream", "2200-01-01"
+
+
+def with_end(events: DataFrame, folder: str) -> DataFrame:
+    """events and the closing row that end_stream puts into the folder; it has no user and only moves the watermark."""
+    spark = events.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
+    return events.unionByName(spark.readStream.schema(events.schema).parquet(folder))
+
+
+def end_stream(events: DataFrame, folder: str) -> None:
+    """Let the next run close all windows, sessions and timers. It is the last one: rows that come after it are late."""
+    given = {"ts": F.lit(END_TS).cast("timestamp"), "action": F.lit(END)}
+    rows = events.sparkSession.range(1).select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in events.schema])
+    rows.write.mode("overwrite").parquet(folder)
+
+
+def collect_to_end(build: Callable[[DataFrame], DataFrame], events: DataFrame, schema: str) -> DataFrame:
+    """Drive build(events) through all events and then to its end, in append mode; nothing stays open.
+
+    The second run resumes from the checkpoint of the first. Each batch replaces its own folder.
+    """
+    spark = events.sparkSession
+    base = f"{shared_dir(spark)}/hectara-stream-{uuid.uuid4().hex}"
+
+    def sink(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+
+    stream = build(with_end(events, f"{base}/end"))
+    run_to_end(stream, "append", sink, f"{base}/checkpoint")
+    end_stream(events, f"{base}/end")
+    run_to_end(stream, "append", sink, f"{base}/checkpoint")
+    return spark.read.schema(schema + ", batch bigint").parquet(f"{base}/out").drop("batch")
+
+
 RATING_SCHEMA = "user_id bigint, parcel_id string, rating string"
 
 
@@ -72,25 +109,71 @@ def history(events: DataFrame) -> DataFrame:
     return ratings_batch(kept)
 
 
+ACTIVE_SCHEMA = "start timestamp, end timestamp, users bigint, events bigint"
+
+
 def active_users(events: DataFrame, hours: int = 24, slide_hours: int = 1, late: str = "1 hour") -> DataFrame:
-    """Approximate number of users per sliding window; windows close when the watermark passes them."""
-    return (
-        events.withWatermark("ts", late).groupBy(F.window("ts", f"{hours} hours", f"{slide_hours} hours").alias("w"))
-        .agg(F.approx_count_distinct("user_id", 0.01).alias("users"), F.count(F.lit(1)).alias("events"))
-        .select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "users", "events")
-    )
+    """Exact number of users per sliding window; windows close when the watermark passes them.
+
+    Chained windows: rows become one per user and step, then one per user and window, then the count. A busy user
+    is combined before each shuffle, and the windows repeat steps, not events.
+    """
+    step = events.withWatermark("ts", late).groupBy(F.window("ts", f"{slide_hours} hours").alias("step"), "user_id").agg(F.count(F.lit(1)).alias("n"))
+    spans = step.groupBy(F.window("step", f"{hours} hours", f"{slide_hours} hours").alias("w"), "user_id").agg(F.sum("n").alias("n"))
+    out = spans.groupBy("w").agg(F.count("user_id").alias("users"), F.sum(F.when(F.col("user_id").isNotNull(), F.col("n"))).alias("events"))
+    return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "users", "events")
+
+
+SESSION_SCHEMA = "user_id bigint, first_ts timestamp, last_ts timestamp, messages bigint, liked bigint, rejected bigint, first_parcel string"
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
-    """Sessions closed by a pause: length, messages and reactions per user."""
+    """Sessions closed by a pause: length, messages, reactions and the first parcel per user."""
     return (
         events.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap).alias("w"))
         .agg(F.count(F.lit(1)).alias("messages"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
-             F.sum(F.when(F.col("action") == "favorite", 1).otherwise(0)).alias("liked"), F.sum(F.when(F.col("action") == "reject", 1).otherwise(0)).alias("rejected"))
-        .select("user_id", "first_ts", "last_ts", "messages", "liked", "rejected")
+             F.sum(F.when(F.col("action") == "favorite", 1).otherwise(0)).alias("liked"), F.sum(F.when(F.col("action") == "reject", 1).otherwise(0)).alias("rejected"),
+             F.min_by("parcel_id", F.struct("ts", "event_id")).alias("first_parcel"))
+        .select("user_id", "first_ts", "last_ts", "messages", "liked", "rejected", "first_parcel")
     )
 
 
+PART_SCHEMA = "user_id bigint, location string, n bigint, last_seen timestamp, liked bigint"
+
+
+def pattern_sink(parcels: DataFrame, folder: str) -> Callable[[DataFrame, int], None]:
+    """Adds the sessions that a batch has closed to the pattern table: a part per batch with sums per user and location.
+
+    A part replaces that of the same batch, so a batch that runs again after a failure is not counted twice.
+    parcels gives the location (gmina) of a session's first parcel.
+    """
+    places = parcels.select(F.col("id_dzialki").alias("first_parcel"), F.col("gmina").alias("location"))
+
+    def sink(batch: DataFrame, number: int) -> None:
+        part = batch.join(places, "first_parcel").groupBy("user_id", "location").agg(F.count(F.lit(1)).alias("n"), F.max("last_ts").alias("last_seen"), F.sum("liked").alias("liked"))
+        part.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    return sink
+
+
+def learned_patterns(spark: SparkSession, folder: str) -> DataFrame:
+    """The pattern table: its parts added up, confidence and importance from the sums."""
+    parts = spark.read.schema(PART_SCHEMA + ", batch bigint").parquet(folder)
+    sums = parts.groupBy("user_id", "location").agg(F.sum("n").alias("n"), F.max("last_seen").alias("last_seen"), F.sum("liked").alias("liked"))
+    confidence = F.least(F.lit(0.9), F.lit(0.3) + F.lit(0.1) * F.greatest(F.col("n") - 2, F.lit(0)))
+    return sums.select("user_id", "location", "n", "last_seen", F.round(confidence, 4).alias("confidence"), F.round(F.lit(0.5) + F.lit(0.05) * F.col("liked"), 4).alias("importance"))
+
+
+def learn_to_end(events: DataFrame, parcels: DataFrame, folder: str) -> DataFrame:
+    """Sessions of all events, the open ones closed at the end, into the pattern table below folder."""
+    stream = sessions(with_end(events, f"{folder}/end"))
+    for last in (False, True):
+        if last:
+            end_stream(events, f"{folder}/end")
+        run_to_end(stream, "append", pattern_sink(parcels, f"{folder}/patterns"), f"{folder}/checkpoint")
+    return learned_patterns(events.sparkSession, f"{folder}/patterns")
+
+
 PHASE_SCHEMA = (
     "user_id bigint, searches bigint, favorites bigint, rejections bigint, "
     "first_search struct<ts:timestamp,event_id:bigint>, last_favorite struct<ts:timestamp,event_id:bigint>"
