@@ -157,6 +157,59 @@ def parcel_card(t):
     return S.parcel_card(t("parcels"))
 
 
+NEAREST_SQL = """CASE WHEN nearest_water_type IS NOT NULL AND (CASE WHEN nearest_water_type = 'morze' THEN dist_to_sea ELSE dist_to_water END) <> 0 THEN concat(
+  CASE nearest_water_type WHEN 'morze' THEN 'Morze' WHEN 'jezioro' THEN 'Jezioro' WHEN 'rzeka' THEN 'Rzeka' WHEN 'kanal' THEN 'Kanał' WHEN 'staw' THEN 'Staw' ELSE nearest_water_type END,
+  ' (', CAST(floor(CASE WHEN nearest_water_type = 'morze' THEN dist_to_sea ELSE dist_to_water END) AS BIGINT), 'm)') END"""
+WATER_SQL = "dist_to_sea, dist_to_river, dist_to_lake, dist_to_canal, dist_to_pond, dist_to_water, nearest_water_type"
+SCORES_SQL = """area_m2, centroid_lat AS lat, centroid_lon AS lon, kategoria_ciszy, kategoria_natury, kategoria_dostepu, gestosc_zabudowy, quietness_score, nature_score, accessibility_score,
+  is_built, building_count, building_coverage_pct, building_max_floors"""
+
+
+@query(
+    "flt_17_context_card",
+    """SELECT id_dzialki AS id, area_m2, quietness_score AS quietness, nature_score AS nature, accessibility_score AS accessibility, pog_symbol IS NOT NULL AS has_mpzp, gmina, dzielnica AS miejscowosc, powiat,
+       pog_symbol AS mpzp_symbol, pog_nazwa AS mpzp_nazwa, is_residential_zone AS mpzp_budowlany FROM parcels""",
+)
+def context_card(t):
+    return S.context_card(t("parcels"))
+
+
+@query(
+    "flt_17_neighborhood_card",
+    f"""SELECT id_dzialki AS id, gmina, dzielnica AS miejscowosc, powiat, {SCORES_SQL}, has_pog AS has_mpzp, pog_symbol AS mpzp_symbol, pog_nazwa AS mpzp_nazwa, is_residential_zone AS mpzp_budowlany,
+        pog_maks_wysokosc_m AS pog_max_wysokosc, dist_to_school, dist_to_supermarket AS dist_to_shop, dist_to_doctors AS dist_to_hospital, dist_to_bus_stop, dist_to_industrial, dist_to_forest, {WATER_SQL},
+        pct_forest_500m, pct_water_500m, count_buildings_500m, concat_ws('|', CASE WHEN dzielnica IS NOT NULL THEN 'Lokalizacja: ' || dzielnica || ', ' || coalesce(gmina, '') ELSE 'Lokalizacja: ' || gmina END,
+        CASE WHEN area_m2 <> 0 THEN 'Powierzchnia: ' || format('{{:,}}', area_m2) || ' m²' END, CASE WHEN NOT is_built THEN 'Niezabudowana' WHEN building_count > 0 THEN 'Zabudowana (' || building_count || ' bud.)' ELSE 'Zabudowana' END,
+        'Cisza: ' || quietness_score || '/100 (' || coalesce(kategoria_ciszy, '') || ')', 'Natura: ' || nature_score || '/100 (' || coalesce(kategoria_natury, '') || ')',
+        'Dostępność: ' || accessibility_score || '/100 (' || coalesce(kategoria_dostepu, '') || ')', 'Woda: ' || {NEAREST_SQL}) AS summary FROM parcels""",
+)
+def neighborhood_card(t):
+    return S.neighborhood_card(t("parcels")).withColumn("summary", F.array_join("summary", "|"))
+
+
+@query(
+    "flt_17_full_context_card",
+    f"""SELECT id_dzialki, gmina, dzielnica, {SCORES_SQL}, pog_symbol, pog_nazwa, pog_maks_wysokosc_m AS pog_max_wysokosc, is_residential_zone, {WATER_SQL}, dist_to_school, dist_to_bus_stop, dist_to_forest,
+        dist_to_supermarket, dist_to_main_road, pct_forest_500m, count_buildings_500m, coalesce(dzielnica, '') || ', ' || coalesce(gmina, '') AS lokalizacja, format('{{:,}}', coalesce(area_m2, 0)) || ' m²' AS powierzchnia,
+        CASE WHEN is_built THEN 'Tak' ELSE 'Nie' END AS zabudowana, CASE WHEN is_residential_zone THEN 'Tak' ELSE 'Nie' END AS strefa_mieszkaniowa,
+        coalesce(quietness_score, 0) || '/100 (' || coalesce(kategoria_ciszy, '') || ')' AS cisza, coalesce(nature_score, 0) || '/100 (' || coalesce(kategoria_natury, '') || ')' AS natura,
+        coalesce(accessibility_score, 0) || '/100 (' || coalesce(kategoria_dostepu, '') || ')' AS dostepnosc, {NEAREST_SQL} AS najblizsa_woda FROM parcels""",
+)
+def full_context_card(t):
+    out = S.full_context_card(t("parcels"))
+    return out.select(*[c for c in out.columns if c != "summary"], "summary.*")
+
+
+@query(
+    "flt_17_water_card",
+    f"""WITH w AS (SELECT id_dzialki, dzielnica, {WATER_SQL}, concat_ws('|', CASE WHEN dist_to_sea <> 0 AND dist_to_sea <= 5000 THEN 'Morze: ' || dist_to_sea || 'm' END, CASE WHEN dist_to_lake <> 0 AND dist_to_lake <= 3000 THEN 'Jezioro: ' || dist_to_lake || 'm' END,
+        CASE WHEN dist_to_river <> 0 AND dist_to_river <= 2000 THEN 'Rzeka: ' || dist_to_river || 'm' END, CASE WHEN dist_to_canal <> 0 AND dist_to_canal <= 1000 THEN 'Kanał: ' || dist_to_canal || 'm' END) AS near FROM parcels)
+        SELECT * EXCLUDE (near), CASE WHEN near = '' THEN 'Brak wody w pobliżu' ELSE near END AS water_summary, near <> '' AS has_water_nearby FROM w""",
+)
+def water_card(t):
+    return S.water_card(t("parcels")).withColumn("water_summary", F.array_join("water_summary", "|"))
+
+
 @query(
     "flt_18_compare",
     """WITH u AS (SELECT id_dzialki, unnest(['gmina','area_m2','quietness_score','pog_symbol']) AS attribute, unnest([gmina, CAST(area_m2 AS VARCHAR), CAST(quietness_score AS VARCHAR), pog_symbol]) AS value FROM parcels WHERE id_dzialki IN ('D12','D77','D140'))

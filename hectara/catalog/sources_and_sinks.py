@@ -15,13 +15,23 @@ def scratch(t, name):
     return f"{shared_dir(t.spark)}/hectara-{name}-{uuid.uuid4().hex}"
 
 
-@query("src_01_layer_clip", "SELECT shape_id, name FROM shapes WHERE x1 >= 3000 - 1000 AND x0 <= 5000 + 1000 AND y1 >= 2000 - 1000 AND y0 <= 6000 + 1000 AND name IN (SELECT DISTINCT name FROM shapes WHERE name LIKE 'red%')")
+@query("src_01_layer_clip", "SELECT shape_id, name FROM shapes WHERE x1 >= 3000 - 1000 AND x0 <= 5000 + 1000 AND y1 >= 2000 - 1000 AND y0 <= 6000 + 1000")
 def layer_clip(t):
     path = scratch(t, "layer")
     t("shapes").select("shape_id", "name", F.col("x0").alias("minx"), F.col("y0").alias("miny"), F.col("x1").alias("maxx"), F.col("y1").alias("maxy")).write.parquet(path)
-    df = t.spark.read.parquet(path)
-    names = df.filter(F.col("name").startswith("red")).select("name").distinct()
-    return R.layer(df, (3000.0, 2000.0, 5000.0, 6000.0), R.CLIP_MARGIN).join(names, "name", "left_semi").select("shape_id", "name")
+    return R.layer(t.spark.read.parquet(path), (3000.0, 2000.0, 5000.0, 6000.0), R.CLIP_MARGIN).select("shape_id", "name")
+
+
+ROAD_CLASSES = ["AUTOMOBILE", "MACHINERY", "BUILDING", "FURNITURE"]
+
+
+@query("src_01_layer_values", "SELECT pk, dzielnica FROM parcels WHERE centroid_x + bbox_width >= 1000 - 2000 AND centroid_x <= 9000 + 2000 AND centroid_y + bbox_height >= 1000 - 2000 AND centroid_y <= 9000 + 2000 AND dzielnica IN ('AUTOMOBILE','MACHINERY','BUILDING','FURNITURE')")
+def layer_values(t):
+    """A layer clipped and filtered by four values of one column, both in the Parquet scan."""
+    path = scratch(t, "layer")
+    x, y = F.col("centroid_x"), F.col("centroid_y")
+    t("parcels").select("pk", "dzielnica", x.alias("minx"), y.alias("miny"), (x + F.col("bbox_width")).alias("maxx"), (y + F.col("bbox_height")).alias("maxy")).write.parquet(path)
+    return R.layer(t.spark.read.parquet(path), (1000.0, 1000.0, 9000.0, 9000.0), R.FEATURE_MARGIN, "dzielnica", ROAD_CLASSES).select("pk", "dzielnica")
 
 
 @query(

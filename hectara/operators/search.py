@@ -331,6 +331,87 @@ def parcel_card(parcels: DataFrame) -> DataFrame:
     return parcels.select(*[F.col(c).alias(renames.get(c, c)) for c in kept])
 
 
+# Names of waters on the cards, the column of each one's distance, and how near counts as near (m).
+CARD_WATERS = {"morze": "Morze", "jezioro": "Jezioro", "rzeka": "Rzeka", "kanal": "Kanał", "staw": "Staw"}
+CARD_WATER_LIMITS = [("dist_to_sea", "Morze", 5000), ("dist_to_lake", "Jezioro", 3000), ("dist_to_river", "Rzeka", 2000), ("dist_to_canal", "Kanał", 1000)]
+NO_WATER = "Brak wody w pobliżu"
+
+# The columns of the cards; a pair gives a column and its public name.
+PLACE_AND_SCORES = ["area_m2", ("centroid_lat", "lat"), ("centroid_lon", "lon"), "kategoria_ciszy", "kategoria_natury", "kategoria_dostepu", "gestosc_zabudowy",
+                    "quietness_score", "nature_score", "accessibility_score", "is_built", "building_count", "building_coverage_pct", "building_max_floors"]
+HEIGHT_AND_COVER = [("pog_maks_wysokosc_m", "pog_max_wysokosc"), ("pog_maks_zabudowa_pct", "pog_max_zabudowa")]
+WATERS = ["dist_to_sea", "dist_to_river", "dist_to_lake", "dist_to_canal", "dist_to_pond", "dist_to_water", "nearest_water_type"]
+ZONING = [("pog_symbol", "mpzp_symbol"), ("pog_nazwa", "mpzp_nazwa"), ("is_residential_zone", "mpzp_budowlany")]
+CARDS = {
+    "context": [("id_dzialki", "id"), "area_m2", ("quietness_score", "quietness"), ("nature_score", "nature"), ("accessibility_score", "accessibility"), "gmina", ("dzielnica", "miejscowosc"), "powiat", *ZONING],
+    "neighborhood": [("id_dzialki", "id"), "gmina", ("dzielnica", "miejscowosc"), "powiat", *PLACE_AND_SCORES, ("has_pog", "has_mpzp"), *ZONING, *HEIGHT_AND_COVER, "dist_to_school", ("dist_to_supermarket", "dist_to_shop"),
+                     ("dist_to_doctors", "dist_to_hospital"), "dist_to_bus_stop", "dist_to_industrial", "dist_to_forest", *WATERS, "pct_forest_500m", "pct_water_500m", "count_buildings_500m"],
+    "full_context": ["id_dzialki", "gmina", "dzielnica", *PLACE_AND_SCORES, "pog_symbol", "pog_nazwa", ("pog_profil_podstawowy", "pog_profil"), *HEIGHT_AND_COVER, "is_residential_zone", *WATERS,
+                     "dist_to_school", "dist_to_bus_stop", "dist_to_forest", "dist_to_supermarket", "dist_to_main_road", "pct_forest_500m", "count_buildings_500m"],
+    "water": ["id_dzialki", "dzielnica", *WATERS],
+}
+
+
+def card(parcels: DataFrame, name: str) -> DataFrame:
+    """One of CARDS for every parcel; columns that the parcels lack are left out."""
+    pairs = [c if isinstance(c, tuple) else (c, c) for c in CARDS[name]]
+    return parcels.select(*[F.col(c).alias(alias) for c, alias in pairs if c in parcels.columns])
+
+
+def whole(value: Column) -> Column:
+    return F.floor(value).cast("long").cast("string")
+
+
+def nearest_water_text() -> Column:
+    """Name and distance of the nearest water; that of the sea by its own column, of others by the general one; none without a distance."""
+    kind = F.col("nearest_water_type")
+    meters = F.when(kind == "morze", F.col("dist_to_sea")).otherwise(F.col("dist_to_water"))
+    return F.when(kind.isNotNull() & (meters != 0), F.concat(F.coalesce(lookup(CARD_WATERS, kind), kind), F.lit(" ("), whole(meters), F.lit("m)")))
+
+
+def rated(label: str, score: str, category: str) -> Column:
+    return F.when(F.col(score).isNotNull(), F.concat(F.lit(label + ": "), whole(F.col(score)), F.lit("/100 ("), F.coalesce(category, F.lit("")), F.lit(")")))
+
+
+def square_meters(area: Column) -> Column:
+    return F.concat(F.format_number(area, 0), F.lit(" m²"))
+
+
+def context_card(parcels: DataFrame) -> DataFrame:
+    return card(parcels, "context").withColumn("has_mpzp", F.col("mpzp_symbol").isNotNull())
+
+
+def neighborhood_card(parcels: DataFrame) -> DataFrame:
+    """The card and its summary in sentences; a sentence without its value is left out."""
+    given = lambda c: F.col(c).isNotNull() & (F.col(c) != 0)
+    place = F.when(F.coalesce("miejscowosc", F.lit("")) != "", F.concat(F.lit("Lokalizacja: "), "miejscowosc", F.lit(", "), F.coalesce("gmina", F.lit("")))).otherwise(F.concat(F.lit("Lokalizacja: "), "gmina"))
+    built = F.when(F.col("is_built"), F.concat(F.lit("Zabudowana"), F.when(given("building_count"), F.concat(F.lit(" ("), F.col("building_count").cast("string"), F.lit(" bud.)"))).otherwise(""))).otherwise("Niezabudowana")
+    area = F.when(given("area_m2"), F.concat(F.lit("Powierzchnia: "), square_meters(F.col("area_m2"))))
+    scores = [rated("Cisza", "quietness_score", "kategoria_ciszy"), rated("Natura", "nature_score", "kategoria_natury"), rated("Dostępność", "accessibility_score", "kategoria_dostepu")]
+    sentences = F.array(place, area, built, *scores, F.concat(F.lit("Woda: "), nearest_water_text()))
+    return card(parcels, "neighborhood").withColumn("summary", F.array_compact(sentences))
+
+
+def full_context_card(parcels: DataFrame) -> DataFrame:
+    """The card and its summary as a struct; absent numbers read 0, absent words nothing."""
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    yes = lambda c: F.when(F.col(c), "Tak").otherwise("Nie")
+    score = lambda c, k: F.concat(F.coalesce(F.col(c), F.lit(0)).cast("string"), F.lit("/100 ("), text(k), F.lit(")"))
+    summary = F.struct(
+        F.concat(text("dzielnica"), F.lit(", "), text("gmina")).alias("lokalizacja"), square_meters(F.coalesce("area_m2", F.lit(0))).alias("powierzchnia"), yes("is_built").alias("zabudowana"),
+        yes("is_residential_zone").alias("strefa_mieszkaniowa"), score("quietness_score", "kategoria_ciszy").alias("cisza"), score("nature_score", "kategoria_natury").alias("natura"),
+        score("accessibility_score", "kategoria_dostepu").alias("dostepnosc"), nearest_water_text().alias("najblizsa_woda"),
+    )
+    return card(parcels, "full_context").withColumn("summary", summary)
+
+
+def water_card(parcels: DataFrame) -> DataFrame:
+    """Distances to all waters, and those that count as near as sentences; a distance of 0 counts as absent."""
+    near = [F.when((F.col(c) != 0) & (F.col(c) <= limit), F.concat(F.lit(label + ": "), F.col(c).cast("string"), F.lit("m"))) for c, label, limit in CARD_WATER_LIMITS]
+    found = F.array_compact(F.array(*near))
+    return card(parcels, "water").withColumn("water_summary", F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(NO_WATER)))).withColumn("has_water_nearby", F.size(found) > 0)
+
+
 def compare(parcels: DataFrame, ids: list[str], attributes: list[str]) -> DataFrame:
     """Two to five parcels side by side: one row per attribute, one column per parcel."""
     chosen = parcels.filter(F.col("id_dzialki").isin(ids)).select("id_dzialki", *[F.col(a).cast("string").alias(a) for a in attributes])
