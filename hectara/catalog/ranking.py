@@ -80,6 +80,25 @@ def progressive_relaxation(t):
     return W.search_with_relaxation(t("parcels"), searches, 12)
 
 
+@query(
+    "win_04_semantic_fallback",
+    "WITH hard_searches AS (SELECT * REPLACE (CASE WHEN search_id % 3 = 0 THEN 10000000 ELSE min_area END AS min_area), search_id % 2 = 0 AS buildable FROM searches), f AS ("
+    + " UNION ALL ".join(_STAGE.format(n=i, s=s, score=SCORE_SQL, hard=HARD_SQL + " AND (NOT s.buildable OR p.is_residential_zone)") for i, s in ((1, "hard_searches"), (2, RELAXED_SQL), (3, HARD_ONLY_SQL)))
+    + """), c AS (SELECT search_id, min(stage) AS stage FROM (SELECT search_id, stage, count(*) AS n FROM f GROUP BY 1, 2) WHERE n >= 5 OR stage >= 3 GROUP BY 1),
+       v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), m AS (SELECT search_id, id_dzialki, round(list_cosine_similarity(q.v, v.v), 9) AS total_score FROM hard_searches s JOIN v q ON q.vec_id = s.search_id, v JOIN parcels p ON p.pk = v.vec_id WHERE search_id NOT IN (SELECT search_id FROM c))
+       SELECT f.search_id, f.stage, f.id_dzialki, f.total_score, f.rank FROM f JOIN c ON f.search_id = c.search_id AND f.stage = c.stage
+       UNION ALL SELECT search_id, 4, id_dzialki, total_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY search_id ORDER BY total_score DESC, id_dzialki) AS rank FROM m) WHERE rank <= 12""",
+)
+def semantic_fallback(t):
+    """Every third search asks for more land than there is, so only its vector is left; the vectors of parcels and searches are the given ones of their numbers."""
+    searches = S.split_lists(t("searches")).withColumn("buildable", F.col("search_id") % 2 == 0)
+    searches = searches.withColumn("min_area", F.when(F.col("search_id") % 3 == 0, 10_000_000).otherwise(F.col("min_area")))
+    e = t.raw("embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    vectors = t("parcels").select("id_dzialki", "pk").join(e, F.col("pk") == F.col("vec_id"))
+    asked = searches.select("search_id").join(e, F.col("search_id") == F.col("vec_id"))
+    return W.search_with_fallback(t("parcels"), searches, 12, vectors, asked)
+
+
 @query(
     "win_05_auto_fallback",
     f"""WITH dg AS ({ORACLE_TEXT['agg_15_diagnosis']}), n AS (SELECT s.* REPLACE (CASE WHEN search_id % 2 = 0 THEN min_area * 30 ELSE min_area END AS min_area, CASE WHEN search_id % 3 = 0 THEN 'brak' ELSE quiet_cats END AS quiet_cats, CASE WHEN search_id % 5 = 3 THEN 1 ELSE forest_m END AS forest_m) FROM searches s),

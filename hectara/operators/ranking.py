@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from hectara.functions import texts as T
 from hectara.functions.labels import dominant_profile, water_band
-from hectara.operators.search import scored_search_many
+from hectara.operators.search import SLICES, scored_search_many
 from hectara.session import cut_lineage
 
 # Fixed values of the fusion: source weights in precedence order, rank constant, bonuses.
@@ -90,19 +90,13 @@ def hard_only(searches: DataFrame) -> DataFrame:
     return searches.select(*[c for c in HARD_FIELDS if c in searches.columns])
 
 
-def search_with_relaxation(parcels: DataFrame, searches: DataFrame, per_search: int, fallback: DataFrame | None = None) -> DataFrame:
-    """All stages of all searches in one job; each search keeps the first stage that is rich enough.
-
-    Stages: full, distances doubled, hard filters only, and a ranked fallback list
-    (search_id, id_dzialki, rank, total_score) for searches without any row.
-    """
+def search_with_relaxation(parcels: DataFrame, searches: DataFrame, per_search: int) -> DataFrame:
+    """Three stages of all searches in one job (full, distances doubled, hard filters only); each search keeps the first stage that is rich enough."""
     stages = [searches, relaxed(searches), hard_only(searches)]
     found = None
     for number, criteria in enumerate(stages, start=1):
         part = scored_search_many(parcels, criteria, per_search).select("search_id", F.lit(number).alias("stage"), "id_dzialki", "rank", "total_score")
         found = part if found is None else found.unionByName(part)
-    if fallback is not None:
-        found = found.unionByName(fallback.select("search_id", F.lit(4).alias("stage"), "id_dzialki", "rank", "total_score"))
     found = cut_lineage(found)
     counts = found.groupBy("search_id", "stage").agg(F.count(F.lit(1)).alias("n"))
     enough = (F.col("n") >= MIN_RESULTS) | (F.col("stage") >= 3)
@@ -110,6 +104,29 @@ def search_with_relaxation(parcels: DataFrame, searches: DataFrame, per_search:
     return found.join(chosen, ["search_id", "stage"])
 
 
+def semantic_list(vectors: DataFrame, asked: DataFrame, keep: int) -> DataFrame:
+    """search_id, id_dzialki, similarity and rank: the parcels whose vector (id_dzialki, vector) is nearest to that of each search (search_id, vector).
+
+    A search goes to every slice of the parcels, and only the best of each partition are shuffled. Rows without a vector are not found.
+    """
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    unit = lambda df, key: df.filter(F.col("vector").isNotNull()).select(key, F.col("vector").alias("v_" + key), F.sqrt(dot("vector", "vector")).alias("n_" + key))
+    there = unit(vectors, "id_dzialki").withColumn("_slice", F.pmod(F.xxhash64("id_dzialki"), F.lit(SLICES)).cast("int"))
+    wanted = unit(asked, "search_id").withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
+    similarity = F.round(F.try_divide(dot("v_id_dzialki", "v_search_id"), F.col("n_id_dzialki") * F.col("n_search_id")), 9)
+    met = there.join(wanted, "_slice").select("search_id", "id_dzialki", similarity.alias("similarity")).filter("similarity is not null")
+    order = Window.partitionBy("search_id").orderBy(F.col("similarity").desc(), "id_dzialki")
+    return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= keep)
+
+
+def search_with_fallback(parcels: DataFrame, searches: DataFrame, per_search: int, vectors: DataFrame, asked: DataFrame) -> DataFrame:
+    """search_with_relaxation, and as stage 4 the semantic list for the searches that hard filters alone leave without any row; asked has the vector of each search."""
+    found = cut_lineage(search_with_relaxation(parcels, searches, per_search))
+    without = asked.join(found.select("search_id").distinct(), "search_id", "left_anti")
+    last = semantic_list(vectors, without, per_search).select("search_id", F.lit(4).alias("stage"), "id_dzialki", "rank", F.col("similarity").alias("total_score"))
+    return found.unionByName(last)
+
+
 def apply_diagnosis(searches: DataFrame, diagnosis: DataFrame) -> DataFrame:
     """Criteria with their blocking filter relaxed as the diagnosis proposes."""
     d = diagnosis.select("search_id", "blocking_filter", "relaxation")
