@@ -7,9 +7,13 @@ get equal pseudonyms in all documents, however a number is grouped, and differen
 permuted among the days of 1900 to 2099, addresses among all IPv4 addresses. A span that fails its check, say a card with further
 digits beside it, is searched for shorter values and other kinds. DataFrame functions only, no shuffle.
 
+Local parts of mail addresses may hold Latin, Greek and Cyrillic letters, each permuted within its script and case; other scripts and combining
+marks end a local part. A local part of one character goes through a keyed permutation of its alphabet that differs by domain. A value may stand behind
+letters and a _, . or - (user_4111...), but not behind a digit and a point, where it is a decimal fraction. Ten or eleven bare digits are no phone.
+
 Defined results: null stays null, texts without values and values that fail their check stay as they are; a country code,
 the first digit of a card, the domain of a mail address and all separators stay; columns of the input are kept, text is replaced
-and n_pseudonyms is added or replaced.
+and n_pseudonyms is added or replaced. A value that its permutation leaves as it is counts as replaced.
 """
 from __future__ import annotations
 
@@ -27,7 +31,12 @@ DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKL
 #: Alphabets by the letter that stands for them in a mask; all other mask characters keep what they cover.
 ALPHABETS = {"9": DIGITS, "N": "23456789", "a": LOWER, "A": UPPER}
 
-MAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}"
+#: The letters of other scripts, by script and case.
+SCRIPTS = {"l": (0xC0, 0x17F), "g": (0x386, 0x3CE), "c": (0x400, 0x45F)}
+WIDE = {sign if lower else sign.upper(): "".join(c for c in map(chr, range(low, high + 1)) if (c.islower() if lower else c.isupper())) for sign, (low, high) in SCRIPTS.items() for lower in (True, False)}
+LETTER = r"A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u017F\u0386\u0388-\u03CE\u0400-\u045F"
+
+MAIL = rf"[{LETTER}0-9][{LETTER}0-9._%+-]{{0,63}}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{{2,24}}"
 IPV4 = r"(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)"
 IBAN = r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 ISO_DAY = r"\d{4}-\d{2}-\d{2}(?![\d-])"
@@ -39,7 +48,9 @@ AMERICAN = r"\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|\(\d{3}\) ?\d{3}-\
 #: What ends a phone number, so that it does not take the first digits of its neighbour.
 NEIGHBOUR = rf"(?:{IPV4}|{ISO_DAY}|{POINT_DAY}|{SLASH_DAY}|{SSN}|\d{{4}}[ -]\d{{4}}[ -]\d{{4}}[ -]\d|\d{{13,19}}(?!\d))"
 PHONE = rf"{AMERICAN}|\+\d{{1,3}}(?:(?! {NEIGHBOUR})[ .-]?\(?\d{{2,4}}\)?){{2,5}}(?!\d)"
-FOUND = rf"(?<![A-Za-z0-9._%+@-])(?:{MAIL}|{IPV4}|{IBAN}|{ISO_DAY}|{POINT_DAY}|{SLASH_DAY}|{SSN}|{CARD})|(?<![A-Za-z0-9._%@-])(?:{PHONE})"
+#: What may not stand before a value; numbers may follow letters with a _, . or - between.
+BEFORE_MAIL, BEFORE_NUMBER = rf"(?<![{LETTER}0-9._%+@-])", r"(?<![A-Za-z0-9%+@])(?<!\d[.])"
+FOUND = rf"{BEFORE_MAIL}(?:{MAIL})|{BEFORE_NUMBER}(?:{IPV4}|{IBAN}|(?<!\d-)(?:{ISO_DAY}|{POINT_DAY}|{SLASH_DAY}|{SSN})|{CARD}|(?<!\d-)(?:{PHONE}))"
 
 #: A found value and what adjoins it: the rest of its word and the words after it that hold digits.
 RUN = rf"(?:{FOUND})(?: ?[^\s]*\d[^\s]*)*+"
@@ -54,14 +65,14 @@ def characters(value: Column) -> Column:
     return F.filter(F.split(value, ""), lambda c: c != "")
 
 
-def shifted(half: Column, mask: Column, noise: Column) -> Column:
+def shifted(half: Column, mask: Column, noise: Column, alphabets: dict[str, str]) -> Column:
     """Each character moved within the alphabet of its mask by two hexadecimal digits of the noise."""
 
     def move(i: Column) -> Column:
         c, m = F.substr(half, i, F.lit(1)), F.substr(mask, i, F.lit(1))
         step = F.conv(F.substr(noise, (i - 1) % 32 * 2 + 1, F.lit(2)), 16, 10).cast("int")
         out = c
-        for sign, letters in ALPHABETS.items():
+        for sign, letters in alphabets.items():
             place = (F.instr(F.lit(letters), c) - 1 + step) % len(letters) + 1
             out = F.when(m == sign, F.substr(F.lit(letters), place, F.lit(1))).otherwise(out)
         return out
@@ -70,7 +81,7 @@ def shifted(half: Column, mask: Column, noise: Column) -> Column:
     return F.array_join(F.transform(places, move), "")
 
 
-def permuted(value: Column, mask: Column, key: str) -> Column:
+def permuted(value: Column, mask: Column, key: str, alphabets: dict[str, str] = ALPHABETS) -> Column:
     """The value under the network; mask names the alphabet of each character."""
     cut = F.floor(F.length(value) / 2).cast("int")
     start = F.struct(
@@ -80,7 +91,7 @@ def permuted(value: Column, mask: Column, key: str) -> Column:
 
     def turn(s: Column, i: Column) -> Column:
         noise = F.sha2(F.concat_ws("|", F.lit(key), i.cast("string"), s["r"]), 256)
-        return F.struct(s["r"].alias("l"), s["rm"].alias("lm"), shifted(s["l"], s["lm"], noise).alias("r"), s["lm"].alias("rm"))
+        return F.struct(s["r"].alias("l"), s["rm"].alias("lm"), shifted(s["l"], s["lm"], noise, alphabets).alias("r"), s["lm"].alias("rm"))
 
     rounds = F.sequence(F.lit(1), F.lit(ROUNDS))
     return F.aggregate(rounds, start, turn, lambda s: F.concat(s["l"], s["r"]))
@@ -90,14 +101,28 @@ def plain_mask(value: Column) -> Column:
     return F.translate(value, DIGITS + LOWER + UPPER, "9" * 10 + "a" * 26 + "A" * 26)
 
 
+def wide_mask(value: Column) -> Column:
+    return F.translate(plain_mask(F.translate(value, "".join(WIDE.values()), "".join(chr(0xE000 + i) * len(v) for i, v in enumerate(WIDE.values())))), "".join(chr(0xE000 + i) for i in range(len(WIDE))), "".join(WIDE))
+
+
+def lone(value: Column, tweak: Column, key: str) -> Column:
+    """One character among its alphabet, whose letters are ordered by a hash of the key, the tweak and themselves."""
+    out = value
+    for letters in (DIGITS, LOWER, UPPER, *WIDE.values()):
+        order = F.array_sort(F.transform(F.array(*[F.lit(c) for c in letters]), lambda c: F.struct(F.sha2(F.concat_ws("|", F.lit(key), tweak, c), 256).alias("h"), c.alias("c"))))
+        place = F.instr(F.lit(letters), value)
+        out = F.when(place > 0, F.get(order, place - 1)["c"]).otherwise(out)
+    return out
+
+
 def luhn_sum(digits: Column) -> Column:
     """The Luhn sum of digits whose last one is a check digit."""
 
     def weigh(c: Column, i: Column) -> Column:
-        d = c.cast("int") * F.when((F.size(characters(digits)) - 1 - i) % 2 == 1, F.lit(2)).otherwise(F.lit(1))
+        d = c.cast("int") * F.when(i % 2 == 1, F.lit(2)).otherwise(F.lit(1))
         return F.when(d > 9, d - 9).otherwise(d)
 
-    return F.aggregate(F.transform(characters(digits), weigh), F.lit(0), lambda a, d: a + d)
+    return F.aggregate(F.transform(characters(F.reverse(digits)), weigh), F.lit(0), lambda a, d: a + d)
 
 
 def mod97(text: Column) -> Column:
@@ -207,7 +232,9 @@ def phone(value: Column, key: str) -> Column:
 
 def mail(value: Column, key: str) -> Column:
     local = F.substring_index(value, "@", 1)
-    return F.concat(permuted(local, plain_mask(local), key), F.substr(value, F.length(local) + 1))
+    domain = F.substr(value, F.length(local) + 1)
+    moved = F.when(F.length(local) == 1, lone(local, domain, key)).when(local.rlike("^[ -~]*$"), permuted(local, plain_mask(local), key)).otherwise(permuted(local, wide_mask(local), key, ALPHABETS | WIDE))
+    return F.concat(moved, domain)
 
 
 def ipv4_valid(value: Column) -> Column:
@@ -237,62 +264,67 @@ KINDS: dict[str, tuple[str, Callable, Callable]] = {
 }
 
 
+ANY_KIND = "^(?:" + "|".join(dict.fromkeys(pattern for pattern, _, _ in KINDS.values())) + ")$"
+
+
 def pseudonym(value: Column, key: str) -> Column:
-    """The pseudonym of one found value; the value itself if it passes no check."""
-    out = value
+    """The pseudonym of one found value; null if it passes no check."""
+    out = F.lit(None).cast("string")
     for kind, (pattern, valid, change) in reversed(KINDS.items()):
         out = F.when(value.rlike(f"^(?:{pattern})$") & valid(value), change(value, f"{key}|{kind.partition('_')[0]}")).otherwise(out)
     return out
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def first_fit(spans: Column, key: str) -> Column:
     """The first span that a kind fits and its pseudonym; empty texts if there is none."""
     none = F.struct(F.lit("").alias("old"), F.lit("").alias("new"))
 
     def tried(v: Column) -> Column:
-        pair = F.array(F.struct(v.alias("old"), pseudonym(v, key).alias("new")))
-        return F.coalesce(F.get(F.filter(pair, lambda p: p["old"] != p["new"]), F.lit(0)), none)
+        return bound(pseudonym(v, key), lambda n: F.when(n.isNull(), none).otherwise(F.struct(v.alias("old"), n.alias("new"))))
 
-    return F.aggregate(spans, none, lambda a, v: F.when(a["old"] != "", a).otherwise(tried(v)))
+    return F.aggregate(F.filter(spans, lambda v: v.rlike(ANY_KIND)), none, lambda a, v: F.when(a["old"] != "", a).otherwise(tried(v)))
 
 
 def replaced(run: Column, key: str) -> Column:
     """The run with its values replaced, and their number: at each start the found span, or the longest shorter one that fits.
 
-    Shorter spans end where a word ends. Where none fits, the search goes on behind the first word of the span.
+    Shorter spans end where a word ends. Where none fits, the search goes on behind the first word of the span. The pieces are
+    joined at the end, so a step costs the same wherever it stands in the run, but for finding its place.
     """
-    start = F.struct(F.lit("").alias("text"), F.lit(0).alias("n"), F.lit(1).alias("at"), F.lit(True).alias("free"))
+    start = F.struct(F.array().cast("array<string>").alias("pieces"), F.lit(0).alias("n"), F.lit(1).alias("at"), F.lit(True).alias("free"))
 
     def turn(s: Column, _: Column) -> Column:
-        rest = F.substr(run, s["at"], F.lit(WINDOW))
-        before = F.when(s["free"], F.lit(" ")).otherwise(F.substr(run, s["at"] - 1, F.lit(1)))
-        found = F.regexp_extract(F.concat(before, rest), rf"(?s)^.({FOUND})", 1)
-
-        def put(v: Column) -> Column:
-            sizes = F.filter(F.sequence(F.lit(LONGEST), F.lit(SHORTEST), F.lit(-1)), lambda i: i <= F.length(rest))
-            ends = F.filter(sizes, lambda i: F.substr(rest, i, F.lit(2)).rlike("^[A-Za-z0-9)](?![A-Za-z0-9])"))
-            spans = F.concat(F.array(v), F.transform(ends, lambda i: F.substr(rest, F.lit(1), i)))
-            fit = first_fit(F.when(v != "", spans).otherwise(F.array().cast("array<string>")), key)
-            word = F.when(v == "", F.regexp_extract(rest, r"(?s)^(?:[A-Za-z0-9]+|.)", 0)).otherwise(F.regexp_extract(rest, r"^[+(]*[A-Za-z0-9]+[ /-]?", 0))
-
-            def taken(f: Column) -> Column:
-                fell = f["old"] == ""
-                old = F.when(fell, word).otherwise(f["old"])
-                return F.struct(
-                    F.concat(s["text"], F.when(fell, word).otherwise(f["new"])).alias("text"), (s["n"] + F.when(fell, 0).otherwise(1)).alias("n"),
-                    (s["at"] + F.length(old)).alias("at"), (fell & (v != "")).alias("free"),
-                )
-
-            return F.get(F.transform(F.array(fit), taken), F.lit(0))
-
-        return F.when(rest == "", s).otherwise(F.get(F.transform(F.array(found), put), F.lit(0)))
+        held = F.lpad(F.substr(run, F.greatest(s["at"] - 2, F.lit(1)), F.least(s["at"] - 1, F.lit(2))), 2, " ")
+        view = F.struct(F.substr(run, s["at"], F.lit(WINDOW)).alias("rest"), F.when(s["free"], F.lit("  ")).otherwise(held).alias("before"))
+        return bound(view, lambda w: F.when(w["rest"] == "", s).otherwise(bound(F.regexp_extract(F.concat(w["before"], w["rest"]), rf"(?s)^..({FOUND})", 1), lambda v: put(s, w["rest"], v))))
+
+    def put(s: Column, rest: Column, v: Column) -> Column:
+        sizes = F.filter(F.sequence(F.lit(LONGEST), F.lit(SHORTEST), F.lit(-1)), lambda i: i <= F.length(rest))
+        ends = F.filter(sizes, lambda i: F.substr(rest, i, F.lit(2)).rlike("^[A-Za-z0-9)](?![A-Za-z0-9])"))
+        spans = F.concat(F.array(v), F.transform(ends, lambda i: F.substr(rest, F.lit(1), i)))
+        fit = F.when(v == "", F.struct(F.lit("").alias("old"), F.lit("").alias("new"))).otherwise(first_fit(spans, key))
+        word = F.when(v == "", F.regexp_extract(rest, r"(?s)^(?:[A-Za-z0-9]+|.)", 0)).otherwise(F.regexp_extract(rest, r"^[+(]*(?:[A-Za-z0-9]+|[^\s])[ /-]?", 0))
+
+        def taken(f: Column) -> Column:
+            fell = f["old"] == ""
+            return F.struct(
+                F.concat(s["pieces"], F.array(F.when(fell, word).otherwise(f["new"]))).alias("pieces"), (s["n"] + F.when(fell, 0).otherwise(1)).alias("n"),
+                (s["at"] + F.length(F.when(fell, word).otherwise(f["old"]))).alias("at"), (fell & (v != "")).alias("free"),
+            )
+
+        return bound(fit, taken)
 
     words = F.size(F.regexp_extract_all(run, F.lit(r"(?s)[A-Za-z0-9]+|."), F.lit(0)))
-    return F.aggregate(F.sequence(F.lit(1), words), start, turn, lambda s: F.struct(s["text"].alias("text"), s["n"].alias("n")))
+    return F.aggregate(F.sequence(F.lit(1), words), start, turn, lambda s: F.struct(F.array_join(s["pieces"], "").alias("text"), s["n"].alias("n")))
 
 
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
-    """The columns of docs with all found values of text replaced, and n_pseudonyms, the number of values that changed."""
+    """The columns of docs with all found values of text replaced, and n_pseudonyms, the number of values replaced."""
     text = F.col("text")
     found = F.regexp_extract_all(text, F.lit(RUN), F.lit(0))
     between = F.split(text, RUN, -1)

@@ -117,3 +117,55 @@ def test_long_runs_of_numbers(spark):
     text = "7 " * 300 + CARD + " 12/27" + " 7" * 300
     got = change(spark, [text])[0]
     assert CARD not in got and len(got) == len(text)
+
+
+def test_values_behind_other_characters(spark):
+    card, day, ssn, address, phone = "4111111111111111", "2024-05-01", "123-45-6789", "10.20.30.40", "+49 30 1234567"
+    alone = dict(zip((card, day, ssn, address, phone), change(spark, [card, day, ssn, address, phone])))
+    heads = {"user_": card, "a.": card, "-": card, "SSN-": ssn, "log_": day, "x.": address, "tel-": phone, "no._": day}
+    assert change(spark, [h + v for h, v in heads.items()]) == [h + alone[v] for h, v in heads.items()]
+    kept = ["1.2.3.4.5", "3.4111111111111111", "2125550187", "12125550187", "9-123-45-6789"]
+    assert change(spark, kept) == kept
+
+
+def test_mail_of_other_letters_and_single_ones(spark):
+    got = change(spark, ["jürgen.müller@bahn.de", "x ŁUKASZ.żak@poczta.pl y", "анна@почта.example.org", "анна@mail.example.org", "邮a.b@x.example.org"])
+    for old, new in zip(["jürgen.müller", "x ŁUKASZ.żak"], got):
+        local = new.split("@")[0]
+        assert not any(a == b for a, b in zip(old.split(), local.split()) if len(a) > 2) and [c.isupper() for c in old] == [c.isupper() for c in local] and "üller" not in local and "ukasz" not in local.lower()
+    assert got[0].endswith("@bahn.de") and got[3].endswith("@mail.example.org") and "анна" not in got[3] and got[2] == "анна@почта.example.org" and got[4].startswith("邮") and "a.b@" not in got[4]
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    for key in ("k", "corpus-release-1"):
+        rows = spark.createDataFrame([(i, f"{c}@{d}") for d in ("b.co", "c.co") for i, c in enumerate(letters)], "doc_id long, text string")
+        out = [(r.text, r.n_pseudonyms) for r in ps.pseudonymise(rows, key).collect()]
+        maps = ["".join(t[0] for t, _ in out if t.endswith(d)) for d in ("b.co", "c.co")]
+        steps = {(ord(b) - ord(a)) % 26 for a, b in zip(letters, maps[0])}
+        assert all(sorted(m) == list(letters) for m in maps) and maps[0] != maps[1] and len(steps) > 5 and {n for _, n in out} == {1}
+
+
+def test_cards_by_a_plain_network(spark):
+    """The pseudonyms of cards by a Feistel network written plainly."""
+    import hashlib
+
+    def plain(number, key):
+        body, n = number[1:-1], (len(number) - 2) // 2
+        left, right = body[:n], body[n:]
+        for turn in range(1, ps.ROUNDS + 1):
+            noise = hashlib.sha256(f"{key}|card|{turn}|{right}".encode()).hexdigest()
+            left, right = right, "".join(str((int(c) + int(noise[2 * i:2 * i + 2], 16)) % 10) for i, c in enumerate(left))
+        return next(d for d in (number[0] + left + right + str(c) for c in range(10)) if luhn(d))
+
+    numbers = [n for n in (f"{4_000_000_000_000_000 + i * 7_919_191_919}" for i in range(300)) if luhn(n)]
+    assert len(numbers) > 20 and change(spark, numbers, "key") == [plain(n, "key") for n in numbers]
+
+
+def test_many_numbers_in_one_text(spark):
+    """Ten thousand numbers of 13 digits, each found and looked at, in one text."""
+    import time
+
+    numbers = [str(1_000_000_000_000 + i * 7_919_191_919 % 8_999_999_999_999) for i in range(10_000)]
+    begun = time.time()
+    got = change(spark, [" ".join(numbers)])[0].split(" ")
+    print("seconds", time.time() - begun)
+    assert len(got) == len(numbers) and time.time() - begun < 120
+    assert all((a != b) == luhn(a) for a, b in zip(numbers, got))
