@@ -90,3 +90,14 @@ def test_no_local_folder_on_a_cluster(spark):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.shared_dir(Fake())
+
+
+def test_semantic_list_ranks_all_parcels_in_slices(spark):
+    """Every search meets every parcel; ties go to the smaller id, rows without a direction are not found."""
+    from hectara.operators import ranking
+
+    vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [2.0, 0.0]), ("c", [0.0, 1.0]), ("d", None), ("e", [0.0, 0.0]), ("f", [-1.0, 0.0])], "id_dzialki string, vector array<double>")
+    asked = spark.createDataFrame([(1, [3.0, 0.0]), (2, [0.0, 5.0]), (3, None)], "search_id int, vector array<double>")
+    got = [tuple(r) for r in ranking.semantic_list(vectors, asked, 3).orderBy("search_id", "rank").select("search_id", "rank", "id_dzialki", "similarity").collect()]
+    assert got == [(1, 1, "a", 1.0), (1, 2, "b", 1.0), (1, 3, "c", 0.0), (2, 1, "c", 1.0), (2, 2, "a", 0.0), (2, 3, "b", 0.0)]
+    assert ranking.semantic_list(vectors, asked.limit(0), 3).count() == 0
