@@ -1,10 +1,12 @@
 """GRF: graph assembly, embedding and checks."""
 from pyspark.sql import functions as F
 
-from hectara.catalog.key_joins import DOMINANT, EDGE_SQL, PROFILES, ZONE_EDGE
+from hectara.catalog.key_joins import BRICK_PAIRS, DOMINANT, EDGE_SQL, PROFILES, ZONE_EDGE, brick_pairs
 from hectara.catalog.registry import query
 from hectara.operators import graph as G
+from hectara.operators.relations import location_dictionary
 from hectara.operators.similarity import nearest_for_each
+from hectara.plans.testbed import ORACLE_TEXT
 
 ALL_EDGES = f"""{EDGE_SQL} UNION ALL SELECT id_dzialki, dzielnica, 'LOCATED_IN' FROM parcels WHERE dzielnica IS NOT NULL UNION ALL SELECT district, city, 'BELONGS_TO' FROM ({DOMINANT})
   UNION ALL SELECT src, CAST(dst AS VARCHAR), 'HAS_POG' FROM ({ZONE_EDGE}) UNION ALL SELECT CAST(zone_id AS VARCHAR), profile, CASE WHEN secondary THEN 'ALLOWS_SECONDARY' ELSE 'ALLOWS' END FROM ({PROFILES})"""
@@ -24,6 +26,28 @@ def edges(t):
     return G.edges(t("parcels"), t("zones"))
 
 
+@query(
+    "grf_01_measured_edges",
+    f"""SELECT src, CAST(dst AS VARCHAR) AS dst, rel, round(CAST(distance_m AS DOUBLE), 2) AS meters FROM edges UNION ALL SELECT CAST(id1 AS VARCHAR), CAST(id2 AS VARCHAR), 'ADJACENT_TO', round(border, 2) FROM ({BRICK_PAIRS})
+        UNION ALL SELECT DISTINCT district, segment, 'IN_PRICE_SEGMENT', NULL FROM prices WHERE segment IS NOT NULL""",
+)
+def measured_edges(t):
+    return G.measured_edges(t("edges"), brick_pairs(t), t("prices")).withColumn("meters", F.round("meters", 2))
+
+
+NAMES_SQL = f"({ORACLE_TEXT['join_26_location_dictionary']})"
+
+
+@query("grf_01_name_edges", f"SELECT id AS src, maps_to_district AS dst, 'MAPS_TO' AS rel FROM {NAMES_SQL} WHERE maps_to_district IS NOT NULL UNION SELECT id, maps_to_gmina, 'MAPS_TO' FROM {NAMES_SQL} WHERE maps_to_gmina IS NOT NULL")
+def name_edges(t):
+    return G.name_edges(location_dictionary(t.spark, t("parcels"), t("prices")))
+
+
+@query("grf_01_name_vertices", f"SELECT DISTINCT id, 'LocationName' AS type FROM {NAMES_SQL} UNION ALL SELECT DISTINCT segment, 'PriceSegment' FROM prices WHERE segment IS NOT NULL")
+def name_vertices(t):
+    return G.name_vertices(location_dictionary(t.spark, t("parcels"), t("prices")), t("prices"))
+
+
 def embedding_sql(dimension=G.DIMENSION, weights=G.ITERATION_WEIGHTS, seed=G.SEED):
     """Common tables that end in total(id, d, v): the node embedding one number a row."""
     rels = ", ".join(f"'{r}'" for r in G.EMBEDDING_RELATIONS)

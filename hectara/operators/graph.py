@@ -41,6 +41,28 @@ def edges(parcels: DataFrame, zones: DataFrame) -> DataFrame:
     return category_edges(parcels).unionByName(located).unionByName(belongs).unionByName(zone).unionByName(profile)
 
 
+def measured_edges(near: DataFrame, pairs: DataFrame, prices: DataFrame) -> DataFrame:
+    """src, dst, rel and meters of the relations that joins have measured: NEAR_* (src, dst, rel, distance_m), ADJACENT_TO with the common border
+    (id1, id2, shared_border_m), once a pair, and the price segment of each district, without meters."""
+    none = F.lit(None).cast("double")
+    close = near.select("src", F.col("dst").cast("string").alias("dst"), "rel", F.col("distance_m").cast("double").alias("meters"))
+    touching = pairs.select(F.col("id1").cast("string").alias("src"), F.col("id2").cast("string").alias("dst"), F.lit("ADJACENT_TO").alias("rel"), F.col("shared_border_m").alias("meters"))
+    priced = prices.filter(F.col("segment").isNotNull()).select(F.col("district").alias("src"), F.col("segment").alias("dst"), F.lit("IN_PRICE_SEGMENT").alias("rel"), none.alias("meters")).distinct()
+    return close.unionByName(touching).unionByName(priced)
+
+
+def name_edges(names: DataFrame) -> DataFrame:
+    """MAPS_TO from the names of a location dictionary (id, maps_to_district, maps_to_gmina) to their district and city."""
+    targets = F.array_compact(F.array("maps_to_district", "maps_to_gmina"))
+    return names.select(F.col("id").alias("src"), F.explode(targets).alias("dst"), F.lit("MAPS_TO").alias("rel")).distinct()
+
+
+def name_vertices(names: DataFrame, prices: DataFrame) -> DataFrame:
+    """id and type of location names and price segments."""
+    segments = prices.filter(F.col("segment").isNotNull()).select(F.col("segment").alias("id"), F.lit("PriceSegment").alias("type")).distinct()
+    return names.select("id", F.lit("LocationName").alias("type")).distinct().unionByName(segments)
+
+
 # Relations of the embedding graph, iteration weights, seed and size.
 EMBEDDING_RELATIONS = ["LOCATED_IN", "HAS_QUIETNESS", "HAS_NATURE", "HAS_SIZE", "HAS_OWNERSHIP", "HAS_BUILD_STATUS"]
 ITERATION_WEIGHTS = [0.0, 1.0, 1.0, 0.5, 0.25]
