@@ -294,7 +294,7 @@ def replaced(run: Column, key: str) -> Column:
     """The run with its values replaced, and their number: at each start the found span, or the longest shorter one that fits.
 
     Shorter spans end where a word ends. Where none fits, the search goes on behind the first word of the span. The pieces are
-    joined at the end, so a step costs the same wherever it stands in the run, but for finding its place.
+    joined at the end. Finding its place and carrying the pieces costs a step more the further it stands in a run.
     """
     start = F.struct(F.array().cast("array<string>").alias("pieces"), F.lit(0).alias("n"), F.lit(1).alias("at"), F.lit(True).alias("free"))
 
