@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from hectara.functions.geometry import oriented_edges, ring_signed_area, segments
 from hectara.functions.scores import half_even
 from hectara.operators.spatial import disc_envelope, envelope_pairs, points_in_polygons, with_envelope
-from hectara.session import cut_lineage
+from hectara.session import cut_lineage, shuffled
 
 ENDS = ("ax", "ay", "bx", "by")
 
@@ -75,7 +75,7 @@ def shared_spans(edges: DataFrame, key: str, cell: float, tolerance: float) -> D
     known = edges.withColumns({"len": edge_length(), "way": F.pmod(F.floor(half / (math.pi / buckets)).cast("int"), F.lit(buckets))})
     known = known.withColumn("way", F.when(F.col("len") >= short, F.col("way")).otherwise(-1))
     placed = edge_cells(known, cell, tolerance)
-    other = placed.select(*[F.col(c).alias(f"{c}2") for c in (key, "no", *ENDS, "len")], "cx", "cy", F.col("way").alias("way2"))
+    other = shuffled(placed.select(*[F.col(c).alias(f"{c}2") for c in (key, "no", *ENDS, "len")], "cx", "cy", F.col("way").alias("way2")))
     around = F.array(*[F.pmod(F.col("way2") + d, F.lit(buckets)) for d in (-1, 0, 1)])
     long = placed.filter("way >= 0").join(other.filter("way2 >= 0").withColumn("way", F.explode(around)), ["cx", "cy", "way"])
     loose = placed.join(other.filter("way2 < 0"), ["cx", "cy"]).unionByName(placed.filter("way < 0").join(other.filter("way2 >= 0"), ["cx", "cy"]))
@@ -122,7 +122,7 @@ def adjacent_pairs(plots: DataFrame, plot_id: str, cell: float | None = None, mi
     shared = border_lengths(shared_spans(edges, plot_id, cell, tolerance), plot_id).filter(F.col("border") > min_border)
     box = with_envelope(plots.select(plot_id, "rings"), "rings", ("x0", "y0", "x1", "y1"))
     shape = box.select(plot_id, signed_edges(F.col("rings")).alias("edges"), F.col("y0").alias("miny"))
-    both = shared.join(shape, plot_id).join(shape.toDF(*[f"{c}2" for c in shape.columns]), f"{plot_id}2")
+    both = shared.join(shuffled(shape), plot_id).join(shuffled(shape.toDF(*[f"{c}2" for c in shape.columns])), f"{plot_id}2")
     # A border that is followed within the tolerance may overlap by its length times the tolerance.
     allowed = 1e-6 + F.col("border") * tolerance
     apart = overlap_area(F.col("edges"), F.col("edges2"), F.least("miny", "miny2")) <= allowed

@@ -51,6 +51,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """The side of a join that must not be broadcast uncounted.
+
+    Spark estimates a side from compressed files and counts neither exploded rows nor the lengths of arrays, so a large one can pass
+    for a small one and be built whole on the driver.
+    """
+    return df.hint("merge")
+
+
 def sized_broadcast(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     """Hint a broadcast only after counting the side; above max_rows the join stays a shuffle join.
 
