@@ -6,6 +6,7 @@ from hectara.functions import constants as C
 from hectara.functions.texts import slug
 from hectara.operators import relations as R
 from hectara.operators.edges import adjacent_pairs
+from hectara.session import cut_lineage, shuffled
 
 
 def case(values: dict, key: str) -> str:
@@ -119,8 +120,8 @@ def brick_pairs(t):
         SELECT id, neighbor, rank, round(border, 2) AS shared_border_m, round(total, 2) AS total_border_m FROM r WHERE rank <= 4""",
 )
 def neighbours(t):
-    pairs = brick_pairs(t)
-    return R.neighbours(pairs, 4).join(R.border_totals(pairs).drop("neighbours"), "id").select("id", "neighbor", "rank", "shared_border_m", "total_border_m")
+    pairs = cut_lineage(brick_pairs(t))
+    return R.neighbours(pairs, 4).join(shuffled(R.border_totals(pairs).drop("neighbours")), "id").select("id", "neighbor", "rank", "shared_border_m", "total_border_m")
 
 
 @query(

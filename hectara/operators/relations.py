@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from hectara.functions import constants as C
 from hectara.functions.labels import lookup
 from hectara.functions.texts import fold_city, slug
-from hectara.session import cut_lineage
+from hectara.session import cut_lineage, shuffled
 
 
 def category_edges(parcels: DataFrame) -> DataFrame:
@@ -126,11 +126,11 @@ def same_district_paths(pairs: DataFrame, districts: DataFrame) -> DataFrame:
     found = walk.select("start", "cur", F.lit(1).alias("hops"), "n")
     for hop in (2, 3):
         ahead = step.select(F.col("id").alias("cur"), F.col("neighbor").alias("nxt"))
-        walk = walk.join(ahead, "cur").filter(F.col("nxt") != F.col("prev")).groupBy("start", F.col("cur").alias("prev"), F.col("nxt").alias("cur")).agg(F.sum("n").alias("n"))
+        walk = walk.join(shuffled(ahead), "cur").filter(F.col("nxt") != F.col("prev")).groupBy("start", F.col("cur").alias("prev"), F.col("nxt").alias("cur")).agg(F.sum("n").alias("n"))
         found = found.unionByName(walk.select("start", "cur", F.lit(hop).alias("hops"), "n"))
     a = districts.select(F.col("plot_id").alias("start"), F.col("district").alias("d1"))
     b = districts.select(F.col("plot_id").alias("cur"), F.col("district").alias("d2"))
-    both = found.join(a, "start").join(b, "cur").filter(F.col("d1") == F.col("d2"))
+    both = found.join(shuffled(a), "start").join(shuffled(b), "cur").filter(F.col("d1") == F.col("d2"))
     return both.groupBy(F.col("start").alias("id1"), F.col("cur").alias("id2"), "hops").agg(F.sum("n").alias("paths"))
 
 

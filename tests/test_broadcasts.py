@@ -1,9 +1,12 @@
 """Sides that nobody counted are not broadcast, however small Spark thinks their files are."""
 
+from hectara.catalog import load
 from hectara.operators import edges as E
+from hectara.operators import relations as R
 from hectara.plans.testbed import table
 
 SF = "/root/testdata/sf0.001"
+QUERIES = load().QUERIES
 
 
 def planned_broadcasts(df):
@@ -13,3 +16,10 @@ def planned_broadcasts(df):
 
 def test_borders_are_not_broadcast(spark):
     assert planned_broadcasts(E.adjacent_pairs(table(spark, SF, "bricks"), "plot_id")) == 0
+
+
+def test_paths_and_neighbours_are_not_broadcast(spark):
+    bricks = table(spark, SF, "bricks")
+    pairs = E.adjacent_pairs(bricks, "plot_id")
+    assert planned_broadcasts(R.same_district_paths(pairs, bricks.select("plot_id", "district"))) == 0
+    assert planned_broadcasts(QUERIES["join_24_neighbours"](spark, SF)) == 0
