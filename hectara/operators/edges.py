@@ -281,7 +281,7 @@ def with_faults(shapes: DataFrame, rings: str = "rings") -> DataFrame:
     placed = edge_cells(edges, F.col("_cell"), 1e-9)
     other = placed.select("_row", "cx", "cy", *[F.col(c).alias(f"{c}2") for c in ("ring", "at", *ENDS)])
     later = (F.col("ring") < F.col("ring2")) | ((F.col("ring") == F.col("ring2")) & (F.col("at") < F.col("at2")))
-    pairs = placed.join(other, ["_row", "cx", "cy"]).filter(later).drop("cx", "cy", "_cell").distinct()
+    pairs = placed.join(shuffled(other), ["_row", "cx", "cy"]).filter(later).drop("cx", "cy", "_cell").distinct()
     a, b, c, d = ((F.col("ax"), F.col("ay")), (F.col("bx"), F.col("by")), (F.col("ax2"), F.col("ay2")), (F.col("bx2"), F.col("by2")))
     pairs = pairs.withColumns({"o1": turn(a, b, c), "o2": turn(a, b, d), "o3": turn(c, d, a), "o4": turn(c, d, b)})
 
@@ -304,25 +304,25 @@ def with_faults(shapes: DataFrame, rings: str = "rings") -> DataFrame:
     faults = [crossed.select("_row", F.when(F.col("crossing"), 5).when(F.col("touch"), 6).alias("code")), _hole_faults(edges, touching), _split_faults(touching)]
     least = faults[0].unionByName(faults[1]).unionByName(faults[2]).groupBy("_row").agg(F.min("code").alias("code"))
     names = F.array(*[F.lit(f) for f in FAULTS])
-    judged = formed.select("_row", "_first").join(least, "_row", "left").select("_row", F.coalesce("_first", F.get(names, F.col("code"))).alias("fault"))
+    judged = formed.select("_row", "_first").join(shuffled(least), "_row", "left").select("_row", F.coalesce("_first", F.get(names, F.col("code"))).alias("fault"))
     kept = [x for x in shapes.columns if x not in ("valid", "fault")]
-    return keyed.join(judged, "_row").select(*kept, F.col("fault").isNull().alias("valid"), "fault")
+    return keyed.join(shuffled(judged), "_row").select(*kept, F.col("fault").isNull().alias("valid"), "fault")
 
 
 def _hole_faults(edges: DataFrame, touching: DataFrame) -> DataFrame:
     """_row and code of rows with a hole outside the outline or inside another hole, by one vertex of each hole that touches no ring."""
     free = edges.filter("ring > 0").select("_row", "_cell", "ring", F.struct(F.col("ax").alias("x"), F.col("ay").alias("y")).alias("spot"))
     touched = touching.select("_row", F.explode(F.array("ring", "ring2")).alias("ring"), "spot").distinct()
-    probes = free.join(touched, ["_row", "ring", "spot"], "left_anti").groupBy("_row", "ring").agg(F.min("spot").alias("p"), F.first("_cell").alias("_cell"))
+    probes = free.join(shuffled(touched), ["_row", "ring", "spot"], "left_anti").groupBy("_row", "ring").agg(F.min("spot").alias("p"), F.first("_cell").alias("_cell"))
     probes = probes.withColumn("band", F.floor(F.col("p.y") / F.col("_cell")).cast("long"))
     low, high = (F.floor(f("ay", "by") / F.col("_cell")).cast("long") for f in (F.least, F.greatest))
     bands = edges.withColumn("band", F.explode(F.sequence(low, high))).select("_row", "band", F.col("ring").alias("around"), *ENDS)
-    met = probes.join(bands, ["_row", "band"]).filter("ring != around").filter((F.col("ay") <= F.col("p.y")) != (F.col("by") <= F.col("p.y")))
+    met = probes.join(shuffled(bands), ["_row", "band"]).filter("ring != around").filter((F.col("ay") <= F.col("p.y")) != (F.col("by") <= F.col("p.y")))
     side = turn((F.col("ax"), F.col("ay")), (F.col("bx"), F.col("by")), (F.col("p.x"), F.col("p.y")))
     right = F.when(F.col("by") > F.col("ay"), side > 0).otherwise(side < 0)  # the edge lies right of the probe
     odd = met.filter(right).groupBy("_row", "ring", "around").agg((F.count("*") % 2 == 1).alias("inside")).filter("inside")
     held = odd.groupBy("_row", "ring").agg(F.max(F.col("around") == 0).alias("in_outline"), F.max(F.col("around") > 0).alias("in_hole"))
-    judged = probes.select("_row", "ring").join(held, ["_row", "ring"], "left")
+    judged = probes.select("_row", "ring").join(shuffled(held), ["_row", "ring"], "left")
     outside = ~F.coalesce("in_outline", F.lit(False))
     return judged.select("_row", F.when(outside, 7).when(F.coalesce("in_hole", F.lit(False)), 8).alias("code"))
 

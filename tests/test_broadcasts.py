@@ -23,3 +23,7 @@ def test_paths_and_neighbours_are_not_broadcast(spark):
     pairs = E.adjacent_pairs(bricks, "plot_id")
     assert planned_broadcasts(R.same_district_paths(pairs, bricks.select("plot_id", "district"))) == 0
     assert planned_broadcasts(QUERIES["join_24_neighbours"](spark, SF)) == 0
+
+
+def test_validity_is_not_broadcast(spark):
+    assert planned_broadcasts(QUERIES["geo_11_validity"](spark, SF)) == 0
