@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hectara.operators.relations import category_edges, dominant_city, profile_edges, zone_edges
-from hectara.session import cut_lineage, sized_broadcast
+from hectara.session import cut_lineage, shuffled, sized_broadcast
 
 CATEGORY_TYPES = {
     "HAS_OWNERSHIP": "OwnershipType", "HAS_OWNER_GROUP": "OwnershipGroup", "HAS_BUILD_STATUS": "BuildStatus", "HAS_BUILDING_FUNCTION": "BuildingFunction",
@@ -75,6 +75,8 @@ def node_embedding(graph: DataFrame, dimension: int = DIMENSION, weights: list[f
 
     Every node starts from a seeded sparse random vector; each round averages the neighbours' unit
     vectors, and the result is the weighted sum of the rounds. Edges carry src (item), dst (node).
+    Items linked to the same nodes get the same vectors in every round, so the rounds run on one row for each such kind,
+    weighted by its items; only the start of the items and the result are per item.
     Averages run as JVM vector summaries with partial sums, so a node linked to a third of all
     items is not gathered; the shared nodes' vectors are broadcast when counted to be at most BROADCAST_BYTES.
     """
@@ -84,33 +86,40 @@ def node_embedding(graph: DataFrame, dimension: int = DIMENSION, weights: list[f
     links = cut_lineage(graph.select(F.col("src").alias("item"), F.concat_ws(":", "rel", "dst").alias("node")))
     root = 3.0**0.5
 
-    def start(df: DataFrame, key: str) -> DataFrame:
+    def start(df: DataFrame, key: str, *beside: str) -> DataFrame:
         # Eight draws of 16 bits from each md5, which other engines can repeat.
         blocks = F.transform(F.sequence(F.lit(0), F.lit((dimension - 1) // 8)), lambda b: F.md5(F.concat_ws("|", F.col(key), b, F.lit(seed))))
         bits = F.flatten(F.transform(blocks, lambda h: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.substr(h, i * 4 + 1, F.lit(4)))))
         draw = F.transform(F.slice(bits, 1, dimension), lambda v: F.conv(v, 16, 10).cast("int") % 6)
-        return df.select(key, F.transform(draw, lambda d: F.when(d == 0, root).when(d == 1, -root).otherwise(0.0)).alias("vec"))
+        return df.select(key, *beside, F.transform(draw, lambda d: F.when(d == 0, root).when(d == 1, -root).otherwise(0.0)).alias("vec"))
 
-    def unit(df: DataFrame, key: str) -> DataFrame:
+    def unit(df: DataFrame) -> DataFrame:
         norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, v: s + v * v))
         df = df.withColumn("_n", norm)
-        return df.select(key, F.when(F.col("_n") > 0, F.transform("vec", lambda v: v / F.col("_n"))).otherwise(F.col("vec")).alias("vec"))
+        return df.select(*[c for c in df.columns if c not in ("vec", "_n")], F.when(F.col("_n") > 0, F.transform("vec", lambda v: v / F.col("_n"))).otherwise(F.col("vec")).alias("vec"))
+
+    def mean(met: DataFrame, key: str) -> DataFrame:
+        return met.groupBy(key).agg(Summarizer.mean(array_to_vector("vec"), F.col("n").cast("double")).alias("m")).select(key, vector_to_array("m").alias("vec"))
+
+    kinds = cut_lineage(links.groupBy("item").agg(F.sha2(F.to_json(F.array_sort(F.collect_list("node"))), 256).alias("kind")))
+    sizes = kinds.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.min("item").alias("item"))
+    steps = cut_lineage(links.join(shuffled(sizes), "item").select("kind", "node", "n"))
 
     def average(sources: DataFrame, from_key: str, to_key: str) -> DataFrame:
-        met = links.join(sources, from_key).withColumn("v", array_to_vector("vec"))
-        return met.groupBy(to_key).agg(Summarizer.mean(F.col("v")).alias("m")).select(to_key, vector_to_array("m").alias("vec"))
+        return mean(steps.join(sized_broadcast(sources, BROADCAST_BYTES // (8 * dimension)), from_key), to_key)
 
-    items, nodes = start(links.select("item").distinct(), "item"), start(links.select("node").distinct(), "node")
-    items, nodes = unit(items, "item"), unit(nodes, "node")
+    nodes = unit(start(links.select("node").distinct(), "node"))
+    # Members differ in their start only: their mean stands for all of a kind.
+    members = mean(unit(start(kinds, "item", "kind")).withColumn("n", F.lit(1)), "kind")
     total = None
     for weight in weights:
-        new_items = cut_lineage(unit(average(sized_broadcast(nodes, BROADCAST_BYTES // (8 * dimension)), "node", "item"), "item"))
-        new_nodes = unit(average(items, "item", "node"), "node")
-        items, nodes = new_items, new_nodes
+        new_members = cut_lineage(unit(average(nodes, "node", "kind")))
+        nodes = unit(average(members, "kind", "node"))
+        members = new_members
         if weight:
-            part = items.select("item", F.transform("vec", lambda v: v * F.lit(weight)).alias("part"))
-            total = part if total is None else cut_lineage(total.join(part.withColumnRenamed("part", "more"), "item").select("item", F.zip_with("part", "more", lambda a, b: a + b).alias("part")))
-    return total.select(F.col("item").alias("id"), F.col("part").alias("embedding"))
+            part = members.select("kind", F.transform("vec", lambda v: v * F.lit(weight)).alias("part"))
+            total = part if total is None else cut_lineage(total.join(shuffled(part.withColumnRenamed("part", "more")), "kind").select("kind", F.zip_with("part", "more", lambda a, b: a + b).alias("part")))
+    return kinds.join(shuffled(total), "kind").select(F.col("item").alias("id"), F.col("part").alias("embedding"))
 
 
 def integrity(parcels: DataFrame, zones: DataFrame, poi: DataFrame) -> DataFrame:

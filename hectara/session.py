@@ -68,4 +68,4 @@ def sized_broadcast(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     small = cut_lineage(df)
     if small.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(small)
-    return small
+    return shuffled(small)
