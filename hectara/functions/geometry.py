@@ -95,6 +95,23 @@ def envelope(rings: Column) -> dict[str, Column]:
     return {"minx": F.array_min(xs), "miny": F.array_min(ys), "maxx": F.array_max(xs), "maxy": F.array_max(ys)}
 
 
+def is_rectangle(rings: Column, envelope: tuple[str, str, str, str]) -> Column:
+    """One ring that walks the four corners of the envelope (columns minx, miny, maxx, maxy), either way round; false where a coordinate is missing or not finite."""
+    minx, miny, maxx, maxy = (F.col(c) for c in envelope)
+    a, b, c, d, e = (F.get(F.get(rings, F.lit(0)), F.lit(i)) for i in range(5))
+
+    def upright(p, q, axis):
+        return p[axis] == q[axis]
+
+    first = upright(a, b, "x") & upright(b, c, "y") & upright(c, d, "x") & upright(d, a, "y")
+    second = upright(a, b, "y") & upright(b, c, "x") & upright(c, d, "y") & upright(d, a, "x")
+    corners = (F.least(a["x"], c["x"]) == minx) & (F.greatest(a["x"], c["x"]) == maxx) & (F.least(a["y"], c["y"]) == miny) & (F.greatest(a["y"], c["y"]) == maxy)
+    finite = (F.abs(minx) < float("inf")) & (F.abs(maxx) < float("inf")) & (F.abs(miny) < float("inf")) & (F.abs(maxy) < float("inf"))
+    known = a["x"].isNotNull() & a["y"].isNotNull() & c["x"].isNotNull() & c["y"].isNotNull()
+    shape = (F.size(rings) == 1) & (F.size(F.get(rings, F.lit(0))) == 5) & known & (a == e)
+    return F.coalesce(shape & finite & corners & (first | second), F.lit(False))
+
+
 def compactness(area_m2: Column, length: Column) -> Column:
     """4*pi*A/P^2 held within 0..1."""
     return F.least(F.greatest(F.try_divide(F.lit(4 * math.pi) * area_m2, length * length), F.lit(0.0)), F.lit(1.0))

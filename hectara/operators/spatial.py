@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hectara.operators.tessellation import LEAF_EDGES, edge_count, in_cell, tessellate
-from hectara.session import cut_lineage
+from hectara.session import cut_lineage, shuffled
 
 LEAF_POINTS = 16
 EXTRA_LEVELS = 8  # halvings allowed below what evenly spread points would need
@@ -359,25 +359,34 @@ def points_in_polygons(
 ) -> DataFrame:
     """Inner join of points to the polygons (column rings, not returned) that contain them.
 
-    Polygons of at most leaf_edges edges meet points whole, on at most four cells. Larger ones are tessellated: a point meets the one
-    cell that holds it, and tests only the edges there. Both give the same rows.
+    Polygons of at most leaf_edges edges meet points whole, on at most four cells; upright rectangles go without their rings, since the
+    envelope decides. Larger polygons are tessellated: a point meets the one cell that holds it, and tests only the edges there. All give the same rows.
     """
-    from hectara.functions.geometry import contains_point
+    from hectara.functions.geometry import contains_point, is_rectangle
 
     minx, miny, maxx, maxy = (F.col(c) for c in envelope)
     bounded = F.coalesce((maxx - minx < float("inf")) & (maxy - miny < float("inf")), F.lit(False))
-    sized = polygons.withColumn("level", _size_level(envelope)).withColumn("_large", (edge_count(F.col("rings")) > leaf_edges) & bounded)
-    kinds = [(r["level"], r["_large"]) for r in sized.select("level", "_large").distinct().collect() if r["level"] is not None]  # at most a few dozen sizes
+    sized = polygons.withColumns({"level": _size_level(envelope), "_box": bounded & is_rectangle(F.col("rings"), envelope)})
+    sized = sized.withColumn("_large", (edge_count(F.col("rings")) > leaf_edges) & bounded & ~F.col("_box"))
+    kinds = [(r["level"], r["_large"], r["_box"]) for r in sized.select("level", "_large", "_box").distinct().collect() if r["level"] is not None]  # at most a few dozen sizes
     inside = (F.col(x) >= minx) & (F.col(x) <= maxx) & (F.col(y) >= miny) & (F.col(y) <= maxy)
     keys = ["level", "cx", "cy", *(on or [])]
-    small = polygon_cells(sized.filter(~F.col("_large")).drop("_large"), *envelope)
-    pairs = point_cells(points, x, y, sorted({level for level, large in kinds if not large}) or [0]).join(small, keys)
-    hits = pairs.filter(inside).filter(contains_point(F.col("rings"), F.col(x), F.col(y))).drop("level", "cx", "cy", "rings")
-    if not any(large for _, large in kinds):
+    whole = polygon_cells(sized.filter(~F.col("_large")).drop("_large"), *envelope)
+    boxes, small = whole.filter("_box").drop("_box", "rings"), whole.filter(~F.col("_box")).drop("_box")
+    parts = []
+    box_levels, small_levels = ({level for level, large, box in kinds if not large and box == b} for b in (True, False))
+    if box_levels:
+        held = (F.col(x) >= minx) & (F.col(x) < maxx) & (F.col(y) >= miny) & (F.col(y) < maxy)
+        parts.append(point_cells(points, x, y, sorted(box_levels)).join(shuffled(boxes), keys).filter(held).drop("level", "cx", "cy"))
+    if small_levels or not parts:
+        pairs = point_cells(points, x, y, sorted(small_levels) or [0]).join(shuffled(small), keys)
+        parts.append(pairs.filter(inside).filter(contains_point(F.col("rings"), F.col(x), F.col(y))).drop("level", "cx", "cy", "rings"))
+    hits = parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0]
+    if not any(large for _, large, _ in kinds):
         return hits
-    cells = cut_lineage(tessellate(sized.filter("_large").drop("_large", "level"), _size_level(envelope), envelope, leaf_edges))
+    cells = cut_lineage(tessellate(sized.filter("_large").drop("_large", "_box", "level"), _size_level(envelope), envelope, leaf_edges))
     levels = sorted(r["level"] for r in cells.select("level").distinct().collect())
-    met = point_cells(points, x, y, levels).join(cells, keys).filter(inside & in_cell(F.col(x), F.col(y)))
+    met = point_cells(points, x, y, levels).join(shuffled(cells), keys).filter(inside & in_cell(F.col(x), F.col(y)))
     return hits.unionByName(met.select(hits.columns))
 
 
@@ -419,7 +428,7 @@ def envelope_pairs(a: DataFrame, b: DataFrame, on: list[str] | None = None, key:
         a = spread(a, key)
     a = a.withColumn("alevel", _size_level(ENV_A))
     levels = {n: sorted(r[0] for r in df.select(n).distinct().collect() if r[0] is not None) for df, n in ((a, "alevel"), (b, "blevel"))}
-    hint = F.broadcast if small else lambda df: df
+    hint = F.broadcast if small else shuffled
 
     def risen(df: DataFrame, own: str, to: list[int], among) -> DataFrame:
         return df.withColumn("level", F.explode(F.filter(F.array(*[F.lit(v) for v in to]).cast("array<int>"), lambda v: among(v, F.col(own)))))
@@ -487,13 +496,15 @@ def coverage_percent(points: DataFrame, pid: str, polygons: DataFrame, radius: f
 
 def count_touching(points: DataFrame, pid: str, polygons: DataFrame, radius: float) -> DataFrame:
     """Number of polygons that meet the disc around each point."""
-    from hectara.functions.geometry import distance_to_polygon
+    from hectara.functions.geometry import distance_to_polygon, is_rectangle
 
     discs = disc_envelope(points.select(pid, "x", "y"), "x", "y", radius)
-    shapes = with_envelope(polygons.select("rings"), "rings", ENV_B)
+    # An upright rectangle is as far away as its envelope and travels without its rings.
+    shapes = with_envelope(polygons.select("rings"), "rings", ENV_B).withColumn("rings", F.when(~is_rectangle(F.col("rings"), ENV_B), F.col("rings")))
     dx = F.greatest(F.col("bminx") - F.col("x"), F.col("x") - F.col("bmaxx"), F.lit(0.0))
     dy = F.greatest(F.col("bminy") - F.col("y"), F.col("y") - F.col("bmaxy"), F.lit(0.0))
-    hits = envelope_pairs(discs, shapes, key=pid).filter(dx * dx + dy * dy <= radius * radius).filter(distance_to_polygon(F.col("rings"), F.col("x"), F.col("y")) <= radius)
+    near = envelope_pairs(discs, shapes, key=pid).filter(dx * dx + dy * dy <= radius * radius)
+    hits = near.filter(F.col("rings").isNull() | (distance_to_polygon(F.col("rings"), F.col("x"), F.col("y")) <= radius))
     return points.select(pid).join(hits.groupBy(pid).agg(F.count(F.lit(1)).alias("n")), pid, "left").select(pid, F.coalesce("n", F.lit(0)).alias("n"))
 
 
