@@ -390,6 +390,69 @@ def points_in_polygons(
     return hits.unionByName(met.select(hits.columns))
 
 
+BOX_HALVINGS = 3  # a rectangle stands in at most nine by nine cells
+
+
+def polygon_parts(polygons: DataFrame, key: str, envelope: tuple[str, str, str, str], leaf_edges: int = LEAF_EDGES) -> DataFrame | None:
+    """The cells of polygons (key, rings) with finite envelopes: key, level, cx, cy, the envelope, whole, _base, _breaks, _edges; None without any.
+
+    whole: every point of the cell lies in the polygon. Upright rectangles have at most 81 cells of an eighth of their size, other polygons
+    those of `tessellate`. So the rows grow with the polygons and their edges, not with what is looked for in them.
+    """
+    from hectara.functions.geometry import is_rectangle
+
+    minx, miny, maxx, maxy = (F.col(c) for c in envelope)
+    bounded = F.coalesce((maxx - minx < float("inf")) & (maxy - miny < float("inf")), F.lit(False))
+    sized = polygons.select(key, "rings", *envelope).filter(bounded).withColumn("_box", is_rectangle(F.col("rings"), envelope))
+    kinds = {r["_box"] for r in sized.select("_box").distinct().collect()}
+    marks = {"_base": F.lit(0), "_breaks": F.array().cast("array<double>"), "_edges": F.lit(None).cast("array<struct<ax:double,ay:double,bx:double,by:double>>")}
+    columns = [key, "level", "cx", "cy", *envelope, "whole", "_box", *marks]
+    parts = []
+    if True in kinds:
+        boxes = sized.filter("_box").drop("rings").withColumn("level", _size_level(envelope) - BOX_HALVINGS)
+        side = F.pow(F.lit(2.0), F.col("level"))
+        left, low = F.col("cx") * side, F.col("cy") * side
+        whole = (minx <= left) & (left + side <= maxx) & (miny <= low) & (low + side <= maxy)
+        parts.append(polygon_cells(boxes, *envelope).withColumns({"whole": whole, **marks}).select(columns))
+    if False in kinds:
+        cells = tessellate(sized.filter(~F.col("_box")), _size_level(envelope), envelope, leaf_edges)
+        whole = F.col("_edges").isNull() & (F.size("_breaks") == 0) & (F.col("_base") % 2 == 1)
+        parts.append(cells.withColumn("whole", whole).select(columns))
+    if not parts:
+        return None
+    return parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0]
+
+
+def first_polygon(points: DataFrame, pid: str, x: str, y: str, polygons: DataFrame, key: str, envelope: tuple[str, str, str, str]) -> DataFrame:
+    """pid and the smallest key of the polygons (key, rings) that contain the point; points in no polygon have no row.
+
+    Where a polygon covers a cell whole, no polygon with a larger key can be the first of a point there. Such rows go before points are met, so a
+    point meets few polygons however many lie on top of each other.
+    """
+    located = points.select(pid, x, y)
+    parts = polygon_parts(polygons, key, envelope)
+    minx, miny, maxx, maxy = (F.col(c) for c in envelope)
+    unbounded = polygons.select(key, "rings", *envelope).filter(~F.coalesce((maxx - minx < float("inf")) & (maxy - miny < float("inf")), F.lit(False)))
+    hits = points_in_polygons(located, x, y, unbounded, envelope).select(pid, key)
+    if parts is not None:
+        cell = ["level", "cx", "cy"]
+        parts = cut_lineage(parts)
+        covered = cut_lineage(parts.groupBy(*cell).agg(F.min(F.when(F.col("whole"), F.col(key))).alias("_first")))
+        levels = sorted(r["level"] for r in covered.select("level").distinct().collect())  # at most a few dozen sizes
+        above = F.filter(F.array(*[F.lit(v) for v in levels]).cast("array<int>"), lambda v: v >= F.col("level"))
+        up = covered.select(*cell, F.explode(above).alias("_up"))
+        up = up.select(*cell, "_up", *[F.expr(f"shiftright({c}, _up - level)").alias(f"_{c}") for c in ("cx", "cy")])
+        over = covered.filter("_first is not null").toDF("_up", "_cx", "_cy", "_first")
+        best = up.join(shuffled(over), ["_up", "_cx", "_cy"]).groupBy(*cell).agg(F.min("_first").alias("_first"))
+        candidate = F.col("_first").isNull() | (F.col(key) < F.col("_first")) | (F.col("whole") & (F.col(key) == F.col("_first")))
+        kept = cut_lineage(parts.join(shuffled(best), cell, "left").filter(candidate).drop("_first", "whole"))
+        held = F.when(F.col("_box"), (F.col(x) < maxx) & (F.col(y) < maxy)).otherwise(in_cell(F.col(x), F.col(y)))
+        inside = (F.col(x) >= minx) & (F.col(x) <= maxx) & (F.col(y) >= miny) & (F.col(y) <= maxy)
+        met = point_cells(located, x, y, levels).join(shuffled(kept), cell).filter(inside & held)
+        hits = hits.unionByName(met.select(pid, key))
+    return hits.groupBy(pid).agg(F.min(key).alias(key))
+
+
 def _covered(df: DataFrame, env: tuple[str, str, str, str], level: str) -> DataFrame:
     side = F.pow(F.lit(2.0), F.col(level))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from hectara.functions.scores import half_even
 from hectara.functions import constants as C
 from hectara.functions.geometry import centroid, distance_to_polygon, intersects_box
-from hectara.operators.spatial import largest_overlap, nearest, points_in_polygons, unmatched_secondary, within_radius
+from hectara.operators.spatial import first_polygon, largest_overlap, nearest, unmatched_secondary, within_radius
 from hectara.session import cut_lineage
 
 ZONE_ATTRIBUTES = [
@@ -18,8 +18,7 @@ ZONE_ATTRIBUTES = [
 
 def first_zone(parcels: DataFrame, pid: str, zones: DataFrame, zone_id: str, box: tuple[str, ...]) -> DataFrame:
     """Smallest id of the zones around each centroid; parcels outside all zones are left out."""
-    hits = points_in_polygons(parcels, "centroid_x", "centroid_y", zones.select(zone_id, "rings", *box), box)
-    return hits.groupBy(pid).agg(F.min(zone_id).alias(zone_id))
+    return first_polygon(parcels, pid, "centroid_x", "centroid_y", zones, zone_id, box)
 
 
 def attach_zone(parcels: DataFrame, pid: str, zones: DataFrame, box: tuple[str, ...]) -> DataFrame:
