@@ -7,13 +7,14 @@ rounded to a nanometre: a floating-point bound settles nearly all, decimals the
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hectara.functions.geometry import oriented_edges, ring_signed_area, segments
+from hectara.functions.geometry import is_rectangle, oriented_edges, ring_signed_area, segments
 from hectara.functions.scores import half_even
-from hectara.operators.spatial import disc_envelope, envelope_pairs, points_in_polygons, with_envelope
+from hectara.operators.spatial import disc_envelope, envelope_pairs, first_polygon, points_in_polygons, polygon_parts, with_envelope
 from hectara.session import cut_lineage, shuffled
 
 ENDS = ("ax", "ay", "bx", "by")
@@ -140,15 +141,60 @@ def directed_edges(shapes: DataFrame, key: str) -> DataFrame:
     return rows.select(key, "no", *[F.when(back, F.col(o)).otherwise(F.col(c)).alias(c) for c, o in ends.items()])
 
 
+def covered_cells(shapes: DataFrame, key: str, cell: float) -> tuple[DataFrame | None, float]:
+    """The cells (cx, cy) that a shape covers whole, on a grid of an eighth of the side of the mean shape, and the side of the grid.
+
+    None and the side as given where no shape has an area.
+    """
+    box = ("ex0", "ey0", "ex1", "ey1")
+    sized = with_envelope(shapes, "rings", box)
+    wide, high = F.col("ex1") - F.col("ex0"), F.col("ey1") - F.col("ey0")
+    mean = sized.filter((wide < float("inf")) & (high < float("inf"))).agg(F.avg(wide * high)).first()[0]
+    parts = polygon_parts(sized, key, box) if mean else None
+    if parts is None:
+        return None, cell
+    grid = math.floor(math.log2(math.sqrt(mean) / 8))
+    whole = parts.filter(F.col("whole") & ~F.col("_box") & (F.col("level") >= grid))
+    span = [F.expr(f"sequence(shiftleft({c}, level - ({grid})), shiftleft({c} + 1, level - ({grid})) - 1)") for c in ("cx", "cy")]
+    inner = whole.select(F.explode(span[0]).alias("cx"), span[1].alias("_y")).select("cx", F.explode("_y").alias("cy"))
+    first, last = ([f(F.col(c) / 2.0**grid).cast("long") + d for c in cs] for f, cs, d in ((F.ceil, box[:2], 0), (F.floor, box[2:], -1)))
+    ranges = [F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<bigint>")) for a, b in zip(first, last)]
+    upright = sized.filter(is_rectangle(F.col("rings"), box)).select(F.explode(ranges[0]).alias("cx"), ranges[1].alias("_y")).select("cx", F.explode("_y").alias("cy"))
+    return cut_lineage(inner.unionByName(upright).distinct()), 2.0**grid
+
+
+def _open_ends(placed: DataFrame, key: str, cell: float) -> DataFrame:
+    """key, no, len, t: where an edge passes between cells that are placed and others. What ends in one cell and begins in the next cancels out."""
+    spans = []
+    for v in "xy":
+        a, d, low = F.col(f"a{v}"), F.col(f"b{v}") - F.col(f"a{v}"), F.col(f"c{v}") * F.lit(cell)
+        one, two = (F.try_divide(line - a, d) * F.col("len") for line in (low, (F.col(f"c{v}") + 1) * F.lit(cell)))
+        beside = (a < low) | (a > (F.col(f"c{v}") + 1) * F.lit(cell))
+        spans.append((F.when(d != 0, F.least(one, two)).when(beside, float("inf")), F.when(d != 0, F.greatest(one, two)).when(beside, float("-inf"))))
+    enter = F.greatest(F.lit(0.0), *[s[0] for s in spans])  # null-skipping: an edge without width passes no upright line
+    leave = F.least(F.col("len"), *[s[1] for s in spans])
+    cut = placed.dropDuplicates([key, "no", "cx", "cy"]).select(key, "no", "len", enter.alias("_in"), leave.alias("_out")).filter("_in < _out")
+    ends = cut.select(key, "no", "len", F.inline(F.array(F.struct(F.col("_in").alias("t"), F.lit(1).alias("n")), F.struct(F.col("_out").alias("t"), F.lit(-1).alias("n")))))
+    return ends.groupBy(key, "no", "len", "t").agg(F.sum("n").alias("n")).filter("n != 0").drop("n")
+
+
 def union_edges(shapes: DataFrame, key: str, cell: float, tolerance: float = 1e-6) -> DataFrame:
     """The boundary of the union of all shapes (key, rings) as directed edges ax, ay, bx, by with the union on the left.
 
     Edges are split where edges of other shapes cross or touch them. A part stays unless another shape covers the ground on its
     right. Parts that run along another shape's edge are settled by direction: the same way, the smaller key keeps it; the
     other way, the ground on the right is covered. A row that repeats a key counts as one more part of that shape.
+
+    No boundary runs within a cell that one shape covers whole. Edges are cut where they leave and enter such cells and meet other edges
+    only outside of them, so the pairs grow with what is near the boundary, not with how many shapes lie on top of each other.
     """
     edges = cut_lineage(directed_edges(shapes, key).withColumn("len", edge_length()))
+    full = None
+    if shapes.groupBy(key).count().filter("count > 1").isEmpty():
+        full, cell = covered_cells(shapes, key, cell)
     placed = edge_cells(edges, cell, tolerance)
+    if full is not None:
+        placed = cut_lineage(placed.join(shuffled(full), ["cx", "cy"], "left_anti"))
     other = placed.select(*[F.col(c).alias(f"{c}2") for c in (key, "no", *ENDS, "len")], "cx", "cy")
     pairs = placed.join(other, ["cx", "cy"]).filter(F.col(key) != F.col(f"{key}2")).drop("cx", "cy").distinct()
     dx, dy, ex, ey = (F.col(b) - F.col(a) for a, b in (("ax", "bx"), ("ay", "by"), ("ax2", "bx2"), ("ay2", "by2")))
@@ -170,15 +216,24 @@ def union_edges(shapes: DataFrame, key: str, cell: float, tolerance: float = 1e-
     crossing = pairs.filter(~F.col("along")).withColumn("u", u).filter((F.col("u") >= -slack) & (F.col("u") <= 1 + slack))
     cuts = [crossing.select(key, "no", "len", (F.col("ta") + (F.col("tb") - F.col("ta")) * F.col("u")).alias("t"))]
     cuts += [pairs.filter("along").select(key, "no", "len", F.col(t).alias("t")) for t in ("ta", "tb")]
-    inner = cuts[0].unionByName(cuts[1]).unionByName(cuts[2]).filter((F.col("t") > tolerance) & (F.col("t") < F.col("len") - tolerance))
-    marks = inner.select(key, "no", "t").unionByName(edges.select(key, "no", F.explode(F.array(F.lit(0.0), F.col("len"))).alias("t"))).distinct()
+    if full is not None:
+        cuts.append(_open_ends(placed, key, cell))
+    inner = reduce(DataFrame.unionByName, cuts).filter((F.col("t") > tolerance) & (F.col("t") < F.col("len") - tolerance))
+    ends = edges if full is None else edges.join(shuffled(placed.select(key, "no").distinct()), [key, "no"], "left_semi")
+    marks = inner.select(key, "no", "t").unionByName(ends.select(key, "no", F.explode(F.array(F.lit(0.0), F.col("len"))).alias("t"))).distinct()
     following = Window.partitionBy(key, "no").orderBy("t")
     parts = marks.withColumn("t1", F.lead("t").over(following)).filter("t1 is not null").withColumnRenamed("t", "t0")
     parts = parts.join(edges, [key, "no"])
     share = lambda t: F.when(F.col(t) >= F.col("len"), 1.0).otherwise(F.col(t) / F.col("len"))
     spots = {f"{v}{n}": F.col(f"a{v}") + (F.col(f"b{v}") - F.col(f"a{v}")) * share(t) for v in "xy" for n, t in ((0, "t0"), (1, "t1"))}
     parts = parts.withColumns(spots).withColumns({"mx": (F.col("x0") + F.col("x1")) / 2, "my": (F.col("y0") + F.col("y1")) / 2})
-    parts = cut_lineage(parts.select(key, "no", "t0", "t1", "x0", "y0", "x1", "y1", "mx", "my"))
+    parts = parts.select(key, "no", "t0", "t1", "x0", "y0", "x1", "y1", "mx", "my")
+    if full is not None:
+        around = [F.array_distinct(F.array(*[F.floor((F.col(m) + d) / cell).cast("long") for d in (-tolerance, tolerance)])) for m in ("mx", "my")]
+        touched = parts.select(key, "no", "t0", F.explode(around[0]).alias("cx"), "my").withColumn("cy", F.explode(around[1])).drop("my")
+        outside = touched.join(shuffled(full), ["cx", "cy"], "left_anti").select(key, "no", "t0").distinct()
+        parts = parts.join(shuffled(outside), [key, "no", "t0"], "left_semi")
+    parts = cut_lineage(parts)
     beside = pairs.filter("along").select(key, "no", f"{key}2", F.least("ta", "tb").alias("from"), F.greatest("ta", "tb").alias("to"), (F.col("tb") > F.col("ta")).alias("same_way"))
     middle = (F.col("t0") + F.col("t1")) / 2
     beside = cut_lineage(parts.join(beside, [key, "no"]).filter((middle > F.col("from")) & (middle < F.col("to"))).select(key, "no", "t0", f"{key}2", "same_way").distinct())
@@ -238,7 +293,7 @@ def union_coverage_percent(points: DataFrame, pid: str, polygons: DataFrame, key
     near = envelope_pairs(disc_envelope(spots, "x", "y", radius), boundary, key=pid).select(pid, "x", "y", *ENDS)
     pieces = disc_differences(near, "x", "y", radius, [pid])
     box = ("ex0", "ey0", "ex1", "ey1")
-    centred = points_in_polygons(spots, "x", "y", with_envelope(shapes.select("rings"), "rings", box), box).select(pid).distinct()
+    centred = first_polygon(spots, pid, "x", "y", with_envelope(shapes, "rings", box), key, box).select(pid)
     full = centred.select(pid, F.lit(math.pi * radius * radius).alias("piece"))
     sums = pieces.unionByName(full).groupBy(pid).agg((F.sum("piece") / (math.pi * radius * radius) * 100).alias("pct"))
     return points.select(pid).join(sums, pid, "left").select(pid, F.greatest(F.coalesce("pct", F.lit(0.0)), F.lit(0.0)).alias("pct"))

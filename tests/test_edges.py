@@ -192,3 +192,21 @@ def test_a_ring_of_many_vertices_meets_neighbours_only(spark):
     edges = E.numbered_edges(df.filter("sid = 1"), "sid", E.segments(F.col("rings")[0]))
     placed = E.edge_cells(edges, 100.0)
     assert placed.groupBy("cx", "cy").count().agg(F.max("count")).first()[0] < n / 20 and placed.select("no").distinct().count() == n
+
+
+def test_edges_below_a_whole_cover_are_not_paired(spark, monkeypatch):
+    """Boxes on top of each other: the edges of those deep inside meet no others."""
+    tables = []
+    cut = E.cut_lineage
+
+    def kept(df):
+        tables.append(cut(df))
+        return tables[-1]
+
+    monkeypatch.setattr(E, "cut_lineage", kept)
+    shapes = [(i, [box(i % 8, (i * 3) % 8, 600 + (i * 5) % 8, 600 + (i * 7) % 8)]) for i in range(40)] + [(40, [box(100, 300, 500, 310)])]
+    shapes += [(41 + i, [box(150 + 5 * i, 150 + 5 * i, 400 + 5 * i, 400 + 5 * i)]) for i in range(20)]
+    got = {tuple(r) for r in E.union_edges(frame(spark, shapes), "sid", 50.0).collect()}
+    assert sum((bx - ax) * (ay + by) / -2 for ax, ay, bx, by in got) == pytest.approx(607.0 * 607.0, abs=200)
+    pairs = next(t for t in tables if "along" in t.columns)
+    assert not pairs.isEmpty() and pairs.filter("sid >= 40 or sid2 >= 40").isEmpty()
