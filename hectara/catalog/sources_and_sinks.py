@@ -5,10 +5,13 @@ from pyspark.sql import functions as F
 
 from hectara.catalog.registry import query
 from hectara.functions.geometry import to_grid
+from hectara.operators.spatial import spread
 from hectara.session import shared_dir
 from hectara.sources import readers as R
 from hectara.sources import writers as W
 
+FEED_ROWS = 20_000  # zones a file, about 26 MB
+
 
 def scratch(t, name):
     """A fresh folder for files a query writes and reads back."""
@@ -88,7 +91,9 @@ def zone_feed(t):
 
     path = scratch(t, "zones")
     root = 'app:Feed xmlns:app="urn:a" xmlns:gml="urn:g" xmlns:xlink="urn:x"'
-    zone_elements(t("shapes")).write.format("xml").option("rootTag", root).option("rowTag", "app:StrefaPlanistyczna").option("validateName", False).save(path)
+    # A file is read whole by one task, so files are bounded by rows, whatever number of files the table came in.
+    elements = zone_elements(spread(t("shapes"), "shape_id"))
+    elements.write.format("xml").option("maxRecordsPerFile", FEED_ROWS).option("rootTag", root).option("rowTag", "app:StrefaPlanistyczna").option("validateName", False).save(path)
     z = R.zone_feed(t.spark, path, "NATION_0")
     first = F.element_at(F.element_at(F.element_at("parts", 1), 1), 1)
     return z.select(
