@@ -42,10 +42,8 @@ def active_users(t):
     """WITH h AS (SELECT user_id, date_trunc('hour', ts) AS hr FROM feedback), s AS (SELECT DISTINCT user_id, hr - INTERVAL (i) HOUR AS start FROM h, range(24) r(i)) SELECT start, count(*) AS users FROM s GROUP BY start""",
 )
 def active_users_batch(t):
-    """Exact users per sliding day; users are made distinct per hour before the windows repeat them."""
-    hours = t("feedback").select("user_id", F.date_trunc("hour", "ts").alias("hr")).distinct()
-    starts = hours.select("user_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(23)), lambda i: F.col("hr") - F.make_dt_interval(hours=i))).alias("start"))
-    return starts.distinct().groupBy("start").agg(F.count(F.lit(1)).alias("users"))
+    """Exact users per sliding day."""
+    return B.users_per_day(t("feedback"))
 
 
 @query(

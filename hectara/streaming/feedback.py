@@ -4,7 +4,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hectara.session import shared_dir
@@ -203,3 +203,17 @@ def refused_transitions(events: DataFrame, state: DataFrame) -> DataFrame:
     favorites = events.filter(F.col("action") == "favorite")
     early = favorites.join(state.select("user_id", "first_search"), "user_id").filter(F.col("first_search").isNull() | (F.struct("ts", "event_id") < F.col("first_search")))
     return early.select("user_id", "event_id", "parcel_id")
+
+
+def users_per_day(events: DataFrame) -> DataFrame:
+    """start and users: the distinct users of each 24 hours that begin at a full hour.
+
+    An hour of a user counts in the windows that the user's hour before is not in. So hours are added up before windows repeat them, and no
+    row is made per user and window. Users without an id are one user; events without a time have a null start.
+    """
+    hours = events.select("user_id", F.date_trunc("hour", "ts").alias("hr")).distinct()
+    gap = F.col("hr") - F.lag("hr").over(Window.partitionBy("user_id").orderBy("hr"))
+    fresh = F.when(F.col("hr").isNull(), 1).otherwise(F.least(F.coalesce(gap.cast("interval hour").cast("bigint"), F.lit(24)), F.lit(24))).cast("int")
+    counted = hours.withColumn("fresh", fresh).groupBy("hr", "fresh").agg(F.count(F.lit(1)).alias("n"))
+    starts = F.transform(F.sequence(F.lit(0), F.col("fresh") - 1), lambda i: F.col("hr") - F.make_dt_interval(hours=i))
+    return counted.select(F.explode(starts).alias("start"), "n").groupBy("start").agg(F.sum("n").alias("users"))
