@@ -293,7 +293,8 @@ def diagnose(parcels: DataFrame, searches: DataFrame) -> DataFrame:
     area_on = (F.coalesce(F.col("c_min_area"), F.lit(0)) > 0) | (F.coalesce(F.col("c_max_area"), F.lit(0)) > 0)
     in_area = (F.col("area_m2") >= F.coalesce(F.col("c_min_area"), F.lit(0))) & (F.col("area_m2") <= F.coalesce(F.col("c_max_area"), F.lit(999999)))
     aggs = [count().alias("total")]
-    aggs += [F.when(F.first("c_" + c).isNotNull(), F.count_if(F.array_contains("c_" + c, F.col(col)))).alias("n_" + c) for c, col in cats]
+    # Only flags and numbers are kept a group: with an array among them Spark would sort all rows instead of hashing them.
+    aggs += [F.when(F.bool_or(F.col("c_" + c).isNotNull()), F.count_if(F.array_contains("c_" + c, F.col(col)))).alias("n_" + c) for c, col in cats]
     aggs += [F.when(F.bool_or(area_on), F.count_if(in_area)).alias("n_area")]
     aggs += [F.when(F.first("c_" + c) > 0, F.count_if(F.col(col) <= F.col("c_" + c))).alias("n_" + c) for c, col in dists]
     counted = j.groupBy("c_search_id").agg(*aggs)
