@@ -9,6 +9,7 @@ from hectara.functions.scores import half_even
 from hectara.functions.labels import lookup
 from hectara.functions.texts import fold_city
 from hectara.operators.graph import edges as graph_edges
+from hectara.operators.spatial import spread
 from hectara.session import cut_lineage
 
 
@@ -55,8 +56,8 @@ def stacked(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def write_edges(parcels: DataFrame, zones: DataFrame, path: str) -> None:
-    """One folder per relation."""
-    graph_edges(parcels, zones).write.mode("overwrite").partitionBy("rel").parquet(path)
+    """One folder per relation. Rows are dealt out by their start first, since each task sorts its rows by relation before it writes them."""
+    spread(graph_edges(parcels, zones), "src").write.mode("overwrite").partitionBy("rel").parquet(path)
 
 
 def poi_export(df: DataFrame, kind: str, area: Column | None = None) -> DataFrame:
