@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from hectara.catalog.registry import query
 from hectara.functions import geometry as G
 from hectara.operators.edges import with_faults
-from hectara.operators.spatial import within_radius
+from hectara.operators.spatial import spread, within_radius
 from hectara.operators.terrain import surface_statistics
 
 RINGS = "rings"
@@ -93,7 +93,8 @@ def as_point(t):
          round(CASE WHEN d <= w THEN y0 WHEN d <= w+h THEN y0+(d-w) WHEN d <= 2*w+h THEN y0+h ELSE y0+h-(d-2*w-h) END, 4) FROM d""",
 )
 def sample_points(t):
-    p = G.sample_points(t("shapes").select("shape_id", "rings", F.lit("Polygon").alias("gtype")), "gtype", "rings", 50)
+    shapes = spread(t("shapes"), "shape_id")  # the table may come in one file, and every shape makes many points
+    p = G.sample_points(shapes.select("shape_id", "rings", F.lit("Polygon").alias("gtype")), "gtype", "rings", 50)
     return p.select("shape_id", F.round("p.x", 4).alias("px"), F.round("p.y", 4).alias("py"))
 
 
