@@ -539,18 +539,42 @@ def largest_overlap(items: DataFrame, item_id: str, areas: DataFrame, area_id: s
     return common.filter(F.col("overlap") > 1e-9).groupBy(item_id).agg(best.alias("m")).select(item_id, (-F.col("m.neg")).alias("area_id"), "m.overlap")
 
 
+WIDE_POLYGON = 32  # radii
+
+
 def coverage_percent(points: DataFrame, pid: str, polygons: DataFrame, radius: float) -> DataFrame:
     """Percent of the disc around each point covered, summed per polygon (overlaps count twice).
 
     edges.union_coverage_percent counts what several polygons cover once.
     """
-    from hectara.functions.geometry import disc_pieces, oriented_edges
-
-    discs = disc_envelope(points.select(pid, "x", "y"), "x", "y", radius)
-    shapes = with_envelope(polygons.select("rings"), "rings", ENV_B).withColumn("edges", oriented_edges(F.col("rings"))).drop("rings")
-    dx = F.greatest(F.col("bminx") - F.col("x"), F.col("x") - F.col("bmaxx"), F.lit(0.0))
-    dy = F.greatest(F.col("bminy") - F.col("y"), F.col("y") - F.col("bmaxy"), F.lit(0.0))
-    pairs = envelope_pairs(discs, shapes, key=pid).filter(dx * dx + dy * dy < radius * radius).select(pid, "x", "y", "edges")
+    from hectara.functions.geometry import disc_pieces, is_rectangle, oriented_edges, vertex
+
+    spots = points.select(pid, "x", "y")
+    shapes = with_envelope(polygons.select("rings"), "rings", ENV_B)
+    minx, miny, maxx, maxy = (F.col(c) for c in ENV_B)
+    common = F.coalesce(F.greatest(maxx - minx, maxy - miny) <= WIDE_POLYGON * radius, F.lit(False))
+    # Discs stand in one cell of half a radius each and polygons in all cells that a disc may reach them from, so pairs spread over many keys
+    # even where all polygons are of one size. Only much larger polygons meet discs by size levels.
+    side = radius / 2
+
+    def index(c: Column) -> Column:
+        return F.floor(c / side).cast("bigint")
+
+    box = is_rectangle(F.col("rings"), ENV_B)
+    placed = shapes.filter(common).withColumn("rings", F.when(~box, F.col("rings")))
+    placed = placed.withColumn("cx", F.explode(F.sequence(index(minx - radius), index(maxx + radius)))).withColumn("cy", F.explode(F.sequence(index(miny - radius), index(maxy + radius))))
+    # Small sides make very many pairs here: with a number of partitions Spark does not merge them by their size.
+    many = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = spots.withColumns({"cx": index(F.col("x")), "cy": index(F.col("y"))}).repartition(many, "cx", "cy")
+    near = keyed.join(shuffled(placed.repartition(many, "cx", "cy")), ["cx", "cy"]).drop("cx", "cy")
+    far = envelope_pairs(disc_envelope(spots, "x", "y", radius), shapes.filter(~common), key=pid).select(near.columns)
+    dx = F.greatest(minx - F.col("x"), F.col("x") - maxx, F.lit(0.0))
+    dy = F.greatest(miny - F.col("y"), F.col("y") - maxy, F.lit(0.0))
+    met = near.unionByName(far).filter(dx * dx + dy * dy < radius * radius)
+    corners = [vertex(a, b) for a, b in ((minx, miny), (maxx, miny), (maxx, maxy), (minx, maxy))]
+    around = F.array(*[F.struct(a["x"].alias("ax"), a["y"].alias("ay"), b["x"].alias("bx"), b["y"].alias("by"), F.lit(1.0).alias("w")) for a, b in zip(corners, [*corners[1:], corners[0]])])
+    edges = F.when(F.col("rings").isNull(), around).otherwise(oriented_edges(F.col("rings")))
+    pairs = met.select(pid, "x", "y", edges.alias("edges"))
     # Signed shares of all edges of all polygons simply add up to the covered area.
     pieces = disc_pieces(pairs, "x", "y", "edges", radius)
     sums = pieces.groupBy(pid).agg((F.sum("piece") / (math.pi * radius * radius) * 100).alias("pct"))

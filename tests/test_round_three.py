@@ -4,7 +4,7 @@ import os
 import random
 
 from hectara.catalog import load, sources_and_sinks
-from hectara.operators import similarity as V
+from hectara.operators import spatial as S
 from hectara.plans.testbed import table
 from hectara.sources import writers as W
 from hectara.streaming import feedback as B
@@ -49,10 +49,17 @@ def test_diagnosis_does_not_sort_the_rows_of_a_search(spark):
     assert not any("SortAggregate" in line and "first(" in line for line in lines)
 
 
-def test_words_are_counted_where_their_text_is(spark):
-    words = V.hashed_vectors(spark.createDataFrame([(1, "a b a"), (2, "b c")], "k int, t string"), "k", "t")
-    assert not any("hashpartitioning(k#" in line and "place#" in line.split("hashpartitioning(", 1)[1].split(")", 1)[0] for line in plan(words).splitlines())
-
-
 def test_samples_are_made_in_many_tasks(spark):
     assert QUERIES["geo_09_sample_points"](spark, SF).rdd.getNumPartitions() >= 8  # two before
+
+
+def test_coverage_of_small_and_huge_polygons(spark):
+    """Polygons within and beyond the width of a cell join, upright and not; shares add up, and no side is broadcast."""
+    box = lambda a, b, c, d: [(float(x), float(y)) for x, y in ((a, b), (c, b), (c, d), (a, d), (a, b))]
+    shapes = [([box(-500, -500, 500, 500)],), ([box(0, -50, 50, 50)],), ([[(0.0, -50.0), (50.0, -50.0), (50.0, 50.0), (0.0, 50.0), (0.0, 0.0), (0.0, -50.0)]],), ([box(-9, -9, 9, 9), box(-8, -8, 8, 8)],)]
+    polygons = spark.createDataFrame(shapes, "rings array<array<struct<x:double,y:double>>>")
+    points = spark.createDataFrame([(1, 0.0, 0.0), (2, 900.0, 0.0), (3, None, 1.0), (4, 25.0, 0.0)], "pid int, x double, y double")
+    cover = S.coverage_percent(points, "pid", polygons, 2.0)
+    assert {r.pid: round(r.pct, 6) for r in cover.collect()} == {1: 200.0, 2: 0.0, 3: 0.0, 4: 300.0}
+    near = [line for line in plan(cover).splitlines() if "Join" in line and "cx#" in line and "level#" not in line]
+    assert near and all("SortMergeJoin" in line for line in near)
