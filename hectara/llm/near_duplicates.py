@@ -37,7 +37,7 @@ PAIRED_BELOW = 1 << 9  # possible pairs in a bucket from which its sets meet in
 BLOCK = 512
 SALTS = 32
 MARGIN = 0.17  # six standard errors of the estimate at the threshold: sqrt(0.8 * 0.2 / M) is 0.028
-WORD_CACHE = 1_000_000
+WORD_CACHE = 1 << 18  # words whose hashes a worker keeps: about 40 MB
 
 _draw = np.random.default_rng(20)
 FACTORS = _draw.integers(0, 1 << 32, M, np.uint32) | np.uint32(1)

@@ -264,10 +264,10 @@ def sized_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
 
     members: key, cls, comp, largest, many and outside. The classes of the largest component are on one side only.
     """
-    rows = merged_buckets(members).select("key", "cls", "comp", "largest").join(sets.select("cls", "members"), "cls")
+    rows = merged_buckets(members).select("key", "cls", "comp", "largest").join(members.select("cls", "n").distinct(), "cls")
     # Sets that reach the threshold differ in size by at most its inverse: they lie in the same or in neighbouring classes.
     step = float(np.log(100 / percent)) if percent < 100 else 1.0
-    rows = rows.withColumn("size", F.floor(F.log(F.length("members") / 8.0) / step + 1e-9).cast("int"))
+    rows = cut_lineage(rows.withColumn("size", F.floor(F.log(F.col("n").cast("double")) / step + 1e-9).cast("int")).drop("n"))
     totals = rows.groupBy("key", "size").agg(
         F.ceil(F.count("*") / BLOCK).cast("int").alias("rights"), F.ceil(F.count_if(F.col("comp") != F.col("largest")) / BLOCK).cast("int").alias("lefts")
     )
@@ -277,12 +277,16 @@ def sized_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     block = ["key", "left_size", "left", "right_size", "right"]
     one = placed.filter("comp != largest").select(
         "key", F.col("size").alias("left_size"), F.pmod(F.xxhash64("cls"), "own_lefts").cast("int").alias("left"), F.col("beside").alias("right_size"),
-        F.explode(F.sequence(F.lit(0), F.col("rights") - 1)).alias("right"), "cls", "comp", "members",
+        "rights", "cls", "comp",
     )
     right = placed.filter("lefts > 0").select(
-        "key", F.col("beside").alias("left_size"), F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("left"), F.col("size").alias("right_size"),
-        F.pmod(F.xxhash64("cls"), "own_rights").cast("int").alias("right"), "cls", "comp", "members",
+        "key", F.col("beside").alias("left_size"), "lefts", F.col("size").alias("right_size"),
+        F.pmod(F.xxhash64("cls"), "own_rights").cast("int").alias("right"), "cls", "comp",
     )
+    # The sets come last and meet the rows counted, so that of few rows only the sets that enter a block travel.
+    full = sets.select("cls", "members")
+    one = full.join(sized_broadcast(one), "cls").withColumn("right", F.explode(F.sequence(F.lit(0), F.col("rights") - 1))).drop("rights")
+    right = full.join(sized_broadcast(right), "cls").withColumn("left", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1))).drop("lefts")
     right = right.toDF(*[f"{c}_y" for c in right.columns])
 
     def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:

@@ -99,3 +99,22 @@ def test_brief_forms_lose_no_link():
                 assert possible or not links
                 refused += not possible
     assert refused > 30
+
+
+def test_only_sets_that_enter_a_block_are_shuffled(spark, tmp_path, monkeypatch):
+    """Few rows of large buckets must not send the sets of all classes through a shuffle."""
+    monkeypatch.setattr(sj, "BLOCK", 4)
+    sets = {c: np.sort(np.arange(60 + c % 7, dtype=np.uint64) + np.uint64(1000 * c if c >= 20 else 0)) for c in range(400)}
+    path = str(tmp_path / "sets")
+    spark.createDataFrame([(c, bytearray(m.tobytes())) for c, m in sets.items()], "cls long, members binary").write.parquet(path)
+    rows = [(1, c, len(sets[c]), c, 0, 24, 23) for c in range(24)]
+    members = spark.createDataFrame(rows, "key long, cls long, n long, comp long, largest long, many long, outside long")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # sets are larger than a guessed broadcast
+    try:
+        links = sj.sized_blocks(members, spark.read.parquet(path), 85)
+        assert "hashpartitioning(cls" not in links._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    want = {(a, b) for a in range(20) for b in range(20) if a < b}
+    assert {(min(r), max(r)) for r in map(tuple, links.collect())} == want
