@@ -307,9 +307,8 @@ def within_radius(
     )
     extra = list(payload)
     leaf = p.leaf["all"]
-    points = p.points
-    if extent_small(p):
-        seeds, points = spread(seeds, "qid"), F.broadcast(points)
+    points = F.broadcast(p.points) if extent_small(p) else p.points
+    seeds = spread(seeds, "qid")  # the descent is joined with broadcast cells, so queries of one small file would stay in one task
     level, cands = _search_start(p, seeds, radius)
     sums = []
     while level < leaf:

@@ -97,3 +97,17 @@ def test_overlap_pairs_of_very_different_sizes(spark):
     box = {i: (r[0][0]["x"], r[0][0]["y"], r[0][2]["x"], r[0][2]["y"]) for i, r in boxes}
     want = {(i, j) for i in box for j in box if box[i][0] <= box[j][2] and box[j][0] <= box[i][2] and box[i][1] <= box[j][3] and box[j][1] <= box[i][3]}
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_radius_search_is_dealt_out_above_the_broadcast_limit(spark, monkeypatch):
+    """Queries of one file must not walk the whole pyramid in one task, however many points there are."""
+    monkeypatch.setattr(S, "BROADCAST_POINTS", 9)
+    rows = [(i, float(i * 37 % 211), float(i * 53 % 199)) for i in range(600)]
+    points = spark.createDataFrame(rows, "fid long, x double, y double")
+    queries = points.filter("fid < 60").select(F.col("fid").alias("qid"), "x", "y").coalesce(1)
+    dealt = []
+    start = S._search_start
+    monkeypatch.setattr(S, "_search_start", lambda p, seeds, radius: dealt.append(seeds.rdd.glom().map(len).collect()) or start(p, seeds, radius))
+    got = {r.qid: r.n for r in S.within_radius(queries, "qid", points, 60.0).collect()}
+    assert got == {q: sum((x - a) ** 2 + (y - b) ** 2 <= 3600 for _, x, y in rows) for q, a, b in rows[:60]}
+    assert dealt and all(sum(n > 0 for n in sizes) > 1 for sizes in dealt)
