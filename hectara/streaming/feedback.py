@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hectara.session import shared_dir
+from hectara.session import shared_dir, shuffled
 
 EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 ACTIONS = {"purchase": "favorite", "error": "reject", "signup": "clear", "click": "compare"}
@@ -150,7 +150,8 @@ def pattern_sink(parcels: DataFrame, folder: str) -> Callable[[DataFrame, int],
     places = parcels.select(F.col("id_dzialki").alias("first_parcel"), F.col("gmina").alias("location"))
 
     def sink(batch: DataFrame, number: int) -> None:
-        part = batch.join(places, "first_parcel").groupBy("user_id", "location").agg(F.count(F.lit(1)).alias("n"), F.max("last_ts").alias("last_seen"), F.sum("liked").alias("liked"))
+        # The closed sessions pass for a small side by their estimate; broadcast, all of them would be summed by the one task that reads the parcels.
+        part = shuffled(batch).join(shuffled(places), "first_parcel").groupBy("user_id", "location").agg(F.count(F.lit(1)).alias("n"), F.max("last_ts").alias("last_seen"), F.sum("liked").alias("liked"))
         part.write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
     return sink

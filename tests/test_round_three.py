@@ -63,3 +63,16 @@ def test_coverage_of_small_and_huge_polygons(spark):
     assert {r.pid: round(r.pct, 6) for r in cover.collect()} == {1: 200.0, 2: 0.0, 3: 0.0, 4: 300.0}
     near = [line for line in plan(cover).splitlines() if "Join" in line and "cx#" in line and "level#" not in line]
     assert near and all("SortMergeJoin" in line for line in near)
+
+
+def test_closed_sessions_are_not_broadcast(spark, tmp_path, monkeypatch):
+    """The sessions of a batch meet the parcels by shuffle, else the task that reads the parcels sums them all."""
+    at = datetime.datetime(2024, 1, 1)
+    batch = spark.createDataFrame([(7, at, at, 3, i % 2, 0, f"D{i % 3}") for i in range(9)], B.SESSION_SCHEMA)
+    parcels = spark.createDataFrame([(f"D{i}", "A" if i else "B") for i in range(3)], "id_dzialki string, gmina string")
+    plans, kept = [], type(batch).join
+    monkeypatch.setattr(type(batch), "join", lambda self, *a: plans.append(kept(self, *a)) or plans[-1])
+    B.pattern_sink(parcels, str(tmp_path))(batch, 0)
+    assert plans and not any("Broadcast" in plan(p) for p in plans)
+    rows = spark.read.parquet(f"{tmp_path}/batch=0").collect()
+    assert sorted((r.user_id, r.location, r.n, r.liked) for r in rows) == [(7, "A", 6, 3), (7, "B", 3, 1)]
