@@ -70,9 +70,12 @@ def test_closed_sessions_are_not_broadcast(spark, tmp_path, monkeypatch):
     at = datetime.datetime(2024, 1, 1)
     batch = spark.createDataFrame([(7, at, at, 3, i % 2, 0, f"D{i % 3}") for i in range(9)], B.SESSION_SCHEMA)
     parcels = spark.createDataFrame([(f"D{i}", "A" if i else "B") for i in range(3)], "id_dzialki string, gmina string")
+    batch.write.parquet(f"{tmp_path}/sessions")  # files have a small estimate, local rows have none
+    parcels.write.parquet(f"{tmp_path}/parcels")
+    batch, parcels = (spark.read.parquet(f"{tmp_path}/{name}") for name in ("sessions", "parcels"))
     plans, kept = [], type(batch).join
     monkeypatch.setattr(type(batch), "join", lambda self, *a: plans.append(kept(self, *a)) or plans[-1])
-    B.pattern_sink(parcels, str(tmp_path))(batch, 0)
+    B.pattern_sink(parcels, f"{tmp_path}/out")(batch, 0)
     assert plans and not any("Broadcast" in plan(p) for p in plans)
-    rows = spark.read.parquet(f"{tmp_path}/batch=0").collect()
+    rows = spark.read.parquet(f"{tmp_path}/out/batch=0").collect()
     assert sorted((r.user_id, r.location, r.n, r.liked) for r in rows) == [(7, "A", 6, 3), (7, "B", 3, 1)]
