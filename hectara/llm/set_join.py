@@ -3,16 +3,17 @@
 Two sets of n and m shingles with a Jaccard similarity of at least t share a shingle among the first n - ceil(t n) + 1 and
 m - ceil(t m) + 1 of them, whatever global order the shingles are put in. Three orders are used: by estimated frequency, rarest first
 and ties by hash, by rising hash and by falling hash. The rare-first order makes candidates: passages that many documents share come last in it and
-are hardly ever a key. A candidate is compared only if its sizes fit, its prefixes meet under the other two orders as well and
-its maps of parities do not differ in more places than the sets may; then both full sets decide.
+are hardly ever a key. A candidate is compared only if its sizes fit and its maps of parities do not differ in more places than the sets may; then
+its prefixes must meet under the other two orders as well, and both full sets decide.
 
 Frequencies are sums over all documents in TABLES tables of SLOTS counters each, with independent hashes, up to MOST; a shingle's estimate is the
 smaller one. A coarse estimate costs candidates, never a link, so the tables are bounded by parameters and are all that is broadcast of the corpus.
 
 Documents of one set are one class. In a bucket of one key all classes are first compared with one leader, that with the most
 neighbours; what is linked is one component, and only pairs across components are compared further, those in the largest component of a
-bucket never with each other. Where a bucket leaves many such pairs, full sets meet in blocks of bounded size, between size classes that can
-reach the threshold only, and only links leave a block. No cap is set on candidates.
+bucket never with each other. Where a bucket leaves many such pairs, sets meet in blocks of bounded size, between size classes that can
+reach the threshold only: first by their maps, then by full sets those that may link with another of the block, and only links leave a block. No cap
+is set on candidates.
 
 Defined results: a null or wordless text has an empty set and is linked with nothing; a text of fewer than k words is one shingle; a row without
 doc_id is linked with nothing and its component is null; rows that repeat a doc_id belong to the component of their own text each; ties go
@@ -172,33 +173,45 @@ def with_fitting(members: DataFrame, percent: int) -> DataFrame:
 
 
 def brief(hashes: np.ndarray, percent: int) -> bytes:
-    """A set in about a third of its bytes: its size, the low halves of its first and last shingles by hash (prefixes of the rising and the falling order) and a map of parities."""
+    """A set in a small share of its bytes: its size and a map of parities, twelve bits or more for each shingle by which it may differ from a linked set of its size."""
     n = len(hashes)
-    p = prefix_size(n, percent)
     bits = 64
-    while bits < 8 * n:
+    while bits * (100 + percent) < 24 * n * (100 - percent):
         bits *= 2
     odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
-    ends = [part.astype(np.uint32).tobytes() for part in (hashes[:p], hashes[-p:])]
-    return b"".join([np.uint32(n).tobytes(), *ends, np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()])
+    return np.uint32(n).tobytes() + np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_differ(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Shingles in which linked sets of n and m differ at most; below 0 for sizes that cannot link."""
+    most = n + m + 2 * (-percent * (n + m) // (100 + percent))
+    return np.where(100 * np.minimum(n, m) < percent * np.maximum(n, m), -1, most)
+
+
+def folded(parities: np.ndarray, length: int) -> np.ndarray:
+    """A map in fewer words: a place in the shorter map is the longer map's place modulo its length."""
+    return np.bitwise_xor.reduce(parities.reshape(-1, length), axis=0)
 
 
 def may_link(x: bytes, y: bytes, percent: int) -> bool:
-    """False only for sets that cannot link: by sizes, by prefixes that share nothing in one of the orders, or by more differing parities than a link has differing shingles."""
-    n, m = (int(np.frombuffer(v, np.uint32, 1)[0]) for v in (x, y))
-    if 100 * min(n, m) < percent * max(n, m):
-        return False
-    p, q = prefix_size(n, percent), prefix_size(m, percent)
-    for a, b in ((1, 1), (1 + p, 1 + q)):
-        if not np.isin(np.frombuffer(x, np.uint32, p, 4 * a), np.frombuffer(y, np.uint32, q, 4 * b)).any():
-            return False
-    maps = sorted((np.frombuffer(v[4 + 8 * k:], np.uint64) for v, k in ((x, p), (y, q))), key=len)
-    while len(maps[1]) > len(maps[0]):  # a place in the shorter map is the longer map's place modulo its length
-        half = len(maps[1]) // 2
-        maps[1] = maps[1][:half] ^ maps[1][half:]
-    differing = int(np.bitwise_count(maps[0] ^ maps[1]).sum())
-    common = -(-percent * (n + m) // (100 + percent))
-    return differing <= n + m - 2 * common
+    """False only for sets that cannot link: by sizes, or by more differing parities than a link has differing shingles."""
+    return bool(may_link_all([x], [y], percent)[0, 0])
+
+
+def may_link_all(left: list[bytes], right: list[bytes], percent: int) -> np.ndarray:
+    """may_link of each left with each right set."""
+    n, m = (np.array([int(np.frombuffer(v, np.uint32, 1)[0]) for v in side], np.int64) for side in (left, right))
+    most = may_differ(n[:, None], m[None, :], percent)
+    maps = [[np.frombuffer(v[4:], np.uint64) for v in side] for side in (left, right)]
+    length = min(len(v) for side in maps for v in side)
+    x, y = (np.stack([folded(v, length) for v in side]) for side in maps)
+    return np.stack([np.bitwise_count(y ^ row).sum(axis=1, dtype=np.int64) for row in x]) <= most
+
+
+def ends_meet(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether the prefixes of two sorted sets share a shingle in the rising and in the falling order of hashes, as those of linked sets do."""
+    p, q = prefix_size(len(x), percent), prefix_size(len(y), percent)
+    return bool(np.isin(x[:p], y[:q]).any() and np.isin(x[-p:], y[-q:]).any())
 
 
 def whole_sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -251,6 +264,9 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         held = []
         for x, y in zip(chunk["x"], chunk["y"]):
             x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            if not ends_meet(x, y, percent):
+                held.append(False)
+                continue
             common = len(np.intersect1d(x, y, assume_unique=True))
             held.append(100 * common >= percent * (len(x) + len(y) - common))
         return {"held": held}
@@ -260,8 +276,9 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def sized_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The links in large mixed buckets; full sets meet in blocks of one size class each, only neighbouring classes meet, and only links leave a block.
+    """The links in large mixed buckets; sets meet in blocks of one size class each, only neighbouring classes meet, and only links leave a block.
 
+    Maps of parities meet first, so that full sets enter only the blocks in which they may link.
     members: key, cls, comp, largest, many and outside. The classes of the largest component are on one side only.
     """
     rows = merged_buckets(members).select("key", "cls", "comp", "largest").join(members.select("cls", "n").distinct(), "cls")
@@ -283,11 +300,30 @@ def sized_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
         "key", F.col("beside").alias("left_size"), "lefts", F.col("size").alias("right_size"),
         F.pmod(F.xxhash64("cls"), "own_rights").cast("int").alias("right"), "cls", "comp",
     )
-    # The sets come last and meet the rows counted, so that of few rows only the sets that enter a block travel.
+    one = one.withColumn("blocks", F.transform(F.sequence(F.lit(0), F.col("rights") - 1), lambda i: F.struct("key", "left_size", "left", "right_size", i.alias("right"))))
+    right = right.withColumn("blocks", F.transform(F.sequence(F.lit(0), F.col("lefts") - 1), lambda i: F.struct("key", "left_size", i.alias("left"), "right_size", "right")))
+    short = StructType([StructField("cls", LongType()), StructField("brief", BinaryType())])
+    maps = map_chunks(sets.select("cls", "members"), lambda chunk: {"brief": [brief(np.frombuffer(m, np.uint64), percent) for m in chunk["members"]]}, short, 128)
+
+    def in_blocks(full: DataFrame, rows: DataFrame) -> DataFrame:
+        # The sets come last and meet the rows counted, so that of few rows only the sets that enter a block travel.
+        return full.join(sized_broadcast(rows.select("cls", "comp", "blocks")), "cls").withColumn("block", F.explode("blocks")).select("block.*", *full.columns, "comp")
+
+    def met(x: DataFrame, y: DataFrame, fn, schema: str) -> DataFrame:
+        y = y.toDF(*[f"{c}_y" for c in y.columns])
+        return x.groupBy(block).cogroup(y.groupBy([f"{c}_y" for c in block])).applyInPandas(fn, schema)
+
+    def partnered(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        columns = [*block, "cls", "comp"]
+        if x.empty or y.empty:
+            return pd.DataFrame({c: [] for c in [*columns, "side"]}, dtype=np.int64)
+        held = may_link_all(x["brief"].tolist(), y["brief_y"].tolist(), percent) & (x["comp"].to_numpy()[:, None] != y["comp_y"].to_numpy()[None, :])
+        y = y.rename(columns={f"{c}_y": c for c in columns})
+        return pd.concat([x.loc[held.any(axis=1), columns].assign(side=0), y.loc[held.any(axis=0), columns].assign(side=1)])
+
+    found = cut_lineage(met(in_blocks(maps, one), in_blocks(maps, right), partnered, "key long, left_size int, left int, right_size int, right int, cls long, comp long, side int"))
+    entered = found.groupBy("side", "cls", "comp").agg(F.collect_set(F.struct(*block)).alias("blocks"))
     full = sets.select("cls", "members")
-    one = full.join(sized_broadcast(one), "cls").withColumn("right", F.explode(F.sequence(F.lit(0), F.col("rights") - 1))).drop("rights")
-    right = full.join(sized_broadcast(right), "cls").withColumn("left", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1))).drop("lefts")
-    right = right.toDF(*[f"{c}_y" for c in right.columns])
 
     def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if x.empty or y.empty:
@@ -298,7 +334,7 @@ def sized_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
         i, j = np.nonzero(linked)
         return pd.DataFrame({"a": x["cls"].to_numpy()[i], "b": y["cls_y"].to_numpy()[j]})
 
-    return one.groupBy(block).cogroup(right.groupBy([f"{c}_y" for c in block])).applyInPandas(meet, "a long, b long")
+    return met(in_blocks(full, entered.filter("side = 0")), in_blocks(full, entered.filter("side = 1")), meet, "a long, b long")
 
 
 def link_classes(entries: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:

@@ -118,3 +118,30 @@ def test_only_sets_that_enter_a_block_are_shuffled(spark, tmp_path, monkeypatch)
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
     want = {(a, b) for a in range(20) for b in range(20) if a < b}
     assert {(min(r), max(r)) for r in map(tuple, links.collect())} == want
+
+
+def test_brief_forms_are_a_small_share_of_the_sets():
+    rng = np.random.default_rng(5)
+    x = np.unique(rng.integers(0, 1 << 63, 1300, np.int64).astype(np.uint64))
+    rng.shuffle(x)
+    a, b = np.sort(x[:1100]), np.sort(x[200:])  # 900 of 1,300
+    assert 12 * len(sj.brief(a, 85)) < a.nbytes
+    assert not sj.may_link(sj.brief(a, 85), sj.brief(b, 85), 85)
+    assert sj.may_link(sj.brief(a, 85), sj.brief(a[:1000], 85), 85)
+
+
+def test_full_sets_enter_only_blocks_in_which_they_may_link(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sj, "BLOCK", 8)
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 63, 200, np.int64).astype(np.uint64)
+    sets = {c: np.sort(base[c % 5:] if c < 10 else rng.integers(0, 1 << 63, 200, np.int64).astype(np.uint64)) for c in range(60)}
+    path = str(tmp_path / "sets")
+    spark.createDataFrame([(c, bytearray(m.tobytes())) for c, m in sets.items()], "cls long, members binary").write.parquet(path)
+    rows = [(1, c, len(sets[c]), c, 0, 60, 59) for c in range(60)]
+    members = spark.createDataFrame(rows, "key long, cls long, n long, comp long, largest long, many long, outside long")
+    seen, kept = [], sj.cut_lineage
+    monkeypatch.setattr(sj, "cut_lineage", lambda df: seen.append(kept(df)) or seen[-1])
+    links = {(min(r), max(r)) for r in map(tuple, sj.sized_blocks(members, spark.read.parquet(path), 85).collect())}
+    assert links == {(a, b) for a in range(10) for b in range(10) if a < b}
+    entered = [df for df in seen if "side" in df.columns]
+    assert entered and {r.cls for df in entered for r in df.collect()} == set(range(10))
