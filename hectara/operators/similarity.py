@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from hectara.functions import constants as C
 from hectara.operators.text_joins import cosine_at_least
-from hectara.session import cut_lineage
+from hectara.session import cut_lineage, sized_broadcast
 
 
 def cosine(vector: Column, query: list[float]) -> Column:
@@ -134,20 +134,41 @@ def word_vectors(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     return counts.join(norms, keys).select(*keys, "token", (F.col("n") / F.col("norm")).alias("weight"))
 
 
+def place_counts(df: DataFrame, key: str, text: str, dimension: int) -> DataFrame:
+    """key, places and counts: the places of the words of each row, ascending, and how often each occurs. Rows are counted on their own, without a shuffle."""
+    words = F.filter(F.split(F.lower(text), TOKEN_SPLIT), lambda w: w != "")
+    place = lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % dimension).cast("int")
+    rows = df.select(key, F.array_sort(F.transform(words, place)).alias("all"))
+    ends = F.filter(F.transform("all", lambda x, i: F.when(~F.get("all", i + 1).eqNullSafe(x), i + 1)), lambda e: e.isNotNull())
+    rows = rows.withColumn("ends", ends)
+    return rows.select(
+        key, F.transform("ends", lambda e: F.get("all", e - 1)).alias("places"),
+        F.transform("ends", lambda e, i: (e - F.coalesce(F.get("ends", i - 1), F.lit(0))).cast("long")).alias("counts"),
+    )
+
+
 def hashed_vectors(df: DataFrame, key: str, text: str, dimension: int = 512) -> DataFrame:
     """Offline encoder of `dimension` numbers, as (key, place, weight) rows of unit length per text.
 
     Words are hashed to places by the first 32 bits of their md5; a place weighs its count times its rarity,
-    ln((texts + 1) / (texts with the place + 1)).
+    ln((texts + 1) / (texts with the place + 1)). A text stays one row until its weights are known; only the rows
+    that repeat a key are dealt out and added up.
     """
-    words = df.select(key, F.explode(F.split(F.lower(text), TOKEN_SPLIT)).alias("word")).filter("word <> ''")
-    place = (F.conv(F.substring(F.md5("word"), 1, 8), 16, 10).cast("long") % dimension).cast("int")
-    counts = words.groupBy(key, place.alias("place")).agg(F.count(F.lit(1)).alias("n"))
-    held = counts.groupBy("place").agg(F.count(F.lit(1)).alias("texts"))
+    repeated = sized_broadcast(df.groupBy(key).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select(F.col(key).alias("again"), F.lit(True).alias("many")))
+    counted = place_counts(df, key, text, dimension).join(repeated, F.col(key).eqNullSafe(F.col("again")), "left").drop("again")
+    counted = cut_lineage(counted)
+    entry = F.explode(F.arrays_zip("places", "counts")).alias("e")
+    added = counted.filter("many").select(key, entry).groupBy(key, F.col("e.places").alias("place")).agg(F.sum("e.counts").alias("n"))
+    merged = added.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", "n"))).alias("e")).select(key, F.col("e.place").alias("places"), F.col("e.n").alias("counts"))
+    texts = counted.filter("many is null").select(key, "places", "counts").unionByName(merged)
+    held = texts.select(F.explode("places").alias("place")).groupBy("place").agg(F.count(F.lit(1)).alias("texts"))
     rarity = held.join(F.broadcast(df.agg(F.count(F.lit(1)).alias("all")))).select("place", F.ln((F.col("all") + 1) / (F.col("texts") + 1)).alias("rarity"))
-    weighed = counts.join(F.broadcast(rarity), "place").withColumn("w", F.col("n") * F.col("rarity"))
-    norms = weighed.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weighed.join(norms, key).select(key, "place", F.coalesce(F.try_divide("w", "norm"), F.lit(0.0)).alias("weight"))
+    known = rarity.agg(F.map_from_entries(F.collect_list(F.struct("place", "rarity"))).alias("known"))  # at most `dimension` entries
+    by_place = known.select(F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda p: F.try_element_at("known", p)).alias("rarity"))
+    weighed = texts.join(F.broadcast(by_place)).withColumn("w", F.zip_with("places", "counts", lambda p, n: n * F.get("rarity", p)))
+    weighed = weighed.withColumn("norm", F.sqrt(F.aggregate("w", F.lit(0.0), lambda total, w: total + w * w)))
+    rows = weighed.select(key, "norm", F.explode(F.arrays_zip("places", "w")).alias("e"))
+    return rows.select(key, F.col("e.places").alias("place"), F.coalesce(F.try_divide("e.w", "norm"), F.lit(0.0)).alias("weight"))
 
 
 def cosine_pairs(left: DataFrame, left_keys: list[str], right: DataFrame, right_keys: list[str], on: str) -> DataFrame:

@@ -1,9 +1,13 @@
 """Steps whose memory, time or input of one task must not grow with a whole table."""
 import datetime
+import hashlib
+import math
 import os
 import random
+import re
 
 from hectara.catalog import load, sources_and_sinks
+from hectara.operators import similarity as V
 from hectara.operators import spatial as S
 from hectara.plans.testbed import table
 from hectara.sources import writers as W
@@ -79,3 +83,23 @@ def test_closed_sessions_are_not_broadcast(spark, tmp_path, monkeypatch):
     assert plans and not any("Broadcast" in plan(p) for p in plans)
     rows = spark.read.parquet(f"{tmp_path}/out/batch=0").collect()
     assert sorted((r.user_id, r.location, r.n, r.liked) for r in rows) == [(7, "A", 6, 3), (7, "B", 3, 1)]
+
+
+def test_hashed_vectors_count_words_within_a_row(spark):
+    """Only texts that repeat a key, or have none, meet in a shuffle; all others stay one row."""
+    rows = [(1, "Ala ma kota, kota!"), (1, "kota i psa"), (2, None), (3, ""), (4, "..."), (5, "x2 X2 x2 x3"), (6, "ala"), (None, "ala psa")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    place = lambda w: int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 512
+    want = {}
+    for key, text in rows:
+        for w in re.findall(r"[a-z0-9]+", (text or "").lower()):
+            of = want.setdefault(key, {})
+            of[place(w)] = of.get(place(w), 0) + 1
+    held = {p: sum(p in of for of in want.values()) for of in want.values() for p in of}
+    for of in want.values():
+        of.update({p: n * math.log((len(rows) + 1) / (held[p] + 1)) for p, n in of.items()})
+    expected = {(key, p): round(w / math.sqrt(sum(v * v for v in of.values())), 6) for key, of in want.items() for p, w in of.items()}
+    got = [((r.doc_id, r.place), round(r.weight, 6)) for r in V.hashed_vectors(docs, "doc_id", "text").collect()]
+    assert dict(got) == expected and len(got) == len(expected)
+    counts = plan(V.place_counts(docs, "doc_id", "text", 512))
+    assert "Exchange" not in counts and "Aggregate" not in counts
