@@ -38,75 +38,81 @@ def machine():
 
     class Phases(StatefulProcessor):
         def init(self, handle):
-            moment = "us bigint, event_id bigint"
+            moment = "{0}_us bigint, {0}_event bigint, {0}_said boolean"
             self.handle = handle
-            self.search = handle.getValueState("search", moment + ", said boolean")
-            self.favorite = handle.getValueState("favorite", moment + ", said boolean")
-            self.early = handle.getListState("early", moment)
-            self.timer = handle.getValueState("timer", "ms bigint")
+            # One row a user: every access goes through a socket to the store. waits is the earliest of the list.
+            self.known = handle.getValueState("known", f"{moment.format('search')}, {moment.format('favorite')}, waits bigint, timer bigint")
+            self.early = handle.getListState("early", "us bigint, event_id bigint")
+
+        def load(self):
+            """The first view and the first favourite behind it, each with whether it was said, the earliest waiting favourite and the timer."""
+            self.stored = tuple(self.known.get() or (None,) * 8)
+            su, se, self.search_said, fu, fe, self.favorite_said, self.waits, self.timer = self.stored
+            self.search = None if su is None else (su, se)
+            self.favorite = None if fu is None else (fu, fe)
 
         def handleInputRows(self, key, rows, timerValues):
+            self.load()
             for block in rows:
-                block = block[block["action"].isin(["view", "favorite"])]
-                moments = list(zip(block["us"].astype(int), block["event_id"].astype(int), block["action"]))
+                moments = list(zip(block["us"].tolist(), block["event_id"].tolist(), block["action"].tolist()))
                 self.take([m[:2] for m in moments if m[2] == "view"], [m[:2] for m in moments if m[2] == "favorite"])
             self.wake()
             return iter(())
 
         def take(self, views, favorites):
-            found = self.search.get() if self.search.exists() else None
-            search = None if found is None else (found[0], found[1])
-            first = min(views + ([] if search is None else [search]), default=None)
-            if first != search:
-                self.search.update((*first, False))
+            first = min(views + ([] if self.search is None else [self.search]), default=None)
+            if first != self.search:
+                self.search, self.search_said = first, False
                 # An earlier view frees the favourites behind it; the timer drops them from the list.
-                freed = min((tuple(h) for h in self.early.get() if tuple(h) > first), default=None) if self.early.exists() else None
+                freed = min((tuple(h) for h in self.early.get() if tuple(h) > first), default=None) if self.waits is not None else None
                 favorites = favorites if freed is None else [*favorites, freed]
             early = favorites if first is None else [f for f in favorites if f < first]
             if early:
                 self.early.appendList(early)
+                self.waits = min([e[0] for e in early] + ([] if self.waits is None else [self.waits]))
             if first is not None:
-                old = self.favorite.get() if self.favorite.exists() else None
-                known = None if old is None else (old[0], old[1])
-                best = min([f for f in favorites if f > first] + ([] if known is None else [known]), default=None)
-                if best != known:
-                    self.favorite.update((*best, False))
+                best = min([f for f in favorites if f > first] + ([] if self.favorite is None else [self.favorite]), default=None)
+                if best != self.favorite:
+                    self.favorite, self.favorite_said = best, False
 
         def wake(self):
-            """One timer a user, for the earliest moment not spoken of yet."""
-            waiting = [s.get()[0] for s in (self.search, self.favorite) if s.exists() and not s.get()[2]]
-            if self.early.exists():
-                waiting.append(min(e[0] for e in self.early.get()))
-            old = self.timer.get()[0] if self.timer.exists() else None
+            """One timer a user, for the earliest moment not spoken of yet; what is known is stored."""
+            waiting = [at[0] for at, said in ((self.search, self.search_said), (self.favorite, self.favorite_said)) if at is not None and not said]
+            if self.waits is not None:
+                waiting.append(self.waits)
             new = min(waiting) // 1000 + 1 if waiting else None
-            if new != old:
-                if old is not None:
-                    self.handle.deleteTimer(old)
-                self.timer.clear()
+            if new != self.timer:
+                if self.timer is not None:
+                    self.handle.deleteTimer(self.timer)
                 if new is not None:
                     self.handle.registerTimer(new)
-                    self.timer.update((new,))
+                self.timer = new
+            now = (*(self.search or (None, None)), self.search_said, *(self.favorite or (None, None)), self.favorite_said, self.waits, self.timer)
+            if now != self.stored:
+                self.known.update(now)
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
             passed = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) * 1000
+            self.load()
             out = []
-            for state, step in ((self.search, "SEARCH"), (self.favorite, "EVALUATION")):
-                if state.exists():
-                    us, event, said = state.get()
-                    if not said and us <= passed:
-                        out.append((key[0], event, us, step))
-                        state.update((us, event, True))
-            if self.early.exists():
-                search = tuple(self.search.get()[:2]) if self.search.exists() else None
-                waiting = [tuple(e) for e in self.early.get() if search is None or tuple(e) < search]
+            if self.search is not None and not self.search_said and self.search[0] <= passed:
+                out.append((key[0], self.search[1], self.search[0], "SEARCH"))
+                self.search_said = True
+            if self.favorite is not None and not self.favorite_said and self.favorite[0] <= passed:
+                out.append((key[0], self.favorite[1], self.favorite[0], "EVALUATION"))
+                self.favorite_said = True
+            if self.waits is not None:
+                waiting = [e for e in map(tuple, self.early.get()) if self.search is None or e < self.search]
                 out += [(key[0], event, us, "refused") for us, event in waiting if us <= passed]
                 kept = [e for e in waiting if e[0] > passed]
                 self.early.clear()
                 if kept:
                     self.early.put(kept)
-            self.timer.clear()
+                self.waits = min((e[0] for e in kept), default=None)
+            self.timer = None
             self.wake()
-            yield pd.DataFrame(out, columns=["user_id", "event_id", "us", "step"])
+            if out:
+                yield pd.DataFrame(out, columns=["user_id", "event_id", "us", "step"])
 
         def close(self):
             pass
@@ -120,7 +126,10 @@ def phase_steps(events: DataFrame, late: str = "1 hour") -> DataFrame:
     events: event_id, ts, user_id, action. Rows later than the watermark's delay are not seen here; phase_stream counts them all.
     Rows without a user, and those of feedback.with_end, only move the watermark.
     """
-    seen = events.withWatermark("ts", late).select("user_id", "event_id", F.unix_micros("ts").alias("us"), "action", "ts")
+    seen = events.withWatermark("ts", late)
+    # Other rows end behind the watermark; without the time in the condition Spark would drop them before it, the closing row too.
+    needed = F.col("user_id").isNotNull() & F.col("action").isin("view", "favorite")
+    seen = seen.filter(needed | (F.col("ts") < F.lit("0002-01-01").cast("timestamp"))).select("user_id", "event_id", F.unix_micros("ts").alias("us"), "action", "ts")
     steps = seen.groupBy("user_id").transformWithStateInPandas(machine(), STEP_SCHEMA, "Append", "EventTime")
     return steps.filter(F.col("user_id").isNotNull())
 

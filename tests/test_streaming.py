@@ -100,3 +100,14 @@ def test_a_batch_that_runs_again_is_not_counted_twice(spark):
     for number in (0, 1, 1, 2):
         sink(batch, number)
     assert [(r.n, r.confidence, r.importance) for r in B.learned_patterns(spark, base).collect()] == [(3, 0.4, 0.65)]
+
+
+def test_only_views_and_favorites_reach_the_phase_machine(spark):
+    """Other rows move the watermark and end there: they are dropped behind it, before the shuffle."""
+    base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    arrivals(spark, base)
+    with M.keyed_state(spark):
+        lines = str(M.phase_steps(B.event_stream(spark, f"{base}/in"))._jdf.queryExecution().optimizedPlan()).splitlines()
+    at = {name: [i for i, line in enumerate(lines) if name in line] for name in ("TransformWithState", "EventTimeWatermark")}
+    needed = [i for i, line in enumerate(lines) if "Filter" in line and "favorite" in line]
+    assert needed and at["TransformWithState"][0] < needed[0] and needed[-1] < at["EventTimeWatermark"][0]
