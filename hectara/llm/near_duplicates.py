@@ -37,14 +37,12 @@ PAIRED_BELOW = 1 << 9  # possible pairs in a bucket from which its sets meet in
 BLOCK = 512
 SALTS = 32
 MARGIN = 0.17  # six standard errors of the estimate at the threshold: sqrt(0.8 * 0.2 / M) is 0.028
-WORD_CACHE = 1 << 18  # words whose hashes a worker keeps: about 40 MB
 
 _draw = np.random.default_rng(20)
 FACTORS = _draw.integers(0, 1 << 32, M, np.uint32) | np.uint32(1)
 SHIFTS = _draw.integers(0, 1 << 32, M, np.uint32)
 BAND_FACTORS = _draw.integers(0, 1 << 63, BAND_ROWS, np.int64).astype(np.uint64) | np.uint64(1)
 SHINGLE_FACTOR = np.uint64(0x9E3779B97F4A7C15)
-_word_hashes: dict[bytes, int] = {}
 
 
 def scramble(x: np.ndarray) -> np.ndarray:
@@ -59,17 +57,18 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
     words = text.encode("utf-8", "surrogatepass").translate(LOWER).split() if text else []
     if not words:
         return np.zeros(0, np.uint64)
-    if len(_word_hashes) > WORD_CACHE:
-        _word_hashes.clear()
-    for w in set(words).difference(_word_hashes):
-        _word_hashes[w] = xxhash.xxh64_intdigest(w)
-    codes = np.fromiter(map(_word_hashes.__getitem__, words), np.uint64, len(words))
+    codes = np.frombuffer(b"".join(map(xxhash.xxh64_digest, words)), ">u8").astype(np.uint64)
     size = min(k, len(words))
     total = np.full(len(words) - size + 1, size, np.uint64)
     for j in range(size):
-        total = (total + codes[j:len(codes) - size + 1 + j]) * SHINGLE_FACTOR
+        total += codes[j:len(codes) - size + 1 + j]
+        total *= SHINGLE_FACTOR
         total ^= total >> np.uint64(29)
-    return np.unique(scramble(total))
+    total = scramble(total)
+    total.sort()
+    first = np.ones(len(total), bool)
+    np.not_equal(total[1:], total[:-1], out=first[1:])
+    return total if first.all() else total[first]
 
 
 def registers(hashes: np.ndarray) -> np.ndarray:

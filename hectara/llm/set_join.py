@@ -6,8 +6,9 @@ and ties by hash, by rising hash and by falling hash. The rare-first order makes
 are hardly ever a key. A candidate is compared only if its sizes fit and its maps of parities do not differ in more places than the sets may; then
 its prefixes must meet under the other two orders as well, and both full sets decide.
 
-Frequencies are sums over all documents in TABLES tables of SLOTS counters each, with independent hashes, up to MOST; a shingle's estimate is the
-smaller one. A coarse estimate costs candidates, never a link, so the tables are bounded by parameters and are all that is broadcast of the corpus.
+Frequencies are sums over all documents in TABLES tables of SLOTS counters each, with independent hashes; a shingle's estimate is the smaller one.
+What rare shingles alone put into a counter grows with the corpus, so it is taken off before the sums become steps from 0 to MOST. A coarse estimate
+costs candidates, never a link, so the tables are bounded by parameters and are all that is broadcast of the corpus.
 
 Documents of one set are one class. In a bucket of one key all classes are first compared with one leader, that with the most
 neighbours; what is linked is one component, and only pairs across components are compared further, those in the largest component of a
@@ -21,6 +22,7 @@ to the smallest doc_id; an empty table gives no rows. Other columns are not read
 """
 from __future__ import annotations
 
+import math
 import uuid
 import zlib
 
@@ -38,9 +40,10 @@ from hectara.llm.near_duplicates import class_of, common_counts, cross_pairs, jo
 from hectara.session import cut_lineage, shared_dir, sized_broadcast
 
 TABLES, SLOTS = 2, 1 << 22
-MOST = 255  # counters end here: shingles above it come last in the order, by hash
+MOST = 255  # steps end here: shingles above it come last in the order, by hash
+PART_MOST = (1 << 16) - 1  # the counters of one partition end here
 PIECE = 1 << 16  # counters in a row of partial sums
-HEAVY = MOST  # estimated frequency from which the rows of a key are split over tasks
+HEAVY = MOST  # steps from which the rows of a key are split over tasks
 WIDE = 1 << 14  # classes of a bucket up to which a task looks at their sizes in order
 PAIRED_BELOW = 1 << 9  # possible pairs in a bucket from which its sets meet in blocks
 BLOCK = 512
@@ -49,8 +52,28 @@ ROWS = 256
 SEEN = 1 << 20
 
 
-def slots(hashes: np.ndarray, table: int) -> np.ndarray:
-    return (scramble(hashes + np.uint64(table + 1)) >> np.uint64(40)).astype(np.int64) % SLOTS
+def slots(hashes: np.ndarray, table: int, size: int = SLOTS) -> np.ndarray:
+    return (scramble(hashes + np.uint64(table + 1)) >> np.uint64(40)).astype(np.int64) % size
+
+
+def packed_counts(piece: np.ndarray) -> bytes:
+    """Counters of 16 bits, all low bytes before all high ones."""
+    return zlib.compress(piece.astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes(), 1)
+
+
+def unpacked_counts(packed: bytes) -> np.ndarray:
+    low, high = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(2, -1).astype(np.int64)
+    return low + 256 * high
+
+
+def scale(mean: float) -> tuple[int, int]:
+    """What is taken off a sum, and the size of a step, in tables whose counters hold `mean` shingles each.
+
+    Rare shingles alone fill a counter to the mean, give or take four times its root. All of that is at most the lower half of the steps, however
+    large the corpus; in a table with few shingles a step is one and nothing is taken off.
+    """
+    spread = math.sqrt(mean)
+    return max(0, math.floor(mean - 4 * spread)), max(1, math.ceil(8 * spread / (MOST // 2 + 1)))
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -58,7 +81,7 @@ def prefix_size(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
-def profiles(docs: DataFrame, k: int) -> DataFrame:
+def profiles(docs: DataFrame, k: int, size: int = SLOTS) -> DataFrame:
     """One pass over the texts: doc_id, n_shingles and cls of each row, and as rows with a place the counters of each partition."""
     schema = StructType([
         StructField("doc_id", LongType()), StructField("n_shingles", LongType()), StructField("cls", LongType()),
@@ -67,54 +90,56 @@ def profiles(docs: DataFrame, k: int) -> DataFrame:
     kinds = to_arrow_schema(schema)
 
     def run(batches):
-        counts = [np.zeros(SLOTS, np.uint8) for _ in range(TABLES)]
+        counts = [np.zeros(size, np.uint16) for _ in range(TABLES)]
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
                 sets = [shingle_set(t, k) for t in part.column("text").to_pylist()]
                 flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
                 for t in range(TABLES):
-                    place, many = np.unique(slots(flat, t), return_counts=True)
-                    counts[t][place] = np.minimum(counts[t][place] + many, MOST)
+                    place, many = np.unique(slots(flat, t, size), return_counts=True)
+                    counts[t][place] = np.minimum(counts[t][place] + many, PART_MOST)
                 none = pa.nulls(part.num_rows)
                 yield pa.RecordBatch.from_arrays([
                     part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64()), none.cast(pa.int32()), none.cast(pa.binary()),
                 ], schema=kinds)
         for t in range(TABLES):
-            for at in range(0, SLOTS, PIECE):
+            for at in range(0, size, PIECE):
                 piece = counts[t][at:at + PIECE]
                 if piece.any():
-                    yield pa.RecordBatch.from_pylist([{"place": t * SLOTS + at, "counts": zlib.compress(piece.tobytes(), 1)}], schema=kinds)
+                    yield pa.RecordBatch.from_pylist([{"place": t * size + at, "counts": packed_counts(piece)}], schema=kinds)
 
     ship_package(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
-def frequencies(found: DataFrame) -> np.ndarray:
-    """The counters of all partitions added up, TABLES rows of SLOTS: places are dealt out, a task holds one sum a place."""
+def frequencies(found: DataFrame, size: int = SLOTS) -> np.ndarray:
+    """The counters of all partitions added up, in steps (`scale`), TABLES rows of `size`: places are dealt out, a task holds one sum a place."""
     schema = StructType([StructField("place", IntegerType()), StructField("counts", BinaryType())])
     kinds = to_arrow_schema(schema)
+    base, step = scale((found.agg(F.sum("n_shingles").alias("n")).first()["n"] or 0) / size)
 
     def run(batches):
         sums = {}
         for batch in batches:
             for place, packed in zip(batch.column("place").to_pylist(), batch.column("counts").to_pylist()):
-                piece = np.frombuffer(zlib.decompress(packed), np.uint8).astype(np.int16)
-                sums[place] = np.minimum(sums.get(place, 0) + piece, MOST).astype(np.uint8)
+                sums[place] = sums.get(place, 0) + unpacked_counts(packed)
         for place, total in sums.items():
-            yield pa.RecordBatch.from_pylist([{"place": place, "counts": zlib.compress(total.tobytes(), 1)}], schema=kinds)
+            steps = np.clip((total - base) // step, 0, MOST).astype(np.uint8)
+            yield pa.RecordBatch.from_pylist([{"place": place, "counts": zlib.compress(steps.tobytes(), 1)}], schema=kinds)
 
     pieces = found.filter("place is not null").select("place", "counts").repartition("place").mapInArrow(run, schema)
-    total = np.zeros(TABLES * SLOTS, np.uint8)
-    for row in pieces.collect():  # at most TABLES * SLOTS / PIECE rows
-        total[row["place"]:row["place"] + PIECE] = np.frombuffer(zlib.decompress(row["counts"]), np.uint8)
-    return total.reshape(TABLES, SLOTS)
+    total = np.zeros(TABLES * size, np.uint8)
+    for row in pieces.collect():  # at most TABLES * size / PIECE rows
+        piece = np.frombuffer(zlib.decompress(row["counts"]), np.uint8)
+        total[row["place"]:row["place"] + len(piece)] = piece
+    return total.reshape(TABLES, size)
 
 
 def rare_prefix(hashes: np.ndarray, table: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """The prefix of a set in the rare-first order, and the estimated frequencies."""
-    often = np.min([table[t][slots(hashes, t)] for t in range(len(table))], axis=0)
-    first = np.lexsort((hashes, often))[:prefix_size(len(hashes), percent)]
+    """The prefix of a set (sorted hashes) in the rare-first order, and the steps of the estimated frequencies."""
+    often = np.min([table[t][slots(hashes, t, table.shape[1])] for t in range(len(table))], axis=0)
+    first = np.argsort(often, kind="stable")[:prefix_size(len(hashes), percent)]
     return hashes[first], often[first]
 
 

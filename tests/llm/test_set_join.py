@@ -145,3 +145,28 @@ def test_full_sets_enter_only_blocks_in_which_they_may_link(spark, tmp_path, mon
     assert links == {(a, b) for a in range(10) for b in range(10) if a < b}
     entered = [df for df in seen if "side" in df.columns]
     assert entered and {r.cls for df in entered for r in df.collect()} == set(range(10))
+
+
+def test_full_counters_still_tell_common_shingles(make_docs):
+    """Tables so small that rare shingles alone put several hundred into every counter, as a large corpus does."""
+    size, common = 512, " ".join(f"p{i}" for i in range(10))
+    texts = [f"{common} " + " ".join(f"q{i}x{j}" for j in range(180)) for i in range(1200)]
+    docs = make_docs(list(enumerate(texts))).repartition(5)
+    found = sj.profiles(docs, 4, size)
+    table = sj.frequencies(found, size)
+    assert found.agg({"n_shingles": "sum"}).first()[0] > 1.5 * sj.MOST * size
+    assert np.quantile(table, 0.01) > 0 and np.quantile(table, 0.9) <= sj.MOST // 2 + 1
+    shared = set(shingle_set(common, 4).view(np.int64).tolist())
+    entries = sj.prefix_entries(docs, table, 4, 85)
+    assert entries.filter("heavy").count() < 0.02 * entries.count()
+    assert not shared & {r.key for r in entries.select("key").distinct().collect()}
+    assert sj.shared_entries(entries).count() == 0
+
+
+def test_steps_of_counters_follow_the_noise_of_any_corpus():
+    assert sj.scale(0.0) == sj.scale(15.0) == (0, 1)
+    for mean in (300.0, 30_000.0, 3e7):
+        base, step = sj.scale(mean)
+        assert (mean + 4 * mean**0.5 - base) / step <= sj.MOST // 2 + 2 and (mean - base) / step > 30
+    piece = np.array([0, 1, 255, 256, sj.PART_MOST], np.uint16)
+    assert sj.unpacked_counts(sj.packed_counts(piece)).tolist() == piece.tolist()
