@@ -67,8 +67,12 @@ def embedding_sql(dimension=G.DIMENSION, weights=G.ITERATION_WEIGHTS, seed=G.SEE
     return ", ".join(out)
 
 
+def linked(t):
+    return G.edges(t("parcels"), t("zones")).filter(F.col("rel").isin(G.EMBEDDING_RELATIONS))
+
+
 def embedded(t):
-    return G.node_embedding(G.edges(t("parcels"), t("zones")).filter(F.col("rel").isin(G.EMBEDDING_RELATIONS)))
+    return G.node_embedding(linked(t))
 
 
 @query(
@@ -90,7 +94,8 @@ def node_embedding(t):
 def by_node_embedding(t):
     """Ten parcels most like each favourite by the node embedding, all favourites in one job."""
     favourites = t("feedback").filter(F.col("action") == "favorite").select(F.col("parcel_id").alias("id"))
-    return nearest_for_each(embedded(t), "id", "embedding", favourites, 10)
+    kinds, vectors = G.kind_embedding(linked(t))
+    return nearest_for_each(vectors, "id", "embedding", favourites, 10, members=kinds)
 
 
 @query(

@@ -71,7 +71,13 @@ BROADCAST_BYTES = 32 << 20  # of node vectors
 
 
 def node_embedding(graph: DataFrame, dimension: int = DIMENSION, weights: list[float] = ITERATION_WEIGHTS, seed: int = SEED) -> DataFrame:
-    """Fast random projection over an undirected graph whose edges run from many items to few shared nodes.
+    """id and embedding of every item of `kind_embedding`."""
+    kinds, vectors = kind_embedding(graph, dimension, weights, seed)
+    return kinds.join(shuffled(vectors), "kind").select("id", "embedding")
+
+
+def kind_embedding(graph: DataFrame, dimension: int = DIMENSION, weights: list[float] = ITERATION_WEIGHTS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """id and kind of every item, and kind and embedding of every kind: fast random projection over an undirected graph whose edges run from many items to few shared nodes.
 
     Every node starts from a seeded sparse random vector; each round averages the neighbours' unit
     vectors, and the result is the weighted sum of the rounds. Edges carry src (item), dst (node).
@@ -119,7 +125,7 @@ def node_embedding(graph: DataFrame, dimension: int = DIMENSION, weights: list[f
         if weight:
             part = members.select("kind", F.transform("vec", lambda v: v * F.lit(weight)).alias("part"))
             total = part if total is None else cut_lineage(total.join(shuffled(part.withColumnRenamed("part", "more")), "kind").select("kind", F.zip_with("part", "more", lambda a, b: a + b).alias("part")))
-    return kinds.join(shuffled(total), "kind").select(F.col("item").alias("id"), F.col("part").alias("embedding"))
+    return kinds.select(F.col("item").alias("id"), "kind"), total.withColumnRenamed("part", "embedding")
 
 
 def integrity(parcels: DataFrame, zones: DataFrame, poi: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from hectara.functions import constants as C
 from hectara.operators.text_joins import cosine_at_least
-from hectara.session import cut_lineage, sized_broadcast
+from hectara.session import cut_lineage, shuffled, sized_broadcast
 
 
 def cosine(vector: Column, query: list[float]) -> Column:
@@ -49,13 +49,21 @@ PIVOTS, RING = 32, 0.05
 SLACK = 1e-4  # radians; covers the rounding of similarities and of angles near zero
 
 
-def _meetings(df: DataFrame, key: str, vector: str, queries: DataFrame, k: int, pivots: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _meetings(df: DataFrame, key: str, vector: str, queries: DataFrame, k: int, pivots: int, members: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows by class, the keys asked for by class, and the pairs of classes that the bounds leave, with their similarity."""
+    label = key if members is None else next(c for c in members.columns if c != key)
     norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, v: s + v * v))
-    rows = df.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias(vector)).withColumn("norm", norm).filter("norm > 0 AND norm < double('inf')")
+    rows = df.filter(F.col(label).isNotNull()).select(F.col(label).alias("key"), F.col(vector).cast("array<double>").alias(vector)).withColumn("norm", norm).filter("norm > 0 AND norm < double('inf')")
     rows = rows.select("key", F.transform(vector, lambda v: v / F.col("norm")).alias("unit"))
     rows = cut_lineage(rows.withColumn("class", F.md5(F.concat_ws(",", F.transform("unit", lambda v: F.round(v * 1e9).cast("bigint").cast("string"))))))
-    classes = cut_lineage(rows.groupBy("class").agg(F.min("key").alias("first"), F.min_by("unit", "key").alias("unit")))
+    if members is None:
+        classes = rows.withColumn("first", F.col("key"))
+    else:
+        held = members.filter(F.col(key).isNotNull() & F.col(label).isNotNull()).select(F.col(label).alias("label"), F.col(key).alias("key"))
+        kinds = rows.withColumnRenamed("key", "label")
+        classes = kinds.join(shuffled(held.groupBy("label").agg(F.min("key").alias("first"))), "label")
+        rows = cut_lineage(held.join(shuffled(kinds.select("label", "class")), "label").select("key", "class"))
+    classes = cut_lineage(classes.groupBy("class").agg(F.min("first").alias("first"), F.min_by("unit", "first").alias("unit")))
 
     def dot(a: Column, b: Column) -> Column:
         return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
@@ -91,16 +99,16 @@ def _meetings(df: DataFrame, key: str, vector: str, queries: DataFrame, k: int,
     return rows, asked, met
 
 
-def nearest_for_each(df: DataFrame, key: str, vector: str, queries: DataFrame, k: int, pivots: int = PIVOTS) -> DataFrame:
+def nearest_for_each(df: DataFrame, key: str, vector: str, queries: DataFrame, k: int, pivots: int = PIVOTS, members: DataFrame | None = None) -> DataFrame:
     """key, rank, neighbour and similarity: for every row of queries (column key) the k rows of df with the largest cosine but itself, ties to the smaller key.
 
     All queries run in one job. Rows of one vector (rounded to nine digits, of unit length) are one class, so copies are compared once.
     Classes stand in cells of their nearest pivot, in rings by their angle to it. The cells' radii and counts, and the best of the query's own
     ring, bound the angle of the k-th neighbour; by the triangle inequality only rings within that bound of the query's own angle can hold an
     answer. Only those are met, the angles to the other pivots are tested before vectors are multiplied, and no answer is left out. Keys are unique; rows with a null key, without a vector, or of length zero have no direction: they are
-    neither found nor answered.
+    neither found nor answered. With `members` (key and a label) df has one row a label instead of one a key, and the vectors of a label are read once.
     """
-    rows, asked, met = _meetings(df, key, vector, queries, k, pivots)
+    rows, asked, met = _meetings(df, key, vector, queries, k, pivots, members)
     order = [F.col("similarity").desc(), F.col("first")]
     best = met.withColumn("place", F.row_number().over(Window.partitionBy("asked").orderBy(*order))).filter(F.col("place") <= k + 1)
     members = rows.select("key", "class").withColumn("place", F.row_number().over(Window.partitionBy("class").orderBy("key"))).filter(F.col("place") <= k + 1)

@@ -3,7 +3,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hectara.operators.graph import node_embedding
+from hectara.operators.graph import kind_embedding, node_embedding
 from hectara.operators.similarity import PIVOTS, _meetings, nearest_for_each
 
 
@@ -84,3 +84,22 @@ def test_embedding_is_the_same_in_any_order(spark):
     assert all(np.allclose(once[i], again[i], atol=1e-12) for i in once)
     same = [i for i in once if dict((s + r, d) for s, d, r in links)[i + "LOCATED_IN"] == dict((s + r, d) for s, d, r in links)["p0LOCATED_IN"] and int(i[1:]) % 3 == 0]
     assert all(np.allclose(once[i], once["p0"], atol=1e-12) for i in same)
+
+
+def test_vectors_of_a_label_serve_all_its_keys(spark, clustered):
+    """One row a label gives the answers of one row a key; keys without a label or a vector are neither found nor answered."""
+    ids, vectors = clustered
+    labels = spark.createDataFrame([(int(i), float(i % 2), [float(x) for x in v]) for i, v in enumerate(vectors[200:260])], "label long, class double, vec array<double>")
+    members = spark.createDataFrame([(i, i % 60 if i % 7 else None) for i in range(300)] + [(None, 3), (900, 99)], "id long, label long")
+    table = members.join(labels, "label").select("id", "vec")
+    asked = spark.createDataFrame([(i,) for i in (1, 2, 7, 61, 150, 299, 900)], "id long")
+    got = nearest_for_each(labels, "id", "vec", asked, 7, members=members)
+    want = nearest_for_each(table, "id", "vec", asked, 7)
+    assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
+
+
+def test_kinds_of_the_embedding_are_few(spark):
+    links = spark.createDataFrame([(f"p{i}", f"d{i % 4}", "LOCATED_IN") for i in range(80)] + [(f"p{i}", f"q{i % 3}", "HAS_SIZE") for i in range(80)], "src string, dst string, rel string")
+    kinds, vectors = kind_embedding(links, dimension=16)
+    assert kinds.count() == 80 and vectors.count() == 12
+    assert node_embedding(links, dimension=16).count() == 80
