@@ -210,7 +210,7 @@ def union_coverage(t):
 )
 def counts_within_radius(t):
     s = spots(t)
-    counts = S.within_radius(s, "id_dzialki", t("buildings"), 500.0, with_strict=True).withColumnsRenamed({"n": "at_most", "n_strict": "below"})
+    counts = S.counts_in_discs(s, "id_dzialki", t("buildings"), 500.0).withColumnsRenamed({"n": "at_most", "n_strict": "below"})
     touching = S.count_touching(s, "id_dzialki", t("zones"), 500.0).withColumnRenamed("n", "touching")
     return touching.join(counts, "id_dzialki", "left").na.fill(0)
 

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hectara.operators.discs import counted, largest_square
 from hectara.operators.tessellation import LEAF_EDGES, edge_count, in_cell, tessellate
 from hectara.session import cut_lineage, shuffled
 
@@ -333,6 +334,15 @@ def within_radius(
     )
 
 
+def counts_in_discs(queries: DataFrame, qid: str, features: DataFrame, radius: float) -> DataFrame:
+    """qid, n and n_strict of `within_radius`, for very many queries: discs meet points in blocks (`discs`), so no row is made for a query and a cell or point."""
+    x, y = F.col("x").cast("double"), F.col("y").cast("double")
+    located = features.filter((F.abs(x) < float("inf")) & (F.abs(y) < float("inf")))
+    places = cut_lineage(located.groupBy(x.alias("x0"), y.alias("y0"), x.alias("x1"), y.alias("y1")).agg(F.count(F.lit(1)).alias("w")))
+    hits = counted(queries, qid, places, radius, largest_square(radius, False), largest_square(radius, True))
+    return hits.groupBy(qid).agg(F.sum("n").alias("n"), F.sum("n_strict").alias("n_strict"))
+
+
 def polygon_cells(polygons: DataFrame, minx: str, miny: str, maxx: str, maxy: str) -> DataFrame:
     """Each polygon (with its level) in the at most four cells of the level whose cells are no smaller than its envelope."""
     side = F.pow(F.lit(2.0), F.col("level"))
@@ -541,6 +551,19 @@ def largest_overlap(items: DataFrame, item_id: str, areas: DataFrame, area_id: s
 WIDE_POLYGON = 32  # radii
 
 
+def boxes_apart(polygons: DataFrame, radius: float) -> tuple[DataFrame, DataFrame]:
+    """Upright rectangles of at most WIDE_POLYGON radii as x0, y0, x1, y1 and w, written, and the other polygons: envelope (ENV_B) and rings, null for the wide rectangles."""
+    from hectara.functions.geometry import is_rectangle
+
+    shapes = with_envelope(polygons, "rings", ENV_B)
+    minx, miny, maxx, maxy = (F.col(c) for c in ENV_B)
+    box = is_rectangle(F.col("rings"), ENV_B)
+    near = box & (F.greatest(maxx - minx, maxy - miny) <= WIDE_POLYGON * radius)
+    shapes = cut_lineage(shapes.withColumns({"rings": F.when(~box, F.col("rings")), "_near": near}))
+    boxes = shapes.filter("_near").select(minx.alias("x0"), miny.alias("y0"), maxx.alias("x1"), maxy.alias("y1"), F.lit(1).cast("bigint").alias("w"))
+    return boxes, shapes.filter(~F.coalesce("_near", F.lit(False))).drop("_near")
+
+
 def coverage_percent(points: DataFrame, pid: str, polygons: DataFrame, radius: float) -> DataFrame:
     """Percent of the disc around each point covered, summed per polygon (overlaps count twice).
 
@@ -581,17 +604,20 @@ def coverage_percent(points: DataFrame, pid: str, polygons: DataFrame, radius: f
 
 
 def count_touching(points: DataFrame, pid: str, polygons: DataFrame, radius: float) -> DataFrame:
-    """Number of polygons that meet the disc around each point."""
-    from hectara.functions.geometry import distance_to_polygon, is_rectangle
-
-    discs = disc_envelope(points.select(pid, "x", "y"), "x", "y", radius)
-    # An upright rectangle is as far away as its envelope and travels without its rings.
-    shapes = with_envelope(polygons.select("rings"), "rings", ENV_B).withColumn("rings", F.when(~is_rectangle(F.col("rings"), ENV_B), F.col("rings")))
-    dx = F.greatest(F.col("bminx") - F.col("x"), F.col("x") - F.col("bmaxx"), F.lit(0.0))
-    dy = F.greatest(F.col("bminy") - F.col("y"), F.col("y") - F.col("bmaxy"), F.lit(0.0))
-    near = envelope_pairs(discs, shapes, key=pid).filter(dx * dx + dy * dy <= radius * radius)
-    hits = near.filter(F.col("rings").isNull() | (distance_to_polygon(F.col("rings"), F.col("x"), F.col("y")) <= radius))
-    return points.select(pid).join(hits.groupBy(pid).agg(F.count(F.lit(1)).alias("n")), pid, "left").select(pid, F.coalesce("n", F.lit(0)).alias("n"))
+    """Number of polygons that meet the disc around each point. Upright rectangles meet discs in blocks (`discs`), other polygons pair by pair."""
+    from hectara.functions.geometry import distance_to_polygon
+
+    spots = points.select(pid, "x", "y")
+    boxes, others = boxes_apart(polygons.select("rings"), radius)
+    found = counted(spots, pid, boxes, radius, radius * radius, radius * radius).select(pid, "n")
+    if not others.isEmpty():
+        # An upright rectangle is as far away as its envelope and travels without its rings.
+        dx = F.greatest(F.col("bminx") - F.col("x"), F.col("x") - F.col("bmaxx"), F.lit(0.0))
+        dy = F.greatest(F.col("bminy") - F.col("y"), F.col("y") - F.col("bmaxy"), F.lit(0.0))
+        near = envelope_pairs(disc_envelope(spots, "x", "y", radius), others, key=pid).filter(dx * dx + dy * dy <= radius * radius)
+        hits = near.filter(F.col("rings").isNull() | (distance_to_polygon(F.col("rings"), F.col("x"), F.col("y")) <= radius))
+        found = found.unionByName(hits.select(pid, F.lit(1).cast("bigint").alias("n")))
+    return points.select(pid).join(found.groupBy(pid).agg(F.sum("n").alias("n")), pid, "left").select(pid, F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def unmatched_secondary(primary: DataFrame, secondary: DataFrame, sid: str, radius: float) -> DataFrame:
