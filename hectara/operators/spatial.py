@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hectara.operators.discs import counted, largest_square
+from hectara.operators.discs import counted, covered, largest_square
 from hectara.operators.tessellation import LEAF_EDGES, edge_count, in_cell, tessellate
 from hectara.session import cut_lineage, shuffled
 
@@ -567,12 +567,21 @@ def boxes_apart(polygons: DataFrame, radius: float) -> tuple[DataFrame, DataFram
 def coverage_percent(points: DataFrame, pid: str, polygons: DataFrame, radius: float) -> DataFrame:
     """Percent of the disc around each point covered, summed per polygon (overlaps count twice).
 
-    edges.union_coverage_percent counts what several polygons cover once.
+    edges.union_coverage_percent counts what several polygons cover once. Upright rectangles meet discs in blocks (`discs`), other polygons edge by edge.
     """
-    from hectara.functions.geometry import disc_pieces, is_rectangle, oriented_edges, vertex
-
     spots = points.select(pid, "x", "y")
-    shapes = with_envelope(polygons.select("rings"), "rings", ENV_B)
+    boxes, shapes = boxes_apart(polygons.select("rings"), radius)
+    areas = covered(spots, pid, boxes, radius)
+    if not shapes.isEmpty():
+        areas = areas.unionByName(covered_by_edges(spots, pid, shapes, radius))
+    sums = areas.groupBy(pid).agg((F.sum("area") / (math.pi * radius * radius) * 100).alias("pct"))
+    return points.select(pid).join(sums, pid, "left").select(pid, F.coalesce("pct", F.lit(0.0)).alias("pct"))
+
+
+def covered_by_edges(spots: DataFrame, pid: str, shapes: DataFrame, radius: float) -> DataFrame:
+    """pid and area, a row for each edge of a polygon that meets the disc: its signed share. shapes: the second of `boxes_apart`."""
+    from hectara.functions.geometry import disc_pieces, oriented_edges, vertex
+
     minx, miny, maxx, maxy = (F.col(c) for c in ENV_B)
     common = F.coalesce(F.greatest(maxx - minx, maxy - miny) <= WIDE_POLYGON * radius, F.lit(False))
     # Discs stand in one cell of half a radius each and polygons in all cells that a disc may reach them from, so pairs spread over many keys
@@ -582,11 +591,9 @@ def coverage_percent(points: DataFrame, pid: str, polygons: DataFrame, radius: f
     def index(c: Column) -> Column:
         return F.floor(c / side).cast("bigint")
 
-    box = is_rectangle(F.col("rings"), ENV_B)
-    placed = shapes.filter(common).withColumn("rings", F.when(~box, F.col("rings")))
-    placed = placed.withColumn("cx", F.explode(F.sequence(index(minx - radius), index(maxx + radius)))).withColumn("cy", F.explode(F.sequence(index(miny - radius), index(maxy + radius))))
+    placed = shapes.filter(common).withColumn("cx", F.explode(F.sequence(index(minx - radius), index(maxx + radius)))).withColumn("cy", F.explode(F.sequence(index(miny - radius), index(maxy + radius))))
     # Small sides make very many pairs here: with a number of partitions Spark does not merge them by their size.
-    many = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    many = int(spots.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = spots.withColumns({"cx": index(F.col("x")), "cy": index(F.col("y"))}).repartition(many, "cx", "cy")
     near = keyed.join(shuffled(placed.repartition(many, "cx", "cy")), ["cx", "cy"]).drop("cx", "cy")
     far = envelope_pairs(disc_envelope(spots, "x", "y", radius), shapes.filter(~common), key=pid).select(near.columns)
@@ -598,9 +605,7 @@ def coverage_percent(points: DataFrame, pid: str, polygons: DataFrame, radius: f
     edges = F.when(F.col("rings").isNull(), around).otherwise(oriented_edges(F.col("rings")))
     pairs = met.select(pid, "x", "y", edges.alias("edges"))
     # Signed shares of all edges of all polygons simply add up to the covered area.
-    pieces = disc_pieces(pairs, "x", "y", "edges", radius)
-    sums = pieces.groupBy(pid).agg((F.sum("piece") / (math.pi * radius * radius) * 100).alias("pct"))
-    return points.select(pid).join(sums, pid, "left").select(pid, F.coalesce("pct", F.lit(0.0)).alias("pct"))
+    return disc_pieces(pairs, "x", "y", "edges", radius, "area").select(pid, "area")
 
 
 def count_touching(points: DataFrame, pid: str, polygons: DataFrame, radius: float) -> DataFrame:

@@ -62,3 +62,20 @@ def test_touching_boxes_make_no_row_a_pair(spark, crowd):
     assert more["q0"] == got["q0"] + 1 and more["null"] == 0
     plan = S.count_touching(discs, "qid", table(spark, SF, "zones"), 500.0)._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in plan and "blevel" not in plan
+
+
+def test_covered_boxes_make_no_row_a_pair(spark, crowd):
+    """Shares of boxes in blocks are those of their edges, also for boxes of no width, boxes around a disc and discs around a box."""
+    discs, _, q, _ = crowd
+    rng = np.random.default_rng(7)
+    low = rng.integers(-20, 40, (150, 2)) * 100.0
+    high = low + rng.integers(0, 25, (150, 2)) * 90.0
+    ring = lambda a, b, split: [[(float(x), float(y)) for x, y in ((a[0], a[1]), *(((a[0] + b[0]) / 2, a[1]),) * split, (b[0], a[1]), (b[0], b[1]), (a[0], b[1]), (a[0], a[1]))]]
+    shapes = lambda split: spark.createDataFrame([(ring(a, b, split),) for a, b in zip(low, high)], "rings array<array<struct<x:double,y:double>>>")
+    for radius in (30.0, 500.0):
+        whole = {r.qid: r.pct for r in S.coverage_percent(discs, "qid", shapes(0), radius).collect()}
+        edged = {r.qid: r.pct for r in S.coverage_percent(discs, "qid", shapes(1), radius).collect()}  # a vertex more: no upright rectangle, so edge by edge
+        assert whole.keys() == edged.keys() and len(whole) == len(q) + 2 and max(whole.values()) > 100
+        assert all(whole[i] == pytest.approx(edged[i], abs=1e-7) for i in whole)
+    plan = S.coverage_percent(discs, "qid", shapes(0), 500.0)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "cx#" not in plan
